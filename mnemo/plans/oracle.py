@@ -103,3 +103,65 @@ SELECT request_id, CAST(rank AS INTEGER) AS rank, {COLS9},
        {DATE.format(ts='timestamp')} AS date, {SPEAKER.format(p='')} AS speaker, printf('%.8e', score)::DOUBLE AS score
 FROM ranked WHERE rank <= {top_n}
 """)
+
+
+# ---- store analytics -------------------------------------------------------
+T = with_(TURNS)
+TURN_COLS = ("doc_id, document_type, user_id, persona_id, conversation_id, branch, sequence_no, listener_id, "
+             "reference_id, role, content, weight, timestamp, inference_model, status")
+DOC_TYPES = ["analysis", "brainstorm", "chore", "conversation", "ner-task", "reflection", "journal", "report", "step"]
+
+SCAN_TURNS = T + f"SELECT {TURN_COLS} FROM turns"
+STORE_SIZE = T + "SELECT count(*) AS n_rows FROM turns"
+LIST_CONVERSATIONS = T + """SELECT document_type, user_id, persona_id, conversation_id, count(*) AS messages
+FROM turns GROUP BY 1, 2, 3, 4"""
+TYPE_COUNTS = T + "SELECT document_type, conversation_id, count(*) AS n FROM turns GROUP BY 1, 2"
+LAST_ACTIVITY = T + "SELECT conversation_id, max(timestamp) AS timestamp_max FROM turns GROUP BY 1"
+CONVERSATION_REPORT = T + "SELECT conversation_id, " + ", ".join(
+    f"count(*) FILTER (WHERE document_type = '{t}') AS \"{t}\"" for t in DOC_TYPES) + \
+    ", max(timestamp) AS timestamp_max FROM turns GROUP BY 1"
+PENDING_ANALYSIS = T + """SELECT conversation_id, max(timestamp) AS timestamp_max FROM turns GROUP BY 1
+HAVING count(*) FILTER (WHERE document_type = 'conversation') > 0
+   AND count(*) FILTER (WHERE document_type = 'analysis') = 0"""
+NEXT_PENDING = PENDING_ANALYSIS + " ORDER BY timestamp_max, conversation_id LIMIT 1"
+NEXT_BRANCH = T + """, keys AS (SELECT DISTINCT 'analysis' AS document_type, user_id, persona_id, conversation_id FROM turns),
+mx AS (SELECT document_type, user_id, persona_id, conversation_id, max(branch) AS mb FROM turns GROUP BY 1, 2, 3, 4)
+SELECT k.document_type, k.user_id, k.persona_id, k.conversation_id, CAST(coalesce(mx.mb + 1, 0) AS INTEGER) AS next_branch
+FROM keys k LEFT JOIN mx USING (document_type, user_id, persona_id, conversation_id)"""
+
+LATEST = """latest AS (
+  SELECT * FROM (SELECT *, max(branch) OVER (PARTITION BY conversation_id, sequence_no) AS mb FROM turns)
+  WHERE branch = mb)"""
+HISTORY = with_(TURNS, LATEST, """hist AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY conversation_id ORDER BY timestamp, branch, sequence_no, doc_id) AS INTEGER) AS pos
+  FROM latest)""")
+HIST_COLS = f"pos, {COLS9}, {DATE.format(ts='timestamp')} AS date, {SPEAKER.format(p='')} AS speaker"
+LATEST_BRANCH_HISTORY = with_(TURNS, LATEST) + \
+    f"SELECT {COLS9}, {DATE.format(ts='timestamp')} AS date, {SPEAKER.format(p='')} AS speaker FROM latest"
+CONVERSATION_HISTORY = HISTORY + f"SELECT {HIST_COLS} FROM hist"
+DISPLAY_CONVERSATION = HISTORY + "SELECT conversation_id, pos, role || ': ' || content AS line FROM hist"
+RESUME_POSITION = HISTORY + f""", h AS (SELECT {HIST_COLS} FROM hist)
+SELECT conversation_id, CAST(arg_max(sequence_no, (date, sequence_no, branch)) + 1 AS INTEGER) AS next_sequence_no,
+       CAST(arg_max(branch, (date, sequence_no, branch)) AS INTEGER) AS branch
+FROM h GROUP BY 1"""
+GET_WHERE = T + f"""SELECT {TURN_COLS} FROM turns WHERE document_type = 'analysis'
+ORDER BY timestamp DESC, doc_id LIMIT 1000"""
+FILTER_METADOCS = T + "SELECT doc_id, document_type FROM turns WHERE document_type NOT IN ('ner-task', 'step')"
+NON_FINAL_STEPS = T + f"""SELECT {COLS9} FROM (
+  SELECT *, max(sequence_no) OVER (PARTITION BY conversation_id, document_type, branch) AS ms
+  FROM turns WHERE document_type = 'analysis') WHERE sequence_no < ms"""
+RETYPE_DOCUMENTS = T + """SELECT doc_id, CASE WHEN document_type = 'analysis' AND sequence_no <
+    max(CASE WHEN document_type = 'analysis' THEN sequence_no END) OVER (PARTITION BY conversation_id, document_type, branch)
+  THEN 'step' ELSE document_type END AS document_type FROM turns"""
+# conversations holding a step document are deleted; every conversation is renamed / copied
+STEP_KEYS = "skeys AS (SELECT DISTINCT user_id, persona_id, conversation_id FROM turns WHERE document_type = 'step')"
+DELETE_CONVERSATION = with_(TURNS, STEP_KEYS) + """SELECT doc_id, user_id, persona_id, conversation_id FROM turns t
+WHERE NOT EXISTS (SELECT 1 FROM skeys s WHERE s.user_id = t.user_id AND s.persona_id = t.persona_id
+                  AND s.conversation_id = t.conversation_id)"""
+RENAME_CONVERSATION = T + """SELECT doc_id, 'archive-' || user_id AS user_id, persona_id,
+  conversation_id || '-moved' AS conversation_id FROM turns"""
+COPY_CONVERSATION = T + """SELECT doc_id, user_id, persona_id, conversation_id FROM turns
+UNION ALL
+SELECT doc_id || '-copy', user_id, 'persona-copy', conversation_id FROM turns"""
+ID_COLLISION = T + """SELECT DISTINCT 'c' || (conv_id + 1) || '-' || turn AS doc_id FROM turns
+EXCEPT SELECT doc_id FROM turns"""

@@ -49,3 +49,141 @@ def q_memory_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = request_vectors(store, texts)
     res = memory_query(store, requests, texts, vectors, time_zone=session_time_zone(spark))
     return _sig(res, "score")
+
+
+# ---- store analytics ---------------------------------------------------------
+from ..operators import history as H  # noqa: E402
+from ..operators import mutations as M  # noqa: E402
+from ..operators import reports as R  # noqa: E402
+from ..schema import TURN_COLUMNS  # noqa: E402
+
+
+def _tz(spark):
+    return session_time_zone(spark)
+
+
+@register("scan_turns", oracle.SCAN_TURNS)
+def q_scan_turns(spark, sf_dir):
+    return turns(spark, sf_dir).select(*TURN_COLUMNS)
+
+
+@register("store_size", oracle.STORE_SIZE)
+def q_store_size(spark, sf_dir):
+    return R.store_size(turns(spark, sf_dir))
+
+
+@register("list_conversations", oracle.LIST_CONVERSATIONS)
+def q_list_conversations(spark, sf_dir):
+    return R.list_conversations(turns(spark, sf_dir))
+
+
+@register("type_counts", oracle.TYPE_COUNTS)
+def q_type_counts(spark, sf_dir):
+    return R.type_counts(turns(spark, sf_dir))
+
+
+@register("last_activity", oracle.LAST_ACTIVITY)
+def q_last_activity(spark, sf_dir):
+    return R.last_activity(turns(spark, sf_dir))
+
+
+@register("conversation_report", oracle.CONVERSATION_REPORT)
+def q_conversation_report(spark, sf_dir):
+    return R.conversation_report(turns(spark, sf_dir))
+
+
+@register("pending_analysis", oracle.PENDING_ANALYSIS)
+def q_pending_analysis(spark, sf_dir):
+    return R.pending_analysis(turns(spark, sf_dir))
+
+
+@register("next_pending", oracle.NEXT_PENDING)
+def q_next_pending(spark, sf_dir):
+    return R.next_pending(turns(spark, sf_dir))
+
+
+@register("next_branch", oracle.NEXT_BRANCH)
+def q_next_branch(spark, sf_dir):
+    store = turns(spark, sf_dir)
+    keys = store.select(F.lit("analysis").alias("document_type"), "user_id", "persona_id", "conversation_id").distinct()
+    return R.next_branch(store, keys)
+
+
+@register("latest_branch_history", oracle.LATEST_BRANCH_HISTORY)
+def q_latest_branch_history(spark, sf_dir):
+    return H.std_projection(H.latest_branch_history(turns(spark, sf_dir)), _tz(spark))
+
+
+@register("conversation_history", oracle.CONVERSATION_HISTORY)
+def q_conversation_history(spark, sf_dir):
+    return H.conversation_history(turns(spark, sf_dir), time_zone=_tz(spark))
+
+
+@register("display_conversation", oracle.DISPLAY_CONVERSATION)
+def q_display_conversation(spark, sf_dir):
+    return H.display_lines(H.conversation_history(turns(spark, sf_dir), time_zone=_tz(spark)))
+
+
+@register("resume_position", oracle.RESUME_POSITION)
+def q_resume_position(spark, sf_dir):
+    return R.resume_position(H.conversation_history(turns(spark, sf_dir), time_zone=_tz(spark)))
+
+
+@register("get_where", oracle.GET_WHERE)
+def q_get_where(spark, sf_dir):
+    return R.get_where(turns(spark, sf_dir), "document_type = 'analysis'", ["timestamp"]).select(*TURN_COLUMNS)
+
+
+@register("filter_metadocs", oracle.FILTER_METADOCS)
+def q_filter_metadocs(spark, sf_dir):
+    from ..schema import META_DOCUMENT_TYPES
+    return turns(spark, sf_dir).filter(~F.col("document_type").isin(*META_DOCUMENT_TYPES)).select(
+        "doc_id", "document_type")
+
+
+@register("non_final_steps", oracle.NON_FINAL_STEPS)
+def q_non_final_steps(spark, sf_dir):
+    from ..schema import COLUMNS
+    return H.non_final_steps(turns(spark, sf_dir)).select(*COLUMNS)
+
+
+@register("retype_documents", oracle.RETYPE_DOCUMENTS)
+def q_retype_documents(spark, sf_dir):
+    return H.retype_documents(turns(spark, sf_dir)).select("doc_id", "document_type")
+
+
+@register("delete_conversation", oracle.DELETE_CONVERSATION)
+def q_delete_conversation(spark, sf_dir):
+    store = turns(spark, sf_dir)
+    keys = store.filter(F.col("document_type") == "step")
+    return M.delete_conversations(store, keys).select("doc_id", *M.CONV_KEYS)
+
+
+def _move_all(store):
+    return store.select(*M.CONV_KEYS).distinct().select(
+        *M.CONV_KEYS, F.concat(F.lit("archive-"), "user_id").alias("to_user_id"),
+        F.lit(None).cast("string").alias("to_persona_id"),
+        F.concat("conversation_id", F.lit("-moved")).alias("to_conversation_id"))
+
+
+@register("rename_conversation", oracle.RENAME_CONVERSATION)
+def q_rename_conversation(spark, sf_dir):
+    store = turns(spark, sf_dir)
+    return M.rename_conversations(store, _move_all(store)).select("doc_id", *M.CONV_KEYS)
+
+
+@register("copy_conversation", oracle.COPY_CONVERSATION)
+def q_copy_conversation(spark, sf_dir):
+    store = turns(spark, sf_dir)
+    mapping = store.select(*M.CONV_KEYS).distinct().select(
+        *M.CONV_KEYS, F.lit(None).cast("string").alias("to_user_id"), F.lit("persona-copy").alias("to_persona_id"),
+        F.lit(None).cast("string").alias("to_conversation_id"))
+    return M.copy_conversations(store, mapping).select("doc_id", *M.CONV_KEYS)
+
+
+@register("id_collision_check", oracle.ID_COLLISION)
+def q_id_collision(spark, sf_dir):
+    conv = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn")
+    proposed = conv.select(F.concat(F.lit("c"), (F.col("conv_id") + 1).cast("string"), F.lit("-"),
+                                    F.col("turn").cast("string")).alias("doc_id"))
+    return M.id_collisions(turns(spark, sf_dir), proposed)
