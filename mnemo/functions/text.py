@@ -12,6 +12,8 @@ WORD_PATTERN = r"[\p{L}\p{N}]+"
 SENTENCE_SPLIT = r"(?<=[.!?])\s+"
 # "Total Steps: n" / "Steps Total: n" marker in model output (case-insensitive)
 TOTAL_STEPS_PATTERN = r"(?i)(?:Total\s+Steps?|Steps?\s+Total):\s*(\d+)"
+# one whitespace character as Python's str methods define it
+PY_WS = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\p{Z}]"
 # characters kept by the TF-IDF cleaner
 CLEAN_TEXT_PATTERN = r"[^a-zA-Z0-9\s\-.,?!:;]"
 # ---------------------------------------------------------------------------
@@ -42,7 +44,7 @@ def total_steps(text) -> Column:
 
 def strip(text) -> Column:
     """Python ``str.strip()``: remove leading and trailing whitespace of any kind."""
-    return F.regexp_replace(_col(text), r"^\s+|\s+$", "")
+    return F.regexp_replace(_col(text), f"^{PY_WS}+|{PY_WS}+$", "")
 
 
 def token_ngrams(tokens, max_n: int = 3) -> Column:

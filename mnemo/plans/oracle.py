@@ -165,3 +165,42 @@ UNION ALL
 SELECT doc_id || '-copy', user_id, 'persona-copy', conversation_id FROM turns"""
 ID_COLLISION = T + """SELECT DISTINCT 'c' || (conv_id + 1) || '-' || turn AS doc_id FROM turns
 EXCEPT SELECT doc_id FROM turns"""
+
+
+# ---- document text operators -------------------------------------------------
+PY_WS = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\p{Z}]"
+SEARCH_WORD = "the"
+
+CHUNK_WORDS = """SELECT doc_id, CAST(i // 128 AS INTEGER) AS chunk_no,
+       array_to_string(list_slice(w, i + 1, i + 128), ' ') AS chunk
+FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents) d,
+     LATERAL (SELECT unnest(generate_series(0, len(d.w) - 1, 128)) AS i)"""
+
+SEARCH_DOCUMENTS = f"""SELECT doc_id, CAST(len(lines) AS INTEGER) AS n_lines, array_to_string(lines, chr(10)) AS matched
+FROM (SELECT doc_id, list_transform(
+        list_filter(string_split(text, chr(10)), lambda l: contains(lower(l), '{SEARCH_WORD}')),
+        lambda l: regexp_replace(l, '^{PY_WS}+|{PY_WS}+$', '', 'g')) AS lines
+      FROM documents)
+WHERE len(lines) > 0"""
+
+_PHRASES = f"""toks AS (
+  SELECT doc_id, regexp_extract_all(text, '([^\\p{{L}}\\p{{N}}_]*)([\\p{{L}}\\p{{N}}_]+)', 1) AS gaps,
+         regexp_extract_all(text, '([^\\p{{L}}\\p{{N}}_]*)([\\p{{L}}\\p{{N}}_]+)', 2) AS words
+  FROM documents),
+w AS (SELECT doc_id, i - 1 AS pos, gaps[i] AS gap, words[i] AS word
+      FROM toks, LATERAL (SELECT unnest(generate_series(1, len(words))) AS i)),
+t AS (SELECT doc_id, pos, word,
+             regexp_matches(word, '^[A-Z][a-z]*[A-Z][a-z]*$') AS mixed,
+             regexp_matches(word, '^[A-Z][a-z]+$') AND NOT (pos = 0 OR regexp_matches(gap, '[.!?]{PY_WS}')) AS eligible
+      FROM w),
+e AS (SELECT doc_id, pos, word, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM t WHERE eligible),
+g AS (SELECT doc_id, run, (row_number() OVER (PARTITION BY doc_id, run ORDER BY pos) - 1) // 3 AS grp, pos, word FROM e),
+phr AS (SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS phrase FROM g GROUP BY doc_id, run, grp
+        UNION SELECT doc_id, word AS phrase FROM t WHERE mixed)"""
+
+CAPITALIZED_NGRAMS = "WITH " + _PHRASES + """,
+plural AS (SELECT p.doc_id, p.phrase || 's' AS phrase FROM phr p
+           WHERE EXISTS (SELECT 1 FROM phr q WHERE q.doc_id = p.doc_id AND q.phrase = regexp_replace(p.phrase, 's+$', ''))),
+singular AS (SELECT p.doc_id, regexp_replace(p.phrase, 's+$', '') AS phrase FROM phr p
+             WHERE EXISTS (SELECT 1 FROM phr q WHERE q.doc_id = p.doc_id AND q.phrase = p.phrase || 's'))
+SELECT doc_id, phrase FROM phr UNION SELECT doc_id, phrase FROM plural UNION SELECT doc_id, phrase FROM singular"""

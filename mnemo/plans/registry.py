@@ -187,3 +187,25 @@ def q_id_collision(spark, sf_dir):
     proposed = conv.select(F.concat(F.lit("c"), (F.col("conv_id") + 1).cast("string"), F.lit("-"),
                                     F.col("turn").cast("string")).alias("doc_id"))
     return M.id_collisions(turns(spark, sf_dir), proposed)
+
+
+# ---- document text operators -------------------------------------------------
+from ..operators import documents as D  # noqa: E402
+from ..sources.tables import read_table  # noqa: E402
+
+
+@register("chunk_words", oracle.CHUNK_WORDS)
+def q_chunk_words(spark, sf_dir):
+    return D.chunk_words(read_table(spark, sf_dir, "documents", ["doc_id", "text"]), "doc_id", "text")
+
+
+@register("search_documents", oracle.SEARCH_DOCUMENTS)
+def q_search_documents(spark, sf_dir):
+    hits = D.search_lines(read_table(spark, sf_dir, "documents", ["doc_id", "text"]), "doc_id", "text",
+                          oracle.SEARCH_WORD)
+    return hits.select("doc_id", F.size("lines").alias("n_lines"), F.array_join("lines", "\n").alias("matched"))
+
+
+@register("capitalized_ngrams", oracle.CAPITALIZED_NGRAMS)
+def q_capitalized_ngrams(spark, sf_dir):
+    return D.capitalized_ngrams(read_table(spark, sf_dir, "documents", ["doc_id", "text"]), "doc_id", "text")
