@@ -11,7 +11,8 @@ WORD_PATTERN = r"[\p{L}\p{N}]+"
 # sentence boundary used by the capitalised-phrase extractor
 SENTENCE_SPLIT = r"(?<=[.!?])\s+"
 # "Total Steps: n" / "Steps Total: n" marker in model output (case-insensitive)
-TOTAL_STEPS_PATTERN = r"(?i)(?:Total\s+Steps?|Steps?\s+Total):\s*(\d+)"
+TOTAL_STEPS_PATTERN = (r"(?i)(?:Total[\s\x{0B}\x{1C}-\x{1F}\x{85}\p{Z}]+Steps?|Steps?[\s\x{0B}\x{1C}-\x{1F}\x{85}\p{Z}]+Total)"
+                       r":[\s\x{0B}\x{1C}-\x{1F}\x{85}\p{Z}]*(\d+)")
 # one whitespace character as Python's str methods define it
 PY_WS = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\p{Z}]"
 # characters kept by the TF-IDF cleaner
@@ -39,7 +40,8 @@ def clean_text(text) -> Column:
 
 def total_steps(text) -> Column:
     """First ``Total Steps: n`` number in a text as INT, null when absent."""
-    return F.expr(f"try_cast(nullif(regexp_extract({_sql(text)}, '{_sql_escape(TOTAL_STEPS_PATTERN)}', 1), '') AS INT)")
+    found = F.nullif(F.regexp_extract(_col(text), TOTAL_STEPS_PATTERN, 1), F.lit(""))
+    return found.try_cast("int")
 
 
 def strip(text) -> Column:
@@ -61,13 +63,3 @@ def token_ngrams(tokens, max_n: int = 3) -> Column:
     for n, p in zip(range(1, max_n + 1), parts):
         fixed.append(F.when(F.size(toks) >= n, p).otherwise(F.array().cast("array<string>")))
     return F.flatten(F.array(*fixed))
-
-
-def _sql(c) -> str:
-    if isinstance(c, str):
-        return f"`{c}`"
-    raise TypeError("pass a column name")
-
-
-def _sql_escape(s: str) -> str:
-    return s.replace("\\", "\\\\").replace("'", "\\'")

@@ -130,13 +130,35 @@ def bm25_query(model: BM25Model, texts: DataFrame, qid_cols: list[str], text_col
     only after checking the size of ``texts``).
     """
     keys, doc = model.keys, model.doc_col
+    dot = sparse_dot(model, texts, qid_cols, text_col, tokenizer, broadcast_query, with_norm=True)
+    return (dot.join(model.norms, keys + [doc])
+            .select(*keys, *qid_cols, doc,
+                    F.coalesce(F.try_divide(F.col("dot"), F.col("qn") * F.col("dn")), F.lit(0.0)).alias("sim")))
+
+
+def sparse_dot(model: BM25Model, texts: DataFrame, qid_cols: list[str], text_col: str,
+               tokenizer=tokenize, broadcast_query: bool = False, with_norm: bool = False) -> DataFrame:
+    """``(keys..., qid..., doc, dot[, qn])``: query weights . document weights over shared terms."""
+    keys, doc = model.keys, model.doc_col
     qt = term_counts(texts, keys + qid_cols, text_col, tokenizer).withColumnRenamed("tf", "qtf")
     qside = F.broadcast(qt) if broadcast_query else qt
     joined = (model.weights.join(qside, keys + ["term"])
               .withColumn("v", _query_weight(F.col("qtf"), F.col("idf"), model.k1)))
     dot = joined.groupBy(*keys, *qid_cols, doc).agg(F.sum(F.col("v") * F.col("w")).alias("dot"))
+    if not with_norm:
+        return dot
     qn = (joined.groupBy(*keys, *qid_cols, "term").agg(F.first("v").alias("v"))
           .groupBy(*keys, *qid_cols).agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("qn")))
-    return (dot.join(qn, keys + qid_cols).join(model.norms, keys + [doc])
-            .select(*keys, *qid_cols, doc,
-                    F.coalesce(F.try_divide(F.col("dot"), F.col("qn") * F.col("dn")), F.lit(0.0)).alias("sim")))
+    return dot.join(qn, keys + qid_cols)
+
+
+def vocabulary(idf: DataFrame) -> DataFrame:
+    """``(term, feature_index)``: sorted distinct terms numbered from 0.
+
+    A distributed range sort, then ``zipWithIndex`` (one small job counts the
+    rows per partition to get the offsets); no single-task global window.
+    """
+    ordered = idf.select("term").distinct().orderBy("term")
+    spark = idf.sparkSession
+    indexed = ordered.rdd.zipWithIndex().map(lambda p: (p[0][0], p[1]))
+    return spark.createDataFrame(indexed, "term string, feature_index long")

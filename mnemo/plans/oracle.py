@@ -183,24 +183,108 @@ FROM (SELECT doc_id, list_transform(
       FROM documents)
 WHERE len(lines) > 0"""
 
-_PHRASES = f"""toks AS (
-  SELECT doc_id, regexp_extract_all(text, '([^\\p{{L}}\\p{{N}}_]*)([\\p{{L}}\\p{{N}}_]+)', 1) AS gaps,
-         regexp_extract_all(text, '([^\\p{{L}}\\p{{N}}_]*)([\\p{{L}}\\p{{N}}_]+)', 2) AS words
-  FROM documents),
-w AS (SELECT doc_id, i - 1 AS pos, gaps[i] AS gap, words[i] AS word
-      FROM toks, LATERAL (SELECT unnest(generate_series(1, len(words))) AS i)),
-t AS (SELECT doc_id, pos, word,
+def phrases_sql(table: str, id_col: str, text_col: str, out: str = "phr") -> str:
+    """CTEs ending in ``{out}(id, phrase)``: capitalised phrases before plural expansion."""
+    W = r"[\p{L}\p{N}_]"
+    NW = r"[^\p{L}\p{N}_]"
+    return f"""{out}_toks AS (
+  SELECT {id_col} AS id, regexp_extract_all({text_col}, '({NW}*)({W}+)', 1) AS gaps,
+         regexp_extract_all({text_col}, '({NW}*)({W}+)', 2) AS words
+  FROM {table}),
+{out}_w AS (SELECT id, i - 1 AS pos, gaps[i] AS gap, words[i] AS word
+      FROM {out}_toks, LATERAL (SELECT unnest(generate_series(1, len(words))) AS i)),
+{out}_t AS (SELECT id, pos, word,
              regexp_matches(word, '^[A-Z][a-z]*[A-Z][a-z]*$') AS mixed,
              regexp_matches(word, '^[A-Z][a-z]+$') AND NOT (pos = 0 OR regexp_matches(gap, '[.!?]{PY_WS}')) AS eligible
-      FROM w),
-e AS (SELECT doc_id, pos, word, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM t WHERE eligible),
-g AS (SELECT doc_id, run, (row_number() OVER (PARTITION BY doc_id, run ORDER BY pos) - 1) // 3 AS grp, pos, word FROM e),
-phr AS (SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS phrase FROM g GROUP BY doc_id, run, grp
-        UNION SELECT doc_id, word AS phrase FROM t WHERE mixed)"""
-
-CAPITALIZED_NGRAMS = "WITH " + _PHRASES + """,
-plural AS (SELECT p.doc_id, p.phrase || 's' AS phrase FROM phr p
-           WHERE EXISTS (SELECT 1 FROM phr q WHERE q.doc_id = p.doc_id AND q.phrase = regexp_replace(p.phrase, 's+$', ''))),
-singular AS (SELECT p.doc_id, regexp_replace(p.phrase, 's+$', '') AS phrase FROM phr p
-             WHERE EXISTS (SELECT 1 FROM phr q WHERE q.doc_id = p.doc_id AND q.phrase = p.phrase || 's'))
-SELECT doc_id, phrase FROM phr UNION SELECT doc_id, phrase FROM plural UNION SELECT doc_id, phrase FROM singular"""
+      FROM {out}_w),
+{out}_e AS (SELECT id, pos, word, pos - row_number() OVER (PARTITION BY id ORDER BY pos) AS run FROM {out}_t WHERE eligible),
+{out}_g AS (SELECT id, run, (row_number() OVER (PARTITION BY id, run ORDER BY pos) - 1) // 3 AS grp, pos, word FROM {out}_e),
+{out} AS (SELECT id, string_agg(word, ' ' ORDER BY pos) AS phrase FROM {out}_g GROUP BY id, run, grp
+        UNION SELECT id, word AS phrase FROM {out}_t WHERE mixed)"""
+
+
+def plurals_sql(src: str, out: str) -> str:
+    return f"""{out} AS (
+  SELECT id, phrase FROM {src}
+  UNION SELECT p.id, p.phrase || 's' FROM {src} p
+        WHERE EXISTS (SELECT 1 FROM {src} q WHERE q.id = p.id AND q.phrase = regexp_replace(p.phrase, 's+$', ''))
+  UNION SELECT p.id, regexp_replace(p.phrase, 's+$', '') FROM {src} p
+        WHERE EXISTS (SELECT 1 FROM {src} q WHERE q.id = p.id AND q.phrase = p.phrase || 's'))"""
+
+
+CAPITALIZED_NGRAMS = with_(phrases_sql("documents", "doc_id", "text"), plurals_sql("phr", "allp")) + \
+    "SELECT id AS doc_id, phrase FROM allp"
+
+
+# ---- sparse text scoring: turns corpus, benchmark items as queries -------------
+_TOK = TOKENS
+BM25_CORE = [TURNS, f"""dt AS (SELECT doc_id, term, count(*)::DOUBLE AS tf
+       FROM (SELECT doc_id, unnest({_TOK.format(t='content')}) AS term FROM turns) GROUP BY 1, 2)""",
+             "n AS (SELECT count(*)::DOUBLE AS n FROM turns)",
+             "df AS (SELECT term, count(*) AS df, ln(any_value(n.n) / count(*)) + 1 AS idf FROM dt, n GROUP BY term)",
+             "x AS (SELECT doc_id, term, tf * idf AS x, idf FROM dt JOIN df USING (term))",
+             "len AS (SELECT t.doc_id, coalesce(sum(x.x), 0) AS len FROM turns t LEFT JOIN x USING (doc_id) GROUP BY 1)",
+             "a AS (SELECT avg(len) AS avgdl FROM len)",
+             """w AS (SELECT doc_id, term, x * idf * 2.5 / (x * (1.5 * (0.25 + 0.75 * len / avgdl)) + 1.0) AS w
+       FROM x JOIN len USING (doc_id), a)""",
+             "dn AS (SELECT doc_id, sqrt(sum(w * w)) AS dn FROM w GROUP BY 1)"]
+BM25_QUERY_SIDE = [f"""qt AS (SELECT item_id, term, count(*)::DOUBLE AS tf
+       FROM (SELECT item_id, unnest({_TOK.format(t='text')}) AS term FROM benchmark) GROUP BY 1, 2)""",
+                   "qv AS (SELECT item_id, term, (tf * idf * idf) * 2.5 / (tf * idf * idf + 1.5) AS v FROM qt JOIN df USING (term))",
+                   "qn AS (SELECT item_id, sqrt(sum(v * v)) AS qn FROM qv GROUP BY 1)",
+                   "dot AS (SELECT item_id, doc_id, sum(v * w) AS dot FROM qv JOIN w USING (term) GROUP BY 1, 2)"]
+CORPUS_STATS = with_(*BM25_CORE) + "SELECT term, df, round(idf, 6) AS idf FROM df"
+VECTOR_NORMS = with_(*BM25_CORE) + "SELECT doc_id, round(dn, 6) AS dn FROM dn"
+VOCABULARY = with_(*BM25_CORE) + "SELECT term, row_number() OVER (ORDER BY term) - 1 AS feature_index FROM df"
+SPARSE_DOT = with_(*BM25_CORE, *BM25_QUERY_SIDE) + "SELECT item_id, doc_id, round(dot, 6) AS dot FROM dot"
+BM25_QUERY = with_(*BM25_CORE, *BM25_QUERY_SIDE) + """SELECT item_id, doc_id,
+  round(coalesce(dot / nullif(qn * dn, 0), 0.0), 6) AS sim FROM dot JOIN qn USING (item_id) JOIN dn USING (doc_id)"""
+
+
+def tfidf_sql() -> str:
+    from ..operators.tfidf import CLEAN_PATTERN, STOP_WORDS, TOKEN_PATTERN
+    stop = ", ".join("'" + w.replace("'", "''") + "'" for w in STOP_WORDS)
+    clean = CLEAN_PATTERN.replace("'", "''")
+
+    def stream(table, id_col, text_col, out):
+        return f"""{out}_tok AS (
+  SELECT {id_col} AS id, regexp_extract_all(regexp_replace({text_col}, '{clean}', '', 'g'), '{TOKEN_PATTERN}') AS toks FROM {table}),
+{out}_pos AS (SELECT id, unnest(toks) AS token, unnest(generate_series(0, len(toks) - 1)) AS pos FROM {out}_tok),
+{out}_rep AS (SELECT id, pos, token,
+    (CASE WHEN token IN ({stop}) THEN 0 ELSE 1 END) + (CASE WHEN token IN (SELECT phrase FROM ner) THEN 4 ELSE 0 END) AS reps
+  FROM {out}_pos),
+{out}_s AS (SELECT id, pos, unnest(range(reps)) AS sub, token FROM {out}_rep WHERE reps > 0),
+{out}_g AS (SELECT id, token AS t1,
+    lead(token, 1) OVER (PARTITION BY id ORDER BY pos, sub) AS t2,
+    lead(token, 2) OVER (PARTITION BY id ORDER BY pos, sub) AS t3 FROM {out}_s),
+{out} AS (SELECT id, term, count(*)::DOUBLE AS tf FROM (
+    SELECT id, t1 AS term FROM {out}_g
+    UNION ALL SELECT id, t1 || ' ' || t2 FROM {out}_g WHERE t2 IS NOT NULL
+    UNION ALL SELECT id, t1 || ' ' || t2 || ' ' || t3 FROM {out}_g WHERE t3 IS NOT NULL) GROUP BY 1, 2)"""
+
+    return with_(TURNS, phrases_sql("benchmark", "item_id", "text", "bphr"), plurals_sql("bphr", "ner"),
+                 stream("turns", "doc_id", "content", "dterms"), stream("benchmark", "item_id", "text", "qterms"),
+                 "n AS (SELECT count(*)::DOUBLE AS n FROM turns)",
+                 "idf AS (SELECT term, ln((any_value(n.n) + 1) / (count(*) + 1)) + 1 AS idf FROM dterms, n GROUP BY term)",
+                 """dv AS (SELECT id, term, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY id)) AS u
+        FROM dterms JOIN idf USING (term))""",
+                 """qv AS (SELECT id, term, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY id)) AS u
+        FROM qterms JOIN idf USING (term))""") + \
+        """SELECT q.id AS item_id, d.id AS doc_id, round(sum(q.u * d.u), 6) AS sim
+FROM qv q JOIN dv d USING (term) GROUP BY 1, 2"""
+
+
+TOKEN_F1 = with_(TURNS, f"""p AS (
+  SELECT a.conversation_id, a.doc_id AS query_doc_id, b.doc_id AS reply_doc_id,
+         list_distinct({_TOK.format(t='a.content')}) AS qa, list_distinct({_TOK.format(t='b.content')}) AS rb
+  FROM turns a JOIN turns b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1
+  WHERE a.role = 'user' AND b.role = 'assistant')""", """s AS (
+  SELECT *, len(list_intersect(qa, rb))::DOUBLE AS tp FROM p)""", """m AS (
+  SELECT *, CASE WHEN len(rb) = 0 THEN 0.0 ELSE tp / len(rb) END AS prec,
+            CASE WHEN len(qa) = 0 THEN 0.0 ELSE tp / len(qa) END AS rec FROM s)""") + \
+    """SELECT conversation_id, query_doc_id, reply_doc_id,
+  round(CASE WHEN prec + rec = 0 THEN 0.0 ELSE 2 * prec * rec / (prec + rec) END, 6) AS f1 FROM m"""
+
+TOTAL_STEPS = T + r"""SELECT doc_id,
+  TRY_CAST(nullif(regexp_extract(content, '(?i)(?:Total[\s\x{0B}\x{1C}-\x{1F}\x{85}\p{Z}]+Steps?|Steps?[\s\x{0B}\x{1C}-\x{1F}\x{85}\p{Z}]+Total):[\s\x{0B}\x{1C}-\x{1F}\x{85}\p{Z}]*(\d+)', 1), '') AS INTEGER) AS total_steps
+FROM turns"""

@@ -209,3 +209,79 @@ def q_search_documents(spark, sf_dir):
 @register("capitalized_ngrams", oracle.CAPITALIZED_NGRAMS)
 def q_capitalized_ngrams(spark, sf_dir):
     return D.capitalized_ngrams(read_table(spark, sf_dir, "documents", ["doc_id", "text"]), "doc_id", "text")
+
+
+# ---- sparse text scoring -----------------------------------------------------
+from ..functions.text import tokenize, total_steps  # noqa: E402
+from ..operators import sparse as S  # noqa: E402
+from ..operators.tfidf import tfidf_score_documents  # noqa: E402
+
+
+def _bm25_turns(spark, sf_dir):
+    return S.bm25_fit(turns(spark, sf_dir).select("doc_id", "content"), [], "doc_id", "content")
+
+
+def _benchmark(spark, sf_dir):
+    return read_table(spark, sf_dir, "benchmark", ["item_id", "text"])
+
+
+@register("corpus_stats", oracle.CORPUS_STATS)
+def q_corpus_stats(spark, sf_dir):
+    docs = turns(spark, sf_dir).select("doc_id", "content")
+    tf = S.term_counts(docs, ["doc_id"], "content")
+    n = docs.agg(F.count(F.lit(1)).cast("double")).scalar()
+    return tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).select(
+        "term", "df", F.round(F.log(n / F.col("df")) + 1.0, 6).alias("idf"))
+
+
+@register("vocabulary", oracle.VOCABULARY)
+def q_vocabulary(spark, sf_dir):
+    return S.vocabulary(_bm25_turns(spark, sf_dir).idf)
+
+
+@register("vector_norms", oracle.VECTOR_NORMS)
+def q_vector_norms(spark, sf_dir):
+    return _r6(_bm25_turns(spark, sf_dir).norms, "dn")
+
+
+@register("sparse_dot", oracle.SPARSE_DOT)
+def q_sparse_dot(spark, sf_dir):
+    return _r6(S.sparse_dot(_bm25_turns(spark, sf_dir), _benchmark(spark, sf_dir), ["item_id"], "text"), "dot")
+
+
+@register("bm25_query", oracle.BM25_QUERY)
+def q_bm25_query(spark, sf_dir):
+    return _r6(S.bm25_query(_bm25_turns(spark, sf_dir), _benchmark(spark, sf_dir), ["item_id"], "text"), "sim")
+
+
+@register("tfidf_score_documents", oracle.tfidf_sql())
+def q_tfidf(spark, sf_dir):
+    docs = turns(spark, sf_dir).select("doc_id", "content")
+    return _r6(tfidf_score_documents(_benchmark(spark, sf_dir), "item_id", "text", docs, "doc_id", "content"), "sim")
+
+
+def token_f1(a, b):
+    """Set F1 of two token arrays (a = relevant/query, b = retrieved); 0 when empty."""
+    qa, rb = F.array_distinct(a), F.array_distinct(b)
+    tp = F.size(F.array_intersect(qa, rb)).cast("double")
+    prec = F.when(F.size(rb) == 0, 0.0).otherwise(tp / F.size(rb))
+    rec = F.when(F.size(qa) == 0, 0.0).otherwise(tp / F.size(qa))
+    return F.when(prec + rec == 0, 0.0).otherwise(2 * prec * rec / (prec + rec))
+
+
+@register("token_f1", oracle.TOKEN_F1)
+def q_token_f1(spark, sf_dir):
+    conv = read_table(spark, sf_dir, "conversations", ["conv_id", "turn", "role", "text"])
+    from .views import turns_from_conversations
+    t = turns_from_conversations(conv)
+    a = t.filter(F.col("role") == "user").select("conv_id", "turn", "conversation_id",
+                                                 F.col("doc_id").alias("query_doc_id"), F.col("content").alias("qa"))
+    b = t.filter(F.col("role") == "assistant").select("conv_id", (F.col("turn") - 1).alias("turn"),
+                                                      F.col("doc_id").alias("reply_doc_id"), F.col("content").alias("rb"))
+    return a.join(b, ["conv_id", "turn"]).select(
+        "conversation_id", "query_doc_id", "reply_doc_id", F.round(token_f1(tokenize("qa"), tokenize("rb")), 6).alias("f1"))
+
+
+@register("total_steps", oracle.TOTAL_STEPS)
+def q_total_steps(spark, sf_dir):
+    return turns(spark, sf_dir).select("doc_id", total_steps("content").alias("total_steps"))
