@@ -288,3 +288,35 @@ TOKEN_F1 = with_(TURNS, f"""p AS (
 TOTAL_STEPS = T + r"""SELECT doc_id,
   TRY_CAST(nullif(regexp_extract(content, '(?i)(?:Total[\s\x{0B}\x{1C}-\x{1F}\x{85}\p{Z}]+Steps?|Steps?[\s\x{0B}\x{1C}-\x{1F}\x{85}\p{Z}]+Total):[\s\x{0B}\x{1C}-\x{1F}\x{85}\p{Z}]*(\d+)', 1), '') AS INTEGER) AS total_steps
 FROM turns"""
+
+
+# ---- ordered turn operators ------------------------------------------------------
+FOLD_TEXT = "[recalled memories]\n\n"
+INSERT_AT_FOLD = HISTORY + """, f AS (
+  SELECT *, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conversation_id ORDER BY pos
+              ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS users,
+         count(*) OVER (PARTITION BY conversation_id) AS n
+  FROM hist), g AS (
+  SELECT *, min(CASE WHEN role = 'user' AND users = 4 THEN pos - 1 END) OVER (PARTITION BY conversation_id) AS fold FROM f)
+SELECT conversation_id, pos, role,
+  CASE WHEN pos - 1 = least(coalesce(fold, n - 1), n - 1) THEN '""" + FOLD_TEXT.replace("\n", "' || chr(10) || '") + \
+    """' || content ELSE content END AS content
+FROM g"""
+SPLIT_BY_ROLE = HISTORY + """SELECT conversation_id, role,
+  CAST(row_number() OVER (PARTITION BY conversation_id, role ORDER BY pos DESC) - 1 AS INTEGER) AS n, content FROM hist"""
+UNDO_LAST_PAIR = HISTORY + """SELECT conversation_id, pos, role, content FROM (
+  SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY pos DESC) AS rk,
+         count(*) OVER (PARTITION BY conversation_id) AS n FROM hist) WHERE n < 2 OR rk > 2"""
+NUMBER_TURNS = """with e as (select user_id session, ts, event_id, case event_type when 'view' then 'user' when 'click' then 'assistant'
+             when 'error' then 'back' when 'purchase' then 'retry' else 'new' end action from events),
+g as (select *, sum(case when action='new' then 1 else 0 end) over (partition by session order by ts,event_id rows unbounded preceding) seg,
+             case action when 'assistant' then 1 when 'back' then -1 when 'retry' then -1 else 0 end step from e),
+s as (select *, sum(step) over (partition by session,seg order by ts,event_id rows unbounded preceding) S from g),
+h as (select *, S - least(0, min(S) over (partition by session,seg order by ts,event_id rows unbounded preceding)) h from s),
+b as (select *, coalesce(lag(h) over (partition by session,seg order by ts,event_id),0) hb from h)
+select session, event_id, sequence_no, branch from (
+  select session, event_id, action,
+         2*(sum(case when action='assistant' then 1 else 0 end) over w)-2 sequence_no,
+         sum(case when action='back' or (action='retry' and hb>=1) then 1 else 0 end) over w branch
+  from b window w as (partition by session,seg order by ts,event_id rows unbounded preceding)) z
+where action='assistant'"""

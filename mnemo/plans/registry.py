@@ -285,3 +285,35 @@ def q_token_f1(spark, sf_dir):
 @register("total_steps", oracle.TOTAL_STEPS)
 def q_total_steps(spark, sf_dir):
     return turns(spark, sf_dir).select("doc_id", total_steps("content").alias("total_steps"))
+
+
+# ---- ordered turn operators ------------------------------------------------------
+from ..operators import turns as TO  # noqa: E402
+from .views import session_events  # noqa: E402
+
+
+def _history(spark, sf_dir):
+    return H.conversation_history(turns(spark, sf_dir), time_zone=_tz(spark))
+
+
+@register("insert_at_fold", oracle.INSERT_AT_FOLD)
+def q_insert_at_fold(spark, sf_dir):
+    h = _history(spark, sf_dir).select("conversation_id", "pos", "role", "content")
+    return TO.insert_at_fold(h, "conversation_id", "pos", oracle.FOLD_TEXT)
+
+
+@register("split_by_role", oracle.SPLIT_BY_ROLE)
+def q_split_by_role(spark, sf_dir):
+    return TO.split_by_role(_history(spark, sf_dir), "conversation_id", "pos")
+
+
+@register("undo_last_pair", oracle.UNDO_LAST_PAIR)
+def q_undo_last_pair(spark, sf_dir):
+    h = _history(spark, sf_dir).select("conversation_id", "pos", "role", "content")
+    return TO.undo_last_pair(h, "conversation_id", "pos")
+
+
+@register("number_turns", oracle.NUMBER_TURNS)
+def q_number_turns(spark, sf_dir):
+    res = TO.number_turns(session_events(spark, sf_dir))
+    return res.select("session", "event_id", F.col("sequence_no").cast("long"), F.col("branch").cast("long"))
