@@ -138,19 +138,22 @@ def dense_candidates(store: DataFrame, requests: DataFrame, k: int = CANDIDATE_L
     else:
         req = req.withColumn("n_extra", F.lit(0))
     req = req.withColumn("k_eff", F.lit(k) + F.coalesce(F.col("n_extra"), F.lit(0)))
-    # size check of the broadcast side: the request count is bounded per block
-    n_req = req.count()
-    if n_req == 0:
-        return spark.createDataFrame([], CANDIDATE_SCHEMA)
-    n_blocks = max(1, -(-n_req // max_broadcast))
     vec_store = store.select("doc_id", "index", "document_type", "conversation_id").filter(F.col("index").isNotNull())
+    # size check of the broadcast side: at most max_broadcast requests are fetched
+    rows = req.limit(max_broadcast + 1).collect()
+    if not rows:
+        return spark.createDataFrame([], CANDIDATE_SCHEMA)
+    if len(rows) <= max_broadcast:
+        blocks = [rows]
+    else:
+        n_blocks = max(2, -(-req.count() // max_broadcast))
+        blocks = (req.filter(F.pmod(F.xxhash64("request_id"), F.lit(n_blocks)) == b).collect()
+                  for b in range(n_blocks))
     parts = []
-    for b in range(n_blocks):
-        blk = req if n_blocks == 1 else req.filter(F.pmod(F.xxhash64("request_id"), F.lit(n_blocks)) == b)
-        rows = blk.collect()  # bounded by max_broadcast rows (checked above)
-        if not rows:
+    for blk_rows in blocks:
+        if not blk_rows:
             continue
-        bc = spark.sparkContext.broadcast(_request_block(rows))
+        bc = spark.sparkContext.broadcast(_request_block(blk_rows))
         parts.append(vec_store.mapInPandas(_make_partition_topk(bc), CANDIDATE_SCHEMA))
     local = parts[0]
     for p in parts[1:]:

@@ -23,10 +23,19 @@ from .sparse import bm25_fit_terms, bm25_query, term_counts
 MAX_BROADCAST_CANDIDATES = 2_000_000
 # broadcast bound for query texts (rows) joined onto the candidate term table
 MAX_BROADCAST_QUERY_TEXTS = 200_000
+# candidates per partition of the per-request BM25 shuffle (x ~100 terms each)
+CANDIDATES_PER_PARTITION = 10_000
 
 RESULT_COLUMNS = COLUMNS + ["date", "speaker", "score"]
 
 
+def spark_conf_int(df: DataFrame, key: str, default: int) -> int:
+    try:
+        return int(df.sparkSession.conf.get(key, str(default)))
+    except (TypeError, ValueError):
+        return default
+
+
 def _checked_broadcast(df: DataFrame, bound_rows: int, max_rows: int) -> DataFrame:
     """Broadcast ``df`` only when a proven row bound is under ``max_rows``."""
     return F.broadcast(df) if bound_rows <= max_rows else df
@@ -51,7 +60,10 @@ def memory_query(store: DataFrame, requests: DataFrame, query_texts: DataFrame,
     local = dense_candidates(store, req, k, extra)
     if exclusions is not None:
         local = local.join(exclusions, ["request_id", "doc_id"], "left_anti")
-    cands = top_k_per_request(local, k=k).drop("rank")
+    # the candidate table (at most requests x k rows) feeds several consumers:
+    # a reliable checkpoint cuts the lineage so the vector scan runs once and a
+    # lost executor does not replay it
+    cands = top_k_per_request(local, k=k).drop("rank").checkpoint(eager=True)
 
     # the candidate documents, read once: the candidate keys (at most requests x k
     # rows, a proven bound) are broadcast into a column-pruned store scan, so the
@@ -63,7 +75,13 @@ def memory_query(store: DataFrame, requests: DataFrame, query_texts: DataFrame,
 
     # BM25 is fitted on each request's own candidate set; each document is tokenized once
     terms = term_counts(docs, ["doc_id"], "content")
-    model = bm25_fit_terms(cands.select("request_id", "doc_id"), terms, ["request_id"], "doc_id")
+    # the (request, doc, term) table is the big one: size its shuffle from the
+    # candidate count (a cheap count of the checkpointed table)
+    n_cands = cands.count()
+    parts = max(int(spark_conf_int(store, "spark.sql.shuffle.partitions", 8)),
+                -(-n_cands // CANDIDATES_PER_PARTITION))
+    model = bm25_fit_terms(cands.select("request_id", "doc_id"), terms, ["request_id"], "doc_id",
+                           num_partitions=parts)
     n_texts = query_texts.count()
     texts = query_texts.select("request_id", "n", "text")
     sims = bm25_query(model, texts, ["n"], "text", broadcast_query=n_texts <= MAX_BROADCAST_QUERY_TEXTS)

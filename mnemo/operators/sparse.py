@@ -68,17 +68,20 @@ def _fit_keyed(docs, keys, doc_col, text_col, k1, b, tokenizer) -> BM25Model:
 
 
 def bm25_fit_terms(members: DataFrame, terms: DataFrame, keys: list[str], doc_col: str,
-                   k1: float = BM25_K1, b: float = BM25_B) -> BM25Model:
+                   k1: float = BM25_K1, b: float = BM25_B, num_partitions: int | None = None) -> BM25Model:
     """Keyed fit from corpus membership ``(keys..., doc)`` and per-document term
     counts ``(doc, term, tf)`` computed once per document.
 
     The membership x terms rows are hash-partitioned on the keys once; the
     (keys, term), (keys, doc) and (keys) windows below all reuse it.  Each corpus
     is bounded by its caller (the memory query caps it at the candidate limit).
+    ``num_partitions`` sizes that one shuffle (callers derive it from the
+    membership count so each sort fits in memory).
     """
     by_corpus = Window.partitionBy(*keys)
     counted = members.withColumn("n_docs", F.count(F.lit(1)).over(by_corpus))
-    tf = counted.join(terms, doc_col).repartition(*keys)
+    joined = counted.join(terms, doc_col)
+    tf = joined.repartition(num_partitions, *keys) if num_partitions else joined.repartition(*keys)
     by_term = Window.partitionBy(*keys, "term")
     by_doc = Window.partitionBy(*keys, doc_col)
     x = (tf.withColumn("idf", F.log(F.col("n_docs") / F.count(F.lit(1)).over(by_term)) + 1.0)
@@ -87,8 +90,10 @@ def bm25_fit_terms(members: DataFrame, terms: DataFrame, keys: list[str], doc_co
           .withColumn("avgdl", F.sum("x").over(by_corpus) / F.col("n_docs")))
     weights = x.select(*keys, doc_col, "term", "idf",
                        _doc_weight(F.col("x"), F.col("idf"), F.col("len"), F.col("avgdl"), k1, b).alias("w"))
+    # the document norm rides along as a column (same (keys, doc) window, no join)
+    weights = weights.withColumn("dn", F.sqrt(F.sum(F.col("w") * F.col("w")).over(by_doc)))
     idf = weights.groupBy(*keys, "term").agg(F.first("idf").alias("idf"))
-    norms = weights.groupBy(*keys, doc_col).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("dn"))
+    norms = weights.groupBy(*keys, doc_col).agg(F.first("dn").alias("dn"))
     return BM25Model(keys, doc_col, idf, weights, norms, members, k1, b)
 
 
@@ -128,8 +133,24 @@ def bm25_query(model: BM25Model, texts: DataFrame, qid_cols: list[str], text_col
     weights, which carry the corpus idf, so the query side needs no separate
     vocabulary lookup; ``broadcast_query`` marks that side for broadcast (pass it
     only after checking the size of ``texts``).
+
+    Keyed corpora: the weights carry their norm and stay hash-partitioned on the
+    keys; the query norm comes from windows over the joined rows, so the weight
+    table is read by a single chain with no further shuffle.
     """
     keys, doc = model.keys, model.doc_col
+    if keys and "dn" in model.weights.columns:
+        qt = term_counts(texts, keys + qid_cols, text_col, tokenizer).withColumnRenamed("tf", "qtf")
+        qside = F.broadcast(qt) if broadcast_query else qt
+        j = (model.weights.join(qside, keys + ["term"])
+             .withColumn("v", _query_weight(F.col("qtf"), F.col("idf"), model.k1)))
+        first = F.row_number().over(Window.partitionBy(*keys, *qid_cols, "term").orderBy(doc)) == 1
+        j = j.withColumn("v2", F.when(first, F.col("v") * F.col("v")).otherwise(0.0))
+        j = j.withColumn("qn", F.sqrt(F.sum("v2").over(Window.partitionBy(*keys, *qid_cols))))
+        agg = j.groupBy(*keys, *qid_cols, doc).agg(
+            F.sum(F.col("v") * F.col("w")).alias("dot"), F.first("qn").alias("qn"), F.first("dn").alias("dn"))
+        return agg.select(*keys, *qid_cols, doc, F.coalesce(
+            F.try_divide(F.col("dot"), F.col("qn") * F.col("dn")), F.lit(0.0)).alias("sim"))
     dot = sparse_dot(model, texts, qid_cols, text_col, tokenizer, broadcast_query, with_norm=True)
     return (dot.join(model.norms, keys + [doc])
             .select(*keys, *qid_cols, doc,
@@ -142,7 +163,7 @@ def sparse_dot(model: BM25Model, texts: DataFrame, qid_cols: list[str], text_col
     keys, doc = model.keys, model.doc_col
     qt = term_counts(texts, keys + qid_cols, text_col, tokenizer).withColumnRenamed("tf", "qtf")
     qside = F.broadcast(qt) if broadcast_query else qt
-    joined = (model.weights.join(qside, keys + ["term"])
+    joined = (model.weights.drop("dn").join(qside, keys + ["term"])
               .withColumn("v", _query_weight(F.col("qtf"), F.col("idf"), model.k1)))
     dot = joined.groupBy(*keys, *qid_cols, doc).agg(F.sum(F.col("v") * F.col("w")).alias("dot"))
     if not with_norm:
