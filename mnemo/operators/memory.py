@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scoring import derive_date, derive_speaker, memory_score
-from ..schema import CANDIDATE_LIMIT, COLUMNS, DOC_JOURNAL
+from ..schema import CANDIDATE_LIMIT, COLUMNS, DOC_JOURNAL, MEMORY_WINDOW, RECALL_SIZE
 from .dense import dense_candidates, top_k_per_request
 from .sparse import bm25_fit_terms, bm25_query, term_counts
 
@@ -113,18 +113,71 @@ def memory_query(store: DataFrame, requests: DataFrame, query_texts: DataFrame,
     return full.select(*out)
 
 
+def hash_uniform(key, seed: int = 0):
+    """Reproducible uniform in [0, 1) from a key: the first 52 bits of md5(key:seed).
+
+    Portable (any SQL engine with md5 gives the same numbers) and independent
+    of partitioning, unlike ``rand()``.
+    """
+    digest = F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")))
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long").cast("double") / float(1 << 52)
+
+
 def conscious_sample(store: DataFrame, personas: DataFrame, seed: int = 0, time_zone: str = "UTC") -> DataFrame:
     """Journal entries of each persona ranked by a seeded ``uniform * weight``.
 
-    ``personas(request_id, persona_id, top_n)``.  The uniform is a hash of
-    (doc_id, seed) so a run is reproducible; ``top_n`` null keeps all.
+    ``personas(request_id, persona_id, top_n)``; ``top_n`` null keeps all.  The
+    persona set is one row per request, the journal side is a filtered store
+    scan; the join is on persona_id and the ranking a per-request window.
     """
     journal = store.filter(F.col("document_type") == DOC_JOURNAL)
-    u = (F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(1 << 53)).cast("double") / float(1 << 53))
-    ranked = (journal.join(personas, "persona_id")
-              .withColumn("score", u * F.col("weight")))
+    ranked = (journal.join(personas.select("request_id", "persona_id", "top_n"), "persona_id")
+              .withColumn("score", hash_uniform("doc_id", seed) * F.col("weight")))
     w = Window.partitionBy("request_id").orderBy(F.col("score").desc(), F.col("doc_id").asc())
     ranked = ranked.withColumn("rank", F.row_number().over(w)).filter(
         F.col("top_n").isNull() | (F.col("rank") <= F.col("top_n")))
     return ranked.select("request_id", "rank", *COLUMNS, derive_date("timestamp", time_zone).alias("date"),
                          derive_speaker().alias("speaker"), "score")
+
+
+def recall_bundle(store: DataFrame, chats: DataFrame, assistant_texts: DataFrame, assistant_vectors: DataFrame,
+                  user_texts: DataFrame, user_vectors: DataFrame, memory_window: int = MEMORY_WINDOW,
+                  recall_size: int = RECALL_SIZE, as_of: int | None = None, seed: int = 0,
+                  time_zone: str = "UTC") -> DataFrame:
+    """The memories of one chat turn, for many chats at once.
+
+    ``chats(request_id, persona_id, conversation_id[, as_of])``.  Stage 1: up to
+    ``recall_size`` journal entries of the persona; the rest of the window
+    ``k = max(memory_window - |stage 1|, 0)`` is split into ``k // 2`` memories
+    recalled with the assistant turns and ``k - k // 2`` with the user turns, each
+    stage excluding the documents picked before it and the current conversation.
+    Output ``(request_id, source, rank, doc_id, ..., score)``.
+    """
+    personas = chats.select("request_id", "persona_id", F.lit(recall_size).alias("top_n"))
+    conscious = conscious_sample(store, personas, seed, time_zone)
+    # repeated doc ids in the sample are skipped (first one kept)
+    w = Window.partitionBy("request_id", "doc_id").orderBy("rank")
+    conscious = conscious.withColumn("_first", F.row_number().over(w)).filter("_first = 1").drop("_first")
+    n_cons = conscious.groupBy("request_id").agg(F.count(F.lit(1)).alias("n_cons"))
+    k = F.greatest(F.lit(memory_window) - F.coalesce(F.col("n_cons"), F.lit(0)), F.lit(0))
+    base = chats.join(n_cons, "request_id", "left").select(
+        "request_id", F.col("conversation_id").alias("exclude_conversation_id"),
+        F.floor(k / 2).cast("int").alias("a_top"), (k - F.floor(k / 2)).cast("int").alias("u_top"),
+        *([F.col("as_of")] if "as_of" in chats.columns else [F.lit(as_of).cast("long").alias("as_of")]))
+
+    def stage_requests(top_col):
+        return base.select("request_id", F.lit(None).cast("string").alias("document_type"),
+                           F.col(top_col).alias("top_n"), F.lit(0.7).alias("turn_decay"),
+                           F.lit(0.7).alias("temporal_decay"), F.lit(True).alias("filter_metadocs"),
+                           "as_of", "exclude_conversation_id")
+
+    seen1 = conscious.select("request_id", "doc_id")
+    a = memory_query(store, stage_requests("a_top"), assistant_texts, assistant_vectors,
+                     exclusions=seen1, time_zone=time_zone)
+    seen2 = seen1.unionByName(a.select("request_id", "doc_id")).distinct()
+    u = memory_query(store, stage_requests("u_top"), user_texts, user_vectors,
+                     exclusions=seen2, time_zone=time_zone)
+    cols = ["request_id", "source", "rank", "doc_id", "conversation_id", "date", "speaker", "content", "score"]
+    return (conscious.withColumn("source", F.lit("conscious")).select(*cols)
+            .unionByName(a.withColumn("source", F.lit("assistant")).select(*cols))
+            .unionByName(u.withColumn("source", F.lit("user")).select(*cols)))

@@ -50,59 +50,79 @@ def with_(*ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n"
 
 
-def memory_query_sql(top_n: int = 8, turn_decay: float = 0.7, temporal_decay: float = 0.7,
-                     as_of: int = 1709251200, k: int = 1000) -> str:
-    """Chat recall for every conversation (see ``views.chat_requests``)."""
+def memory_ctes(p: str, reqs: str, texts: str, excl: str | None = None, store: str = "tv",
+                turn_decay: float = 0.7, temporal_decay: float = 0.7, as_of: int = 1709251200,
+                k: int = 1000, meta: bool = True, doc_type: str | None = None) -> list[str]:
+    """CTEs ending in ``{p}_out(request_id, rank, <turn columns>, distance, score)``.
+
+    ``reqs(request_id, qvec, exclude_conversation_id, top_n)``; ``texts(request_id, n, text)``;
+    ``excl(request_id, doc_id)`` optional.  Same semantics as ``operators.memory``.
+    """
     tok = TOKENS.format(t="content")
     qtok = TOKENS.format(t="text")
-    return with_(TURNS, TURN_VECTORS, CHAT_TEXTS, f"""
-req AS (SELECT q.request_id, t.index AS qvec FROM qt q JOIN tv t ON t.doc_id = q.source_doc_id WHERE q.n = 0)""", f"""
-pairs AS (
+    conds = ["s.index IS NOT NULL",
+             "(r.exclude_conversation_id IS NULL OR s.conversation_id <> r.exclude_conversation_id)"]
+    if meta:
+        conds.append("s.document_type NOT IN ('ner-task', 'step')")
+    if doc_type:
+        conds.append(f"s.document_type = '{doc_type}'")
+    anti = (f" AND NOT EXISTS (SELECT 1 FROM {excl} x WHERE x.request_id = r.request_id AND x.doc_id = s.doc_id)"
+            if excl else "")
+    return [f"""{p}_pairs AS (
   SELECT r.request_id, s.doc_id,
-         list_sum(list_transform(list_zip(r.qvec, s.index), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE)^2)) AS distance
-  FROM req r JOIN tv s
-    ON s.conversation_id <> r.request_id AND s.document_type NOT IN ('ner-task', 'step') AND s.index IS NOT NULL)""", f"""
-cand AS (
+         list_sum(list_transform(list_zip(r.qvec, s.index), lambda q: (q[1]::DOUBLE - q[2]::DOUBLE)^2)) AS distance
+  FROM {reqs} r JOIN {store} s ON {' AND '.join(conds)}{anti})""", f"""{p}_cand AS (
   SELECT request_id, doc_id, distance FROM (
-    SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY distance, doc_id) AS rk FROM pairs)
-  WHERE rk <= {k})""", f"""
-dterm AS (
+    SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY distance, doc_id) AS rk FROM {p}_pairs)
+  WHERE rk <= {k})""", f"""{p}_dterm AS (
   SELECT doc_id, term, count(*)::DOUBLE AS tf
-  FROM (SELECT doc_id, unnest({tok}) AS term FROM turns WHERE doc_id IN (SELECT doc_id FROM cand))
-  GROUP BY 1, 2)""", """
-nd AS (SELECT request_id, count(*)::DOUBLE AS n_docs FROM cand GROUP BY 1)""", """
-ct AS (SELECT c.request_id, c.doc_id, d.term, d.tf FROM cand c JOIN dterm d USING (doc_id))""", """
-df AS (SELECT request_id, term, ln(any_value(nd.n_docs) / count(*)) + 1 AS idf
-       FROM ct JOIN nd USING (request_id) GROUP BY 1, 2)""", """
-x AS (SELECT request_id, doc_id, term, tf * idf AS x, idf FROM ct JOIN df USING (request_id, term))""", """
-len AS (SELECT request_id, doc_id, sum(x) AS len FROM x GROUP BY 1, 2)""", """
-avgl AS (SELECT request_id, sum(x) / any_value(nd.n_docs) AS avgdl FROM x JOIN nd USING (request_id) GROUP BY 1)""", """
-w AS (SELECT request_id, doc_id, term, idf,
+  FROM (SELECT doc_id, unnest({tok}) AS term FROM {store} WHERE doc_id IN (SELECT doc_id FROM {p}_cand))
+  GROUP BY 1, 2)""", f"""{p}_nd AS (SELECT request_id, count(*)::DOUBLE AS n_docs FROM {p}_cand GROUP BY 1)""",
+            f"""{p}_ct AS (SELECT c.request_id, c.doc_id, d.term, d.tf FROM {p}_cand c JOIN {p}_dterm d USING (doc_id))""",
+            f"""{p}_df AS (SELECT request_id, term, ln(any_value(nd.n_docs) / count(*)) + 1 AS idf
+       FROM {p}_ct JOIN {p}_nd nd USING (request_id) GROUP BY 1, 2)""",
+            f"""{p}_x AS (SELECT request_id, doc_id, term, tf * idf AS x, idf FROM {p}_ct JOIN {p}_df USING (request_id, term))""",
+            f"""{p}_len AS (SELECT request_id, doc_id, sum(x) AS len FROM {p}_x GROUP BY 1, 2)""",
+            f"""{p}_avgl AS (SELECT request_id, sum(x) / any_value(nd.n_docs) AS avgdl
+       FROM {p}_x JOIN {p}_nd nd USING (request_id) GROUP BY 1)""",
+            f"""{p}_w AS (SELECT request_id, doc_id, term, idf,
              x * idf * 2.5 / (x * (1.5 * (0.25 + 0.75 * len / avgdl)) + 1.0) AS w
-      FROM x JOIN len USING (request_id, doc_id) JOIN avgl USING (request_id))""", """
-dn AS (SELECT request_id, doc_id, sqrt(sum(w * w)) AS dn FROM w GROUP BY 1, 2)""", f"""
-qterm AS (SELECT request_id, n, term, count(*)::DOUBLE AS qtf
-          FROM (SELECT request_id, n, unnest({qtok}) AS term FROM qt) GROUP BY 1, 2, 3)""", """
-qv AS (SELECT q.request_id, q.n, q.term, (q.qtf * d.idf * d.idf) * 2.5 / (q.qtf * d.idf * d.idf + 1.5) AS v
-       FROM qterm q JOIN df d USING (request_id, term))""", """
-qn AS (SELECT request_id, n, sqrt(sum(v * v)) AS qn FROM qv GROUP BY 1, 2)""", """
-dot AS (SELECT request_id, n, doc_id, sum(v * w) AS dot FROM qv JOIN w USING (request_id, term) GROUP BY 1, 2, 3)""", f"""
-best AS (SELECT request_id, doc_id,
+      FROM {p}_x JOIN {p}_len USING (request_id, doc_id) JOIN {p}_avgl USING (request_id))""",
+            f"""{p}_dn AS (SELECT request_id, doc_id, sqrt(sum(w * w)) AS dn FROM {p}_w GROUP BY 1, 2)""",
+            f"""{p}_qterm AS (SELECT request_id, n, term, count(*)::DOUBLE AS qtf
+          FROM (SELECT request_id, n, unnest({qtok}) AS term FROM {texts}) GROUP BY 1, 2, 3)""",
+            f"""{p}_qv AS (SELECT q.request_id, q.n, q.term, (q.qtf * d.idf * d.idf) * 2.5 / (q.qtf * d.idf * d.idf + 1.5) AS v
+       FROM {p}_qterm q JOIN {p}_df d USING (request_id, term))""",
+            f"""{p}_qn AS (SELECT request_id, n, sqrt(sum(v * v)) AS qn FROM {p}_qv GROUP BY 1, 2)""",
+            f"""{p}_dot AS (SELECT request_id, n, doc_id, sum(v * w) AS dot FROM {p}_qv JOIN {p}_w USING (request_id, term) GROUP BY 1, 2, 3)""",
+            f"""{p}_best AS (SELECT request_id, doc_id,
                 max(coalesce(dot / nullif(qn * dn, 0), 0.0) * pow({turn_decay}::DOUBLE, n)) AS best_sim
-         FROM dot JOIN qn USING (request_id, n) JOIN dn USING (request_id, doc_id) GROUP BY 1, 2)""", f"""
-scored AS (
+         FROM {p}_dot JOIN {p}_qn USING (request_id, n) JOIN {p}_dn USING (request_id, doc_id) GROUP BY 1, 2)""",
+            f"""{p}_scored AS (
   SELECT c.request_id, t.*, c.distance,
-         CASE WHEN EXISTS (SELECT 1 FROM qt WHERE qt.request_id = c.request_id)
+         CASE WHEN EXISTS (SELECT 1 FROM {texts} q WHERE q.request_id = c.request_id)
               THEN coalesce(b.best_sim, 0.0) ELSE 1.0 END
          * (1.0 / greatest(c.distance, 1e-9) / 2.0 + 0.5) * t.weight
          * (log2(greatest(length(t.content), 1)::DOUBLE) / 2.0 + 0.5)
          * exp(-{temporal_decay}::DOUBLE * ({as_of} - t.timestamp)::DOUBLE / 604800.0) AS score
-  FROM cand c JOIN turns t USING (doc_id) LEFT JOIN best b USING (request_id, doc_id))""", f"""
-ranked AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, doc_id) AS rank FROM scored)
-SELECT request_id, CAST(rank AS INTEGER) AS rank, {COLS9},
-       {DATE.format(ts='timestamp')} AS date, {SPEAKER.format(p='')} AS speaker, printf('%.8e', score)::DOUBLE AS score
-FROM ranked WHERE rank <= {top_n}
-""")
+  FROM {p}_cand c JOIN {store} t USING (doc_id) LEFT JOIN {p}_best b USING (request_id, doc_id))""",
+            f"""{p}_out AS (
+  SELECT * EXCLUDE (top_n) FROM (
+    SELECT s.*, r.top_n, CAST(row_number() OVER (PARTITION BY s.request_id ORDER BY s.score DESC, s.doc_id) AS INTEGER) AS rank
+    FROM {p}_scored s JOIN {reqs} r USING (request_id))
+  WHERE top_n IS NULL OR rank <= top_n)"""]
+
+
+MEMORY_OUT = (f"request_id, rank, {COLS9}, {DATE.format(ts='timestamp')} AS date, {SPEAKER.format(p='')} AS speaker, "
+              "printf('%.8e', score)::DOUBLE AS score")
+
+
+def memory_query_sql(top_n: int = 8) -> str:
+    """Chat recall for every conversation (see ``views.chat_requests``)."""
+    return with_(TURNS, TURN_VECTORS, CHAT_TEXTS, f"""
+req AS (SELECT q.request_id, t.index AS qvec, q.request_id AS exclude_conversation_id, {top_n} AS top_n
+        FROM qt q JOIN tv t ON t.doc_id = q.source_doc_id WHERE q.n = 0)""", *memory_ctes("m", "req", "qt")) + \
+        f"SELECT {MEMORY_OUT} FROM m_out"
 
 
 # ---- store analytics -------------------------------------------------------
@@ -320,3 +340,54 @@ select session, event_id, sequence_no, branch from (
          sum(case when action='back' or (action='retry' and hb>=1) then 1 else 0 end) over w branch
   from b window w as (partition by session,seg order by ts,event_id rows unbounded preceding)) z
 where action='assistant'"""
+
+
+# ---- recall: conscious sample, recall bundle, dense candidates --------------------
+UNIFORM = "(('0x' || substr(md5({key} || ':0'), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0)"
+
+
+def role_texts_sql(role: str, name: str) -> str:
+    return f"""{name} AS (
+  SELECT conversation_id AS request_id,
+         CAST(row_number() OVER (PARTITION BY conversation_id ORDER BY timestamp DESC, doc_id DESC) - 1 AS INTEGER) AS n,
+         content AS text, doc_id AS source_doc_id
+  FROM turns WHERE role = '{role}')"""
+
+
+CONSCIOUS = f"""cons AS (
+  SELECT * FROM (
+    SELECT c.request_id, t.*, {UNIFORM.format(key='t.doc_id')} * t.weight AS score,
+           CAST(row_number() OVER (PARTITION BY c.request_id ORDER BY {UNIFORM.format(key='t.doc_id')} * t.weight DESC, t.doc_id)
+                AS INTEGER) AS rank
+    FROM (SELECT DISTINCT conversation_id AS request_id, persona_id FROM turns) c
+    JOIN turns t ON t.persona_id = c.persona_id AND t.document_type = 'journal')
+  WHERE rank <= 3)"""
+
+CONSCIOUS_SAMPLE = with_(TURNS, CONSCIOUS) + f"SELECT {MEMORY_OUT} FROM cons"
+
+RECALL_BUNDLE = with_(
+    TURNS, TURN_VECTORS, CONSCIOUS, role_texts_sql("assistant", "a_texts"), role_texts_sql("user", "u_texts"),
+    """ks AS (SELECT c.request_id, greatest(8 - coalesce(n.n_cons, 0), 0) AS k
+       FROM (SELECT DISTINCT conversation_id AS request_id FROM turns) c
+       LEFT JOIN (SELECT request_id, count(*) AS n_cons FROM cons GROUP BY 1) n USING (request_id))""",
+    """ra AS (SELECT q.request_id, t.index AS qvec, q.request_id AS exclude_conversation_id, k // 2 AS top_n
+       FROM a_texts q JOIN tv t ON t.doc_id = q.source_doc_id JOIN ks USING (request_id) WHERE q.n = 0)""",
+    """ru AS (SELECT q.request_id, t.index AS qvec, q.request_id AS exclude_conversation_id, k - k // 2 AS top_n
+       FROM u_texts q JOIN tv t ON t.doc_id = q.source_doc_id JOIN ks USING (request_id) WHERE q.n = 0)""",
+    "seen1 AS (SELECT request_id, doc_id FROM cons)",
+    *memory_ctes("a", "ra", "a_texts", "seen1"),
+    "seen2 AS (SELECT request_id, doc_id FROM seen1 UNION SELECT request_id, doc_id FROM a_out)",
+    *memory_ctes("u", "ru", "u_texts", "seen2")) + f"""
+SELECT request_id, 'conscious' AS source, rank, doc_id, conversation_id, {DATE.format(ts='timestamp')} AS date,
+       {SPEAKER.format(p='')} AS speaker, content, printf('%.8e', score)::DOUBLE AS score FROM cons
+UNION ALL
+SELECT request_id, 'assistant', rank, doc_id, conversation_id, {DATE.format(ts='timestamp')},
+       {SPEAKER.format(p='')}, content, printf('%.8e', score)::DOUBLE FROM a_out
+UNION ALL
+SELECT request_id, 'user', rank, doc_id, conversation_id, {DATE.format(ts='timestamp')},
+       {SPEAKER.format(p='')}, content, printf('%.8e', score)::DOUBLE FROM u_out"""
+
+DENSE_CANDIDATES = with_(TURNS, TURN_VECTORS, CHAT_TEXTS, """req AS (
+  SELECT q.request_id, t.index AS qvec, q.request_id AS exclude_conversation_id, NULL AS top_n
+  FROM qt q JOIN tv t ON t.doc_id = q.source_doc_id WHERE q.n = 0)""", *memory_ctes("d", "req", "qt")[:2]) + \
+    "SELECT request_id, doc_id, round(distance, 6) AS distance FROM d_cand"

@@ -317,3 +317,34 @@ def q_undo_last_pair(spark, sf_dir):
 def q_number_turns(spark, sf_dir):
     res = TO.number_turns(session_events(spark, sf_dir))
     return res.select("session", "event_id", F.col("sequence_no").cast("long"), F.col("branch").cast("long"))
+
+
+# ---- recall --------------------------------------------------------------------------
+from ..operators import memory as MQ  # noqa: E402
+from ..operators.dense import dense_candidates, top_k_per_request  # noqa: E402
+from .views import chats, role_texts  # noqa: E402
+
+
+@register("conscious_sample", oracle.CONSCIOUS_SAMPLE)
+def q_conscious_sample(spark, sf_dir):
+    store = turns(spark, sf_dir)
+    personas = chats(store).select("request_id", "persona_id", F.lit(3).alias("top_n"))
+    return _sig(MQ.conscious_sample(store, personas, time_zone=_tz(spark)), "score")
+
+
+@register("recall_bundle", oracle.RECALL_BUNDLE)
+def q_recall_bundle(spark, sf_dir):
+    store = turns(spark, sf_dir, with_vectors=True)
+    at, ut = role_texts(store, "assistant"), role_texts(store, "user")
+    res = MQ.recall_bundle(store, chats(store), at, request_vectors(store, at), ut, request_vectors(store, ut),
+                           time_zone=_tz(spark))
+    return _sig(res, "score")
+
+
+@register("dense_candidates", oracle.DENSE_CANDIDATES)
+def q_dense_candidates(spark, sf_dir):
+    store = turns(spark, sf_dir, with_vectors=True)
+    requests, texts = chat_requests(store)
+    req = requests.join(request_vectors(store, texts), "request_id")
+    cands = top_k_per_request(dense_candidates(store, req)).drop("rank")
+    return _r6(cands, "distance")

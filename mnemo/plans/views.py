@@ -90,6 +90,22 @@ def chat_requests(turn_df: DataFrame, as_of: int = AS_OF, top_n: int = 8,
     return requests, query_texts
 
 
+def role_texts(turn_df: DataFrame, role: str) -> DataFrame:
+    """``(request_id, n, text, source_doc_id)``: a conversation's turns of one role, newest first."""
+    rows = turn_df.filter(F.col("role") == role)
+    w = Window.partitionBy("conversation_id").orderBy(F.col("timestamp").desc(), F.col("doc_id").desc())
+    return rows.select(F.col("conversation_id").alias("request_id"),
+                       (F.row_number().over(w) - 1).cast("int").alias("n"),
+                       F.col("content").alias("text"), F.col("doc_id").alias("source_doc_id"))
+
+
+def chats(turn_df: DataFrame, as_of: int = AS_OF) -> DataFrame:
+    """One open chat per conversation: ``(request_id, persona_id, conversation_id, as_of)``."""
+    return turn_df.select("conversation_id", "persona_id").distinct().select(
+        F.col("conversation_id").alias("request_id"), "persona_id", "conversation_id",
+        F.lit(as_of).cast("long").alias("as_of"))
+
+
 def request_vectors(turn_df_with_vectors: DataFrame, query_texts: DataFrame) -> DataFrame:
     """Query vector of a request = the stored vector of its newest query text."""
     newest = query_texts.filter(F.col("n") == 0).select("request_id", F.col("source_doc_id").alias("doc_id"))
