@@ -391,3 +391,12 @@ DENSE_CANDIDATES = with_(TURNS, TURN_VECTORS, CHAT_TEXTS, """req AS (
   SELECT q.request_id, t.index AS qvec, q.request_id AS exclude_conversation_id, NULL AS top_n
   FROM qt q JOIN tv t ON t.doc_id = q.source_doc_id WHERE q.n = 0)""", *memory_ctes("d", "req", "qt")[:2]) + \
     "SELECT request_id, doc_id, round(distance, 6) AS distance FROM d_cand"
+
+
+# ---- sources / sinks ------------------------------------------------------------------
+IMPORT_COUNTS = T + "SELECT conversation_id, count(*) AS messages FROM turns GROUP BY 1"
+
+STREAM_RECALL = with_(TURNS, TURN_VECTORS, """ur AS (
+  SELECT doc_id AS request_id, index AS qvec, conversation_id AS exclude_conversation_id, 8 AS top_n
+  FROM tv WHERE role = 'user')""", """ux AS (SELECT doc_id AS request_id, 0 AS n, content AS text FROM turns WHERE role = 'user')""",
+                      *memory_ctes("s", "ur", "ux")) + f"SELECT {MEMORY_OUT} FROM s_out"

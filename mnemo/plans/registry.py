@@ -348,3 +348,112 @@ def q_dense_candidates(spark, sf_dir):
     req = requests.join(request_vectors(store, texts), "request_id")
     cands = top_k_per_request(dense_candidates(store, req)).drop("rank")
     return _r6(cands, "distance")
+
+
+# ---- sources / sinks ------------------------------------------------------------------
+import uuid  # noqa: E402
+
+from ..session import ensure_checkpoint_dir  # noqa: E402
+from ..sources.jsonl import export_all, import_dump  # noqa: E402
+from ..sources.store import TurnStore  # noqa: E402
+from .views import AS_OF  # noqa: E402
+
+
+def scratch(spark, name: str) -> str:
+    """A fresh folder under the shared checkpoint directory (never machine-local)."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+@register("jsonl_roundtrip", oracle.IMPORT_COUNTS)
+def q_jsonl_roundtrip(spark, sf_dir):
+    """export_all -> import_dump: the import's messages per conversation."""
+    path = scratch(spark, "export")
+    export_all(turns(spark, sf_dir), path)
+    _rows, counts = import_dump(spark, path, AS_OF)
+    return counts
+
+
+@register("store_snapshot_roundtrip", oracle.SCAN_TURNS)
+def q_store_snapshot(spark, sf_dir):
+    """store_init -> append (insert) -> scan of the newest snapshot."""
+    store = TurnStore(spark, scratch(spark, "store")).init()
+    store.append(turns(spark, sf_dir))
+    return store.scan(TURN_COLUMNS)
+
+
+# ---- streaming (availableNow runs over files derived from the given tables) ----------
+from ..sources.jsonl import append_jsonl  # noqa: E402
+from ..streaming.ingest import start_ingest  # noqa: E402
+from ..streaming.report import current_report, start_report  # noqa: E402
+from ..streaming.ingest import turn_stream  # noqa: E402
+from ..streaming.turns import number_turns_stream  # noqa: E402
+from ..schema import DOCUMENT_TYPES  # noqa: E402
+
+STREAM_SLICES = 3
+
+
+def _time_slices(df, col: str, n: int):
+    """``n`` consecutive event-time ranges of ``df`` (boundaries from min / max)."""
+    dtype = dict(df.dtypes)[col]
+    key = F.unix_micros(F.col(col).cast("timestamp")) if dtype.startswith("timestamp") else F.col(col).cast("long")
+    lo, hi = df.agg(F.min(key), F.max(key)).first()
+    step = (hi - lo) // n + 1
+    return [df.filter((key >= lo + i * step) & (key < lo + (i + 1) * step)) for i in range(n)]
+
+
+@register("stream_ingest_dedup", oracle.SCAN_TURNS)
+def q_stream_ingest(spark, sf_dir):
+    """The store exported twice (a repeated import) and ingested by the stream:
+    every doc_id is stored once."""
+    src, out, ckpt = scratch(spark, "ingest-src"), scratch(spark, "ingest-out"), scratch(spark, "ingest-ckpt")
+    t = turns(spark, sf_dir)
+    append_jsonl(t, src)
+    append_jsonl(t, src)
+    start_ingest(spark, src, out, ckpt, AS_OF).awaitTermination()
+    return spark.read.parquet(out).select(*TURN_COLUMNS)
+
+
+@register("stream_report", oracle.CONVERSATION_REPORT)
+def q_stream_report(spark, sf_dir):
+    """Running report: the turns arrive in event-time slices, one availableNow run
+    per slice, state carried in the checkpoint."""
+    src, upd, ckpt = scratch(spark, "report-src"), scratch(spark, "report-upd"), scratch(spark, "report-ckpt")
+    t = turns(spark, sf_dir)
+    for part in _time_slices(t, "timestamp", STREAM_SLICES):
+        append_jsonl(part, src)
+        start_report(turn_stream(spark, src), upd, ckpt).awaitTermination()
+    rep = current_report(spark, upd)
+    return rep.select("conversation_id", *[F.col(f"`{c}`").cast("long").alias(c) for c in DOCUMENT_TYPES],
+                      "timestamp_max")
+
+
+@register("stream_number_turns", oracle.NUMBER_TURNS)
+def q_stream_number_turns(spark, sf_dir):
+    """Stateful numbering over event-time slices of the event log."""
+    src, out, ckpt = scratch(spark, "turns-src"), scratch(spark, "turns-out"), scratch(spark, "turns-ckpt")
+    ev = session_events(spark, sf_dir)
+    schema = ev.schema
+    for part in _time_slices(ev, "ts", STREAM_SLICES):
+        part.write.mode("append").parquet(src)
+        stream = spark.readStream.schema(schema).parquet(src)
+        (number_turns_stream(stream).writeStream.format("parquet").option("path", out)
+         .option("checkpointLocation", ckpt).outputMode("append").trigger(availableNow=True)
+         .start().awaitTermination())
+    return spark.read.parquet(out).select("session", "event_id", "sequence_no", "branch")
+
+
+@register("stream_recall", oracle.STREAM_RECALL)
+def q_stream_recall(spark, sf_dir):
+    """Every user turn, arriving in event-time slices, triggers a recall against
+    the store snapshot (foreachBatch -> batch memory query)."""
+    from ..streaming.recall import start_recall
+    src, out, ckpt = scratch(spark, "recall-src"), scratch(spark, "recall-out"), scratch(spark, "recall-ckpt")
+    store = turns(spark, sf_dir, with_vectors=True)
+    users = turns(spark, sf_dir).filter(F.col("role") == "user").select("doc_id", "conversation_id", "content",
+                                                                       "timestamp")
+    schema = users.schema
+    for part in _time_slices(users, "timestamp", STREAM_SLICES):
+        part.write.mode("append").parquet(src)
+        start_recall(spark.readStream.schema(schema).parquet(src), store, out, ckpt, AS_OF).awaitTermination()
+    res = spark.read.parquet(out).drop("batch_id")
+    return _sig(res, "score")
