@@ -305,6 +305,8 @@ TOKEN_F1 = with_(TURNS, f"""p AS (
     """SELECT conversation_id, query_doc_id, reply_doc_id,
   round(CASE WHEN prec + rec = 0 THEN 0.0 ELSE 2 * prec * rec / (prec + rec) END, 6) AS f1 FROM m"""
 
+TOTAL_STEPS_RE = (r"(?i)(?:Total[\s\x{0B}\x{1C}-\x{1F}\x{85}\p{Z}]+Steps?|Steps?[\s\x{0B}\x{1C}-\x{1F}\x{85}\p{Z}]+Total)"
+                  r":[\s\x{0B}\x{1C}-\x{1F}\x{85}\p{Z}]*(\d+)")
 TOTAL_STEPS = T + r"""SELECT doc_id,
   TRY_CAST(nullif(regexp_extract(content, '(?i)(?:Total[\s\x{0B}\x{1C}-\x{1F}\x{85}\p{Z}]+Steps?|Steps?[\s\x{0B}\x{1C}-\x{1F}\x{85}\p{Z}]+Total):[\s\x{0B}\x{1C}-\x{1F}\x{85}\p{Z}]*(\d+)', 1), '') AS INTEGER) AS total_steps
 FROM turns"""
@@ -344,6 +346,7 @@ where action='assistant'"""
 
 # ---- recall: conscious sample, recall bundle, dense candidates --------------------
 UNIFORM = "(('0x' || substr(md5({key} || ':0'), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0)"
+UNIFORM_KEY = "(('0x' || substr(md5({key}), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0)"
 
 
 def role_texts_sql(role: str, name: str) -> str:
@@ -400,3 +403,105 @@ STREAM_RECALL = with_(TURNS, TURN_VECTORS, """ur AS (
   SELECT doc_id AS request_id, index AS qvec, conversation_id AS exclude_conversation_id, 8 AS top_n
   FROM tv WHERE role = 'user')""", """ux AS (SELECT doc_id AS request_id, 0 AS n, content AS text FROM turns WHERE role = 'user')""",
                       *memory_ctes("s", "ur", "ux")) + f"SELECT {MEMORY_OUT} FROM s_out"
+
+
+# ---- context assembly and pipelines (pending-analysis conversations) --------------
+def strip_sql(x: str) -> str:
+    return f"regexp_replace({x}, '^{PY_WS}+|{PY_WS}+$', '', 'g')"
+
+
+
+PREFIX_TAIL = ", this is your conscious mind. Your thoughts have brought up new memories:"
+PENDING = """pend AS (SELECT conversation_id AS request_id FROM turns GROUP BY 1
+  HAVING count(*) FILTER (WHERE document_type = 'conversation') > 0
+     AND count(*) FILTER (WHERE document_type = 'analysis') = 0)"""
+SEED = """seedh AS (
+  SELECT * FROM (SELECT *, max(branch) OVER (PARTITION BY conversation_id, sequence_no) AS mb
+                 FROM turns WHERE document_type <> 'ner-task' AND conversation_id IN (SELECT request_id FROM pend))
+  WHERE branch = mb)""", """seed AS (
+  SELECT conversation_id AS request_id, 1 AS step, 1 AS grp,
+         CAST(row_number() OVER (PARTITION BY conversation_id ORDER BY timestamp, branch, sequence_no, doc_id) AS INTEGER) AS seq,
+         doc_id, document_type, conversation_id, """ + DATE.format(ts="timestamp") + " AS date, " + \
+    SPEAKER.format(p="") + """ AS speaker, role, content FROM seedh)""", """nb AS (
+  SELECT p.request_id, CAST(coalesce(max(t.branch) + 1, 0) AS INTEGER) AS branch
+  FROM pend p LEFT JOIN turns t ON t.conversation_id = p.request_id AND t.document_type = 'analysis'
+  GROUP BY 1)"""
+FMT_MEMORY = """fm AS (
+  SELECT request_id, step, CASE WHEN body <> '' THEN body || chr(10) ELSE '' END AS text FROM (
+    SELECT request_id, step, string_agg('- Memory from ' || date || ': ' || """ + strip_sql("speaker") + \
+    " || ': ' || " + strip_sql("content") + """ || chr(10) || chr(10), '' ORDER BY date, grp, seq) AS body
+    FROM seed GROUP BY 1, 2))"""
+FMT_CONSCIOUS = """pcons AS (
+  SELECT * FROM (
+    SELECT c.request_id, t.*, """ + UNIFORM.format(key="t.doc_id") + """ * t.weight AS score,
+           row_number() OVER (PARTITION BY c.request_id ORDER BY """ + UNIFORM.format(key="t.doc_id") + \
+    """ * t.weight DESC, t.doc_id) AS rank
+    FROM (SELECT DISTINCT conversation_id AS request_id, persona_id FROM turns
+          WHERE conversation_id IN (SELECT request_id FROM pend)) c
+    JOIN turns t ON t.persona_id = c.persona_id AND t.document_type = 'journal')
+  WHERE rank <= 3)""", """fc AS (
+  SELECT request_id, string_agg('- Personal Journal from ' || """ + DATE.format(ts="timestamp") + \
+    """ || ': ' || content || chr(10) || chr(10), '' ORDER BY rank) AS text FROM pcons GROUP BY 1)"""
+FMT_ALL = """fa AS (
+  SELECT p.request_id, pp.persona_id || '""" + PREFIX_TAIL + """' || chr(10) || chr(10)
+         || coalesce(fc.text, '') || coalesce(st.steps, '') AS text
+  FROM pend p JOIN (SELECT DISTINCT conversation_id AS request_id, persona_id FROM turns) pp USING (request_id)
+  LEFT JOIN fc USING (request_id)
+  LEFT JOIN (SELECT request_id, string_agg(text, '' ORDER BY step DESC) AS steps FROM fm GROUP BY 1) st USING (request_id))"""
+
+SEED_ANALYSIS = with_(TURNS, PENDING, *SEED) + """SELECT s.request_id, s.step, s.grp, s.seq, s.doc_id, s.document_type,
+  s.conversation_id, s.date, s.speaker, s.role, s.content, nb.branch FROM seed s JOIN nb USING (request_id)"""
+FORMAT_MEMORY = with_(TURNS, PENDING, *SEED, FMT_MEMORY) + "SELECT request_id, step, text FROM fm"
+FORMAT_CONSCIOUS = with_(TURNS, PENDING, *FMT_CONSCIOUS) + "SELECT request_id, text FROM fc"
+FORMAT_ALL = with_(TURNS, PENDING, *SEED, FMT_MEMORY, *FMT_CONSCIOUS, FMT_ALL) + "SELECT request_id, text FROM fa"
+STEP_PROMPT = "Step 1: name the entities of the conversation."
+BUILD_PROMPTS = with_(TURNS, PENDING, *SEED, FMT_MEMORY, *FMT_CONSCIOUS, FMT_ALL) + f"""
+SELECT request_id, 0 AS msg_pos, 'user' AS role, text AS content FROM fa
+UNION ALL
+SELECT request_id, 1, 'user', '{STEP_PROMPT}' FROM pend"""
+LAST_ASSISTANT = """lastreply AS (
+  SELECT conversation_id AS request_id, content AS response FROM (
+    SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY timestamp DESC, doc_id DESC) AS rk
+    FROM turns WHERE role = 'assistant') WHERE rk = 1)"""
+ACCEPT_RESPONSE = with_(TURNS, PENDING, *SEED[2:], LAST_ASSISTANT) + f"""
+SELECT p.request_id || '-ner-task-' || nb.branch || '-1' AS doc_id, 'ner-task' AS document_type,
+       pp.persona_id AS user_id, pp.persona_id AS persona_id, p.request_id AS conversation_id,
+       nb.branch AS branch, 1 AS sequence_no, 'self' AS listener_id, p.request_id AS reference_id,
+       'assistant' AS role, l.response AS content, 0.7::DOUBLE AS weight, CAST(1709251200 AS BIGINT) AS timestamp,
+       'default' AS inference_model, 0 AS status
+FROM pend p JOIN nb USING (request_id) JOIN lastreply l USING (request_id)
+JOIN (SELECT DISTINCT conversation_id AS request_id, persona_id FROM turns) pp USING (request_id)"""
+
+
+def expand_plan_sql() -> str:
+    from ..operators.pipelines import ORDINALS, TASK_SENTENCES
+    ords = "[" + ", ".join(f"'{o}'" for o in ORDINALS) + "]"
+    tasks = "[" + ", ".join("'" + t.replace("'", "''") + "'" for t in TASK_SENTENCES) + "]"
+    steps_re = TOTAL_STEPS_RE
+    return with_(TURNS, LAST_ASSISTANT, f"""plans AS (
+  SELECT request_id, pl AS pipeline,
+         TRY_CAST(nullif(regexp_extract(response, '{steps_re}', 1), '') AS INTEGER) AS n0
+  FROM lastreply, (SELECT unnest(['chore', 'report']) AS pl))""", """p2 AS (
+  SELECT request_id, pipeline, CASE WHEN pipeline = 'report' THEN coalesce(n0, 4) ELSE n0 END AS n FROM plans)""",
+                 """ex AS (
+  SELECT request_id, pipeline, n, unnest(generate_series(1, CASE WHEN pipeline = 'chore' THEN n + 2 ELSE n + 5 END)) AS s
+  FROM p2 WHERE n IS NOT NULL)""", """cfg AS (
+  SELECT *, CASE WHEN pipeline = 'chore' THEN
+      CASE WHEN s = 1 THEN 'first' WHEN s = n + 2 THEN 'last' ELSE 'intermediate' END
+    ELSE CASE WHEN s = 1 THEN 'ner' WHEN s = 2 THEN 'analysis' WHEN s = n + 3 THEN 'draft'
+              WHEN s = n + 4 THEN 'review' WHEN s = n + 5 THEN 'final' ELSE 'intermediate' END END AS kind
+  FROM ex)""") + f"""
+SELECT request_id, pipeline, CAST(n AS INTEGER) AS total_steps, CAST(s AS INTEGER) AS step,
+  CASE WHEN pipeline = 'chore' THEN 'chore' WHEN kind = 'ner' THEN 'ner-task' WHEN kind = 'final' THEN 'report' ELSE 'step' END AS document_type,
+  CASE WHEN pipeline = 'chore' THEN 1.0 WHEN kind = 'ner' THEN 0.4 WHEN kind = 'draft' THEN 0.7
+       WHEN kind = 'final' THEN 1.3 ELSE 0.3 END::DOUBLE AS weight,
+  CASE kind WHEN 'first' THEN 5 WHEN 'last' THEN 1 WHEN 'ner' THEN 0 WHEN 'analysis' THEN 3
+       WHEN 'draft' THEN 1 WHEN 'review' THEN 1 WHEN 'final' THEN 1
+       ELSE CASE WHEN pipeline = 'chore' THEN 3 ELSE 2 END END AS top_n,
+  CASE kind WHEN 'first' THEN 1024 WHEN 'last' THEN 512 WHEN 'ner' THEN 256 WHEN 'analysis' THEN 1024
+       WHEN 'draft' THEN 1024 WHEN 'review' THEN 384 WHEN 'final' THEN 1024 ELSE 512 END AS max_tokens,
+  CASE WHEN kind IN ('first', 'ner', 'analysis', 'intermediate') THEN true ELSE false END AS use_guidance,
+  CASE WHEN pipeline = 'chore' THEN true WHEN kind = 'analysis' THEN true ELSE false END AS apply_head,
+  CASE WHEN kind = 'intermediate' THEN {ords}[s - CASE WHEN pipeline = 'chore' THEN 2 ELSE 3 END + 1] END AS ordinal,
+  CASE WHEN kind = 'intermediate' THEN {tasks}[CAST(floor({UNIFORM_KEY.format(key="request_id || ':' || s || ':0'")} * 15) AS INTEGER) + 1] END AS task
+FROM cfg"""

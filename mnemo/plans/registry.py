@@ -457,3 +457,97 @@ def q_stream_recall(spark, sf_dir):
         start_recall(spark.readStream.schema(schema).parquet(src), store, out, ckpt, AS_OF).awaitTermination()
     res = spark.read.parquet(out).drop("batch_id")
     return _sig(res, "score")
+
+
+# ---- context assembly and pipelines (pending-analysis conversations) --------------
+from ..operators import context as CX  # noqa: E402
+from ..operators import pipelines as PL  # noqa: E402
+from ..schema import CONTEXT_COLUMNS  # noqa: E402
+
+
+def _pending(store):
+    return R.pending_analysis(store).select(F.col("conversation_id").alias("request_id"))
+
+
+def _seed(spark, store):
+    pend = _pending(store)
+    hist = H.conversation_history(store, pend.select(F.col("request_id").alias("conversation_id")),
+                                  filter_text=F.col("document_type") != "ner-task", time_zone=_tz(spark))
+    rows = hist.withColumn("request_id", F.col("conversation_id"))
+    return CX.accumulate(None, rows, 1, ["pos"], batch=1)
+
+
+def _conscious_text(spark, store):
+    pend = _pending(store)
+    personas = (chats(store).join(pend, "request_id", "left_semi")
+                .select("request_id", "persona_id", F.lit(3).alias("top_n")))
+    return CX.format_conscious(MQ.conscious_sample(store, personas, time_zone=_tz(spark)))
+
+
+def _format_all(spark, store):
+    pend = _pending(store)
+    prefix = chats(store).join(pend, "request_id", "left_semi").select(
+        "request_id", F.concat(F.col("persona_id"), F.lit(oracle.PREFIX_TAIL + "\n\n")).alias("prefix"))
+    return CX.format_all(prefix, _conscious_text(spark, store), CX.format_history(_seed(spark, store)))
+
+
+def _last_reply(store):
+    from pyspark.sql import Window
+    w = Window.partitionBy("conversation_id").orderBy(F.col("timestamp").desc(), F.col("doc_id").desc())
+    return (store.filter(F.col("role") == "assistant").withColumn("_rk", F.row_number().over(w))
+            .filter("_rk = 1").select(F.col("conversation_id").alias("request_id"), F.col("content").alias("response")))
+
+
+@register("seed_analysis", oracle.SEED_ANALYSIS)
+def q_seed_analysis(spark, sf_dir):
+    store = turns(spark, sf_dir)
+    keys = (store.join(_pending(store).select(F.col("request_id").alias("conversation_id")), "conversation_id",
+                       "left_semi")
+            .select(F.lit("analysis").alias("document_type"), "user_id", "persona_id", "conversation_id").distinct())
+    nb = R.next_branch(store, keys).select(F.col("conversation_id").alias("request_id"), F.col("next_branch").alias("branch"))
+    return _seed(spark, store).join(nb, "request_id").select(
+        "request_id", "step", "grp", "seq", *CONTEXT_COLUMNS, "branch")
+
+
+@register("format_memory", oracle.FORMAT_MEMORY)
+def q_format_memory(spark, sf_dir):
+    return CX.format_history(_seed(spark, turns(spark, sf_dir)))
+
+
+@register("format_conscious", oracle.FORMAT_CONSCIOUS)
+def q_format_conscious(spark, sf_dir):
+    return _conscious_text(spark, turns(spark, sf_dir))
+
+
+@register("format_all", oracle.FORMAT_ALL)
+def q_format_all(spark, sf_dir):
+    return _format_all(spark, turns(spark, sf_dir))
+
+
+@register("build_prompts", oracle.BUILD_PROMPTS)
+def q_build_prompts(spark, sf_dir):
+    store = turns(spark, sf_dir)
+    prompts = _pending(store).select("request_id", F.lit(oracle.STEP_PROMPT).alias("prompt"))
+    msgs = PL.build_messages(_format_all(spark, store), None, prompts)
+    return msgs.select("request_id", F.posexplode("messages").alias("msg_pos", "m")).select(
+        "request_id", "msg_pos", F.col("m.role").alias("role"), F.col("m.content").alias("content"))
+
+
+@register("accept_response", oracle.ACCEPT_RESPONSE)
+def q_accept_response(spark, sf_dir):
+    store = turns(spark, sf_dir)
+    pend = _pending(store)
+    step1 = PL.step_table(spark).filter((F.col("pipeline") == "analysis") & (F.col("step") == 1))
+    prompts = (chats(store).join(pend, "request_id", "left_semi").withColumn("pipeline", F.lit("analysis"))
+               .join(F.broadcast(step1.select("pipeline", "step", "document_type", "weight")), "pipeline")
+               .select("request_id", "step", "document_type", "weight", F.col("persona_id").alias("user_id"),
+                       "persona_id", "conversation_id", F.lit(0).alias("branch"), F.col("step").alias("sequence_no")))
+    responses = _last_reply(store).select("request_id", F.lit(1).alias("step"), F.col("response").alias("text"))
+    return M.accept_responses(prompts, responses, AS_OF)
+
+
+@register("expand_plan", oracle.expand_plan_sql())
+def q_expand_plan(spark, sf_dir):
+    plans = _last_reply(turns(spark, sf_dir)).withColumn(
+        "pipeline", F.explode(F.array(F.lit("chore"), F.lit("report"))))
+    return PL.expand_plan(plans)
