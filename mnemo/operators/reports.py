@@ -91,3 +91,16 @@ def get_where(store: DataFrame, predicate, sort_columns: list[str] | None = None
 def import_counts(rows: DataFrame) -> DataFrame:
     """Messages per conversation of an imported file."""
     return rows.groupBy("conversation_id").agg(F.count(F.lit(1)).alias("messages"))
+
+
+def abbreviate_columns(df: DataFrame, width: int = 2) -> DataFrame:
+    """Report headers cut to ``width`` characters; repeated short names get ``_2``,
+    ``_3``... (Spark forbids usable duplicate column names)."""
+    seen: dict[str, int] = {}
+    cols = []
+    for c in df.columns:
+        short = c[:width]
+        seen[short] = seen.get(short, 0) + 1
+        name = short if seen[short] == 1 else f"{short}_{seen[short]}"
+        cols.append(F.col(f"`{c}`").alias(name))
+    return df.select(*cols)

@@ -505,3 +505,55 @@ SELECT request_id, pipeline, CAST(n AS INTEGER) AS total_steps, CAST(s AS INTEGE
   CASE WHEN kind = 'intermediate' THEN {ords}[s - CASE WHEN pipeline = 'chore' THEN 2 ELSE 3 END + 1] END AS ordinal,
   CASE WHEN kind = 'intermediate' THEN {tasks}[CAST(floor({UNIFORM_KEY.format(key="request_id || ':' || s || ':0'")} * 15) AS INTEGER) + 1] END AS task
 FROM cfg"""
+
+
+# ---- memory-query variants ---------------------------------------------------------
+NEWEST_USER = """nu AS (SELECT * FROM qt WHERE n = 0)"""
+
+
+def typed_memory_sql(doc_type: str, top_n: int, meta: bool, turn_decay: float, temporal_decay: float) -> str:
+    return with_(TURNS, TURN_VECTORS, CHAT_TEXTS, NEWEST_USER, f"""vr AS (
+  SELECT q.request_id, t.index AS qvec, q.request_id AS exclude_conversation_id, {top_n} AS top_n
+  FROM nu q JOIN tv t ON t.doc_id = q.source_doc_id)""",
+                 *memory_ctes("v", "vr", "nu", meta=meta, doc_type=doc_type, turn_decay=turn_decay,
+                              temporal_decay=temporal_decay)) + f"SELECT {MEMORY_OUT} FROM v_out"
+
+
+NER_QUERY = typed_memory_sql("ner-task", 5, False, 0.7, 0.7)
+SEED_JOURNAL = typed_memory_sql("analysis", 2, True, 0.0, 0.0)
+
+MATRIX_NAMES = ["co", "an", "br", "ch", "co_2", "ne", "re", "jo", "re_2", "st", "ti"]
+MATRIX_ABBREV = with_(TURNS) + "SELECT conversation_id AS co, " + ", ".join(
+    f"count(*) FILTER (WHERE document_type = '{t}') AS {a}" for t, a in zip(DOC_TYPES, MATRIX_NAMES[1:10])) + \
+    ", max(timestamp) AS ti FROM turns GROUP BY 1"
+
+# tokenizer evaluation: query = a conversation's first turn; relevant = its other turns,
+# non-relevant = the turns of the next conversation
+TOKENIZERS_SQL = {
+    "words": r"list_distinct(regexp_extract_all(lower({t}), '[\p{{L}}\p{{N}}]+'))",
+    "ascii": r"list_distinct(regexp_extract_all(lower({t}), '[a-z0-9]+'))",
+    "cased": r"list_distinct(regexp_extract_all({t}, '[\p{{L}}\p{{N}}]+'))",
+}
+QRELS = """qrels AS (
+  SELECT q.doc_id AS query_id, d.doc_id, CASE WHEN d.conv_id = q.conv_id THEN 'should' ELSE 'shouldnt' END AS label,
+         q.content AS qtext, d.content AS dtext
+  FROM turns q JOIN turns d ON (d.conv_id = q.conv_id AND d.turn <> 0) OR d.conv_id = q.conv_id + 1
+  WHERE q.turn = 0)"""
+QRELS_JOIN = with_(TURNS, QRELS) + "SELECT query_id, doc_id, label FROM qrels"
+
+
+def _f1_sql(a: str, b: str) -> str:
+    tp = f"len(list_intersect({a}, {b}))::DOUBLE"
+    p = f"(CASE WHEN len({b}) = 0 THEN 0.0 ELSE {tp} / len({b}) END)"
+    r = f"(CASE WHEN len({a}) = 0 THEN 0.0 ELSE {tp} / len({a}) END)"
+    return f"(CASE WHEN {p} + {r} = 0 THEN 0.0 ELSE 2 * {p} * {r} / ({p} + {r}) END)"
+
+
+TOKEN_OVERLAP_EVAL = with_(TURNS, QRELS, "scored AS (" + " UNION ALL ".join(
+    f"SELECT '{name}' AS tokenizer, query_id, label, {_f1_sql(tok.format(t='qtext'), tok.format(t='dtext'))} AS f1 "
+    f"FROM qrels" for name, tok in TOKENIZERS_SQL.items()) + ")", """per AS (
+  SELECT tokenizer, query_id, avg(f1) FILTER (WHERE label = 'should') AS should,
+         avg(f1) FILTER (WHERE label = 'shouldnt') AS shouldnt FROM scored GROUP BY 1, 2)""") + \
+    """SELECT tokenizer, round(avg(should - shouldnt), 6) AS average_combined,
+       round(avg(should), 6) AS average_should, round(avg(shouldnt), 6) AS average_shouldnt
+FROM per WHERE should IS NOT NULL AND shouldnt IS NOT NULL GROUP BY 1"""

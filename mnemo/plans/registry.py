@@ -551,3 +551,58 @@ def q_expand_plan(spark, sf_dir):
     plans = _last_reply(turns(spark, sf_dir)).withColumn(
         "pipeline", F.explode(F.array(F.lit("chore"), F.lit("report"))))
     return PL.expand_plan(plans)
+
+
+# ---- memory-query variants, report header projection, tokenizer evaluation ----------
+from ..operators.evaluation import token_overlap_eval  # noqa: E402
+
+
+def _typed_memory(spark, sf_dir, doc_type, top_n, meta, turn_decay, temporal_decay):
+    store = turns(spark, sf_dir, with_vectors=True)
+    requests, texts = chat_requests(store, top_n=top_n, turn_decay=turn_decay, temporal_decay=temporal_decay)
+    newest = texts.filter(F.col("n") == 0)
+    requests = requests.withColumn("document_type", F.lit(doc_type)).withColumn("filter_metadocs", F.lit(meta))
+    requests = requests.join(newest.select("request_id"), "request_id", "left_semi")
+    res = memory_query(store, requests, newest, request_vectors(store, newest), time_zone=_tz(spark))
+    return _sig(res, "score")
+
+
+@register("ner_query", oracle.NER_QUERY)
+def q_ner_query(spark, sf_dir):
+    """Recall restricted to ner-task documents (metadocs allowed), newest user turn as query."""
+    return _typed_memory(spark, sf_dir, "ner-task", 5, False, 0.7, 0.7)
+
+
+@register("seed_journal", oracle.SEED_JOURNAL)
+def q_seed_journal(spark, sf_dir):
+    """Journal seed: top 2 analysis documents, no turn or time decay."""
+    return _typed_memory(spark, sf_dir, "analysis", 2, True, 0.0, 0.0)
+
+
+@register("matrix_abbrev", oracle.MATRIX_ABBREV)
+def q_matrix_abbrev(spark, sf_dir):
+    rep = R.conversation_report(turns(spark, sf_dir))
+    return R.abbreviate_columns(rep)
+
+
+def _qrels(spark, sf_dir):
+    conv = read_table(spark, sf_dir, "conversations", ["conv_id", "turn", "role", "text"])
+    from .views import turns_from_conversations
+    t = turns_from_conversations(conv)
+    q = t.filter(F.col("turn") == 0).select("conv_id", F.col("doc_id").alias("query_id"), F.col("content").alias("qtext"))
+    d = t.select(F.col("conv_id").alias("d_conv"), "turn", "doc_id", F.col("content").alias("dtext"))
+    same = q.join(d.filter(F.col("turn") != 0), q.conv_id == d.d_conv)
+    nxt = q.join(d, q.conv_id + 1 == d.d_conv)
+    both = same.unionByName(nxt).dropDuplicates(["query_id", "doc_id"])
+    return both.select("query_id", "doc_id", F.when(F.col("d_conv") == F.col("conv_id"), "should")
+                       .otherwise("shouldnt").alias("label"), "qtext", "dtext")
+
+
+@register("qrels_join", oracle.QRELS_JOIN)
+def q_qrels_join(spark, sf_dir):
+    return _qrels(spark, sf_dir).select("query_id", "doc_id", "label")
+
+
+@register("token_overlap_eval", oracle.TOKEN_OVERLAP_EVAL)
+def q_token_overlap_eval(spark, sf_dir):
+    return token_overlap_eval(_qrels(spark, sf_dir))
