@@ -20,6 +20,12 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType = TURN_NO_VE
             .option("columnNameOfCorruptRecord", CORRUPT).json(path))
 
 
+def bad_lines(raw: DataFrame) -> DataFrame:
+    """Malformed lines of a ``read_jsonl`` result (a parsed column is referenced
+    along with the corrupt-record column, which Spark requires)."""
+    return raw.filter(F.col(CORRUPT).isNotNull() & F.col("doc_id").isNull()).select(CORRUPT)
+
+
 def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Write every column, nulls included (``ignoreNullFields=false``)."""
     df.write.mode(mode).option("ignoreNullFields", "false").json(path)
