@@ -63,3 +63,31 @@ def token_ngrams(tokens, max_n: int = 3) -> Column:
     for n, p in zip(range(1, max_n + 1), parts):
         fixed.append(F.when(F.size(toks) >= n, p).otherwise(F.array().cast("array<string>")))
     return F.flatten(F.array(*fixed))
+
+
+def query_label(n) -> Column:
+    """Position -> base-26 letters as the original column suffixes: 0 -> '', 1 -> 'b', 26 -> 'ba'."""
+    digits = F.lower(F.conv(_col(n).cast("string"), 10, 26))
+    # conv writes base-26 digits as 0-9a-p; map them onto a-z
+    mapped = F.translate(digits, "0123456789abcdefghijklmnop", "abcdefghijklmnopqrstuvwxyz")
+    return F.when(_col(n) == 0, F.lit("")).otherwise(mapped)
+
+
+# --- fixed values: treebank tag -> wordnet part of speech (None drops the token) ---
+WORDNET_POS = {
+    "CC": "r", "CD": None, "DT": "r", "EX": "r", "FW": None, "IN": "r", "JJ": "a", "JJR": "a", "JJS": "a",
+    "LS": None, "MD": "v", "NN": "n", "NNS": "n", "NNP": "n", "NNPS": "n", "PDT": "r", "POS": "r", "PRP": "n",
+    "PRP$": "n", "RB": "r", "RBR": "r", "RBS": "r", "RP": "r", "SYM": None, "TO": "r", "UH": None, "VB": "v",
+    "VBD": "v", "VBG": "v", "VBN": "v", "VBP": "v", "VBZ": "v", "WDT": "r", "WP": "n", "WP$": "n", "WRB": "r",
+}
+# ---------------------------------------------------------------------------------
+
+
+def wordnet_pos(tagged, tag_col: str = "tag"):
+    """Add ``pos`` to a ``(token, tag)`` table: unknown tags are nouns, tags that map
+    to nothing drop the row (a broadcast lookup of a 36-row table)."""
+    spark = tagged.sparkSession
+    table = spark.createDataFrame(list(WORDNET_POS.items()), f"{tag_col} string, pos string")
+    j = tagged.join(F.broadcast(table), tag_col, "left")
+    known = F.col(tag_col).isin(*WORDNET_POS.keys())
+    return j.filter(~known | F.col("pos").isNotNull()).withColumn("pos", F.coalesce("pos", F.lit("n")))

@@ -557,3 +557,15 @@ TOKEN_OVERLAP_EVAL = with_(TURNS, QRELS, "scored AS (" + " UNION ALL ".join(
     """SELECT tokenizer, round(avg(should - shouldnt), 6) AS average_combined,
        round(avg(should), 6) AS average_should, round(avg(shouldnt), 6) AS average_shouldnt
 FROM per WHERE should IS NOT NULL AND shouldnt IS NOT NULL GROUP BY 1"""
+
+
+ACTIVE_MEMORY = with_(TURNS, TURN_VECTORS, PENDING, *SEED, *FMT_CONSCIOUS,
+                      """actx AS (
+  SELECT request_id, CAST(row_number() OVER (PARTITION BY request_id ORDER BY date, grp, seq) - 1 AS INTEGER) AS n,
+         content AS text, doc_id AS source_doc_id FROM seed WHERE role = 'assistant')""",
+                      """areq AS (SELECT a.request_id, t.index AS qvec, NULL AS exclude_conversation_id, 10 AS top_n
+         FROM actx a JOIN tv t ON t.doc_id = a.source_doc_id WHERE a.n = 0)""",
+                      """aseen AS (SELECT request_id, doc_id FROM seed UNION SELECT request_id, doc_id FROM pcons)""",
+                      "tvf AS (SELECT * FROM tv WHERE document_type <> 'analysis')",
+                      *memory_ctes("am", "areq", "actx", "aseen", store="tvf", turn_decay=0.0,
+                                   temporal_decay=0.8)) + f"SELECT {MEMORY_OUT} FROM am_out"

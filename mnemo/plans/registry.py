@@ -606,3 +606,30 @@ def q_qrels_join(spark, sf_dir):
 @register("token_overlap_eval", oracle.TOKEN_OVERLAP_EVAL)
 def q_token_overlap_eval(spark, sf_dir):
     return token_overlap_eval(_qrels(spark, sf_dir))
+
+
+@register("active_memory", oracle.ACTIVE_MEMORY)
+def q_active_memory(spark, sf_dir):
+    """Active memory of the analysis pipeline: recall with the assistant rows of the
+    step context (turn decay 0, time decay 0.8), excluding everything already in
+    the context or the conscious sample, analysis documents filtered out."""
+    from pyspark.sql import Window
+    base = turns(spark, sf_dir)
+    store = turns(spark, sf_dir, with_vectors=True)
+    seed = _seed(spark, base)
+    w = Window.partitionBy("request_id").orderBy("date", "grp", "seq")
+    texts = seed.filter(F.col("role") == "assistant").select(
+        "request_id", (F.row_number().over(w) - 1).cast("int").alias("n"), F.col("content").alias("text"),
+        F.col("doc_id").alias("source_doc_id"))
+    pend = _pending(base)
+    personas = chats(base).join(pend, "request_id", "left_semi").select("request_id", "persona_id",
+                                                                         F.lit(3).alias("top_n"))
+    seen = seed.select("request_id", "doc_id").unionByName(
+        MQ.conscious_sample(base, personas).select("request_id", "doc_id")).distinct()
+    requests = texts.filter("n = 0").select(
+        "request_id", F.lit(None).cast("string").alias("document_type"), F.lit(10).alias("top_n"),
+        F.lit(0.0).alias("turn_decay"), F.lit(0.8).alias("temporal_decay"), F.lit(True).alias("filter_metadocs"),
+        F.lit(AS_OF).cast("long").alias("as_of"), F.lit(None).cast("string").alias("exclude_conversation_id"))
+    res = memory_query(store, requests, texts, request_vectors(store, texts), exclusions=seen,
+                       filter_text=F.col("document_type") != "analysis", time_zone=_tz(spark))
+    return _sig(res, "score")
