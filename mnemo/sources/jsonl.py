@@ -56,3 +56,12 @@ def import_dump(spark: SparkSession, path: str, as_of: int, user_id: str | None
     rows = insert_turns(good, as_of)
     counts = good.groupBy("conversation_id").agg(F.count(F.lit(1)).alias("messages"))
     return rows, counts
+
+
+def export_conversations(store: DataFrame, keys: DataFrame, path: str, time_zone: str = "UTC") -> None:
+    """History of the selected conversations (3-part key) as JSON lines:
+    newest branch per sequence number, the standard projection."""
+    from ..operators.history import latest_branch_history, std_projection
+    k = ["user_id", "persona_id", "conversation_id"]
+    rows = store.join(keys.select(*k).distinct(), k, "left_semi")
+    write_jsonl(std_projection(latest_branch_history(rows, k), time_zone), path)
