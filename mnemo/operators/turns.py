@@ -72,3 +72,116 @@ def number_turns(events: DataFrame, session: str = "session", order: list[str] |
     branches = F.sum(F.when((a == "back") | ((a == "retry") & (F.col("hb") >= 1)), 1).otherwise(0)).over(seg_run)
     out = s.select(session, "event_id", "action", (2 * accepted - 2).alias("sequence_no"), branches.alias("branch"))
     return out.filter(a == "assistant").drop("action")
+
+
+def number_turns_blocked(events: DataFrame, session: str = "session", block_seconds: int = 3600,
+                         ts: str = "ts") -> DataFrame:
+    """``number_turns`` for sessions of any size: a segmented parallel scan.
+
+    Each session is cut into event-time blocks (``block_seconds`` wide); every
+    window runs per (session, block), so one session holding a third of all
+    events is spread over many tasks.  A block summary table (one row per block)
+    carries the running state (S, running min of S, accepted pairs, branches)
+    from block to block with windows over blocks, restarting after the last
+    ``new`` of a block.  Same result as ``number_turns``.
+    """
+    a = F.col("action")
+    us = F.unix_micros(F.col(ts).cast("timestamp"))
+    ev = events.select(session, "event_id", a.alias("action"), F.col(ts).alias("_ts"),
+                       F.floor(us / (block_seconds * 1_000_000)).alias("block"))
+    blk = [session, "block"]
+    order = [F.col("_ts"), F.col("event_id")]
+    run_b = Window.partitionBy(*blk).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    ev = ev.withColumn("lseg", F.sum(F.when(a == "new", 1).otherwise(0)).over(run_b)).withColumn(
+        "step", F.when(a == "assistant", 1).when(a.isin("back", "retry"), -1).otherwise(0)).withColumn(
+        "acc", F.when(a == "assistant", 1).otherwise(0))
+    seg_w = Window.partitionBy(*blk, "lseg").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    ev = (ev.withColumn("s_loc", F.sum("step").over(seg_w))
+            .withColumn("min_loc", F.min("s_loc").over(seg_w))
+            .withColumn("acc_loc", F.sum("acc").over(seg_w)))
+
+    # block summaries: whole-block values (used when the block has no 'new') and tail values
+    tails = ev.withColumn("_last", F.max("lseg").over(Window.partitionBy(*blk))).filter(
+        F.col("lseg") == F.col("_last"))
+    tail = tails.groupBy(*blk).agg(
+        F.max_by("s_loc", F.struct(*order)).alias("tail_s"), F.min("s_loc").alias("tail_min"),
+        F.sum("acc").alias("tail_acc"))
+    whole = ev.groupBy(*blk).agg(
+        F.sum(F.when(a == "new", 1).otherwise(0)).alias("n_new"), F.sum("step").alias("tot"),
+        F.sum("acc").alias("tot_acc"), F.min(F.when(F.col("lseg") == 0, F.col("s_loc"))).alias("relmin"))
+    bs = whole.join(tail, blk)
+    entry = _block_entry(bs, session)
+
+    ev = ev.join(entry, blk)
+    first = F.col("lseg") == 0
+    s = F.when(first & F.col("has_in"), F.col("s_in") + F.col("s_loc")).otherwise(F.col("s_loc"))
+    mn = F.when(first & F.col("has_in"), F.least(F.col("min_in"), F.col("s_in") + F.col("min_loc"))) \
+        .otherwise(F.col("min_loc"))
+    ev = ev.withColumn("S", s).withColumn("h", F.col("S") - F.least(F.lit(0), mn)).withColumn(
+        "acc_run", F.when(first, F.col("acc_in")).otherwise(0) + F.col("acc_loc"))
+    h_in = F.when(F.col("has_in"), F.col("s_in") - F.least(F.lit(0), F.col("min_in"))).otherwise(F.lit(0))
+    lag_w = Window.partitionBy(*blk, "lseg").orderBy(*order)
+    ev = ev.withColumn("hb", F.coalesce(F.lag("h").over(lag_w), F.when(first, h_in).otherwise(F.lit(0))))
+    ev = ev.withColumn("inc", F.when((a == "back") | ((a == "retry") & (F.col("hb") >= 1)), 1).otherwise(0))
+    ev = ev.withColumn("br_loc", F.sum("inc").over(seg_w))
+
+    # second carry: branch increments per block, same reset structure
+    last_w = Window.partitionBy(*blk)
+    inc_tail = (ev.withColumn("_last", F.max("lseg").over(last_w)).filter(F.col("lseg") == F.col("_last"))
+                .groupBy(*blk).agg(F.sum("inc").alias("tail_inc")))
+    inc_whole = ev.groupBy(*blk).agg(F.sum(F.when(F.col("lseg") == 0, F.col("inc")).otherwise(0)).alias("tot_inc"),
+                                     F.sum(F.when(a == "new", 1).otherwise(0)).alias("n_new"))
+    br = _branch_entry(inc_whole.join(inc_tail, blk), session)
+    ev = ev.join(br, blk)
+    branch = F.when(first, F.col("br_in")).otherwise(0) + F.col("br_loc")
+    out = ev.filter(a == "assistant").select(session, "event_id", (2 * F.col("acc_run") - 2).alias("sequence_no"),
+                                             branch.alias("branch"))
+    return out
+
+
+def _block_entry(bs: DataFrame, session: str) -> DataFrame:
+    """State entering each block: (has_in, s_in, min_in, acc_in).
+
+    grp = number of reset blocks up to the previous block; within a group the
+    state is the reset block's tail followed by whole no-reset blocks.  Windows run
+    over the block table (one row per block).
+    """
+    ob = Window.partitionBy(session).orderBy("block")
+    prev = ob.rowsBetween(Window.unboundedPreceding, -1)
+    reset = (F.col("n_new") > 0).cast("int")
+    bs = bs.withColumn("grp", F.coalesce(F.sum(reset).over(prev), F.lit(0)))
+    # base = sum of whole-block step totals of the no-reset blocks since the group start
+    bs = bs.withColumn("base", F.col("tot") * (1 - reset))
+    g = Window.partitionBy(session, "grp").orderBy("block")
+    gprev = g.rowsBetween(Window.unboundedPreceding, -1)
+    # the group's opening tail: for grp > 0 it is the tail of the reset block that
+    # ends the previous group; carry it as columns looked up with last(...)
+    bs = bs.withColumn("open_s", F.last(F.when(F.col("n_new") > 0, F.col("tail_s")), True).over(prev))
+    bs = bs.withColumn("open_min", F.last(F.when(F.col("n_new") > 0, F.col("tail_min")), True).over(prev))
+    bs = bs.withColumn("open_acc", F.last(F.when(F.col("n_new") > 0, F.col("tail_acc")), True).over(prev))
+    # blocks of this group before the current one have no reset (a reset closes the group)
+    sum_prev = F.coalesce(F.sum("tot").over(gprev), F.lit(0))
+    acc_prev = F.coalesce(F.sum("tot_acc").over(gprev), F.lit(0))
+    n_prev = F.coalesce(F.count(F.lit(1)).over(gprev), F.lit(0))
+    # running minimum over the previous blocks of the group of (S before block + relmin)
+    bs = bs.withColumn("s_before_rel", F.coalesce(F.sum("tot").over(gprev), F.lit(0)))
+    bs = bs.withColumn("cand", F.col("s_before_rel") + F.col("relmin"))
+    min_prev = F.min("cand").over(gprev)
+    open_s = F.coalesce(F.col("open_s"), F.lit(0))
+    s_in = open_s + sum_prev
+    min_parts = F.least(F.col("open_min"), open_s + min_prev)
+    has_in = F.col("open_s").isNotNull() | (n_prev > 0)
+    return bs.select(session, "block", has_in.alias("has_in"), s_in.alias("s_in"),
+                     min_parts.alias("min_in"),
+                     (F.coalesce(F.col("open_acc"), F.lit(0)) + acc_prev).alias("acc_in"))
+
+
+def _branch_entry(bi: DataFrame, session: str) -> DataFrame:
+    ob = Window.partitionBy(session).orderBy("block")
+    prev = ob.rowsBetween(Window.unboundedPreceding, -1)
+    reset = (F.col("n_new") > 0).cast("int")
+    bi = bi.withColumn("grp", F.coalesce(F.sum(reset).over(prev), F.lit(0)))
+    bi = bi.withColumn("open_inc", F.last(F.when(F.col("n_new") > 0, F.col("tail_inc")), True).over(prev))
+    g = Window.partitionBy(session, "grp").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    br_in = F.coalesce(F.col("open_inc"), F.lit(0)) + F.coalesce(F.sum("tot_inc").over(g), F.lit(0))
+    return bi.select(session, "block", br_in.alias("br_in"))

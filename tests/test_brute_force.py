@@ -70,3 +70,14 @@ def test_number_turns_equal_loop(spark):
         expect += [(s, *p) for p in number_turns_loop(list(g.action))]
     got = TO.number_turns(session_events(spark, SF_CHECK)).collect()
     assert sorted((r.session, r.sequence_no, r.branch) for r in got) == sorted(expect)
+
+
+def test_number_turns_hot_session_blocked(spark):
+    """Every event in one session (a hot key): the blocked scan equals the loop."""
+    from pyspark.sql import functions as F
+    ev = session_events(spark, SF_CHECK).withColumn("session", F.lit(7).cast("long"))
+    pdf = ev.toPandas().sort_values(["ts", "event_id"])
+    expect = sorted((7, *p) for p in number_turns_loop(list(pdf.action)))
+    for width in (60, 3600):
+        got = TO.number_turns_blocked(ev, block_seconds=width).collect()
+        assert sorted((r.session, r.sequence_no, r.branch) for r in got) == expect
