@@ -9,6 +9,7 @@ from ..functions.scoring import derive_date, derive_speaker
 from ..schema import COLUMNS, DOC_ANALYSIS, DOC_STEP
 
 HISTORY_ORDER = ["timestamp", "branch", "sequence_no"]
+HISTORY_BLOCK_SECONDS = 86400
 
 
 def latest_branch_history(turns: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -23,6 +24,23 @@ def latest_branch_history(turns: DataFrame, keys: list[str] | None = None) -> Da
         F.col("branch") == F.col("_max_branch")).drop("_max_branch")
 
 
+def blocked_position(df: DataFrame, keys: list[str], order: list[str], block: Column,
+                     name: str = "pos") -> DataFrame:
+    """1-based position of each row within ``keys`` by ``order``, without a window
+    keyed by ``keys`` alone: rows are numbered inside (keys, block) and shifted by
+    the row counts of the earlier blocks (a window over the small per-block count
+    table).  ``block`` must be non-decreasing along ``order`` (e.g. a time bucket
+    of the leading timestamp), so a hot key is spread over its blocks.
+    """
+    b = df.withColumn("_blk", block)
+    local = F.row_number().over(Window.partitionBy(*keys, "_blk").orderBy(*[F.col(c) for c in order]))
+    counts = b.groupBy(*keys, "_blk").agg(F.count(F.lit(1)).alias("_cnt"))
+    before = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("_off", F.coalesce(F.sum("_cnt").over(before), F.lit(0))).drop("_cnt")
+    return (b.withColumn("_loc", local).join(offsets, [*keys, "_blk"])
+            .withColumn(name, (F.col("_off") + F.col("_loc")).cast("int")).drop("_blk", "_loc", "_off"))
+
+
 def std_projection(df: DataFrame, time_zone: str = "UTC", extra: list[str] | None = None) -> DataFrame:
     return df.select(*(extra or []), *COLUMNS, derive_date("timestamp", time_zone).alias("date"),
                      derive_speaker().alias("speaker"))
@@ -44,8 +62,11 @@ def conversation_history(store: DataFrame, conversations: DataFrame | None = Non
     if filter_text is not None:
         df = df.filter(filter_text)
     kept = latest_branch_history(df, keys)
-    w = Window.partitionBy(*keys).orderBy(*[F.col(c) for c in HISTORY_ORDER], F.col("doc_id"))
-    return std_projection(kept.withColumn("pos", F.row_number().over(w)), time_zone, extra=["pos"])
+    # positions by (timestamp, branch, sequence_no, doc_id); day blocks of the
+    # timestamp keep a very long conversation from landing in one task
+    ordered = blocked_position(kept, keys, HISTORY_ORDER + ["doc_id"],
+                               F.floor(F.col("timestamp") / HISTORY_BLOCK_SECONDS))
+    return std_projection(ordered, time_zone, extra=["pos"])
 
 
 def display_lines(history: DataFrame) -> DataFrame:

@@ -8,38 +8,49 @@ from pyspark.sql import functions as F
 FOLD_DEPTH = 4
 
 
+# rows per position block when a conversation's turns are numbered (hot-key split)
+POS_BLOCK = 4096
+
+
+def _role_positions(turns: DataFrame, key: str, pos: str) -> DataFrame:
+    """Position of each turn among the turns of its role (1-based), blocked by ``pos``."""
+    from .history import blocked_position
+    return blocked_position(turns, [key, "role"], [pos], F.floor(F.col(pos) / POS_BLOCK), name="_rpos")
+
+
 def insert_at_fold(turns: DataFrame, key: str, pos: str, content: Column | str,
                    fold_depth: int = FOLD_DEPTH) -> DataFrame:
     """Prefix ``content`` to one turn per conversation: the ``fold_depth``-th user
     turn counted from the start, or the last turn when there are fewer user turns.
 
-    ``turns(key, pos, role, content)``; ``pos`` orders the turns.
+    ``turns(key, pos, role, content)``; ``pos`` orders the turns.  The target is a
+    grouped aggregate per conversation (partial aggregation, then a join that AQE
+    can split for a hot conversation); no window is keyed by the conversation.
     """
     text = F.lit(content) if isinstance(content, str) else content
-    run = Window.partitionBy(key).orderBy(pos).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy(key)
-    df = (turns.withColumn("_idx", F.row_number().over(Window.partitionBy(key).orderBy(pos)) - 1)
-          .withColumn("_users", F.sum(F.when(F.col("role") == "user", 1).otherwise(0)).over(run)))
-    df = (df.withColumn("_n", F.count(F.lit(1)).over(whole))
-            .withColumn("_fold", F.min(F.when((F.col("role") == "user") & (F.col("_users") == fold_depth),
-                                              F.col("_idx"))).over(whole)))
-    target = F.least(F.coalesce(F.col("_fold"), F.col("_n") - 1), F.col("_n") - 1)
-    return df.withColumn("content", F.when(F.col("_idx") == target, F.concat(text, F.col("content")))
-                         .otherwise(F.col("content"))).drop("_idx", "_users", "_n", "_fold")
+    ranked = _role_positions(turns, key, pos)
+    target = ranked.groupBy(key).agg(
+        F.min(F.when((F.col("role") == "user") & (F.col("_rpos") == fold_depth), F.col(pos))).alias("_fold"),
+        F.max(pos).alias("_last"))
+    tgt = F.least(F.coalesce(F.col("_fold"), F.col("_last")), F.col("_last"))
+    return (turns.join(target, key)
+            .withColumn("content", F.when(F.col(pos) == tgt, F.concat(text, F.col("content"))).otherwise(F.col("content")))
+            .drop("_fold", "_last"))
 
 
 def split_by_role(history: DataFrame, key: str, pos: str) -> DataFrame:
     """``(key, role, n, content)``: contents per role, newest first (n = 0 newest)."""
-    w = Window.partitionBy(key, "role").orderBy(F.col(pos).desc())
-    return history.select(key, "role", (F.row_number().over(w) - 1).cast("int").alias("n"), "content")
+    ranked = _role_positions(history, key, pos)
+    counts = history.groupBy(key, "role").agg(F.count(F.lit(1)).alias("_cnt"))
+    return ranked.join(counts, [key, "role"]).select(
+        key, "role", (F.col("_cnt") - F.col("_rpos")).cast("int").alias("n"), "content")
 
 
 def undo_last_pair(history: DataFrame, key: str, pos: str) -> DataFrame:
-    """Drop the last two turns of every conversation holding at least two."""
-    w = Window.partitionBy(key).orderBy(F.col(pos).desc())
-    n = F.count(F.lit(1)).over(Window.partitionBy(key))
-    return (history.withColumn("_rk", F.row_number().over(w)).withColumn("_n", n)
-            .filter((F.col("_n") < 2) | (F.col("_rk") > 2)).drop("_rk", "_n"))
+    """Drop the last two turns of every conversation holding at least two
+    (``pos`` is the 1-based position within the conversation)."""
+    n = history.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    return (history.join(n, key).filter((F.col("_n") < 2) | (F.col(pos) <= F.col("_n") - 2)).drop("_n"))
 
 
 def number_turns(events: DataFrame, session: str = "session", order: list[str] | None = None) -> DataFrame:

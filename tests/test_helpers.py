@@ -70,3 +70,12 @@ def test_preview_recall_text_frame(spark):
     doc = spark.createDataFrame([("u", "n.md", "body")], "u string, n string, t string")
     framed = doc.select(CX.frame_document(F.col("u"), F.col("n"), F.col("t")).alias("f")).collect()[0].f
     assert framed.splitlines()[2] == "Document Length: 4"
+
+
+def test_blocked_position_equals_row_number(spark):
+    from pyspark.sql import Window
+    from mnemo.operators.history import blocked_position
+    df = spark.range(5000).select((F.col("id") % 3).alias("k"), (F.col("id") * 7919 % 5000).alias("t"))
+    got = blocked_position(df, ["k"], ["t"], F.floor(F.col("t") / 97))
+    ref = df.withColumn("pos", F.row_number().over(Window.partitionBy("k").orderBy("t")))
+    assert sorted(map(tuple, got.select("k", "t", "pos").collect())) == sorted(map(tuple, ref.collect()))
