@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.scoring import derive_date, derive_speaker, memory_score
 from ..schema import CANDIDATE_LIMIT, COLUMNS, DOC_JOURNAL, MEMORY_WINDOW, RECALL_SIZE
 from .dense import dense_candidates, top_k_per_request
-from .sparse import bm25_fit_terms, bm25_query, term_counts
+from .sparse import bm25_fit_terms, bm25_query_terms, term_counts
 
 # broadcast bound for the candidate keys joined back onto the store scan
 MAX_BROADCAST_CANDIDATES = 2_000_000
@@ -36,6 +36,19 @@ def spark_conf_int(df: DataFrame, key: str, default: int) -> int:
         return default
 
 
+def _hash_is_exact(*pairs) -> bool:
+    """True when xxhash64 is injective on the distinct values of every (df, column).
+
+    One aggregate job over the tagged union of the value sets."""
+    vals = None
+    for i, (df, col) in enumerate(pairs):
+        v = df.select(F.lit(i).alias("_set"), F.col(col).cast("string").alias("_v"))
+        vals = v if vals is None else vals.unionByName(v)
+    rows = vals.groupBy("_set").agg(F.count_distinct("_v").alias("a"),
+                                    F.count_distinct(F.xxhash64("_v")).alias("b")).collect()
+    return all(r["a"] == r["b"] for r in rows)
+
+
 def _checked_broadcast(df: DataFrame, bound_rows: int, max_rows: int) -> DataFrame:
     """Broadcast ``df`` only when a proven row bound is under ``max_rows``."""
     return F.broadcast(df) if bound_rows <= max_rows else df
@@ -75,16 +88,35 @@ def memory_query(store: DataFrame, requests: DataFrame, query_texts: DataFrame,
 
     # BM25 is fitted on each request's own candidate set; each document is tokenized once
     terms = term_counts(docs, ["doc_id"], "content")
+    n_texts = query_texts.count()
+    texts = query_texts.select("request_id", "n", "text")
+    qterms = term_counts(texts, ["request_id", "n"], "text").withColumnRenamed("tf", "qtf")
     # the (request, doc, term) table is the big one: size its shuffle from the
     # candidate count (a cheap count of the checkpointed table)
     n_cands = cands.count()
     parts = max(int(spark_conf_int(store, "spark.sql.shuffle.partitions", 8)),
                 -(-n_cands // CANDIDATES_PER_PARTITION))
-    model = bm25_fit_terms(cands.select("request_id", "doc_id"), terms, ["request_id"], "doc_id",
-                           num_partitions=parts)
-    n_texts = query_texts.count()
-    texts = query_texts.select("request_id", "n", "text")
-    sims = bm25_query(model, texts, ["n"], "text", broadcast_query=n_texts <= MAX_BROADCAST_QUERY_TEXTS)
+    members = cands.select("request_id", "doc_id")
+    long_keys = _hash_is_exact((members, "request_id"), (members, "doc_id"),
+                               (terms.select("term").unionByName(qterms.select("term")), "term"))
+    if long_keys:
+        # 64-bit surrogate keys make the per-request sorts and windows much cheaper;
+        # used only after checking the hash is injective on the actual values
+        h = F.xxhash64
+        members = members.select(h("request_id").alias("rk"), h("doc_id").alias("dk"))
+        terms = terms.select(h("doc_id").alias("dk"), h("term").alias("tk"), "tf")
+        qterms = qterms.select(h("request_id").alias("rk"), "n", h("term").alias("tk"), "qtf")
+        rk, dk, tk = "rk", "dk", "tk"
+    else:
+        rk, dk, tk = "request_id", "doc_id", "term"
+    model = bm25_fit_terms(members, terms.withColumnRenamed(tk, "term") if tk != "term" else terms,
+                           [rk], dk, num_partitions=parts)
+    qt = qterms.withColumnRenamed(tk, "term") if tk != "term" else qterms
+    sims = bm25_query_terms(model, qt, ["n"], broadcast_query=n_texts <= MAX_BROADCAST_QUERY_TEXTS)
+    if long_keys:
+        ids = cands.select("request_id", "doc_id", F.xxhash64("request_id").alias("rk"),
+                           F.xxhash64("doc_id").alias("dk"))
+        sims = sims.join(ids, ["rk", "dk"]).drop("rk", "dk")
     params = requests.select("request_id", "turn_decay", "temporal_decay", "as_of", "top_n")
     params = _checked_broadcast(params, n_req, MAX_BROADCAST_QUERY_TEXTS)
     best = (sims.join(params.select("request_id", "turn_decay"), "request_id")

@@ -129,34 +129,41 @@ def bm25_query(model: BM25Model, texts: DataFrame, qid_cols: list[str], text_col
     """Cosine similarity ``(keys..., qid..., doc, sim)`` for pairs sharing a term.
 
     Pairs without a shared term have similarity 0 and are not emitted (the matrix
-    stays sparse).  The raw query terms are joined straight onto the document
-    weights, which carry the corpus idf, so the query side needs no separate
-    vocabulary lookup; ``broadcast_query`` marks that side for broadcast (pass it
-    only after checking the size of ``texts``).
-
-    Keyed corpora: the weights carry their norm and stay hash-partitioned on the
-    keys; the query norm comes from windows over the joined rows, so the weight
-    table is read by a single chain with no further shuffle.
+    stays sparse).  ``broadcast_query`` marks the query-term side for broadcast
+    (pass it only after checking the size of ``texts``).
     """
     keys, doc = model.keys, model.doc_col
     if keys and "dn" in model.weights.columns:
         qt = term_counts(texts, keys + qid_cols, text_col, tokenizer).withColumnRenamed("tf", "qtf")
-        qside = F.broadcast(qt) if broadcast_query else qt
-        j = (model.weights.join(qside, keys + ["term"])
-             .withColumn("v", _query_weight(F.col("qtf"), F.col("idf"), model.k1)))
-        first = F.row_number().over(Window.partitionBy(*keys, *qid_cols, "term").orderBy(doc)) == 1
-        j = j.withColumn("v2", F.when(first, F.col("v") * F.col("v")).otherwise(0.0))
-        j = j.withColumn("qn", F.sqrt(F.sum("v2").over(Window.partitionBy(*keys, *qid_cols))))
-        agg = j.groupBy(*keys, *qid_cols, doc).agg(
-            F.sum(F.col("v") * F.col("w")).alias("dot"), F.first("qn").alias("qn"), F.first("dn").alias("dn"))
-        return agg.select(*keys, *qid_cols, doc, F.coalesce(
-            F.try_divide(F.col("dot"), F.col("qn") * F.col("dn")), F.lit(0.0)).alias("sim"))
+        return bm25_query_terms(model, qt, qid_cols, broadcast_query)
     dot = sparse_dot(model, texts, qid_cols, text_col, tokenizer, broadcast_query, with_norm=True)
     return (dot.join(model.norms, keys + [doc])
             .select(*keys, *qid_cols, doc,
                     F.coalesce(F.try_divide(F.col("dot"), F.col("qn") * F.col("dn")), F.lit(0.0)).alias("sim")))
 
 
+def bm25_query_terms(model: BM25Model, qt: DataFrame, qid_cols: list[str], broadcast_query: bool = False,
+                     term_col: str = "term") -> DataFrame:
+    """Keyed-corpus similarity from counted query terms ``(keys..., qid..., term, qtf)``.
+
+    The raw query terms are joined straight onto the document weights, which
+    carry the corpus idf and the document norm and stay hash-partitioned on the
+    keys; the query norm is a window over the joined rows, so the weight table is
+    read by a single chain with no further shuffle.
+    """
+    keys, doc = model.keys, model.doc_col
+    qside = F.broadcast(qt) if broadcast_query else qt
+    j = (model.weights.join(qside, keys + [term_col])
+         .withColumn("v", _query_weight(F.col("qtf"), F.col("idf"), model.k1)))
+    first = F.row_number().over(Window.partitionBy(*keys, *qid_cols, term_col).orderBy(doc)) == 1
+    j = j.withColumn("v2", F.when(first, F.col("v") * F.col("v")).otherwise(0.0))
+    j = j.withColumn("qn", F.sqrt(F.sum("v2").over(Window.partitionBy(*keys, *qid_cols))))
+    agg = j.groupBy(*keys, *qid_cols, doc).agg(
+        F.sum(F.col("v") * F.col("w")).alias("dot"), F.first("qn").alias("qn"), F.first("dn").alias("dn"))
+    return agg.select(*keys, *qid_cols, doc, F.coalesce(
+        F.try_divide(F.col("dot"), F.col("qn") * F.col("dn")), F.lit(0.0)).alias("sim"))
+
+
 def sparse_dot(model: BM25Model, texts: DataFrame, qid_cols: list[str], text_col: str,
                tokenizer=tokenize, broadcast_query: bool = False, with_norm: bool = False) -> DataFrame:
     """``(keys..., qid..., doc, dot[, qn])``: query weights . document weights over shared terms."""

@@ -45,7 +45,8 @@ def _sig(df: DataFrame, *cols: str) -> DataFrame:
 @register("memory_query", oracle.memory_query_sql())
 def q_memory_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = turns(spark, sf_dir, with_vectors=True)
-    requests, texts = chat_requests(store)
+    # texts come from the vector-less view: no vector join just to read text
+    requests, texts = chat_requests(turns(spark, sf_dir))
     vectors = request_vectors(store, texts)
     res = memory_query(store, requests, texts, vectors, time_zone=session_time_zone(spark))
     return _sig(res, "score")
@@ -337,8 +338,9 @@ def q_conscious_sample(spark, sf_dir):
 @register("recall_bundle", oracle.RECALL_BUNDLE)
 def q_recall_bundle(spark, sf_dir):
     store = turns(spark, sf_dir, with_vectors=True)
-    at, ut = role_texts(store, "assistant"), role_texts(store, "user")
-    res = MQ.recall_bundle(store, chats(store), at, request_vectors(store, at), ut, request_vectors(store, ut),
+    base = turns(spark, sf_dir)
+    at, ut = role_texts(base, "assistant"), role_texts(base, "user")
+    res = MQ.recall_bundle(store, chats(base), at, request_vectors(store, at), ut, request_vectors(store, ut),
                            time_zone=_tz(spark))
     return _sig(res, "score")
 
@@ -346,7 +348,7 @@ def q_recall_bundle(spark, sf_dir):
 @register("dense_candidates", oracle.DENSE_CANDIDATES)
 def q_dense_candidates(spark, sf_dir):
     store = turns(spark, sf_dir, with_vectors=True)
-    requests, texts = chat_requests(store)
+    requests, texts = chat_requests(turns(spark, sf_dir))
     req = requests.join(request_vectors(store, texts), "request_id")
     cands = top_k_per_request(dense_candidates(store, req)).drop("rank")
     return _r6(cands, "distance")
@@ -561,7 +563,8 @@ from ..operators.evaluation import token_overlap_eval  # noqa: E402
 
 def _typed_memory(spark, sf_dir, doc_type, top_n, meta, turn_decay, temporal_decay):
     store = turns(spark, sf_dir, with_vectors=True)
-    requests, texts = chat_requests(store, top_n=top_n, turn_decay=turn_decay, temporal_decay=temporal_decay)
+    requests, texts = chat_requests(turns(spark, sf_dir), top_n=top_n, turn_decay=turn_decay,
+                                    temporal_decay=temporal_decay)
     newest = texts.filter(F.col("n") == 0)
     requests = requests.withColumn("document_type", F.lit(doc_type)).withColumn("filter_metadocs", F.lit(meta))
     requests = requests.join(newest.select("request_id"), "request_id", "left_semi")
