@@ -63,13 +63,18 @@ def capitalized_phrases(docs: DataFrame, id_col: str, text_col: str,
     """
     pat = f"({NON_WORD})({WORD})"
     t = F.col(text_col)
-    gaps = F.regexp_extract_all(t, F.lit(pat), 1)
-    words = F.regexp_extract_all(t, F.lit(pat), 2)
-    pairs = F.arrays_zip(gaps.alias("gap"), words.alias("word"))
-    exploded = docs.select(id_col, F.posexplode(pairs).alias("pos", "gw"))
+    # the two arrays are materialised as columns once (a lambda must not re-run the regex)
+    arrs = docs.select(id_col, F.regexp_extract_all(t, F.lit(pat), 1).alias("_gaps"),
+                       F.regexp_extract_all(t, F.lit(pat), 2).alias("_words"))
+    # both word patterns start with an ASCII capital: only those words (with their
+    # position and preceding gap) are exploded into rows
+    pairs = F.arrays_zip(F.col("_gaps").alias("gap"), F.col("_words").alias("word"),
+                         F.sequence(F.lit(0), F.size("_words") - 1).alias("pos"))
+    capital = F.filter(pairs, lambda x: x["word"].rlike("^[A-Z]"))
+    exploded = arrs.select(id_col, F.explode(capital).alias("gw"))
     tagged = exploded.select(
-        id_col, "pos", F.col("gw.word").alias("word"),
-        ((F.col("pos") == 0) | F.col("gw.gap").rlike(SENTENCE_GAP)).alias("initial"))
+        id_col, F.col("gw.pos").alias("pos"), F.col("gw.word").alias("word"),
+        ((F.col("gw.pos") == 0) | F.col("gw.gap").rlike(SENTENCE_GAP)).alias("initial"))
     tagged = tagged.select(id_col, "pos", "word",
                            F.col("word").rlike(MIXED_CASE).alias("mixed"),
                            (F.col("word").rlike(CAPITALIZED) & ~F.col("initial")).alias("eligible"))
