@@ -85,12 +85,21 @@ def number_turns(events: DataFrame, session: str = "session", order: list[str] |
     return out.filter(a == "assistant").drop("action")
 
 
-def number_turns_blocked(events: DataFrame, session: str = "session", block_seconds: int = 3600,
-                         ts: str = "ts") -> DataFrame:
+# events per block of a hot session (sessions below this stay one block)
+BLOCK_ROWS = 200_000
+
+
+def number_turns_blocked(events: DataFrame, session: str = "session", block_rows: int = BLOCK_ROWS,
+                         ts: str = "ts", block_seconds: int | None = None) -> DataFrame:
     """``number_turns`` for sessions of any size: a segmented parallel scan.
 
-    Each session is cut into event-time blocks (``block_seconds`` wide); every
-    window runs per (session, block), so one session holding a third of all
+    A grouped count per session (partial aggregation, so a hot session costs
+    nothing special) decides the plan: when no session holds more than
+    ``block_rows`` events the plain per-session windows run (each session fits a
+    task); otherwise a session with at most ``block_rows`` events is one block and
+    a larger one is cut into equal-width event-time blocks of about ``block_rows``
+    events (``block_seconds`` forces fixed-width blocks for every session).
+    Every window runs per (session, block), so one session holding a third of all
     events is spread over many tasks.  A block summary table (one row per block)
     carries the running state (S, running min of S, accepted pairs, branches)
     from block to block with windows over blocks, restarting after the last
@@ -98,8 +107,20 @@ def number_turns_blocked(events: DataFrame, session: str = "session", block_seco
     """
     a = F.col("action")
     us = F.unix_micros(F.col(ts).cast("timestamp"))
-    ev = events.select(session, "event_id", a.alias("action"), F.col(ts).alias("_ts"),
-                       F.floor(us / (block_seconds * 1_000_000)).alias("block"))
+    if block_seconds is not None:
+        block = F.floor(us / (block_seconds * 1_000_000))
+        base = events
+    else:
+        stats = events.groupBy(session).agg(F.count(F.lit(1)).alias("_cnt"), F.min(us).alias("_lo"),
+                                             F.max(us).alias("_hi"))
+        # no session above the budget: every session fits a task, per-session windows are safe
+        if (stats.agg(F.max("_cnt")).first()[0] or 0) <= block_rows:
+            return number_turns(events.withColumnRenamed(ts, "ts") if ts != "ts" else events, session)
+        base = events.join(stats, session)
+        n_blocks = F.ceil(F.col("_cnt") / block_rows)
+        width = F.greatest((F.col("_hi") - F.col("_lo") + 1) / n_blocks, F.lit(1.0))
+        block = F.when(F.col("_cnt") <= block_rows, F.lit(0)).otherwise(F.floor((us - F.col("_lo")) / width))
+    ev = base.select(session, "event_id", a.alias("action"), F.col(ts).alias("_ts"), block.cast("long").alias("block"))
     blk = [session, "block"]
     order = [F.col("_ts"), F.col("event_id")]
     run_b = Window.partitionBy(*blk).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
@@ -111,16 +132,15 @@ def number_turns_blocked(events: DataFrame, session: str = "session", block_seco
             .withColumn("min_loc", F.min("s_loc").over(seg_w))
             .withColumn("acc_loc", F.sum("acc").over(seg_w)))
 
-    # block summaries: whole-block values (used when the block has no 'new') and tail values
-    tails = ev.withColumn("_last", F.max("lseg").over(Window.partitionBy(*blk))).filter(
-        F.col("lseg") == F.col("_last"))
-    tail = tails.groupBy(*blk).agg(
-        F.max_by("s_loc", F.struct(*order)).alias("tail_s"), F.min("s_loc").alias("tail_min"),
-        F.sum("acc").alias("tail_acc"))
-    whole = ev.groupBy(*blk).agg(
+    # block summaries in one aggregate: whole-block values (used when the block has
+    # no 'new') and tail values (after the block's last 'new'); the last event is
+    # always in the tail, and min(struct(-segment, s)) is the minimum of the last segment
+    last = F.struct(*order)
+    bs = ev.groupBy(*blk).agg(
         F.sum(F.when(a == "new", 1).otherwise(0)).alias("n_new"), F.sum("step").alias("tot"),
-        F.sum("acc").alias("tot_acc"), F.min(F.when(F.col("lseg") == 0, F.col("s_loc"))).alias("relmin"))
-    bs = whole.join(tail, blk)
+        F.sum("acc").alias("tot_acc"), F.min(F.when(F.col("lseg") == 0, F.col("s_loc"))).alias("relmin"),
+        F.max_by("s_loc", last).alias("tail_s"), F.max_by("acc_loc", last).alias("tail_acc"),
+        F.min(F.struct((-F.col("lseg")).alias("k"), F.col("s_loc").alias("v")))["v"].alias("tail_min"))
     entry = _block_entry(bs, session)
 
     ev = ev.join(entry, blk)
@@ -137,12 +157,11 @@ def number_turns_blocked(events: DataFrame, session: str = "session", block_seco
     ev = ev.withColumn("br_loc", F.sum("inc").over(seg_w))
 
     # second carry: branch increments per block, same reset structure
-    last_w = Window.partitionBy(*blk)
-    inc_tail = (ev.withColumn("_last", F.max("lseg").over(last_w)).filter(F.col("lseg") == F.col("_last"))
-                .groupBy(*blk).agg(F.sum("inc").alias("tail_inc")))
-    inc_whole = ev.groupBy(*blk).agg(F.sum(F.when(F.col("lseg") == 0, F.col("inc")).otherwise(0)).alias("tot_inc"),
-                                     F.sum(F.when(a == "new", 1).otherwise(0)).alias("n_new"))
-    br = _branch_entry(inc_whole.join(inc_tail, blk), session)
+    inc_sum = ev.groupBy(*blk).agg(
+        F.sum(F.when(F.col("lseg") == 0, F.col("inc")).otherwise(0)).alias("tot_inc"),
+        F.sum(F.when(a == "new", 1).otherwise(0)).alias("n_new"),
+        F.max_by("br_loc", F.struct(*order)).alias("tail_inc"))
+    br = _branch_entry(inc_sum, session)
     ev = ev.join(br, blk)
     branch = F.when(first, F.col("br_in")).otherwise(0) + F.col("br_loc")
     out = ev.filter(a == "assistant").select(session, "event_id", (2 * F.col("acc_run") - 2).alias("sequence_no"),

@@ -318,7 +318,7 @@ def q_undo_last_pair(spark, sf_dir):
 def q_number_turns(spark, sf_dir):
     # the blocked scan: no window is keyed by the session alone, so a hot session
     # is spread over its time blocks
-    res = TO.number_turns_blocked(session_events(spark, sf_dir), block_seconds=3600)
+    res = TO.number_turns_blocked(session_events(spark, sf_dir))
     return res.select("session", "event_id", F.col("sequence_no").cast("long"), F.col("branch").cast("long"))
 
 

@@ -81,3 +81,6 @@ def test_number_turns_hot_session_blocked(spark):
     for width in (60, 3600):
         got = TO.number_turns_blocked(ev, block_seconds=width).collect()
         assert sorted((r.session, r.sequence_no, r.branch) for r in got) == expect
+    # adaptive blocks: the hot session is cut into ~500-event blocks
+    got = TO.number_turns_blocked(ev, block_rows=500).collect()
+    assert sorted((r.session, r.sequence_no, r.branch) for r in got) == expect
