@@ -78,31 +78,34 @@ def capitalized_phrases(docs: DataFrame, id_col: str, text_col: str,
     tagged = tagged.select(id_col, "pos", "word",
                            F.col("word").rlike(MIXED_CASE).alias("mixed"),
                            (F.col("word").rlike(CAPITALIZED) & ~F.col("initial")).alias("eligible"))
-    # only candidate words go on; runs are found by gaps-and-islands over positions
-    mixed = tagged.filter("mixed").select(id_col, F.col("word").alias("phrase"))
-    elig = tagged.filter("eligible").select(id_col, "pos", "word")
-    w = Window.partitionBy(id_col).orderBy("pos")
-    runs = elig.withColumn("run", F.col("pos") - F.row_number().over(w))
-    wr = Window.partitionBy(id_col, "run").orderBy("pos")
-    runs = runs.withColumn("grp", F.floor((F.row_number().over(wr) - 1) / max_n))
-    grouped = runs.groupBy(id_col, "run", "grp").agg(
+    # one flow (the text is scanned once): mixed-case words are single-word groups,
+    # eligible words form runs by gaps-and-islands over positions, cut into groups
+    # of max_n from the start of the run
+    cand = tagged.filter(F.col("mixed") | F.col("eligible"))
+    w = Window.partitionBy(id_col, "eligible").orderBy("pos")
+    cand = cand.withColumn("run", F.when(F.col("eligible"), F.col("pos") - F.row_number().over(w))
+                           .otherwise(F.col("pos")))
+    wr = Window.partitionBy(id_col, "eligible", "run").orderBy("pos")
+    cand = cand.withColumn("grp", F.when(F.col("eligible"), F.floor((F.row_number().over(wr) - 1) / max_n))
+                           .otherwise(F.lit(0)))
+    grouped = cand.groupBy(id_col, "eligible", "run", "grp").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda s: s["word"]),
                      " ").alias("phrase"))
-    return mixed.unionByName(grouped.select(id_col, "phrase")).distinct()
+    return grouped.select(id_col, "phrase").distinct()
 
 
 def expand_plurals(phrases: DataFrame, id_col: str) -> DataFrame:
     """Add ``m + 's'`` when ``m`` without trailing s is present (a word with no
     trailing s always gains its plural), and the stripped form when ``m + 's'`` is
-    present.  Conditions are read on the original set."""
-    s = phrases.select(id_col, "phrase").distinct()
-    stripped = F.regexp_replace(F.col("phrase"), "s+$", "")
-    present = s.select(id_col, F.col("phrase").alias("other"))
-    plural = (s.withColumn("other", stripped).join(present, [id_col, "other"], "left_semi")
-              .select(id_col, F.concat(F.col("phrase"), F.lit("s")).alias("phrase")))
-    singular = (s.withColumn("other", F.concat(F.col("phrase"), F.lit("s"))).join(present, [id_col, "other"], "left_semi")
-                .select(id_col, stripped.alias("phrase")))
-    return s.unionByName(plural).unionByName(singular).distinct()
+    present.  Conditions are read on the original set.  Works on each document's
+    phrase set as an array (no self-join, so the phrase plan runs once)."""
+    sets = phrases.groupBy(id_col).agg(F.collect_set("phrase").alias("_s"))
+    strip_s = lambda m: F.regexp_replace(m, "s+$", "")
+    plural = F.transform(F.filter("_s", lambda m: F.array_contains(F.col("_s"), strip_s(m))),
+                         lambda m: F.concat(m, F.lit("s")))
+    singular = F.transform(F.filter("_s", lambda m: F.array_contains(F.col("_s"), F.concat(m, F.lit("s")))),
+                           strip_s)
+    return sets.select(id_col, F.explode(F.array_distinct(F.concat("_s", plural, singular))).alias("phrase"))
 
 
 def capitalized_ngrams(docs: DataFrame, id_col: str, text_col: str, max_n: int = MAX_PHRASE_WORDS) -> DataFrame:

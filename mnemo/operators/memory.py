@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scoring import derive_date, derive_speaker, memory_score
+from ..session import materialize
 from ..schema import CANDIDATE_LIMIT, COLUMNS, DOC_JOURNAL, MEMORY_WINDOW, RECALL_SIZE
 from .dense import dense_candidates, top_k_per_request
 from .sparse import bm25_fit_terms, bm25_query_terms, term_counts
@@ -76,7 +77,7 @@ def memory_query(store: DataFrame, requests: DataFrame, query_texts: DataFrame,
     # the candidate table (at most requests x k rows) feeds several consumers:
     # a reliable checkpoint cuts the lineage so the vector scan runs once and a
     # lost executor does not replay it
-    cands = top_k_per_request(local, k=k).drop("rank").checkpoint(eager=True)
+    cands = materialize(top_k_per_request(local, k=k).drop("rank"))
 
     # the candidate documents, read once: the candidate keys (at most requests x k
     # rows, a proven bound) are broadcast into a column-pruned store scan, so the

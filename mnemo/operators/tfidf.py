@@ -85,6 +85,8 @@ def tfidf_score_documents(queries: DataFrame, qid: str, qtext: str,
     """``(qid, did, sim)`` for query/document pairs sharing a term."""
     ner = capitalized_ngrams(queries, qid, qtext).select("phrase").distinct()
     small = ner.count() <= MAX_BROADCAST_PHRASES  # size check before broadcasting the boost set
+    # idf is a grouped aggregate joined back (AQE can split a hot term), not a
+    # window keyed by the term
     d_terms = ngram_counts(token_stream(docs, did, dtext, ner, small), did)
     q_terms = ngram_counts(token_stream(queries, qid, qtext, ner, small), qid)
     n_docs = docs.agg(F.count(F.lit(1)).cast("double")).scalar()
@@ -92,9 +94,11 @@ def tfidf_score_documents(queries: DataFrame, qid: str, qtext: str,
         (F.log((n_docs + 1.0) / (F.count(F.lit(1)) + 1.0)) + 1.0).alias("idf"))
 
     def normalised(terms, key):
+        # the norm is a window over one text's terms (bounded by the text), so the
+        # weighted rows are consumed by a single chain
         x = terms.join(idf, "term").withColumn("x", F.col("tf") * F.col("idf"))
-        norm = x.groupBy(key).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-        return x.join(norm, key).select(key, "term", (F.col("x") / F.col("norm")).alias("u"))
+        norm = F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy(key)))
+        return x.select(key, "term", (F.col("x") / norm).alias("u"))
 
     dv = normalised(d_terms, did).withColumnRenamed("u", "du")
     qv = normalised(q_terms, qid).withColumnRenamed("u", "qu")

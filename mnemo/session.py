@@ -58,3 +58,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 def session_time_zone(spark: SparkSession) -> str:
     return spark.conf.get("spark.sql.session.timeZone", "UTC") or "UTC"
+
+
+def materialize(df):
+    """Reliable checkpoint computed once: persist, write the checkpoint from the
+    cached blocks, then release the cache (an uncached eager checkpoint would
+    compute the plan twice).  The result reads from ``spark.checkpoint.dir``, so a
+    lost executor does not replay the lineage."""
+    from pyspark import StorageLevel
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = cached.checkpoint(eager=True)
+    cached.unpersist()
+    return out
