@@ -52,6 +52,8 @@ def _request_block(rows: list) -> dict:
         "metadocs": np.array([True if r["filter_metadocs"] is None else bool(r["filter_metadocs"]) for r in rows]),
         "excl": np.array([none_str(r["exclude_conversation_id"]) for r in rows], dtype=object),
         "no_excl": np.array([r["exclude_conversation_id"] is None for r in rows]),
+        "only": np.array([none_str(r["only_conversation_id"]) for r in rows], dtype=object),
+        "no_only": np.array([r["only_conversation_id"] is None for r in rows]),
         "kmax": int(max(int(r["k_eff"]) for r in rows)),
     }
 
@@ -90,6 +92,7 @@ def _make_partition_topk(bc):
             ok = ~(blk["metadocs"][:, None] & is_meta[None, :])
             ok &= blk["any_type"][:, None] | (blk["doc_type"][:, None] == dtype[None, :])
             ok &= blk["no_excl"][:, None] | (blk["excl"][:, None] != conv[None, :])
+            ok &= blk["no_only"][:, None] | (blk["only"][:, None] == conv[None, :])
             for r0 in range(0, nreq, REQ_CHUNK):
                 r1 = min(nreq, r0 + REQ_CHUNK)
                 for c0 in range(0, len(mat), ROW_CHUNK):
@@ -128,11 +131,14 @@ def dense_candidates(store: DataFrame, requests: DataFrame, k: int = CANDIDATE_L
     ``store`` needs ``doc_id, index, document_type, conversation_id`` (apply global
     filters before calling; they push down into the scan).  ``requests`` needs
     ``request_id, qvec`` and the prefilter columns ``document_type,
-    filter_metadocs, exclude_conversation_id``.  ``extra`` (``request_id, n_extra``)
+    filter_metadocs, exclude_conversation_id`` (optionally ``only_conversation_id``).  ``extra`` (``request_id, n_extra``)
     widens a request's local limit, used to make a later anti-join exact.
     """
     spark = store.sparkSession
-    req = requests.select("request_id", "qvec", "document_type", "filter_metadocs", "exclude_conversation_id")
+    if "only_conversation_id" not in requests.columns:
+        requests = requests.withColumn("only_conversation_id", F.lit(None).cast("string"))
+    req = requests.select("request_id", "qvec", "document_type", "filter_metadocs", "exclude_conversation_id",
+                          "only_conversation_id")
     if extra is not None:
         req = req.join(extra, "request_id", "left")
     else:

@@ -69,6 +69,31 @@ def conversation_history(store: DataFrame, conversations: DataFrame | None = Non
     return std_projection(ordered, time_zone, extra=["pos"])
 
 
+# rows kept by the vector search of a history lookup with a query text
+HISTORY_QUERY_LIMIT = 100
+
+
+def conversation_history_for_query(store: DataFrame, queries: DataFrame, limit: int = HISTORY_QUERY_LIMIT,
+                                   time_zone: str = "UTC") -> DataFrame:
+    """History lookup with a query text: per ``queries(request_id, conversation_id,
+    qvec)`` the ``limit`` rows of that conversation nearest to the query vector,
+    then the newest branch per sequence number and the history order.
+
+    The conversation restriction is a prefilter of the vector kernel (so the
+    limit counts only that conversation's rows)."""
+    from .dense import dense_candidates, top_k_per_request
+    req = queries.select("request_id", "qvec", F.lit(None).cast("string").alias("document_type"),
+                         F.lit(False).alias("filter_metadocs"),
+                         F.lit(None).cast("string").alias("exclude_conversation_id"),
+                         F.col("conversation_id").alias("only_conversation_id"))
+    near = top_k_per_request(dense_candidates(store, req, k=limit), k=limit).select("request_id", "doc_id")
+    rows = store.drop("index").join(near, "doc_id")
+    kept = latest_branch_history(rows, ["request_id"])
+    w = Window.partitionBy("request_id").orderBy(*[F.col(c) for c in HISTORY_ORDER], F.col("doc_id"))
+    # at most ``limit`` rows per request: a bounded window
+    return std_projection(kept.withColumn("pos", F.row_number().over(w)), time_zone, extra=["request_id", "pos"])
+
+
 def display_lines(history: DataFrame) -> DataFrame:
     """``role: content`` line per history row."""
     return history.select("conversation_id", "pos", F.concat_ws(": ", "role", "content").alias("line"))

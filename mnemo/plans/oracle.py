@@ -569,3 +569,14 @@ ACTIVE_MEMORY = with_(TURNS, TURN_VECTORS, PENDING, *SEED, *FMT_CONSCIOUS,
                       "tvf AS (SELECT * FROM tv WHERE document_type <> 'analysis')",
                       *memory_ctes("am", "areq", "actx", "aseen", store="tvf", turn_decay=0.0,
                                    temporal_decay=0.8)) + f"SELECT {MEMORY_OUT} FROM am_out"
+
+
+HISTORY_WITH_QUERY = with_(TURNS, TURN_VECTORS, CHAT_TEXTS, """hq AS (
+  SELECT q.request_id, t.index AS qvec FROM qt q JOIN tv t ON t.doc_id = q.source_doc_id WHERE q.n = 0)""", """hp AS (
+  SELECT r.request_id, s.*, list_sum(list_transform(list_zip(r.qvec, s.index), lambda q: (q[1]::DOUBLE - q[2]::DOUBLE)^2)) AS distance
+  FROM hq r JOIN tv s ON s.conversation_id = r.request_id AND s.index IS NOT NULL)""", """hn AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY distance, doc_id) AS rk FROM hp) WHERE rk <= 100)""",
+                           """hl AS (
+  SELECT * FROM (SELECT *, max(branch) OVER (PARTITION BY request_id, sequence_no) AS mb FROM hn) WHERE branch = mb)""") + \
+    f"""SELECT request_id, CAST(row_number() OVER (PARTITION BY request_id ORDER BY timestamp, branch, sequence_no, doc_id) AS INTEGER) AS pos,
+  {COLS9}, {DATE.format(ts='timestamp')} AS date, {SPEAKER.format(p='')} AS speaker FROM hl"""

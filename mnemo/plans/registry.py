@@ -638,3 +638,13 @@ def q_active_memory(spark, sf_dir):
     res = memory_query(store, requests, texts, request_vectors(store, texts), exclusions=seen,
                        filter_text=F.col("document_type") != "analysis", time_zone=_tz(spark))
     return _sig(res, "score")
+
+
+@register("conversation_history_query", oracle.HISTORY_WITH_QUERY)
+def q_history_with_query(spark, sf_dir):
+    """History of every conversation looked up with its newest user turn as the
+    query: the 100 nearest rows of the conversation, newest branch, history order."""
+    store = turns(spark, sf_dir, with_vectors=True)
+    _requests, texts = chat_requests(turns(spark, sf_dir))
+    q = request_vectors(store, texts).withColumn("conversation_id", F.col("request_id"))
+    return H.conversation_history_for_query(store, q, time_zone=_tz(spark))
