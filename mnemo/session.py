@@ -66,6 +66,7 @@ def materialize(df):
     compute the plan twice).  The result reads from ``spark.checkpoint.dir``, so a
     lost executor does not replay the lineage."""
     from pyspark import StorageLevel
+    ensure_checkpoint_dir(df.sparkSession)
     cached = df.persist(StorageLevel.MEMORY_AND_DISK)
     out = cached.checkpoint(eager=True)
     cached.unpersist()
