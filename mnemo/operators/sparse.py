@@ -183,10 +183,11 @@ def sparse_dot(model: BM25Model, texts: DataFrame, qid_cols: list[str], text_col
 def vocabulary(idf: DataFrame) -> DataFrame:
     """``(term, feature_index)``: sorted distinct terms numbered from 0.
 
-    A distributed range sort, then ``zipWithIndex`` (one small job counts the
-    rows per partition to get the offsets); no single-task global window.
+    Dense numbering without a single-task global window: terms are numbered inside
+    blocks keyed by their first two characters (a prefix is monotone with the sort
+    order) and shifted by the counts of the earlier blocks.
     """
-    ordered = idf.select("term").distinct().orderBy("term")
-    spark = idf.sparkSession
-    indexed = ordered.rdd.zipWithIndex().map(lambda p: (p[0][0], p[1]))
-    return spark.createDataFrame(indexed, "term string, feature_index long")
+    from .history import blocked_position
+    terms = idf.select("term").distinct().withColumn("_all", F.lit(0))
+    numbered = blocked_position(terms, ["_all"], ["term"], F.substring("term", 1, 2), name="_pos")
+    return numbered.select("term", (F.col("_pos") - 1).cast("long").alias("feature_index"))
