@@ -474,7 +474,7 @@ JOIN (SELECT DISTINCT conversation_id AS request_id, persona_id FROM turns) pp U
 
 
 def expand_plan_sql() -> str:
-    from ..operators.pipelines import ORDINALS, TASK_SENTENCES
+    from ..operators.prompts import ORDINALS, TASK_SENTENCES
     ords = "[" + ", ".join(f"'{o}'" for o in ORDINALS) + "]"
     tasks = "[" + ", ".join("'" + t.replace("'", "''") + "'" for t in TASK_SENTENCES) + "]"
     steps_re = TOTAL_STEPS_RE

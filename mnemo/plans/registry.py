@@ -465,7 +465,7 @@ def q_stream_recall(spark, sf_dir):
 
 # ---- context assembly and pipelines (pending-analysis conversations) --------------
 from ..operators import context as CX  # noqa: E402
-from ..operators import pipelines as PL  # noqa: E402
+from ..operators import prompts as PL  # noqa: E402
 from ..schema import CONTEXT_COLUMNS  # noqa: E402
 
 

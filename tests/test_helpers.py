@@ -6,7 +6,7 @@ from mnemo.functions.embed import hashed_embedding
 from mnemo.functions.ids import new_ids
 from mnemo.functions.text import query_label, wordnet_pos
 from mnemo.operators import context as CX
-from mnemo.operators import pipelines as PL
+from mnemo.operators import prompts as PL
 
 
 def test_query_label(spark):
