@@ -81,3 +81,16 @@ def test_store_init_append_clear(spark):
     assert st.scan(["document_type"]).distinct().collect()[0].document_type == "conversation"
     st.clear()
     assert st.size() == 0
+
+
+def test_store_type_filter_prunes_partitions(spark):
+    st = TurnStore(spark, os.path.join(_scratch(), "store")).init()
+    rows = insert_turns(spark.createDataFrame(
+        [("d1", "c1", 0, "user", "hello", "conversation"), ("d2", "c1", 1, "assistant", "note", "journal")],
+        "doc_id string, conversation_id string, sequence_no int, role string, content string, document_type string"),
+        as_of=5)
+    st.append(rows)
+    df = st.scan(["doc_id", "document_type"]).filter(F.col("document_type") == "journal")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(document_type" in plan and "journal" in plan
+    assert [r.doc_id for r in df.collect()] == ["d2"]
