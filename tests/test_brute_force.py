@@ -84,3 +84,26 @@ def test_number_turns_hot_session_blocked(spark):
     # adaptive blocks: the hot session is cut into ~500-event blocks
     got = TO.number_turns_blocked(ev, block_rows=500).collect()
     assert sorted((r.session, r.sequence_no, r.branch) for r in got) == expect
+
+
+def test_history_lookup_limit_binds(spark):
+    """With a limit below the conversation length only the nearest rows remain."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from mnemo.operators.history import conversation_history_for_query
+    from mnemo.plans.views import chat_requests, request_vectors, turns
+    store = turns(spark, SF_CHECK, with_vectors=True)
+    _r, texts = chat_requests(turns(spark, SF_CHECK))
+    q = request_vectors(store, texts).withColumn("conversation_id", F.col("request_id"))
+    got = conversation_history_for_query(store, q, limit=3).select("request_id", "doc_id").collect()
+    rows = store.select("doc_id", "conversation_id", "index").toPandas()
+    qv = {r.request_id: np.asarray(r.qvec, dtype=np.float64) for r in q.collect()}
+    expect = set()
+    for rid, vec in qv.items():
+        part = rows[rows.conversation_id == rid]
+        d = [(float(((np.asarray(v, dtype=np.float64) - vec) ** 2).sum()), doc) for doc, v in zip(part.doc_id, part["index"])]
+        expect |= {(rid, doc) for _, doc in sorted(d)[:3]}
+    got_set = {(r.request_id, r.doc_id) for r in got}
+    # the newest-branch filter may drop some of the nearest rows, never add others
+    assert got_set <= expect and len(got_set) >= len(qv)
