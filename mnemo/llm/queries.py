@@ -4,7 +4,15 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from mnemo.llm.ann import search
+from mnemo.llm.decontaminate import DECONTAMINATE_SQL, decontaminate
+from mnemo.llm.html_text import extract
+from mnemo.llm.jaccard import JACCARD_SQL, jaccard_components
+from mnemo.llm.line_dedup import LINE_DEDUP_SQL, line_dedup
+from mnemo.llm.packing import pack
+from mnemo.llm.tokens import token_counts
 from mnemo.sources.tables import table_path
 
 WORD_BPE = "word_bpe_49k.json"
@@ -14,13 +22,47 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(table_path(sf_dir, name))
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(table(spark, sf_dir, "documents"))
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
+
+
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "embeddings"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from mnemo.llm.tokens import token_counts
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
+    "op2_packing": op2_packing,
+    "op3_decontaminate": op3_decontaminate,
+    "op5_html_text": op5_html_text,
+    "op6_jaccard_join": op6_jaccard_join,
+    "op9_nearest": op9_nearest,
     "op10_token_counts": op10_token_counts,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_line_dedup": LINE_DEDUP_SQL,
+    "op3_decontaminate": DECONTAMINATE_SQL,
+    "op6_jaccard_join": JACCARD_SQL,
+}

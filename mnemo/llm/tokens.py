@@ -150,10 +150,10 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048,
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = merger(tokenizer)
         for b in batches:
-            texts = b[text_col].fillna("")
-            yield pd.DataFrame({id_col: b[id_col], "n_bytes": [len(t.encode()) for t in texts],
+            texts = b["text"].fillna("")
+            yield pd.DataFrame({"id": b["id"], "n_bytes": [len(t.encode()) for t in texts],
                                 "n_tokens": [m.count(t) for t in texts]})
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(id_col, text_col).mapInPandas(count, f"`{id_col}` {kind}, n_bytes long, n_tokens long")
-    return rows.withColumn("over_limit", F.col("n_tokens") > limit)
+    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
+    return rows.mapInPandas(count, "id string, n_bytes long, n_tokens long").select(
+        F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
