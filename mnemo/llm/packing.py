@@ -186,53 +186,61 @@ class Plan:
 
 
 def make_plan(histogram: dict[int, int], capacity: int = CAPACITY, bands: int = BANDS) -> Plan:
-    """Pack ``histogram[length]`` pieces of every length."""
+    """Pack ``histogram[length]`` pieces of every length; of a few bounds on the space that a pattern may waste, the best is taken."""
+    unit = max(1, capacity // bands)
+    counts = np.zeros(bands + 2)
+    for length, n in histogram.items():
+        if length < capacity:
+            counts[-(-length // unit)] += n
+    # the lowest band stays out: its pieces fill what the patterns leave
+    patterns = [p for p in band_patterns(bands) if p[-1] > 1 and all(counts[q] for q in p)]
+    uses = np.zeros(len(patterns))
+    if patterns:
+        a = np.zeros((bands + 2, len(patterns)))
+        for j, p in enumerate(patterns):
+            for q in p:
+                a[q, j] += 1
+        weight = np.sqrt(np.arange(bands + 2) / bands)  # long pieces are harder to place later
+        uses = nnls(a * weight[:, None], counts * weight)
+    order = sorted(np.flatnonzero(uses >= 1), key=lambda j: patterns[j], reverse=True)
+    fitted = [(patterns[j], int(uses[j])) for j in order]
+    return min((fill(histogram, capacity, unit, fitted, waste) for waste in (0, 1, 4)), key=lambda plan: sum(plan.copies))
+
+
+def fill(histogram: dict[int, int], capacity: int, unit: int, fitted: list[tuple[tuple[int, ...], int]], waste: int) -> Plan:
+    """Draw the patterns' counts from the exact lengths, then place what is left, longest first."""
     plan, left = Plan(capacity), dict(histogram)
     if left.get(capacity):
         plan.add((capacity,), left.pop(capacity))
-    unit = capacity // bands
-    by_band: dict[int, list[int]] = defaultdict(list)
-    for length in sorted(left):
-        by_band[-(-length // unit)].append(length)
-    if unit and by_band:
-        # the lowest band stays out: its pieces fill the gaps that the patterns leave
-        patterns = [p for p in band_patterns(bands) if p[-1] > 1 and all(q in by_band for q in p)]
-        counts = np.zeros(bands + 1)
-        for band, lengths in by_band.items():
-            counts[band] = sum(left[x] for x in lengths)
-        if patterns:
-            a = np.zeros((bands + 1, len(patterns)))
-            for j, p in enumerate(patterns):
-                for q in p:
-                    a[q, j] += 1
-            weight = np.sqrt(np.arange(bands + 1) / bands)[:, None]  # long pieces are harder to place later
-            uses = nnls(a * weight, counts * weight[:, 0])
-            for j in np.argsort([-p[0] for p in patterns], kind="stable"):
-                draw(plan, patterns[j], int(uses[j] + 1e-9), by_band, left)
-    for length in sorted(left, reverse=True):
+    lengths = sorted(left)
+    for pattern, times in fitted:
+        while times and (taken := drawn(pattern, left, lengths, capacity, unit, waste)):
+            run = min([times, *(left[x] // taken.count(x) for x in set(taken))])
+            plan.add(taken, run)
+            times -= run
+            for x in set(taken):
+                left[x] -= run * taken.count(x)
+                if not left[x]:
+                    del left[x], lengths[bisect.bisect_left(lengths, x)]
+    for length in reversed(lengths):
         plan.place(length, left[length])
     return plan
 
 
-def draw(plan: Plan, pattern: tuple[int, ...], times: int, by_band: dict[int, list[int]], left: dict[int, int]) -> None:
-    """Fill ``times`` sequences of a band pattern with the longest lengths still there, in runs of equal sequences."""
-    while times:
-        taken: list[int] = []
-        for band in pattern:
-            while by_band[band] and not left.get(by_band[band][-1]):
-                left.pop(by_band[band].pop(), None)
-            need = defaultdict(int)
-            for x in taken:
-                need[x] += 1
-            pick = next((x for x in reversed(by_band[band]) if left.get(x, 0) > need[x]), None)
-            if pick is None:
-                return
-            taken.append(pick)
-        run = min([times, *(left[x] // taken.count(x) for x in set(taken))])
-        plan.add(tuple(taken), run)
-        for x in taken:
-            left[x] -= run
-        times -= run
+def drawn(pattern: tuple[int, ...], left: dict[int, int], lengths: list[int], capacity: int, unit: int, waste: int) -> tuple[int, ...] | None:
+    """Exact lengths for one sequence: the longest of each band, and as the last part what fits best; None if too much stays free."""
+    taken: list[int] = []
+    room = capacity
+    for i, band in enumerate(pattern):
+        top = room if i == len(pattern) - 1 else min(band * unit, room)
+        at = bisect.bisect_right(lengths, top) - 1
+        while at >= 0 and left[lengths[at]] <= taken.count(lengths[at]):
+            at -= 1
+        if at < 0:
+            return None
+        taken.append(lengths[at])
+        room -= lengths[at]
+    return tuple(taken) if room <= waste else None
 
 
 def slot_ranges(plan: Plan) -> pd.DataFrame:
