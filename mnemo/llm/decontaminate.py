@@ -13,9 +13,10 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mnemo.llm.common import stage
 
@@ -107,29 +108,31 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 _SEARCHES: dict[str, WindowSearch] = {}
 
 
-def search_pass(rows: DataFrame, items: list[tuple[str, str]], n: int, id_col: str, text_col: str) -> DataFrame:
-    """Adds the occurrences of one block of items to ``hit_starts``, ``hit_ends`` and ``items``."""
+def search_pass(rows: DataFrame, items: list[tuple[str, str]], n: int, with_text: bool) -> DataFrame:
+    """Adds the occurrences of one block of items to ``hit_starts``, ``hit_ends`` and ``items``; ``with_text`` keeps text and rest."""
     block, key = rows.sparkSession.sparkContext.broadcast(items), uuid.uuid4().hex
+    kinds = {"n_words": pa.int64(), "hit_starts": pa.list_(pa.int32()), "hit_ends": pa.list_(pa.int32()), "items": pa.list_(pa.string())}
+    passed = ["id", "text", "rest"] if with_text else ["id"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _SEARCHES:
             _SEARCHES.clear()
             _SEARCHES[key] = WindowSearch(block.value, n)
         search = _SEARCHES[key]
         for b in batches:
-            out = []
-            for text, starts, ends, known in zip(b[text_col], b["hit_starts"], b["hit_ends"], b["items"]):
+            out = {k: [] for k in kinds}
+            for text, starts, ends, known in zip(*(b.column(c).to_pylist() for c in ("text", "hit_starts", "hit_ends", "items"))):
                 words = words_of(text or "")
                 spans, found = search.hits(words)
                 spans = merged([*zip(starts, ends), *spans])
-                out.append((len(words), [x for x, _ in spans], [x for _, x in spans], sorted({*known, *found})))
-            done = pd.DataFrame(out, columns=["n_words", "hit_starts", "hit_ends", "items"], index=b.index)
-            yield pd.concat([b[[id_col, text_col]], done], axis=1)
+                for k, v in zip(kinds, (len(words), [x for x, _ in spans], [x for _, x in spans], sorted({*known, *found}))):
+                    out[k].append(v)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in passed), *(pa.array(out[k], t) for k, t in kinds.items())], names=[*passed, *kinds])
 
-    return rows.mapInPandas(run, rows.schema)
+    return rows.mapInArrow(run, T.StructType([rows.schema[c] for c in [*passed, *kinds]]))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, block_bytes: int = BLOCK_BYTES,
+def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, keep: list[str] | None = None, block_bytes: int = BLOCK_BYTES,
                   id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """Every occurrence of a window of ``n`` benchmark words in the documents.
 
@@ -138,25 +141,27 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, block_byte
     The benchmark is searched for in blocks of about ``block_bytes``, chosen by a
     hash of the item, so no broadcast grows with it.
 
-    Returns one row per document row: id, ``n_words``, ``n_hit`` (words inside any
+    Returns one row per document row: id, the text and the columns of ``keep`` if any are named, ``n_words``, ``n_hit`` (words inside any
     occurrence), ``hit_starts`` / ``hit_ends`` (disjoint word spans, end exclusive),
     ``items`` (ids as strings, sorted as strings), ``n_items`` and ``contaminated``.
     A null or empty text has no words and no hits; items without id, text or words
     take no part; repeated rows on either side give repeated documents and the same
-    item once; empty tables give no rows or no hits; other columns are not read.
+    item once; empty tables give no rows or no hits; columns not named are not read.
     """
     items = (benchmark.where(F.col(item_col).isNotNull() & F.col(text_col).isNotNull())
              .select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("words")))
     size = items.agg(F.sum(F.octet_length("words"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
-    kind = docs.schema[id_col].dataType
-    rows = docs.select(F.col(id_col).cast("string").alias(id_col), text_col, F.lit(0).alias("n_words"), F.array().cast("array<int>").alias("hit_starts"),
-                       F.array().cast("array<int>").alias("hit_ends"), F.array().cast("array<string>").alias("items"))
+    none = F.array().cast("array<int>")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"),
+                       (F.struct(*[F.col(c) for c in keep]) if keep else F.lit(None).cast("string")).alias("rest"), F.lit(0).cast("long").alias("n_words"),
+                       none.alias("hit_starts"), none.alias("hit_ends"), F.array().cast("array<string>").alias("items"))
     for i in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item", "words"), F.lit(blocks)) == i).collect()
-        rows = search_pass(stage(rows, "decontaminate") if i else rows, [tuple(r) for r in part], n, id_col, text_col)
+        rows = search_pass(stage(rows, "decontaminate") if i else rows, [tuple(r) for r in part], n, bool(keep) or i < blocks - 1)
     covered = F.aggregate(F.zip_with("hit_ends", "hit_starts", lambda e, s: e - s), F.lit(0), lambda a, x: a + x)
-    return rows.select(F.col(id_col).cast(kind).alias(id_col), F.col("n_words").cast("long"), covered.cast("long").alias("n_hit"), "hit_starts", "hit_ends", "items",
+    kept = [F.col("text").alias(text_col), *[F.col("rest")[c].alias(c) for c in keep]] if keep else []
+    return rows.select(F.col("id").alias(id_col), *kept, "n_words", covered.cast("long").alias("n_hit"), "hit_starts", "hit_ends", "items",
                        F.size("items").cast("long").alias("n_items"), (F.size("hit_starts") > 0).alias("contaminated"))
 
 

@@ -10,9 +10,12 @@ from mnemo.llm.ann import search
 from mnemo.llm.decontaminate import DECONTAMINATE_SQL, decontaminate
 from mnemo.llm.html_text import extract
 from mnemo.llm.jaccard import JACCARD_SQL, jaccard_components
+from mnemo.llm.langid import identify
 from mnemo.llm.line_dedup import LINE_DEDUP_SQL, line_dedup
 from mnemo.llm.packing import pack
+from mnemo.llm.suffix_dedup import repeated_passages
 from mnemo.llm.tokens import token_counts
+from mnemo.llm.toxicity import toxicity
 from mnemo.sources.tables import table_path
 
 WORD_BPE = "word_bpe_49k.json"
@@ -35,6 +38,10 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
@@ -43,6 +50,14 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "embeddings"))
 
@@ -51,15 +66,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
 
-QUERIES = {
-    "op1_line_dedup": op1_line_dedup,
-    "op2_packing": op2_packing,
-    "op3_decontaminate": op3_decontaminate,
-    "op5_html_text": op5_html_text,
-    "op6_jaccard_join": op6_jaccard_join,
-    "op9_nearest": op9_nearest,
-    "op10_token_counts": op10_token_counts,
-}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_packing, op3_decontaminate, op4_suffix_dedup, op5_html_text, op6_jaccard_join,
+                                   op7_language_id, op8_toxicity, op9_nearest, op10_token_counts)}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_line_dedup": LINE_DEDUP_SQL,

@@ -28,7 +28,8 @@ FIT_BYTES = 1 << 16
 WORD_BUCKETS, GRAM_BUCKETS, GRAM_SIZES = 1 << 15, 1 << 16, (3, 4, 5)
 WIDTH, HIDDEN, ATTEND = 8, 8, 8
 WINDOW, STRIDE = 32, 16
-STEPS, BATCH = 500, 96
+STEPS, BATCH = 400, 96
+MIN_TEXTS = 4
 THRESHOLD = 0.7
 
 
@@ -36,8 +37,8 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def word_ids(word: bytes) -> tuple[int, list[int]]:
-    return crc32(word) % WORD_BUCKETS, gram_ids(word, GRAM_SIZES, GRAM_BUCKETS) or [0]
+def word_ids(word: bytes) -> tuple[int, np.ndarray]:
+    return crc32(word) % WORD_BUCKETS, np.array(gram_ids(word, GRAM_SIZES, GRAM_BUCKETS) or [0])
 
 
 def windows(n: int) -> list[int]:
@@ -52,15 +53,15 @@ class Network:
         def small(*shape: int) -> np.ndarray:
             return rng.normal(0, 1 / np.sqrt(shape[0]), shape).astype(np.float32)
 
-        self.p = {"words": rng.normal(0, 0.1, (WORD_BUCKETS, WIDTH)).astype(np.float32),
-                  "grams": rng.normal(0, 0.1, (GRAM_BUCKETS, WIDTH)).astype(np.float32),
+        # a word or n-gram that training never met adds nothing
+        self.p = {"words": np.zeros((WORD_BUCKETS, WIDTH), np.float32), "grams": np.zeros((GRAM_BUCKETS, WIDTH), np.float32),
                   "att": small(2 * HIDDEN, ATTEND), "att_b": np.zeros(ATTEND, np.float32), "att_v": small(ATTEND, 1)[:, 0],
                   "out": small(2 * HIDDEN, 1)[:, 0], "out_b": np.zeros(1, np.float32)}
         for d in "fb":  # input, recurrent, bias; gates in the order update, reset, candidate
             self.p |= {f"x{d}": small(2 * WIDTH, 3 * HIDDEN), f"h{d}": small(HIDDEN, 3 * HIDDEN), f"b{d}": np.zeros(3 * HIDDEN, np.float32)}
         self.scale, self.shift = 1.0, 0.0
 
-    def inputs(self, ids: list[tuple[int, list[int]]]) -> np.ndarray:
+    def inputs(self, ids: list[tuple[int, np.ndarray]]) -> np.ndarray:
         sizes = np.array([len(g) for _, g in ids])
         grams = np.concatenate([g for _, g in ids]) if ids else np.zeros(0, np.int64)
         cuts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
@@ -165,20 +166,22 @@ def fit(texts: list[tuple[str, int]], steps: int = STEPS, seed: int = 11) -> Net
     sides = [[w for w, y in docs if y == side] for side in (0, 1)]
     if not all(sides):
         return None
-    seen = [{}, {}]
-    for side in (0, 1):
-        for w in sides[side]:
-            for g in {x for word in set(w) for x in gram_ids(word, GRAM_SIZES, GRAM_BUCKETS)}:
-                seen[side][g] = seen[side].get(g, 0) + 1
-    odds = np.zeros(GRAM_BUCKETS)
-    for g in {*seen[0], *seen[1]}:
-        odds[g] = np.log((seen[1].get(g, 0) + 0.5) / (len(sides[1]) + 1)) - np.log((seen[0].get(g, 0) + 0.5) / (len(sides[0]) + 1))
-    memo: dict[bytes, tuple[int, list[int]]] = {}
-    typical: dict[bytes, float] = {}
-    for w, _ in docs:
+    memo: dict[bytes, tuple[int, np.ndarray]] = {}
+    seen, seen_words = np.zeros((2, GRAM_BUCKETS)), np.zeros((2, WORD_BUCKETS))
+    for w, y in docs:
         for word in set(w).difference(memo):
             memo[word] = word_ids(word)
-            typical[word] = float(odds[memo[word][1]].max())
+        seen[y, np.unique(np.concatenate([memo[x][1] for x in set(w)]))] += 1
+        seen_words[y, list({memo[x][0] for x in w})] += 1
+    # what only a few texts hold would be learned by heart; of the rest, the first coordinate starts as the log odds of the label
+    usual = {"grams": (seen.sum(0) >= MIN_TEXTS)[:, None], "words": (seen_words.sum(0) >= MIN_TEXTS)[:, None]}
+    start = {}
+    for name, c in (("grams", seen), ("words", seen_words)):
+        start[name] = (np.log((c[1] + 0.5) / (len(sides[1]) + 1)) - np.log((c[0] + 0.5) / (len(sides[0]) + 1))) * usual[name][:, 0]
+        net.p[name][:, 0] = np.clip(start[name], -1, 5) / 2
+    odds = start["grams"]
+    steps = min(steps, 40 + len(docs) // 5)
+    typical = {w: float(odds[g].max()) for w, (_, g) in memo.items()}
 
     def top_windows(side: int, many: int) -> list[list[bytes]]:
         out = []
@@ -194,9 +197,9 @@ def fit(texts: list[tuple[str, int]], steps: int = STEPS, seed: int = 11) -> Net
     state = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.p.items()}
     pools = [top_windows(0, 2) + any_windows(0, 2), top_windows(1, 2)]
     for step in range(1, steps + 1):
-        if step in (steps // 2, steps * 4 // 5):  # choose the windows anew, with the network
+        if step % (steps // 5) == 0 and step < steps:  # choose the windows anew, with the network
             rows = WordRows(net.gates, 6 * HIDDEN)
-            pools[0] = any_windows(0, 1)
+            pools[0] = any_windows(0, 1) + pools[0][-len(sides[0]):]
             pools[1] = []
             for side in (0, 1):
                 for i in range(0, len(sides[side]), 200):
@@ -206,13 +209,15 @@ def fit(texts: list[tuple[str, int]], steps: int = STEPS, seed: int = 11) -> Net
                     for w in part:
                         starts = windows(len(w))
                         logit = net.run(*window_batch(rows.table, [at[begin + s:begin + min(len(w), s + WINDOW)] for s in starts]))
-                        pools[side] += [w[starts[j]:starts[j] + WINDOW] for j in np.argsort(-logit)[:2 - side]]
+                        pools[side] += [w[starts[j]:starts[j] + WINDOW] for j in np.argsort(-logit)[:1]]
                         begin += len(w)
         picks = [pools[y][rng.integers(len(pools[y]))] for y in np.arange(BATCH) % 2]
         label = (np.arange(BATCH) % 2).astype(np.float32)
         words = [x for w in picks for x in w]
         ids = [memo[x] for x in words]
         x = net.inputs(ids)
+        known = (rng.random(len(words)) < 0.5).astype(np.float32)[:, None]  # every other word is read by its characters alone
+        x[:, :WIDTH] *= known
         flat = np.concatenate([x @ net.p["xf"] + net.p["bf"], x @ net.p["xb"] + net.p["bb"]], 1)
         cuts = np.cumsum([0] + [len(w) for w in picks])
         gates, mask = window_batch(flat, [np.arange(a, b) for a, b in zip(cuts, cuts[1:])])
@@ -221,10 +226,10 @@ def fit(texts: list[tuple[str, int]], steps: int = STEPS, seed: int = 11) -> Net
         half = 3 * HIDDEN
         dx = d_flat[:, :half] @ net.p["xf"].T + d_flat[:, half:] @ net.p["xb"].T
         g |= {"xf": x.T @ d_flat[:, :half], "xb": x.T @ d_flat[:, half:], "bf": d_flat[:, :half].sum(0), "bb": d_flat[:, half:].sum(0)}
-        g["words"], g["grams"] = np.zeros_like(net.p["words"]), np.zeros_like(net.p["grams"])
-        np.add.at(g["words"], [w for w, _ in ids], dx[:, :WIDTH])
         sizes = np.array([len(q) for _, q in ids])
-        np.add.at(g["grams"], np.concatenate([q for _, q in ids]), np.repeat(dx[:, WIDTH:] / sizes[:, None], sizes, axis=0))
+        for name, at, d in (("words", np.array([w for w, _ in ids]), dx[:, :WIDTH] * known),
+                            ("grams", np.concatenate([q for _, q in ids]), np.repeat(dx[:, WIDTH:] / sizes[:, None], sizes, axis=0))):
+            g[name] = np.stack([np.bincount(at, d[:, j], len(net.p[name])) for j in range(WIDTH)], 1) * usual[name]
         rate = 0.01 * min(1.0, 2 * (1 - step / (steps + 1)))
         for k, (m, v) in state.items():
             m *= 0.9
@@ -236,15 +241,16 @@ def fit(texts: list[tuple[str, int]], steps: int = STEPS, seed: int = 11) -> Net
     return net
 
 
-def calibrate(net: Network, texts: list[list[bytes]], label: np.ndarray, rounds: int = 200) -> None:
+def calibrate(net: Network, texts: list[list[bytes]], label: np.ndarray, rounds: int = 500) -> None:
     """Logistic scaling of a text's highest logit, both classes weighted alike, so that the score is a probability of the text."""
     x = text_logits(net, WordRows(net.gates, 6 * HIDDEN), texts)
-    weight = np.where(label == 1, 0.5 / max(1, (label == 1).sum()), 0.5 / max(1, (label == 0).sum()))
+    # a clean text taken for toxic weighs more: there are many more of them
+    weight = np.where(label == 1, 0.1 / max(1, (label == 1).sum()), 0.9 / max(1, (label == 0).sum()))
     mean, spread = x.mean(), x.std() + 1e-6
     a, b, u = 1.0, 0.0, (x - mean) / spread
     for _ in range(rounds):
         d = (sigmoid(a * u + b) - label) * weight
-        a, b = a - 2 * ((d * u).sum() + 0.001 * a), b - 2 * d.sum()
+        a, b = a - 5 * ((d * u).sum() + 0.0005 * a), b - 5 * d.sum()
     net.scale, net.shift = float(max(a, 0.01) / spread), float(b - max(a, 0.01) * mean / spread)
 
 
