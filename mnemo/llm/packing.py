@@ -32,7 +32,7 @@ SEPARATOR = 1
 BANDS = 64
 MEMO_ENTRIES = 1_000_000
 #: Pieces of a numbering block, on average.
-BLOCK_PIECES = 50_000
+BLOCK_PIECES = 10_000
 
 
 # ---- tokenising --------------------------------------------------------------

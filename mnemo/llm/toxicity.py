@@ -138,9 +138,8 @@ def window_batch(table: np.ndarray, spans: list[np.ndarray]) -> tuple[np.ndarray
     return table[at], mask
 
 
-def text_logits(net: Network, memo: WordRows, texts: list[list[bytes]]) -> np.ndarray:
-    """The highest window logit of every text; -inf without words."""
-    out = np.full(len(texts), -np.inf)
+def window_logits(net: Network, memo: WordRows, texts: list[list[bytes]]) -> Iterator[tuple[int, int, float]]:
+    """(text, start, logit) of every window of every text."""
     for group in word_batches(texts):
         words = [w for i in group for w in texts[i]]
         if not words:
@@ -150,11 +149,20 @@ def text_logits(net: Network, memo: WordRows, texts: list[list[bytes]]) -> np.nd
             n = len(texts[i])
             for s in windows(n) if n else ():
                 spans.append(rows[at + s:at + min(n, s + WINDOW)])
-                owner.append(i)
+                owner.append((i, s))
             at += n
         for k in range(0, len(spans), 1024):
-            np.maximum.at(out, owner[k:k + 1024], net.run(*window_batch(memo.table, spans[k:k + 1024])))
-    return out
+            logits = net.run(*window_batch(memo.table, spans[k:k + 1024]))
+            yield from ((i, s, x) for (i, s), x in zip(owner[k:k + 1024], logits.tolist()))
+
+
+def text_logits(net: Network, memo: WordRows, texts: list[list[bytes]]) -> np.ndarray:
+    """The highest window logit of every text; -inf without words."""
+    out = [-np.inf] * len(texts)
+    for i, _, x in window_logits(net, memo, texts):
+        if x > out[i]:
+            out[i] = x
+    return np.array(out)
 
 
 def fit(texts: list[tuple[str, int]], steps: int = STEPS, seed: int = 11) -> Network | None:
@@ -199,18 +207,12 @@ def fit(texts: list[tuple[str, int]], steps: int = STEPS, seed: int = 11) -> Net
     for step in range(1, steps + 1):
         if step % (steps // 5) == 0 and step < steps:  # choose the windows anew, with the network
             rows = WordRows(net.gates, 6 * HIDDEN)
-            pools[0] = any_windows(0, 1) + pools[0][-len(sides[0]):]
-            pools[1] = []
+            pools[0], pools[1] = any_windows(0, 1) + pools[0][-len(sides[0]):], []
             for side in (0, 1):
-                for i in range(0, len(sides[side]), 200):
-                    part = sides[side][i:i + 200]
-                    at = rows.rows([x for w in part for x in w])
-                    begin = 0
-                    for w in part:
-                        starts = windows(len(w))
-                        logit = net.run(*window_batch(rows.table, [at[begin + s:begin + min(len(w), s + WINDOW)] for s in starts]))
-                        pools[side] += [w[starts[j]:starts[j] + WINDOW] for j in np.argsort(-logit)[:1]]
-                        begin += len(w)
+                best: dict[int, tuple[float, int]] = {}
+                for i, s, x in window_logits(net, rows, sides[side]):
+                    best[i] = max(best.get(i, (-np.inf, 0)), (x, s))
+                pools[side] += [sides[side][i][s:s + WINDOW] for i, (_, s) in best.items()]
         picks = [pools[y][rng.integers(len(pools[y]))] for y in np.arange(BATCH) % 2]
         label = (np.arange(BATCH) % 2).astype(np.float32)
         words = [x for w in picks for x in w]
