@@ -24,6 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mnemo.llm.blocks import SCHEMA, deal, gather
 from mnemo.llm.common import shuffle_partitions, stage
 from mnemo.llm.shingles import mix, shingles, words_of
 
@@ -37,6 +38,10 @@ BLOCK_SETS = 2_048
 #: Pairs compared against one representative in one task.
 PAIRS_PER_TASK = 256
 BITMAP_BITS = 512
+#: Lists up to so many sets give their pairs as they are; in longer ones the bitmaps are asked first.
+SMALL_LIST = 32
+#: Ids that are broadcast at most (8 MB of longs); more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 
 
 # ---- signatures --------------------------------------------------------------
@@ -48,7 +53,7 @@ class Band:
         self.low, self.high = low, high
         # 100 c >= p u with u = a + b - c  =>  a + b - 2c <= (a + b)(100 - p) / (100 + p)
         self.k = k = 2 * high * (100 - percent) // (100 + percent)
-        if k <= 4:  # one part, all subsets of its sub-parts
+        if k <= 4:  # one part: of its sub-parts, all but k at most are alike; every three of them sign
             self.parts, self.subs, self.slack = 1, k + 3 if k else 1, 0
             picks = combinations(range(self.subs), 3 if k else 1)
         elif high <= SMALL_SET:  # some part differs in one shingle at most, and two of its three sub-parts in none
@@ -60,8 +65,11 @@ class Band:
         self.picks = [list(p) for p in picks]
         self.salt = mix(np.arange(1, self.parts * len(self.picks) + 1, dtype=np.uint64) + np.uint64(number << 32))
 
-    def signatures(self, x: np.ndarray) -> np.ndarray:
-        """Signatures of a set of hashes.  A part that is empty in the set says nothing; there are enough others unless more than ``slack`` are."""
+    def signatures(self, x: np.ndarray) -> tuple[np.ndarray, int]:
+        """Signatures of a set of hashes, and how many of them a linked set shares at least.
+
+        A part that is empty in the set says nothing; there are enough others unless more than ``slack`` are.
+        """
         place = (mix(x ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(20)) % np.uint64(self.parts * self.subs)
         place = place.astype(np.int64)
         n = self.parts * self.subs
@@ -73,15 +81,20 @@ class Band:
         if self.subs == 1:
             sums, sizes = total, count
         elif self.parts == 1:
-            leave = [[i for i in range(self.subs) if i not in p] for p in self.picks]
-            sums = np.array([[mix(total[0, s]).sum(dtype=np.uint64) for s in leave]])
-            sizes = np.array([[count[0, s].sum() for s in leave]])
+            tagged = mix(total[0] + np.arange(self.subs, dtype=np.uint64))
+            sums = np.array([[tagged[p].sum(dtype=np.uint64) for p in self.picks]])
+            sizes = np.array([[count[0, p].sum() for p in self.picks]])
         else:
             sums = np.stack([mix(total[:, a] + np.uint64(1)) + mix(total[:, b] + np.uint64(2)) for a, b in self.picks], 1)
             sizes = np.stack([count[:, a] + count[:, b] for a, b in self.picks], 1)
         sig = mix(sums.ravel() + self.salt)
         bare = sizes == 0
-        return sig[~bare.ravel()] if bare.any(1).sum() <= self.slack else sig
+        empty = int(bare.any(1).sum())
+        if empty > self.slack:
+            return sig, 1
+        # as many parts as are left when the differences have spoilt all they can
+        alike = self.parts - empty - (self.k if self.subs == 1 else self.k // 2)
+        return sig[~bare.ravel()], 1 if self.parts == 1 else max(1, alike)
 
 
 class Bands:
@@ -97,8 +110,8 @@ class Bands:
             self.bands.append(Band(len(self.bands), self.low, high, self.percent))
             self.low = high + 1
 
-    def signatures(self, x: np.ndarray) -> np.ndarray:
-        """For the set's own band, and for the next one if it can have partners there."""
+    def signatures(self, x: np.ndarray) -> tuple[np.ndarray, int]:
+        """For the set's own band, and for the next one if it can have partners there; the fewest that a linked set shares."""
         size = len(x)
         self.up_to(size * 100 // self.percent + 2)
         own = next(i for i, b in enumerate(self.bands) if b.high >= size)
@@ -107,7 +120,7 @@ class Bands:
             if 100 * size < self.percent * b.low:
                 break
             out.append(b.signatures(x))
-        return np.concatenate(out)
+        return np.concatenate([sig for sig, _ in out]), min(need for _, need in out)
 
 
 def bitmap(x: np.ndarray) -> bytes:
@@ -128,92 +141,74 @@ def fold(data: bytes, size: int) -> np.ndarray:
 # ---- pass over the texts -----------------------------------------------------
 
 def sign_texts(docs: DataFrame, n: int, percent: int, groups: int) -> DataFrame:
-    """Rows (p, ids, sizes, sigs, head): per group p a block of signatures with their ids, and the facts of some documents."""
+    """Per group p a block of signatures with their ids, and the facts of some documents."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bands, known = Bands(percent), set()
         sigs, ids, heads, held = [], [], [], 0
 
         def flush() -> Iterator[pd.DataFrame]:
-            s = np.concatenate(sigs) if sigs else np.zeros(0, np.uint64)
-            own = np.repeat(np.array(ids, np.int64), [len(x) for x in sigs]) if sigs else np.zeros(0, np.int64)
-            to = ((s >> np.uint64(40)) % np.uint64(groups)).astype(np.int64)
-            order = np.argsort(to, kind="stable")
-            s, own, cuts = s[order], own[order], np.searchsorted(to[order], np.arange(groups + 1))
             facts: dict[int, list] = {}
             for h in heads:
-                facts.setdefault(int(h[0]) * 2654435761 % (1 << 32) % groups, []).append(h)
-            out = []
-            for p in range(groups):
-                a, b = cuts[p], cuts[p + 1]
-                if a == b and p not in facts:
-                    continue
-                run_ids, at = np.unique(own[a:b], return_index=True) if b > a else (own[:0], np.zeros(0, int))
-                order = np.argsort(at)
-                run_ids, at = run_ids[order], at[order]
-                f = facts.get(p, [])
-                out.append((p, run_ids.tobytes(), np.diff(np.append(at, b - a)).astype(np.int32).tobytes(),
-                            s[a:b].view(np.uint8).reshape(-1, 8)[:, :6].tobytes(),
-                            [x[0] for x in f], [x[1] for x in f], [x[2] for x in f], [x[3] for x in f]))
+                facts.setdefault(h[0] * 2654435761 % (1 << 32) % groups, []).append(h)
+            dealt = deal(sigs, ids, groups)
+            yield pd.DataFrame([(p, *dealt.get(p, (b"", b"", b"")), *map(list, zip(*facts[p]))) if p in facts else (p, *dealt[p], [], [], [], [], [])
+                                for p in sorted({*facts, *dealt})], columns=["p", "ids", "sizes", "hashes", "doc", "n", "need", "key", "bits"])
             sigs.clear(), ids.clear(), heads.clear()
-            yield pd.DataFrame(out, columns=["p", "ids", "sizes", "sigs", "doc", "n", "key", "bits"])
 
         for b in batches:
             for doc, text in zip(b["doc"], b["text"]):
                 x = shingles(words_of(text), n)
                 key = blake2b(x.tobytes(), digest_size=16).digest() if len(x) else b""
-                heads.append((int(doc), len(x), key, bitmap(x) if len(x) else b""))
+                need = 0
                 if len(x) and key not in known:  # equal sets of this task sign once; they meet by their key
                     known.add(key)
-                    sigs.append(bands.signatures(x))
+                    sig, need = bands.signatures(x)
+                    sigs.append(sig)
                     ids.append(int(doc))
-                    held += len(sigs[-1])
+                    held += len(sig)
+                heads.append((int(doc), len(x), need, key, bitmap(x) if need else b""))
                 if held > 2_000_000 or len(heads) > 20_000:
                     yield from flush()
                     held = 0
         if heads:
             yield from flush()
 
-    return docs.mapInPandas(run, "p int, ids binary, sizes binary, sigs binary, doc array<long>, n array<int>, key array<binary>, bits array<binary>")
+    return docs.mapInPandas(run, f"{SCHEMA}, doc array<long>, n array<int>, need array<int>, key array<binary>, bits array<binary>")
 
 
 def meet(pdf: pd.DataFrame) -> pd.DataFrame:
     """Of one group: the documents' facts, and the distinct lists of ids that share a signature."""
-    ids = np.concatenate([np.repeat(np.frombuffer(i, np.int64), np.frombuffer(k, np.int32)) for i, k in zip(pdf["ids"], pdf["sizes"])])
-    raw = np.frombuffer(b"".join(pdf["sigs"]), np.uint8).reshape(-1, 6)
-    sig = np.zeros((len(raw), 8), np.uint8)
-    sig[:, :6] = raw
-    sig = sig.view(np.uint64).ravel()
-    order = np.argsort(sig, kind="stable")
-    sig, ids = sig[order], ids[order]
-    first = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1]))) if len(sig) else np.zeros(0, int)
-    last = np.append(first[1:], len(sig))
+    _, ids, first, last = gather(pdf)
     p = int(pdf["p"].iloc[0])
-    lists, uses = {}, {}
-    for a, b in zip(first[last - first > 1], last[last - first > 1]):
-        members = np.unique(ids[a:b])
-        if len(members) > 1:
-            key = members.tobytes() if len(members) < 64 else blake2b(members.tobytes(), digest_size=32).digest()
-            if key not in lists:
-                lists[key] = members
-            uses[key] = uses.get(key, 0) + 1
-    rows = [(None, int(d), int(n), k, b, 0) for f in zip(pdf["doc"], pdf["n"], pdf["key"], pdf["bits"]) for d, n, k, b in zip(*f)]
-    for i, (key, members) in enumerate(lists.items()):
-        rows += [((p << 32) + i, int(d), None, None, None, uses[key]) for d in members]
-    return pd.DataFrame(rows, columns=["list", "doc", "n", "key", "bits", "uses"]).astype({"list": "Int64", "n": "Int32"})
+    facts = pd.DataFrame({c: [x for row in pdf[c] for x in row] for c in ("doc", "n", "need", "key", "bits")})
+    lists: dict[bytes, int] = {}
+    members, uses = [], []
+    for a, b in zip(first[last - first > 1].tolist(), last[last - first > 1].tolist()):
+        x = np.unique(ids[a:b])
+        if len(x) > 1:
+            key = x.tobytes() if len(x) < 64 else blake2b(x.tobytes(), digest_size=32).digest()
+            at = lists.setdefault(key, len(lists))
+            if at == len(members):
+                members.append(x)
+                uses.append(0)
+            uses[at] += 1
+    size = [len(x) for x in members]
+    shared = pd.DataFrame({"list": np.repeat(np.arange(len(members), dtype=np.int64) + (p << 32), size),
+                           "doc": np.concatenate(members) if members else np.zeros(0, np.int64),
+                           "rep": np.repeat(np.array([x[0] for x in members], np.int64), size), "uses": np.repeat(np.array(uses, np.int32), size)})
+    return pd.concat([facts.astype({"doc": "int64"}), shared], ignore_index=True).astype({"list": "Int64", "rep": "Int64", "n": "Int32", "uses": "Int32", "need": "Int32"})[
+        ["list", "doc", "rep", "uses", "n", "need", "key", "bits"]]
 
 
 # ---- pairs -------------------------------------------------------------------
 
 def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole texts link.  A text that meets many others is sent to several tasks, each with some of them."""
-    turns = pairs.groupBy("a").count().select("a", F.ceil(F.col("count") / PAIRS_PER_TASK).cast("int").alias("turns"))
-    turns = stage(turns, "turns")
-    left = texts.join(turns, texts["doc"] == turns["a"]).select("a", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"), "text",
-                                                               F.lit(None).cast("long").alias("b"))
-    right = (pairs.join(turns, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("turns").cast("long")).cast("int").alias("turn"))
-             .join(texts, F.col("b") == texts["doc"]).select("a", "turn", "text", "b"))
-    parts = max(shuffle_partitions(pairs.sparkSession), 1)
-    rows = left.unionByName(right).repartition(parts, "a", "turn").sortWithinPartitions("a", "turn", F.col("b").asc_nulls_first())
+    turns = stage(pairs.groupBy("a").agg(F.ceil(F.count("*") / PAIRS_PER_TASK).cast("long").alias("turns")), "turns")
+    routes = turns.select(F.col("a").alias("doc"), "a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1)).alias("turn"), F.lit(None).cast("long").alias("b"))
+    routes = routes.unionByName(pairs.join(turns, "a").select(F.col("b").alias("doc"), "a", F.pmod(F.xxhash64("b"), F.col("turns")).alias("turn"), "b"))
+    rows = (texts.join(stage(routes, "routes"), "doc").select("a", "turn", "b", "text")
+            .repartition(shuffle_partitions(pairs.sparkSession), "a", "turn").sortWithinPartitions("a", "turn", F.col("b").asc_nulls_first()))
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, sets = None, []
@@ -254,37 +249,92 @@ def components(edges: DataFrame) -> DataFrame:
             return labels.withColumnRenamed("label", "component")
 
 
-def cross_pairs(lists: DataFrame, percent: int) -> DataFrame:
-    """Pairs of sets that share a signature but no component yet, and may link by size and parity bitmap.
+def small_list_pairs(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """(a, b, uses, need) of whole lists, sorted by list and doc: pairs of different components that may link by their sizes."""
+    at = np.flatnonzero(np.diff(rows["list"].to_numpy(), prepend=-1))
+    size = np.diff(np.append(at, len(rows)))
+    doc, comp, n, need, uses = (rows[c].to_numpy() for c in ("doc", "component", "n", "need", "uses"))
+    out = []
+    for m in np.unique(size[size > 1]):
+        i, j = np.triu_indices(m, 1)
+        first = at[size == m][:, None]
+        x, y = (first + i).ravel(), (first + j).ravel()
+        fine = (comp[x] != comp[y]) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
+        x, y = x[fine], y[fine]
+        out.append(np.stack([doc[x], doc[y], uses[x], np.maximum(need[x], need[y])], 1))
+    return summed(out)
+
+
+def summed(parts: list[np.ndarray]) -> pd.DataFrame:
+    rows = pd.DataFrame(np.concatenate(parts) if parts else np.zeros((0, 4), np.int64), columns=["a", "b", "uses", "need"])
+    return rows.groupby(["a", "b"], as_index=False).agg({"uses": "sum", "need": "max"})
+
+
+def cross_pairs(small: DataFrame, large: DataFrame, percent: int) -> DataFrame:
+    """Pairs that share signatures but no component yet, and as many of them as a linked pair must.
 
-    ``lists``: list, doc, component, n, bits.  A list of many sets is dealt into blocks,
-    and every two blocks of it meet in one task.
+    ``small`` and ``large``: list, doc, component, n, need, uses, of the lists up to SMALL_LIST sets and
+    beyond; the latter also m (its sets) and bits.  A large list is dealt into blocks, every two blocks of it meet in
+    one task, and only pairs go on that the parity bitmaps let pass.
     """
-    sizes = lists.groupBy("list").agg(F.ceil(F.count("*") / BLOCK_SETS).cast("int").alias("blocks"),
-                                      F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("list", "blocks")
-    rows = lists.join(sizes, "list").withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks").cast("long")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other"))
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y = pdf["x"].iloc[0], pdf["y"].iloc[0]
-        pdf = pdf.sort_values("doc").drop_duplicates("doc")
-        size = min(map(len, pdf["bits"]))
-        bits = np.stack([fold(b, size) for b in pdf["bits"]])
-        doc, comp, n, own = (pdf[c].to_numpy() for c in ("doc", "component", "n", "own"))
-        out = []
+    parts = shuffle_partitions(small.sparkSession)
+    schema = "a long, b long, uses long, need long"
+
+    def short(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for b in batches:
+            b = b if rest is None else pd.concat([rest, b])
+            whole = np.searchsorted(b["list"].to_numpy(), b["list"].iloc[-1]) if len(b) else 0
+            rest = b.iloc[whole:]
+            if whole:
+                yield small_list_pairs(b.iloc[:whole], percent)
+        if rest is not None and len(rest):
+            yield small_list_pairs(rest, percent)
+
+    blocks = F.ceil(F.col("m") / BLOCK_SETS)
+    rows = (large.withColumn("own", F.pmod(F.xxhash64("doc"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+            .select("list", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "doc", "component", "n", "need", "uses", "bits"))
+
+    def candidates(group: list[tuple]) -> list[np.ndarray]:
+        _, x, y = group[0][:3]
+        own, doc, comp, n, need, uses = (np.array([r[i] for r in group]) for i in range(3, 9))
+        size = min(len(r[9]) for r in group)
+        bits, out = np.stack([fold(r[9], size) for r in group]), []
         for i in range(len(doc) - 1):
-            ni, nj = n[i], n[i + 1:]
-            fine = (comp[i + 1:] != comp[i]) & (100 * np.minimum(ni, nj) >= percent * np.maximum(ni, nj))
+            fine = (comp[i + 1:] != comp[i]) & (100 * np.minimum(n[i], n[i + 1:]) >= percent * np.maximum(n[i], n[i + 1:]))
             if x != y:
                 fine &= own[i + 1:] != own[i]
             j = np.flatnonzero(fine) + i + 1
             if len(j):
                 apart = np.bitwise_count(bits[j] ^ bits[i]).sum(1, dtype=np.int64)
-                out += [(doc[i], k) for k in doc[j[apart <= (ni + n[j]) * (100 - percent) // (100 + percent)]]]
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+                j = j[apart <= (n[i] + n[j]) * (100 - percent) // (100 + percent)]
+                out.append(np.stack([np.full(len(j), doc[i]), doc[j], uses[j], np.maximum(need[i], need[j])], 1))
+        return out
+
+    def long(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group: list[tuple] = []
+        out: list[np.ndarray] = []
+        for b in batches:
+            for r in b.itertuples(index=False, name=None):
+                if group and r[:3] != group[0][:3]:
+                    out += candidates(group)
+                    group = []
+                    if sum(map(len, out)) > 500_000:
+                        yield summed(out)
+                        out = []
+                group.append(r)
+        yield summed(out + (candidates(group) if group else []))
 
-    return rows.groupBy("list", "x", "y").applyInPandas(compare, "a long, b long").distinct()
+    found = (small.select("list", "doc", "component", "n", "need", "uses").repartition(parts, "list").sortWithinPartitions("list", "doc")
+             .mapInPandas(short, schema)
+             .unionByName(rows.repartition(parts, "list", "x", "y").sortWithinPartitions("list", "x", "y", "doc").mapInPandas(long, schema)))
+    return found.groupBy("a", "b").agg(F.sum("uses").alias("uses"), F.max("need").alias("need")).where("uses >= need").select("a", "b")
+
+
+def lowest(rows: DataFrame, same: DataFrame, name: str) -> DataFrame:
+    """``name`` replaced by the smallest id with an equal set."""
+    least = same.select(F.col("a").alias("_least"), F.col("b").alias("_own"))
+    return rows.join(least, F.col(name) == F.col("_own"), "left").withColumn(name, F.coalesce("_least", name)).drop("_least", "_own")
 
 
 # ---- the operator ------------------------------------------------------------
@@ -306,35 +356,39 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = PERCENT, id_c
     known = rows.where("doc IS NOT NULL")
     size = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = max(shuffle_partitions(spark), -(-size // GROUP_BYTES))
-    met = stage(sign_texts(known, n, percent, groups).repartition(groups, "p").groupBy("p")
-                .applyInPandas(meet, "list long, doc long, n int, key binary, bits binary, uses int"), "shared-signatures")
-    facts, lists = met.where("list IS NULL").select("doc", "n", "key", "bits"), met.where("list IS NOT NULL").select("list", "doc", "uses")
+    met = stage(sign_texts(known, n, percent, groups).repartition(groups, "p").groupBy("p").applyInPandas(
+        meet, "list long, doc long, rep long, uses int, n int, need int, key binary, bits binary"), "shared-signatures")
+    facts = met.where("list IS NULL").select("doc", "n", "need", "key", "bits")
+    lists = met.where("list IS NOT NULL").select("list", "doc", "rep", "uses")
+    sets = stage(facts.where("need > 0").select("doc", "n", "need", "bits").distinct(), "sets")  # several for an id with several texts
+
+    def texts_of(pairs: DataFrame) -> DataFrame:
+        wanted = stage(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), "compared")
+        return known.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted, "doc", "left_semi")
 
     # equal sets link; of each only the smallest id goes on
-    least = stage(facts.where("n > 0").groupBy("key").agg(F.min("doc").alias("rep")), "equal-sets")
-    equal = stage(facts.join(least, "key").select("doc", "rep", "n", "bits"), "representatives")
-    lists = lists.join(equal, "doc").groupBy("list", "rep").agg(F.max("uses").alias("uses"), F.max("n").alias("n"), F.first("bits").alias("bits"))
-    lists = stage(lists.withColumnRenamed("rep", "doc"), "lists")
-
-    # first every set with the smallest of the list it is most often in
-    low = lists.groupBy("list").agg(F.min("doc").alias("a"), F.min(F.struct("doc", "n"))["n"].alias("n_a"), F.count("*").alias("m")).where("m > 1")
-    low = stage(low, "list-heads")
-    star = (lists.join(low, "list").where(f"doc <> a AND 100 * least(n, n_a) >= {percent} * greatest(n, n_a)")
-            .groupBy("doc", "a").agg(F.sum("uses").alias("uses"))
-            .groupBy("doc").agg(F.max_by("a", F.struct("uses", -F.col("a"))).alias("a")).select("a", F.col("doc").alias("b")))
-    star = stage(star, "star-pairs")
-    wanted = stage(lists.join(low.select("list"), "list", "left_semi").select("doc").distinct(), "compared")
-    texts = stage(known.join(wanted, "doc", "left_semi"), "compared-texts")
-    same = equal.where("doc <> rep").select(F.col("rep").alias("a"), F.col("doc").alias("b"))
-    links = stage(verified(star, texts, n, percent), "star-links")
+    least = stage(facts.where("n > 0").groupBy("key").agg(F.min("doc").alias("least")), "equal-sets")
+    same = stage(facts.join(least, "key").where("doc <> least").select(F.col("least").alias("a"), F.col("doc").alias("b")).distinct(), "equal-links")
+
+    # first every set with the smallest of the lists that it is most often in
+    star = (lists.where("doc <> rep").groupBy("doc", "rep").agg(F.sum("uses").alias("uses"))
+            .groupBy("doc").agg(F.max(F.struct("uses", (-F.col("rep")).alias("less"))).alias("most")).select("doc", "most.uses", (-F.col("most.less")).alias("rep")))
+    star = star.join(sets.select("doc", "need"), "doc").where("uses >= need").select("doc", "rep")
+    star = lowest(lowest(star, same, "doc"), same, "rep").where("doc <> rep")
+    star = stage(star.select(F.least("doc", "rep").alias("a"), F.greatest("doc", "rep").alias("b")).distinct(), "star-pairs")
+    links = stage(verified(star, texts_of(star), n, percent).unionByName(same), "star-links")
     comp = components(links)
 
-    # then what shares a signature across components
-    open_lists = lists.join(low.select("list"), "list", "left_semi").join(comp, "doc", "left")
-    open_lists = stage(open_lists.select("list", "doc", F.coalesce("component", "doc").alias("component"), "n", "bits"), "open-lists")
-    more = stage(cross_pairs(open_lists, percent).join(star, ["a", "b"], "left_anti"), "cross-pairs")
-    links = links.unionByName(verified(more, texts, n, percent)).unionByName(same)
-    comp = stage(components(stage(links, "links")), "components")
+    # then what shares signatures across components
+    labelled = lists.join(comp, "doc", "left").select("list", "doc", "uses", F.coalesce("component", "doc").alias("component"))
+    labelled = stage(labelled, "labelled-lists")
+    mixed = stage(labelled.groupBy("list").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("m"))
+                  .where("low <> high").select("list", "m"), "mixed-lists")
+    plain = labelled.join(mixed.where(F.col("m") <= SMALL_LIST).select("list"), "list").join(sets.select("doc", "n", "need"), "doc")
+    large = labelled.join(mixed.where(F.col("m") > SMALL_LIST), "list").join(sets.select("doc", "n", "need", "bits"), "doc")
+    more = stage(cross_pairs(plain, large, percent).join(star, ["a", "b"], "left_anti"), "cross-pairs")
+    links = links.unionByName(verified(more, texts_of(more), n, percent))
+    comp = components(stage(links, "links"))
 
     counted = facts.select("doc", "n", "key").withColumnRenamed("key", "set_key")
     out = counted.join(comp, "doc", "left").select("doc", "n", F.coalesce("component", "doc").alias("component"))
