@@ -15,8 +15,6 @@ TOTAL_STEPS_PATTERN = (r"(?i)(?:Total[\s\x{0B}\x{1C}-\x{1F}\x{85}\p{Z}]+Steps?|S
                        r":[\s\x{0B}\x{1C}-\x{1F}\x{85}\p{Z}]*(\d+)")
 # one whitespace character as Python's str methods define it
 PY_WS = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\p{Z}]"
-# characters kept by the TF-IDF cleaner
-CLEAN_TEXT_PATTERN = r"[^a-zA-Z0-9\s\-.,?!:;]"
 # ---------------------------------------------------------------------------
 
 
@@ -34,10 +32,6 @@ def char_length(text) -> Column:
     return F.char_length(_col(text))
 
 
-def clean_text(text) -> Column:
-    return F.regexp_replace(_col(text), CLEAN_TEXT_PATTERN, "")
-
-
 def total_steps(text) -> Column:
     """First ``Total Steps: n`` number in a text as INT, null when absent."""
     found = F.nullif(F.regexp_extract(_col(text), TOTAL_STEPS_PATTERN, 1), F.lit(""))
@@ -50,19 +44,16 @@ def strip(text) -> Column:
 
 
 def token_ngrams(tokens, max_n: int = 3) -> Column:
-    """All 1..max_n-grams of a token array, joined by single spaces, in sklearn order
-    (all unigrams, then all bigrams, ...)."""
+    """All 1..max_n-grams of a token array, joined by single spaces: all unigrams,
+    then all bigrams, ...; an empty array gives none."""
     toks = _col(tokens)
-    parts = []
-    for n in range(1, max_n + 1):
-        parts.append(F.transform(
-            F.sequence(F.lit(1), F.greatest(F.size(toks) - n + 1, F.lit(0))),
-            lambda i, n=n: F.array_join(F.slice(toks, i, n), " ")))
-    # sequence(1, 0) yields [1, 0]; drop those by filtering on size
-    fixed = []
-    for n, p in zip(range(1, max_n + 1), parts):
-        fixed.append(F.when(F.size(toks) >= n, p).otherwise(F.array().cast("array<string>")))
-    return F.flatten(F.array(*fixed))
+    none = F.array().cast("array<string>")
+
+    def grams(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.size(toks) - n + 1)
+        return F.when(F.size(toks) >= n, F.transform(starts, lambda i: F.array_join(F.slice(toks, i, n), " "))).otherwise(none)
+
+    return F.flatten(F.array(*[grams(n) for n in range(1, max_n + 1)]))
 
 
 def query_label(n) -> Column:

@@ -46,7 +46,7 @@ def _request_block(rows: list) -> dict:
     none_str = lambda v: "" if v is None else v
     return {
         "ids": np.array([r["request_id"] for r in rows], dtype=object),
-        "q": np.array([np.asarray(r["qvec"], dtype=np.float64) for r in rows], dtype=np.float64),
+        "q": [None if r["qvec"] is None else np.asarray(r["qvec"], dtype=np.float64) for r in rows],
         "doc_type": np.array([none_str(r["document_type"]) for r in rows], dtype=object),
         "any_type": np.array([r["document_type"] is None for r in rows]),
         "metadocs": np.array([True if r["filter_metadocs"] is None else bool(r["filter_metadocs"]) for r in rows]),
@@ -76,14 +76,15 @@ def _make_partition_topk(bc):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         blk = bc.value
-        q, kmax = blk["q"], blk["kmax"]
-        nreq = len(q)
+        kmax, nreq, q = blk["kmax"], len(blk["q"]), None
         acc_r, acc_d, acc_i = [], [], []
         held = 0
         for pdf in batches:
             if pdf.empty:
                 continue
             mat = np.stack([np.asarray(v, dtype=np.float64) for v in pdf["index"].to_numpy()])
+            if q is None:  # a request without a vector searches from the origin
+                q = np.array([np.zeros(mat.shape[1]) if v is None else v for v in blk["q"]])
             docs = pdf["doc_id"].to_numpy(dtype=object)
             dtype = pdf["document_type"].to_numpy(dtype=object)
             conv = pdf["conversation_id"].to_numpy(dtype=object)

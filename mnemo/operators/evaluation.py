@@ -21,6 +21,7 @@ def token_set(text: Column, pattern: str, lower: bool) -> Column:
 
 def token_f1(relevant: Column, retrieved: Column) -> Column:
     """Set F1 of two token arrays; 0 when either side is empty."""
+    relevant, retrieved = F.array_distinct(relevant), F.array_distinct(retrieved)
     tp = F.size(F.array_intersect(relevant, retrieved)).cast("double")
     prec = F.when(F.size(retrieved) == 0, 0.0).otherwise(tp / F.size(retrieved))
     rec = F.when(F.size(relevant) == 0, 0.0).otherwise(tp / F.size(relevant))
@@ -32,15 +33,14 @@ def token_overlap_eval(qrels: DataFrame) -> DataFrame:
 
     ``qrels(query_id, doc_id, label in {should, shouldnt}, qtext, dtext)``.  Per
     tokenizer and query: mean F1 of relevant and of non-relevant documents, their
-    difference; averaged over queries.  All tokenizers run in one pass (the
-    tokenizer table is exploded onto the judged pairs).
+    difference; averaged over queries.  The judged pairs are read once: every pair is
+    scored by all tokenizers and the scores are exploded.
     """
-    scored = None
-    for name, (pattern, lower) in TOKENIZERS.items():
-        s = qrels.select(F.lit(name).alias("tokenizer"), "query_id", "label",
-                         token_f1(token_set(F.col("qtext"), pattern, lower),
-                                  token_set(F.col("dtext"), pattern, lower)).alias("f1"))
-        scored = s if scored is None else scored.unionByName(s)
+    pairs = F.array(*[F.struct(F.lit(name).alias("tokenizer"),
+                               token_f1(token_set(F.col("qtext"), pattern, lower),
+                                        token_set(F.col("dtext"), pattern, lower)).alias("f1"))
+                      for name, (pattern, lower) in TOKENIZERS.items()])
+    scored = qrels.select("query_id", "label", F.inline(pairs))
     per = scored.groupBy("tokenizer", "query_id").agg(
         F.avg(F.when(F.col("label") == "should", F.col("f1"))).alias("should"),
         F.avg(F.when(F.col("label") == "shouldnt", F.col("f1"))).alias("shouldnt"))

@@ -94,9 +94,10 @@ def conversation_history_for_query(store: DataFrame, queries: DataFrame, limit:
     return std_projection(kept.withColumn("pos", F.row_number().over(w)), time_zone, extra=["request_id", "pos"])
 
 
-def display_lines(history: DataFrame) -> DataFrame:
-    """``role: content`` line per history row."""
-    return history.select("conversation_id", "pos", F.concat_ws(": ", "role", "content").alias("line"))
+def display_lines(history: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """``role: content`` line per history row; ``keys`` name the conversation (three columns
+    where conversation ids repeat across users or personas)."""
+    return history.select(*(keys or ["conversation_id"]), "pos", F.concat_ws(": ", "role", "content").alias("line"))
 
 
 def non_final_steps(store: DataFrame) -> DataFrame:
@@ -108,9 +109,15 @@ def non_final_steps(store: DataFrame) -> DataFrame:
 
 
 def retype_documents(store: DataFrame) -> DataFrame:
-    """Rewrite of the store where the non-final analysis rows become ``step``."""
-    w = Window.partitionBy("conversation_id", "document_type", "branch")
-    is_analysis = F.col("document_type") == DOC_ANALYSIS
-    last = F.max(F.when(is_analysis, F.col("sequence_no"))).over(w)
-    return store.withColumn("document_type", F.when(is_analysis & (F.col("sequence_no") < last), F.lit(DOC_STEP))
-                            .otherwise(F.col("document_type")))
+    """Rewrite of the store where the non-final analysis rows become ``step``.
+
+    Only analysis rows are joined, with one aggregate row per (conversation, branch);
+    all others pass through unshuffled.
+    """
+    is_analysis = F.coalesce(F.col("document_type") == DOC_ANALYSIS, F.lit(False))
+    analysis, keys = store.filter(is_analysis), ["conversation_id", "branch"]
+    last = analysis.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.max("sequence_no").alias("_last"))
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    typed = analysis.join(last, same).withColumn("document_type", F.when(F.col("sequence_no") < F.col("_last"), F.lit(DOC_STEP))
+                                                 .otherwise(F.col("document_type")))
+    return store.filter(~is_analysis).unionByName(typed.select(*store.columns))

@@ -18,7 +18,7 @@ from ..functions.scoring import derive_date, derive_speaker, memory_score
 from ..session import materialize
 from ..schema import CANDIDATE_LIMIT, COLUMNS, DOC_JOURNAL, MEMORY_WINDOW, RECALL_SIZE
 from .dense import dense_candidates, top_k_per_request
-from .sparse import bm25_fit_terms, bm25_query_terms, term_counts
+from .sparse import keyed_bm25_scores, term_counts
 
 # broadcast bound for the candidate keys joined back onto the store scan
 MAX_BROADCAST_CANDIDATES = 2_000_000
@@ -66,7 +66,8 @@ def memory_query(store: DataFrame, requests: DataFrame, query_texts: DataFrame,
     """
     if filter_text is not None:
         store = store.filter(filter_text)
-    req = requests.join(query_vectors, "request_id")
+    # a request without a vector (no query text) searches from the origin
+    req = requests.join(query_vectors, "request_id", "left")
     extra = None
     if exclusions is not None:
         exclusions = exclusions.select("request_id", "doc_id").distinct()
@@ -88,7 +89,7 @@ def memory_query(store: DataFrame, requests: DataFrame, query_texts: DataFrame,
     docs = store.select("doc_id", "content", "weight", "timestamp").join(cand_ids, "doc_id")
 
     # BM25 is fitted on each request's own candidate set; each document is tokenized once
-    terms = term_counts(docs, ["doc_id"], "content")
+    terms = materialize(term_counts(docs, ["doc_id"], "content"))
     n_texts = query_texts.count()
     texts = query_texts.select("request_id", "n", "text")
     qterms = term_counts(texts, ["request_id", "n"], "text").withColumnRenamed("tf", "qtf")
@@ -98,7 +99,7 @@ def memory_query(store: DataFrame, requests: DataFrame, query_texts: DataFrame,
     parts = max(int(spark_conf_int(store, "spark.sql.shuffle.partitions", 8)),
                 -(-n_cands // CANDIDATES_PER_PARTITION))
     members = cands.select("request_id", "doc_id")
-    long_keys = _hash_is_exact((members, "request_id"), (members, "doc_id"),
+    long_keys = _hash_is_exact((members.select("request_id").unionByName(qterms.select("request_id")), "request_id"), (members, "doc_id"),
                                (terms.select("term").unionByName(qterms.select("term")), "term"))
     if long_keys:
         # 64-bit surrogate keys make the per-request sorts and windows much cheaper;
@@ -110,10 +111,8 @@ def memory_query(store: DataFrame, requests: DataFrame, query_texts: DataFrame,
         rk, dk, tk = "rk", "dk", "tk"
     else:
         rk, dk, tk = "request_id", "doc_id", "term"
-    model = bm25_fit_terms(members, terms.withColumnRenamed(tk, "term") if tk != "term" else terms,
-                           [rk], dk, num_partitions=parts)
-    qt = qterms.withColumnRenamed(tk, "term") if tk != "term" else qterms
-    sims = bm25_query_terms(model, qt, ["n"], broadcast_query=n_texts <= MAX_BROADCAST_QUERY_TEXTS)
+    sims = keyed_bm25_scores(members, terms.withColumnRenamed(tk, "term"), qterms.withColumnRenamed(tk, "term"), rk, dk, parts,
+                             broadcast_query=n_texts <= MAX_BROADCAST_QUERY_TEXTS)
     if long_keys:
         ids = cands.select("request_id", "doc_id", F.xxhash64("request_id").alias("rk"),
                            F.xxhash64("doc_id").alias("dk"))
@@ -159,16 +158,18 @@ def hash_uniform(key, seed: int = 0):
 def conscious_sample(store: DataFrame, personas: DataFrame, seed: int = 0, time_zone: str = "UTC") -> DataFrame:
     """Journal entries of each persona ranked by a seeded ``uniform * weight``.
 
-    ``personas(request_id, persona_id, top_n)``; ``top_n`` null keeps all.  The
-    persona set is one row per request, the journal side is a filtered store
-    scan; the join is on persona_id and the ranking a per-request window.
+    ``personas(request_id, persona_id, top_n)``; ``top_n`` null keeps all.
     """
-    journal = store.filter(F.col("document_type") == DOC_JOURNAL)
-    ranked = (journal.join(personas.select("request_id", "persona_id", "top_n"), "persona_id")
-              .withColumn("score", hash_uniform("doc_id", seed) * F.col("weight")))
-    w = Window.partitionBy("request_id").orderBy(F.col("score").desc(), F.col("doc_id").asc())
-    ranked = ranked.withColumn("rank", F.row_number().over(w)).filter(
-        F.col("top_n").isNull() | (F.col("rank") <= F.col("top_n")))
+    # the score doesn't depend on the request: rank once per persona, down to the largest
+    # top_n asked of it, before any request is joined
+    wanted = personas.groupBy("persona_id").agg(F.max(F.coalesce("top_n", F.lit(2 ** 31 - 1))).alias("_most"))
+    journal = store.filter(F.col("document_type") == DOC_JOURNAL).withColumn("score", hash_uniform("doc_id", seed) * F.col("weight"))
+    most = personas.agg(F.max(F.coalesce("top_n", F.lit(2 ** 31 - 1)))).scalar()
+    w = Window.partitionBy("persona_id").orderBy(F.col("score").desc(), F.col("doc_id").asc())
+    ranked = (journal.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= F.coalesce(most, F.lit(0)))
+              .join(wanted, "persona_id").filter(F.col("rank") <= F.col("_most")).drop("_most"))
+    ranked = (ranked.join(personas.select("request_id", "persona_id", "top_n"), "persona_id")
+              .filter(F.col("top_n").isNull() | (F.col("rank") <= F.col("top_n"))))
     return ranked.select("request_id", "rank", *COLUMNS, derive_date("timestamp", time_zone).alias("date"),
                          derive_speaker().alias("speaker"), "score")
 
@@ -190,7 +191,7 @@ def recall_bundle(store: DataFrame, chats: DataFrame, assistant_texts: DataFrame
     conscious = conscious_sample(store, personas, seed, time_zone)
     # repeated doc ids in the sample are skipped (first one kept)
     w = Window.partitionBy("request_id", "doc_id").orderBy("rank")
-    conscious = conscious.withColumn("_first", F.row_number().over(w)).filter("_first = 1").drop("_first")
+    conscious = materialize(conscious.withColumn("_first", F.row_number().over(w)).filter("_first = 1").drop("_first"))
     n_cons = conscious.groupBy("request_id").agg(F.count(F.lit(1)).alias("n_cons"))
     k = F.greatest(F.lit(memory_window) - F.coalesce(F.col("n_cons"), F.lit(0)), F.lit(0))
     base = chats.join(n_cons, "request_id", "left").select(
@@ -205,8 +206,9 @@ def recall_bundle(store: DataFrame, chats: DataFrame, assistant_texts: DataFrame
                            "as_of", "exclude_conversation_id")
 
     seen1 = conscious.select("request_id", "doc_id")
-    a = memory_query(store, stage_requests("a_top"), assistant_texts, assistant_vectors,
-                     exclusions=seen1, time_zone=time_zone)
+    # a few rows per request that are read three times below
+    a = materialize(memory_query(store, stage_requests("a_top"), assistant_texts, assistant_vectors,
+                                 exclusions=seen1, time_zone=time_zone))
     seen2 = seen1.unionByName(a.select("request_id", "doc_id")).distinct()
     u = memory_query(store, stage_requests("u_top"), user_texts, user_vectors,
                      exclusions=seen2, time_zone=time_zone)

@@ -88,11 +88,6 @@ def get_where(store: DataFrame, predicate, sort_columns: list[str] | None = None
     return df.limit(limit)
 
 
-def import_counts(rows: DataFrame) -> DataFrame:
-    """Messages per conversation of an imported file."""
-    return rows.groupBy("conversation_id").agg(F.count(F.lit(1)).alias("messages"))
-
-
 def abbreviate_columns(df: DataFrame, width: int = 2) -> DataFrame:
     """Report headers cut to ``width`` characters; repeated short names get ``_2``,
     ``_3``... (Spark forbids usable duplicate column names)."""

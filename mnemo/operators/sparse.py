@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokenize
+from ..session import materialize
 from ..schema import BM25_B, BM25_K1
 
 
@@ -97,11 +98,17 @@ def bm25_fit_terms(members: DataFrame, terms: DataFrame, keys: list[str], doc_co
     return BM25Model(keys, doc_col, idf, weights, norms, members, k1, b)
 
 
+def corpus_stats(docs: DataFrame, doc_col: str, text_col: str, tokenizer=tokenize) -> DataFrame:
+    """``(term, df, idf)`` of one global corpus, ``idf = ln(N / df) + 1``."""
+    n_docs = docs.agg(F.count(F.lit(1)).cast("double")).scalar()
+    return (term_counts(docs, [doc_col], text_col, tokenizer).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+            .select("term", "df", (F.log(n_docs / F.col("df")) + 1.0).alias("idf")))
+
+
 def _fit_global(docs, doc_col, text_col, k1, b, tokenizer) -> BM25Model:
     n_docs = docs.agg(F.count(F.lit(1)).cast("double")).scalar()
     tf = term_counts(docs, [doc_col], text_col, tokenizer)
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = df.select("term", (F.log(n_docs / F.col("df")) + 1.0).alias("idf"))
+    idf = corpus_stats(docs, doc_col, text_col, tokenizer).select("term", "idf")
     x = tf.join(idf, "term").withColumn("x", F.col("tf") * F.col("idf"))
     lengths = x.groupBy(doc_col).agg(F.sum("x").alias("len"))
     avgdl = x.agg(F.sum("x")).scalar() / n_docs
@@ -164,6 +171,39 @@ def bm25_query_terms(model: BM25Model, qt: DataFrame, qid_cols: list[str], broad
         F.try_divide(F.col("dot"), F.col("qn") * F.col("dn")), F.lit(0.0)).alias("sim"))
 
 
+def keyed_bm25_scores(members: DataFrame, terms: DataFrame, qterms: DataFrame, key: str, doc_col: str, num_partitions: int,
+                      broadcast_query: bool = False, k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
+    """``(key, n, doc, sim)``: fit and query of one corpus per ``key`` without keeping the model.
+
+    ``members(key, doc)``, ``terms(doc, term, tf)``, ``qterms(key, n, term, qtf)``.  The
+    membership x terms rows are sorted once, for the document frequencies; a document's
+    terms then become one row, so its length, the corpus mean (a window over one row
+    per document) and its norm need no further sort of the long table; the matches with
+    the query terms are summed by one hash aggregate, which carries the query norm.
+    """
+    counted = members.withColumn("n_docs", F.count(F.lit(1)).over(Window.partitionBy(key)))
+    rows = counted.join(terms, doc_col).repartition(num_partitions, key)
+    by_term = Window.partitionBy(key, "term").orderBy(doc_col)
+    whole_term = Window.partitionBy(key, "term").orderBy(doc_col).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = (rows.withColumn("idf", F.log(F.col("n_docs") / F.count(F.lit(1)).over(whole_term)) + 1.0)
+            .withColumn("head", F.row_number().over(by_term) == 1))
+    docs = rows.groupBy(key, doc_col, "n_docs").agg(
+        F.sum(F.col("tf") * F.col("idf")).alias("len"),
+        F.collect_list(F.struct("term", (F.col("tf") * F.col("idf")).alias("x"), "idf", "head")).alias("ts"))
+    docs = docs.withColumn("avgdl", F.sum("len").over(Window.partitionBy(key)) / F.col("n_docs"))
+    weigh = lambda t: _doc_weight(t["x"], t["idf"], F.col("len"), F.col("avgdl"), k1, b)
+    docs = docs.withColumn("dn", F.sqrt(F.aggregate("ts", F.lit(0.0), lambda acc, t: acc + weigh(t) * weigh(t))))
+    matched = (docs.select(key, doc_col, "len", "avgdl", "dn", F.inline("ts"))
+               .join(F.broadcast(qterms) if broadcast_query else qterms, [key, "term"])
+               .withColumn("w", _doc_weight(F.col("x"), F.col("idf"), F.col("len"), F.col("avgdl"), k1, b))
+               .withColumn("v", _query_weight(F.col("qtf"), F.col("idf"), k1)))
+    sums = matched.groupBy(key, "n", doc_col).agg(
+        F.sum(F.col("v") * F.col("w")).alias("dot"), F.first("dn").alias("dn"),
+        F.sum(F.when(F.col("head"), F.col("v") * F.col("v")).otherwise(0.0)).alias("q2"))
+    qn = F.sqrt(F.sum("q2").over(Window.partitionBy(key, "n")))
+    return sums.select(key, "n", doc_col, F.coalesce(F.try_divide(F.col("dot"), qn * F.col("dn")), F.lit(0.0)).alias("sim"))
+
+
 def sparse_dot(model: BM25Model, texts: DataFrame, qid_cols: list[str], text_col: str,
                tokenizer=tokenize, broadcast_query: bool = False, with_norm: bool = False) -> DataFrame:
     """``(keys..., qid..., doc, dot[, qn])``: query weights . document weights over shared terms."""
@@ -183,11 +223,15 @@ def sparse_dot(model: BM25Model, texts: DataFrame, qid_cols: list[str], text_col
 def vocabulary(idf: DataFrame) -> DataFrame:
     """``(term, feature_index)``: sorted distinct terms numbered from 0.
 
-    Dense numbering without a single-task global window: terms are numbered inside
-    blocks keyed by their first two characters (a prefix is monotone with the sort
-    order) and shifted by the counts of the earlier blocks.
+    Dense numbering without a single-task window: the terms are dealt into ranges of
+    about equal size, numbered inside them, and shifted by the counts of the ranges
+    before (a window over one row per range).
     """
-    from .history import blocked_position
-    terms = idf.select("term").distinct().withColumn("_all", F.lit(0))
-    numbered = blocked_position(terms, ["_all"], ["term"], F.substring("term", 1, 2), name="_pos")
-    return numbered.select("term", (F.col("_pos") - 1).cast("long").alias("feature_index"))
+    terms = idf.select("term").distinct().repartitionByRange("term")
+    dealt = materialize(terms.withColumn("_range", F.spark_partition_id()))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).select(
+        "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy("term"))
+    return (dealt.withColumn("_place", place).join(F.broadcast(starts), "_range")
+            .select("term", (F.col("_start") + F.col("_place") - 1).cast("long").alias("feature_index")))

@@ -34,6 +34,14 @@ TURNS = """turns AS (
 TURN_VECTORS = """tv AS (
   SELECT t.*, e.embedding AS index FROM turns t LEFT JOIN embeddings e ON e.vec_id = t.vec_id)"""
 
+def mean_vector_sql(texts: str, name: str, store: str = "tv") -> str:
+    """CTE ``name(request_id, qvec)``: the mean vector of a request's ``texts(request_id, source_doc_id)``."""
+    return f"""{name} AS (SELECT request_id, list(x ORDER BY i) AS qvec FROM (
+  SELECT request_id, i, avg(x) AS x FROM (
+    SELECT q.request_id, unnest(range(1, len(t.index) + 1)) AS i, unnest(t.index)::DOUBLE AS x
+    FROM {texts} q JOIN {store} t ON t.doc_id = q.source_doc_id) GROUP BY 1, 2) GROUP BY 1)"""
+
+
 CHAT_TEXTS = """qt AS (
   SELECT conversation_id AS request_id,
          CAST(row_number() OVER (PARTITION BY conversation_id ORDER BY timestamp DESC, doc_id DESC) - 1 AS INTEGER) AS n,
@@ -119,9 +127,8 @@ MEMORY_OUT = (f"request_id, rank, {COLS9}, {DATE.format(ts='timestamp')} AS date
 
 def memory_query_sql(top_n: int = 8) -> str:
     """Chat recall for every conversation (see ``views.chat_requests``)."""
-    return with_(TURNS, TURN_VECTORS, CHAT_TEXTS, f"""
-req AS (SELECT q.request_id, t.index AS qvec, q.request_id AS exclude_conversation_id, {top_n} AS top_n
-        FROM qt q JOIN tv t ON t.doc_id = q.source_doc_id WHERE q.n = 0)""", *memory_ctes("m", "req", "qt")) + \
+    return with_(TURNS, TURN_VECTORS, CHAT_TEXTS, mean_vector_sql("qt", "qm"), f"""
+req AS (SELECT request_id, qvec, request_id AS exclude_conversation_id, {top_n} AS top_n FROM qm)""", *memory_ctes("m", "req", "qt")) + \
         f"SELECT {MEMORY_OUT} FROM m_out"
 
 
@@ -373,10 +380,11 @@ RECALL_BUNDLE = with_(
     """ks AS (SELECT c.request_id, greatest(8 - coalesce(n.n_cons, 0), 0) AS k
        FROM (SELECT DISTINCT conversation_id AS request_id FROM turns) c
        LEFT JOIN (SELECT request_id, count(*) AS n_cons FROM cons GROUP BY 1) n USING (request_id))""",
-    """ra AS (SELECT q.request_id, t.index AS qvec, q.request_id AS exclude_conversation_id, k // 2 AS top_n
-       FROM a_texts q JOIN tv t ON t.doc_id = q.source_doc_id JOIN ks USING (request_id) WHERE q.n = 0)""",
-    """ru AS (SELECT q.request_id, t.index AS qvec, q.request_id AS exclude_conversation_id, k - k // 2 AS top_n
-       FROM u_texts q JOIN tv t ON t.doc_id = q.source_doc_id JOIN ks USING (request_id) WHERE q.n = 0)""",
+    mean_vector_sql("a_texts", "a_mean"), mean_vector_sql("u_texts", "u_mean"),
+    """ra AS (SELECT request_id, coalesce(qvec, list_transform(range(64), lambda i: 0.0)) AS qvec, request_id AS exclude_conversation_id, k // 2 AS top_n
+       FROM ks LEFT JOIN a_mean USING (request_id))""",
+    """ru AS (SELECT request_id, coalesce(qvec, list_transform(range(64), lambda i: 0.0)) AS qvec, request_id AS exclude_conversation_id, k - k // 2 AS top_n
+       FROM ks LEFT JOIN u_mean USING (request_id))""",
     "seen1 AS (SELECT request_id, doc_id FROM cons)",
     *memory_ctes("a", "ra", "a_texts", "seen1"),
     "seen2 AS (SELECT request_id, doc_id FROM seen1 UNION SELECT request_id, doc_id FROM a_out)",
@@ -390,9 +398,8 @@ UNION ALL
 SELECT request_id, 'user', rank, doc_id, conversation_id, {DATE.format(ts='timestamp')},
        {SPEAKER.format(p='')}, content, printf('%.8e', score)::DOUBLE FROM u_out"""
 
-DENSE_CANDIDATES = with_(TURNS, TURN_VECTORS, CHAT_TEXTS, """req AS (
-  SELECT q.request_id, t.index AS qvec, q.request_id AS exclude_conversation_id, NULL AS top_n
-  FROM qt q JOIN tv t ON t.doc_id = q.source_doc_id WHERE q.n = 0)""", *memory_ctes("d", "req", "qt")[:2]) + \
+DENSE_CANDIDATES = with_(TURNS, TURN_VECTORS, CHAT_TEXTS, mean_vector_sql("qt", "qm"), """req AS (
+  SELECT request_id, qvec, request_id AS exclude_conversation_id, NULL AS top_n FROM qm)""", *memory_ctes("d", "req", "qt")[:2]) + \
     "SELECT request_id, doc_id, round(distance, 6) AS distance FROM d_cand"
 
 
@@ -411,7 +418,8 @@ def strip_sql(x: str) -> str:
 
 
 
-PREFIX_TAIL = ", this is your conscious mind. Your thoughts have brought up new memories:"
+from ..operators.prompts import CONSCIOUS_PREFIX  # noqa: E402
+from ..sources.personas import PROMPT_HEAD, PROMPT_PERSONA, PROMPT_TAIL, PROMPT_TALK  # noqa: E402
 PENDING = """pend AS (SELECT conversation_id AS request_id FROM turns GROUP BY 1
   HAVING count(*) FILTER (WHERE document_type = 'conversation') > 0
      AND count(*) FILTER (WHERE document_type = 'analysis') = 0)"""
@@ -443,7 +451,7 @@ FMT_CONSCIOUS = """pcons AS (
   SELECT request_id, string_agg('- Personal Journal from ' || """ + DATE.format(ts="timestamp") + \
     """ || ': ' || content || chr(10) || chr(10), '' ORDER BY rank) AS text FROM pcons GROUP BY 1)"""
 FMT_ALL = """fa AS (
-  SELECT p.request_id, pp.persona_id || '""" + PREFIX_TAIL + """' || chr(10) || chr(10)
+  SELECT p.request_id, pp.persona_id || '""" + CONSCIOUS_PREFIX + """' || chr(10) || chr(10)
          || coalesce(fc.text, '') || coalesce(st.steps, '') AS text
   FROM pend p JOIN (SELECT DISTINCT conversation_id AS request_id, persona_id FROM turns) pp USING (request_id)
   LEFT JOIN fc USING (request_id)
@@ -463,6 +471,15 @@ LAST_ASSISTANT = """lastreply AS (
   SELECT conversation_id AS request_id, content AS response FROM (
     SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY timestamp DESC, doc_id DESC) AS rk
     FROM turns WHERE role = 'assistant') WHERE rk = 1)"""
+# the engine's own embedding of the stored turns: token counts by md5 bucket, normalised
+HASHED = """hb AS (SELECT *, list_transform(""" + TOKENS.format(t="content") + """, lambda t: ('0x' || substr(md5(t), 1, 8))::BIGINT % 64) AS bs FROM turns)""", \
+    """hc AS (SELECT *, list_transform(range(64), lambda i: len(list_filter(bs, lambda b: b = i))::DOUBLE) AS cs FROM hb)""", \
+    """hv AS (SELECT * EXCLUDE (bs, cs), list_transform(cs, lambda c: CASE WHEN len(bs) > 0 THEN c / sqrt(list_sum(list_transform(cs, lambda x: x * x)))
+  ELSE 0.0 END::FLOAT) AS index FROM hc)"""
+INSERT_THEN_RECALL = with_(TURNS, CHAT_TEXTS, *HASHED, mean_vector_sql("qt", "qm", "hv"), """req AS (
+  SELECT request_id, qvec, request_id AS exclude_conversation_id, 8 AS top_n FROM qm)""", *memory_ctes("m", "req", "qt", store="hv")) + \
+    f"SELECT {MEMORY_OUT} FROM m_out"
+IMPORT_TWICE = T + """SELECT conversation_id, 2 * count(*) AS messages, 2 * count(*) AS ids FROM turns GROUP BY 1"""
 ACCEPT_RESPONSE = with_(TURNS, PENDING, *SEED[2:], LAST_ASSISTANT) + f"""
 SELECT p.request_id || '-ner-task-' || nb.branch || '-1' AS doc_id, 'ner-task' AS document_type,
        pp.persona_id AS user_id, pp.persona_id AS persona_id, p.request_id AS conversation_id,
@@ -482,7 +499,7 @@ def expand_plan_sql() -> str:
   SELECT request_id, pl AS pipeline,
          TRY_CAST(nullif(regexp_extract(response, '{steps_re}', 1), '') AS INTEGER) AS n0
   FROM lastreply, (SELECT unnest(['chore', 'report']) AS pl))""", """p2 AS (
-  SELECT request_id, pipeline, CASE WHEN pipeline = 'report' THEN coalesce(n0, 4) ELSE n0 END AS n FROM plans)""",
+  SELECT request_id, pipeline, CASE WHEN n0 BETWEEN 1 AND 15 THEN n0 WHEN pipeline = 'report' THEN 4 END AS n FROM plans)""",
                  """ex AS (
   SELECT request_id, pipeline, n, unnest(generate_series(1, CASE WHEN pipeline = 'chore' THEN n + 2 ELSE n + 5 END)) AS s
   FROM p2 WHERE n IS NOT NULL)""", """cfg AS (
@@ -513,7 +530,7 @@ NEWEST_USER = """nu AS (SELECT * FROM qt WHERE n = 0)"""
 
 def typed_memory_sql(doc_type: str, top_n: int, meta: bool, turn_decay: float, temporal_decay: float) -> str:
     return with_(TURNS, TURN_VECTORS, CHAT_TEXTS, NEWEST_USER, f"""vr AS (
-  SELECT q.request_id, t.index AS qvec, q.request_id AS exclude_conversation_id, {top_n} AS top_n
+  SELECT q.request_id, t.index AS qvec, NULL AS exclude_conversation_id, {top_n} AS top_n
   FROM nu q JOIN tv t ON t.doc_id = q.source_doc_id)""",
                  *memory_ctes("v", "vr", "nu", meta=meta, doc_type=doc_type, turn_decay=turn_decay,
                               temporal_decay=temporal_decay)) + f"SELECT {MEMORY_OUT} FROM v_out"
@@ -563,8 +580,8 @@ ACTIVE_MEMORY = with_(TURNS, TURN_VECTORS, PENDING, *SEED, *FMT_CONSCIOUS,
                       """actx AS (
   SELECT request_id, CAST(row_number() OVER (PARTITION BY request_id ORDER BY date, grp, seq) - 1 AS INTEGER) AS n,
          content AS text, doc_id AS source_doc_id FROM seed WHERE role = 'assistant')""",
-                      """areq AS (SELECT a.request_id, t.index AS qvec, NULL AS exclude_conversation_id, 10 AS top_n
-         FROM actx a JOIN tv t ON t.doc_id = a.source_doc_id WHERE a.n = 0)""",
+                      mean_vector_sql("actx", "am_mean"),
+                      """areq AS (SELECT request_id, qvec, NULL AS exclude_conversation_id, 10 AS top_n FROM am_mean)""",
                       """aseen AS (SELECT request_id, doc_id FROM seed UNION SELECT request_id, doc_id FROM pcons)""",
                       "tvf AS (SELECT * FROM tv WHERE document_type <> 'analysis')",
                       *memory_ctes("am", "areq", "actx", "aseen", store="tvf", turn_decay=0.0,
@@ -580,3 +597,22 @@ HISTORY_WITH_QUERY = with_(TURNS, TURN_VECTORS, CHAT_TEXTS, """hq AS (
   SELECT * FROM (SELECT *, max(branch) OVER (PARTITION BY request_id, sequence_no) AS mb FROM hn) WHERE branch = mb)""") + \
     f"""SELECT request_id, CAST(row_number() OVER (PARTITION BY request_id ORDER BY timestamp, branch, sequence_no, doc_id) AS INTEGER) AS pos,
   {COLS9}, {DATE.format(ts='timestamp')} AS date, {SPEAKER.format(p='')} AS speaker FROM hl"""
+
+SEED_CHORE = typed_memory_sql("analysis", 5, True, 0.7, 0.7)
+
+SYSTEM_PROMPTS = f"""SELECT c_name AS name, CASE WHEN c_custkey % 2 = 0 THEN 'user' || c_nationkey END AS user_id,
+  c_name || '{PROMPT_HEAD}Room ' || c_nationkey || '{PROMPT_PERSONA}' || '#define ' || c_name || ' [seg=' || c_mktsegment || ' age=' || c_custkey || ']' || chr(10)
+  || '#define Voice [' || lower(c_mktsegment) || ']#define Current Time [2024-03-01 00:00:00 (1709251200)]' || chr(10) || '#define Mood [calm]' || chr(10) || chr(10) || chr(10)
+  || CASE WHEN c_custkey % 2 = 0 THEN replace('{PROMPT_TALK.replace("'", "''")}', '{{0}}', 'user' || c_nationkey) ELSE '' END || '{PROMPT_TAIL}' AS system
+FROM customer"""
+
+SEED_REPORT = with_(TURNS, *HASHED, """jobs AS (
+  SELECT b.item_id::VARCHAR AS request_id, b.text AS ask, d.text AS body FROM benchmark b JOIN documents d ON d.doc_id = b.item_id
+  WHERE b.text IS NOT NULL AND d.text IS NOT NULL)""", """words AS (SELECT *, string_split(body, ' ') AS ws FROM jobs)""", """asked AS (
+  SELECT request_id, list_concat([ask], list_transform(range(0, len(ws), 128), lambda i: array_to_string(ws[i + 1:i + 128], ' '))) AS texts FROM words)""", """st AS (
+  SELECT request_id, CAST(unnest(range(len(texts))) AS INTEGER) AS n, unnest(texts) AS text FROM asked)""", """qb AS (
+  SELECT j.request_id, list_transform(""" + TOKENS.format(t="ask || ' ' || body") + """, lambda t: ('0x' || substr(md5(t), 1, 8))::BIGINT % 64) AS bs FROM jobs j)""", """qc AS (
+  SELECT request_id, list_transform(range(64), lambda i: len(list_filter(bs, lambda b: b = i))::DOUBLE) AS cs FROM qb)""", """req AS (
+  SELECT request_id, list_transform(cs, lambda c: (CASE WHEN list_sum(cs) > 0 THEN c / sqrt(list_sum(list_transform(cs, lambda x: x * x))) ELSE 0.0 END)::FLOAT) AS qvec,
+    NULL AS exclude_conversation_id, CASE WHEN len(texts) < 3 THEN 3 ELSE 2 END AS top_n FROM qc JOIN asked USING (request_id))""",
+                    *memory_ctes("m", "req", "st", store="hv", doc_type="analysis")) + f"SELECT {MEMORY_OUT} FROM m_out"

@@ -228,11 +228,7 @@ def _benchmark(spark, sf_dir):
 
 @register("corpus_stats", oracle.CORPUS_STATS)
 def q_corpus_stats(spark, sf_dir):
-    docs = turns(spark, sf_dir).select("doc_id", "content")
-    tf = S.term_counts(docs, ["doc_id"], "content")
-    n = docs.agg(F.count(F.lit(1)).cast("double")).scalar()
-    return tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).select(
-        "term", "df", F.round(F.log(n / F.col("df")) + 1.0, 6).alias("idf"))
+    return _r6(S.corpus_stats(turns(spark, sf_dir).select("doc_id", "content"), "doc_id", "content"), "idf")
 
 
 @register("vocabulary", oracle.VOCABULARY)
@@ -261,13 +257,9 @@ def q_tfidf(spark, sf_dir):
     return _r6(tfidf_score_documents(_benchmark(spark, sf_dir), "item_id", "text", docs, "doc_id", "content"), "sim")
 
 
-def token_f1(a, b):
-    """Set F1 of two token arrays (a = relevant/query, b = retrieved); 0 when empty."""
-    qa, rb = F.array_distinct(a), F.array_distinct(b)
-    tp = F.size(F.array_intersect(qa, rb)).cast("double")
-    prec = F.when(F.size(rb) == 0, 0.0).otherwise(tp / F.size(rb))
-    rec = F.when(F.size(qa) == 0, 0.0).otherwise(tp / F.size(qa))
-    return F.when(prec + rec == 0, 0.0).otherwise(2 * prec * rec / (prec + rec))
+from ..functions.embed import hashed_embedding  # noqa: E402
+from ..operators.evaluation import token_f1, token_overlap_eval  # noqa: E402
+from ..sources.personas import system_prompts  # noqa: E402
 
 
 @register("token_f1", oracle.TOKEN_F1)
@@ -368,23 +360,46 @@ def scratch(spark, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-@register("jsonl_roundtrip", oracle.IMPORT_COUNTS)
+@register("jsonl_roundtrip", oracle.SCAN_TURNS)
 def q_jsonl_roundtrip(spark, sf_dir):
+    """export_all -> import_dump: the imported rows."""
+    path = scratch(spark, "export")
+    export_all(turns(spark, sf_dir), path)
+    return import_dump(spark, path, AS_OF)[0].select(*TURN_COLUMNS)
+
+
+@register("import_counts", oracle.IMPORT_COUNTS)
+def q_import_counts(spark, sf_dir):
     """export_all -> import_dump: the import's messages per conversation."""
     path = scratch(spark, "export")
     export_all(turns(spark, sf_dir), path)
-    _rows, counts = import_dump(spark, path, AS_OF)
-    return counts
+    return import_dump(spark, path, AS_OF)[1]
 
 
 @register("store_snapshot_roundtrip", oracle.SCAN_TURNS)
 def q_store_snapshot(spark, sf_dir):
-    """store_init -> append (insert) -> scan of the newest snapshot."""
-    store = TurnStore(spark, scratch(spark, "store")).init()
-    store.append(turns(spark, sf_dir))
+    """store_init -> two appends -> scan of the newest version."""
+    store, rows = TurnStore(spark, scratch(spark, "store")).init(), turns(spark, sf_dir)
+    store.append(rows.filter(F.col("branch") == 0), embed=None).append(rows.filter(F.col("branch") != 0), embed=None)
     return store.scan(TURN_COLUMNS)
 
 
+@register("import_twice", oracle.IMPORT_TWICE)
+def q_import_twice(spark, sf_dir):
+    """Every conversation imported twice: all rows are kept, every one with its own id."""
+    store, rows = TurnStore(spark, scratch(spark, "store")).init(), turns(spark, sf_dir)
+    store.append(rows, embed=None).append(rows, embed=None)
+    return store.scan().groupBy("conversation_id").agg(F.count(F.lit(1)).alias("messages"), F.count_distinct("doc_id").alias("ids"))
+
+
+@register("insert_then_recall", oracle.INSERT_THEN_RECALL)
+def q_insert_then_recall(spark, sf_dir):
+    """Turns appended to an empty store, embedded on the way in, are recalled from it."""
+    store = TurnStore(spark, scratch(spark, "store")).init().append(turns(spark, sf_dir)).scan()
+    requests, texts = chat_requests(turns(spark, sf_dir))
+    return _sig(memory_query(store, requests, texts, request_vectors(store, texts), time_zone=_tz(spark)), "score")
+
+
 # ---- streaming (availableNow runs over files derived from the given tables) ----------
 from ..sources.jsonl import append_jsonl  # noqa: E402
 from ..streaming.ingest import start_ingest  # noqa: E402
@@ -407,14 +422,15 @@ def _time_slices(df, col: str, n: int):
 
 @register("stream_ingest_dedup", oracle.SCAN_TURNS)
 def q_stream_ingest(spark, sf_dir):
-    """The store exported twice (a repeated import) and ingested by the stream:
-    every doc_id is stored once."""
+    """Turns that arrive newest slice first, then older ones, then all of them again (a
+    repeated import), in one run each: every doc_id is stored once, none is lost."""
     src, out, ckpt = scratch(spark, "ingest-src"), scratch(spark, "ingest-out"), scratch(spark, "ingest-ckpt")
     t = turns(spark, sf_dir)
-    append_jsonl(t, src)
-    append_jsonl(t, src)
-    start_ingest(spark, src, out, ckpt, AS_OF).awaitTermination()
-    return spark.read.parquet(out).select(*TURN_COLUMNS)
+    newest, older = _time_slices(t, "timestamp", 2)[::-1]
+    for part in (newest, older, t):
+        append_jsonl(part, src)
+        start_ingest(spark, src, out, ckpt, AS_OF, dedup=True, embed=None).awaitTermination()
+    return TurnStore(spark, out).scan(TURN_COLUMNS)
 
 
 @register("stream_report", oracle.CONVERSATION_REPORT)
@@ -491,7 +507,7 @@ def _conscious_text(spark, store):
 def _format_all(spark, store):
     pend = _pending(store)
     prefix = chats(store).join(pend, "request_id", "left_semi").select(
-        "request_id", F.concat(F.col("persona_id"), F.lit(oracle.PREFIX_TAIL + "\n\n")).alias("prefix"))
+        "request_id", F.concat(F.col("persona_id"), F.lit(PL.CONSCIOUS_PREFIX + "\n\n")).alias("prefix"))
     return CX.format_all(prefix, _conscious_text(spark, store), CX.format_history(_seed(spark, store)))
 
 
@@ -502,13 +518,16 @@ def _last_reply(store):
             .filter("_rk = 1").select(F.col("conversation_id").alias("request_id"), F.col("content").alias("response")))
 
 
+def _next_branches(store, pend, document_type):
+    keys = (store.join(pend.select(F.col("request_id").alias("conversation_id")), "conversation_id", "left_semi")
+            .select(F.lit(document_type).alias("document_type"), "user_id", "persona_id", "conversation_id").distinct())
+    return R.next_branch(store, keys).groupBy(F.col("conversation_id").alias("request_id")).agg(F.max("next_branch").alias("branch"))
+
+
 @register("seed_analysis", oracle.SEED_ANALYSIS)
 def q_seed_analysis(spark, sf_dir):
     store = turns(spark, sf_dir)
-    keys = (store.join(_pending(store).select(F.col("request_id").alias("conversation_id")), "conversation_id",
-                       "left_semi")
-            .select(F.lit("analysis").alias("document_type"), "user_id", "persona_id", "conversation_id").distinct())
-    nb = R.next_branch(store, keys).select(F.col("conversation_id").alias("request_id"), F.col("next_branch").alias("branch"))
+    nb = _next_branches(store, _pending(store), "analysis")
     return _seed(spark, store).join(nb, "request_id").select(
         "request_id", "step", "grp", "seq", *CONTEXT_COLUMNS, "branch")
 
@@ -544,8 +563,9 @@ def q_accept_response(spark, sf_dir):
     step1 = PL.step_table(spark).filter((F.col("pipeline") == "analysis") & (F.col("step") == 1))
     prompts = (chats(store).join(pend, "request_id", "left_semi").withColumn("pipeline", F.lit("analysis"))
                .join(F.broadcast(step1.select("pipeline", "step", "document_type", "weight")), "pipeline")
+               .join(_next_branches(store, pend, "analysis"), "request_id")
                .select("request_id", "step", "document_type", "weight", F.col("persona_id").alias("user_id"),
-                       "persona_id", "conversation_id", F.lit(0).alias("branch"), F.col("step").alias("sequence_no")))
+                       "persona_id", "conversation_id", "branch", F.col("step").alias("sequence_no")))
     responses = _last_reply(store).select("request_id", F.lit(1).alias("step"), F.col("response").alias("text"))
     return M.accept_responses(prompts, responses, AS_OF)
 
@@ -558,7 +578,6 @@ def q_expand_plan(spark, sf_dir):
 
 
 # ---- memory-query variants, report header projection, tokenizer evaluation ----------
-from ..operators.evaluation import token_overlap_eval  # noqa: E402
 
 
 def _typed_memory(spark, sf_dir, doc_type, top_n, meta, turn_decay, temporal_decay):
@@ -567,7 +586,8 @@ def _typed_memory(spark, sf_dir, doc_type, top_n, meta, turn_decay, temporal_dec
                                     temporal_decay=temporal_decay)
     newest = texts.filter(F.col("n") == 0)
     requests = requests.withColumn("document_type", F.lit(doc_type)).withColumn("filter_metadocs", F.lit(meta))
-    requests = requests.join(newest.select("request_id"), "request_id", "left_semi")
+    requests = (requests.join(newest.select("request_id"), "request_id", "left_semi")
+                .withColumn("exclude_conversation_id", F.lit(None).cast("string")))
     res = memory_query(store, requests, newest, request_vectors(store, newest), time_zone=_tz(spark))
     return _sig(res, "score")
 
@@ -646,5 +666,39 @@ def q_history_with_query(spark, sf_dir):
     query: the 100 nearest rows of the conversation, newest branch, history order."""
     store = turns(spark, sf_dir, with_vectors=True)
     _requests, texts = chat_requests(turns(spark, sf_dir))
-    q = request_vectors(store, texts).withColumn("conversation_id", F.col("request_id"))
+    q = request_vectors(store, texts.filter("n = 0")).withColumn("conversation_id", F.col("request_id"))
     return H.conversation_history_for_query(store, q, time_zone=_tz(spark))
+
+
+@register("seed_chore", oracle.SEED_CHORE)
+def q_seed_chore(spark, sf_dir):
+    """Chore seed: the 5 analysis documents nearest to the task (a chat's newest user turn)."""
+    return _typed_memory(spark, sf_dir, "analysis", 5, True, 0.7, 0.7)
+
+
+@register("seed_report", oracle.SEED_REPORT)
+def q_seed_report(spark, sf_dir):
+    """Report seed: analysis documents recalled with a request text (a benchmark item) and the
+    chunks of the document to report on (the one with the item's id), from a store that embeds on insert."""
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"]).select(F.col("doc_id").alias("item_id"), F.col("text").alias("body"))
+    jobs = _benchmark(spark, sf_dir).join(docs, "item_id").where("text IS NOT NULL AND body IS NOT NULL")
+    asked = (D.chunk_query_texts(jobs, "item_id", "body", "text").withColumn("request_id", F.col("item_id").cast("string")))
+    requests = asked.where("n = 0").select(
+        "request_id", F.lit("analysis").alias("document_type"), "top_n", F.lit(0.7).alias("turn_decay"), F.lit(0.7).alias("temporal_decay"),
+        F.lit(True).alias("filter_metadocs"), F.lit(AS_OF).cast("long").alias("as_of"), F.lit(None).cast("string").alias("exclude_conversation_id"))
+    texts = asked.select("request_id", F.col("n").cast("int").alias("n"), "text")
+    joined = jobs.select(F.col("item_id").cast("string").alias("request_id"), hashed_embedding(F.concat_ws(" ", "text", "body")).alias("qvec"))
+    store = turns(spark, sf_dir).withColumn("index", hashed_embedding("content"))
+    return _sig(memory_query(store, requests, texts, joined, time_zone=_tz(spark)), "score")
+
+
+@register("system_prompts", oracle.SYSTEM_PROMPTS)
+def q_system_prompts(spark, sf_dir):
+    """System prompt of one persona per customer, talking to nobody or to the nation's user."""
+    c = read_table(spark, sf_dir, "customer", ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"])
+    personas = c.select(
+        F.col("c_name").alias("name"), F.concat(F.lit("Room "), F.col("c_nationkey").cast("string")).alias("default_location"),
+        F.create_map(F.lit("segment"), F.col("c_mktsegment"), F.lit("age"), F.col("c_custkey").cast("string")).alias("attributes"),
+        F.create_map(F.lit("Voice"), F.lower("c_mktsegment")).alias("features"),
+        F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("user"), F.col("c_nationkey").cast("string"))).alias("user_id"))
+    return system_prompts(personas, AS_OF, mood="calm")

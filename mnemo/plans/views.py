@@ -107,10 +107,14 @@ def chats(turn_df: DataFrame, as_of: int = AS_OF) -> DataFrame:
 
 
 def request_vectors(turn_df_with_vectors: DataFrame, query_texts: DataFrame) -> DataFrame:
-    """Query vector of a request = the stored vector of its newest query text."""
-    newest = query_texts.filter(F.col("n") == 0).select("request_id", F.col("source_doc_id").alias("doc_id"))
-    return newest.join(turn_df_with_vectors.select("doc_id", "index"), "doc_id").select(
-        "request_id", F.col("index").alias("qvec"))
+    """Query vector of a request = the mean of the stored vectors of all its query texts."""
+    texts = query_texts.select("request_id", F.col("source_doc_id").alias("doc_id"))
+    parts = (texts.join(turn_df_with_vectors.select("doc_id", "index"), "doc_id")
+             .select("request_id", F.posexplode("index").alias("i", "x"))
+             .groupBy("request_id", "i").agg(F.avg(F.col("x").cast("double")).alias("x")))
+    # one entry per dimension
+    return parts.groupBy("request_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("qvec"))
 
 
 # --- fixed values: events -> chat actions -----------------------------------

@@ -9,6 +9,7 @@ Arrow for the few pandas-backed operators, UI off.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -43,19 +44,36 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster the setting points at shared storage and is used as is.
-    Only when it is unset (local tests) a scratch folder is created.
+    On a cluster the setting points at shared storage and is used as is; a cluster
+    session without it is an error, as executors would write to their own disks.
+    Only a local master without it gets a scratch folder.
     """
     conf = spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
         conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not conf:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir is unset: name a folder that all executors of {master} share")
         conf = tempfile.mkdtemp(prefix="mnemo-ckpt-")
         spark.conf.set("spark.checkpoint.dir", conf)
     spark.sparkContext.setCheckpointDir(conf)
     return conf
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package's modules to the executors, for clusters where it is not installed
+    (``pip install .`` on the nodes, or in the image, makes this needless)."""
+    import zipfile
+    from pathlib import Path
+    here = Path(__file__).resolve().parent
+    out = Path(tempfile.mkdtemp(prefix="mnemo-pkg-")) / "mnemo.zip"
+    with zipfile.ZipFile(out, "w") as z:
+        for p in here.rglob("*.py"):
+            z.write(p, p.relative_to(here.parent))
+    spark.sparkContext.addPyFile(str(out))
+
+
 def session_time_zone(spark: SparkSession) -> str:
     return spark.conf.get("spark.sql.session.timeZone", "UTC") or "UTC"
 

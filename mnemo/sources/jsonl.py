@@ -13,17 +13,17 @@ CORRUPT = "_corrupt_record"
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType = TURN_NO_VECTOR) -> DataFrame:
-    """One object per line with an explicit schema (no inference pass); malformed
-    lines are kept in ``_corrupt_record`` instead of failing the job."""
+    """One object per line with an explicit schema (no inference pass); lines that do
+    not parse, in whole or in part, are kept in ``_corrupt_record`` instead of failing
+    the job.  Blank lines are skipped."""
     sch = T.StructType(list(schema.fields) + [T.StructField(CORRUPT, T.StringType(), True)])
-    return (spark.read.schema(sch).option("mode", "PERMISSIVE")
-            .option("columnNameOfCorruptRecord", CORRUPT).json(path))
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    return lines.select(F.from_json("value", sch, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}).alias("r")).select("r.*")
 
 
 def bad_lines(raw: DataFrame) -> DataFrame:
-    """Malformed lines of a ``read_jsonl`` result (a parsed column is referenced
-    along with the corrupt-record column, which Spark requires)."""
-    return raw.filter(F.col(CORRUPT).isNotNull() & F.col("doc_id").isNull()).select(CORRUPT)
+    """Lines of a ``read_jsonl`` result that did not parse, in whole or in part."""
+    return raw.filter(F.col(CORRUPT).isNotNull()).select(CORRUPT)
 
 
 def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -45,7 +45,7 @@ def import_dump(spark: SparkSession, path: str, as_of: int, user_id: str | None
     """Rows ready to append (defaults filled) and messages per conversation.
 
     ``user_id`` / ``persona_id`` override the file's keys when given (single
-    conversation import); bad lines are counted, not inserted.
+    conversation import); bad lines are not inserted, ``bad_lines`` lists them.
     """
     raw = read_jsonl(spark, path)
     good = raw.filter(F.col(CORRUPT).isNull()).drop(CORRUPT)
@@ -60,8 +60,7 @@ def import_dump(spark: SparkSession, path: str, as_of: int, user_id: str | None
 
 def export_conversations(store: DataFrame, keys: DataFrame, path: str, time_zone: str = "UTC") -> None:
     """History of the selected conversations (3-part key) as JSON lines:
-    newest branch per sequence number, the standard projection."""
-    from ..operators.history import latest_branch_history, std_projection
+    newest branch per sequence number, the standard projection and ``pos``, the row's place in its history."""
+    from ..operators.history import conversation_history
     k = ["user_id", "persona_id", "conversation_id"]
-    rows = store.join(keys.select(*k).distinct(), k, "left_semi")
-    write_jsonl(std_projection(latest_branch_history(rows, k), time_zone), path)
+    write_jsonl(conversation_history(store, keys, keys=k, time_zone=time_zone), path)

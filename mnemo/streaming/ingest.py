@@ -1,5 +1,11 @@
-"""S1 / S2: streaming ingestion of turn files into the Parquet store, with
-doc_id deduplication bounded by an event-time watermark."""
+"""S1 / S2: streaming ingestion of turn files into the turn store.
+
+Every micro-batch is appended to the store as one batch of files named after the
+stream and the batch id, so a repeated batch is stored once.  With ``dedup`` a turn
+whose doc_id is stored already, or repeats in the batch, is skipped: the ids are
+compared with the store itself, so nothing depends on when a copy arrives and no
+late turn is lost.
+"""
 
 from __future__ import annotations
 
@@ -7,8 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions.embed import hashed_embedding
 from ..operators.mutations import insert_turns
-from ..schema import TURN_COLUMNS, TURN_NO_VECTOR
+from ..schema import TURN_NO_VECTOR
+from ..sources.store import TurnStore
 
 
 def turn_stream(spark: SparkSession, source_dir: str, max_files_per_trigger: int | None = None) -> DataFrame:
@@ -19,27 +27,26 @@ def turn_stream(spark: SparkSession, source_dir: str, max_files_per_trigger: int
     return r.json(source_dir)
 
 
-def ingest_stream(turns: DataFrame, as_of: int, dedup_delay: str | None = "1 day") -> DataFrame:
-    """Fill defaults; with ``dedup_delay`` drop repeated doc_ids.
+def unseen(rows: DataFrame, store: TurnStore) -> DataFrame:
+    """One row per doc_id that is not stored yet; rows without an id all stay."""
+    named = rows.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
+    stored = store.scan(["doc_id"]).join(named.select("doc_id"), "doc_id", "left_semi")
+    return named.join(stored, "doc_id", "left_anti").unionByName(rows.where(F.col("doc_id").isNull()))
+
 
-    The dedup keeps state only while a doc_id can still re-appear within the
-    watermark delay (event time = the turn's timestamp), so state stays bounded;
-    a copy arriving later than that is dropped by the watermark, not stored twice.
+def start_ingest(spark: SparkSession, source_dir: str, store_dir: str, checkpoint: str, as_of: int,
+                 dedup: bool = False, embed=hashed_embedding, available_now: bool = True, name: str = "ingest") -> StreamingQuery:
+    """Append arriving turns, defaults filled, to the ``TurnStore`` at ``store_dir``.
+
+    ``name`` tells this stream's batches from those of other writers of the store.
+    Without ``dedup`` a repeated doc_id is stored again under a new id.
     """
-    rows = insert_turns(turns, as_of)
-    if dedup_delay:
-        rows = (rows.withColumn("event_time", F.timestamp_seconds("timestamp"))
-                .withWatermark("event_time", dedup_delay)
-                .dropDuplicatesWithinWatermark(["doc_id"])
-                .drop("event_time"))
-    return rows.select(*TURN_COLUMNS)
+    store = TurnStore(spark, store_dir).init()
 
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        rows = insert_turns(batch, as_of)
+        store.append(unseen(rows, store) if dedup else rows, embed, batch=f"{name}-{batch_id}")
 
-def start_ingest(spark: SparkSession, source_dir: str, store_dir: str, checkpoint: str, as_of: int,
-                 dedup_delay: str | None = "1 day", available_now: bool = True) -> StreamingQuery:
-    """Append the ingested turns to Parquet (exactly once via the checkpoint)."""
-    q = (ingest_stream(turn_stream(spark, source_dir), as_of, dedup_delay)
-         .writeStream.format("parquet").option("path", store_dir).option("checkpointLocation", checkpoint)
-         .outputMode("append"))
+    q = turn_stream(spark, source_dir).writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
     q = q.trigger(availableNow=True) if available_now else q.trigger(processingTime="10 seconds")
     return q.start()

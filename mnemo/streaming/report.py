@@ -1,14 +1,15 @@
 """S3: the conversation report kept up to date by a streaming aggregation.
 
 The stream aggregates counts and last activity per (conversation_id,
-document_type) in update mode; each micro-batch's changed keys are appended to
-a Parquet table with the batch id (``foreachBatch``).  The current report is the
-newest row per key, pivoted with the fixed document-type list (a batch read).
+document_type) in update mode; each micro-batch's changed keys replace the folder
+of their batch id (``foreachBatch``), so a repeated batch leaves them once.  The
+current report is the newest row per key, pivoted with the fixed document-type
+list (a batch read); ``compact_updates`` folds the log into that.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -22,7 +23,7 @@ def report_updates(turns: DataFrame) -> DataFrame:
 
 def start_report(turns: DataFrame, updates_dir: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
     def sink(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(updates_dir)
+        batch.write.mode("overwrite").parquet(f"{updates_dir}/batch_id={batch_id}")
 
     q = (report_updates(turns).writeStream.outputMode("update").foreachBatch(sink)
          .option("checkpointLocation", checkpoint))
@@ -30,10 +31,20 @@ def start_report(turns: DataFrame, updates_dir: str, checkpoint: str, available_
     return q.start()
 
 
+def latest_updates(spark: SparkSession, updates_dir: str) -> DataFrame:
+    """Newest ``(n, timestamp_max)`` per (conversation_id, document_type): one aggregate."""
+    upd = spark.read.parquet(updates_dir)
+    return upd.groupBy("conversation_id", "document_type").agg(
+        F.max_by(F.struct("n", "timestamp_max"), "batch_id").alias("u")).select("conversation_id", "document_type", "u.*")
+
+
+def compact_updates(spark: SparkSession, updates_dir: str, target_dir: str) -> None:
+    """Write the newest row per key as batch 0 of a new log (a stream that goes on there starts with batch 1)."""
+    latest_updates(spark, updates_dir).write.mode("overwrite").parquet(f"{target_dir}/batch_id=0")
+
+
 def current_report(spark: SparkSession, updates_dir: str) -> DataFrame:
     """Newest value per (conversation, type), pivoted into the report layout."""
-    upd = spark.read.parquet(updates_dir)
-    w = Window.partitionBy("conversation_id", "document_type").orderBy(F.col("batch_id").desc())
-    latest = upd.withColumn("_rk", F.row_number().over(w)).filter("_rk = 1")
+    latest = latest_updates(spark, updates_dir)
     counts = [F.sum(F.when(F.col("document_type") == t, F.col("n")).otherwise(0)).alias(t) for t in DOCUMENT_TYPES]
     return latest.groupBy("conversation_id").agg(*counts, F.max("timestamp_max").alias("timestamp_max"))

@@ -11,36 +11,39 @@ from mnemo.plans.views import session_events
 from .conftest import SF_CHECK
 
 
-def phrases_loop(text, max_n=3):
-    mixed = re.compile(r"\b[A-Z][a-z]*[A-Z][a-z]*\b")
-    cap = re.compile(r"\b[A-Z][a-z]+\b")
-    out = []
-    for sentence in re.split(r"(?<=[.!?])\s+", text):
-        words = re.findall(r"\b\w+\b", sentence)
-        idx = 0
-        while idx < len(words):
-            if mixed.match(words[idx]):
-                out.append(words[idx])
-            if idx == 0:
-                idx += 1
-                continue
-            run = []
-            while len(run) < max_n and idx + len(run) < len(words) and cap.match(words[idx + len(run)]):
-                run.append(words[idx + len(run)])
-            if run:
-                out.append(" ".join(run))
-                idx += len(run)
-            else:
-                idx += 1
-    return set(out)
-
-
-def test_capitalized_phrases_equal_loop(spark):
-    pdf = pd.read_parquet(f"{SF_CHECK}/documents.parquet", columns=["doc_id", "text"])
-    expect = {(d, p) for d, t in zip(pdf.doc_id, pdf.text) for p in phrases_loop(t)}
+# hand-worked: text -> phrases (a phrase has up to three capitalised words in a row, never a sentence's first word)
+PHRASES = {
+    "": set(),
+    "Rain fell on Lower Town. Rain fell.": {"Lower Town"},
+    "we met Ada, Bo and Cy Dee Ef Gi there": {"Ada Bo", "Cy Dee Ef", "Gi"},
+    "He saw it! Then Max came? yes Max": {"Max"},
+    "the iPhone and a MacBook in Rome": {"MacBook", "Rome"},
+    "Only Opening Words. Matter Little": {"Opening Words", "Little"},
+    "a B c D1 Ee_f": set(),
+}
+
+
+def test_capitalized_phrases_by_hand(spark):
+    docs = spark.createDataFrame(list(enumerate(PHRASES)), "doc_id int, text string")
+    got = {i: set() for i in range(len(PHRASES))}
+    for r in D.capitalized_phrases(docs, "doc_id", "text").collect():
+        got[r.doc_id].add(r.phrase)
+    assert got == dict(enumerate(PHRASES.values()))
+
+
+def test_capitalized_phrases_properties(spark):
+    """Every phrase stands in its text up to separators, has one to three words with a
+    capital first letter (or mixed capitals), and lower-casing the text removes them all."""
+    pdf = pd.read_parquet(f"{SF_CHECK}/documents.parquet", columns=["doc_id", "text"]).dropna()
+    texts = {d: re.sub(r"\W+", " ", t) for d, t in zip(pdf.doc_id, pdf.text)}
     docs = spark.read.parquet(f"{SF_CHECK}/documents.parquet").select("doc_id", "text")
-    got = {(r.doc_id, r.phrase) for r in D.capitalized_phrases(docs, "doc_id", "text").collect()}
-    assert got == expect
+    rows = D.capitalized_phrases(docs, "doc_id", "text").collect()
+    assert len(rows) > len(texts)
+    for r in rows:
+        words = r.phrase.split(" ")
+        assert 1 <= len(words) <= 3 and r.phrase in texts[r.doc_id] and all(re.search("[A-Z]", w) for w in words)
+    lower = docs.selectExpr("doc_id", "lower(text) AS text")
+    assert D.capitalized_phrases(lower, "doc_id", "text").count() == 0
 
 
 def number_turns_loop(actions):

@@ -54,10 +54,11 @@ def test_jsonl_roundtrip_and_corrupt_lines(spark):
         f.write(json.dumps({"doc_id": "d1", "conversation_id": "c1", "role": "user", "content": "hi",
                             "sequence_no": 0}) + "\n")
         f.write("{not json\n")
+        f.write(json.dumps({"doc_id": "d3", "conversation_id": "c1", "role": "user", "content": "half", "weight": "abc"}) + "\n")
         f.write(json.dumps({"doc_id": "d2", "conversation_id": "c1", "role": "assistant", "content": "yo",
                             "sequence_no": 1, "weight": 2.0}) + "\n")
     raw = jsonl.read_jsonl(spark, path)
-    assert jsonl.bad_lines(raw).count() == 1
+    assert jsonl.bad_lines(raw).count() == 2  # a line that parses in part is not imported, so it is listed
     rows, counts = jsonl.import_dump(spark, path, as_of=100, user_id="u9")
     got = {r.doc_id: r for r in rows.collect()}
     assert got["d1"].weight == 1.0 and got["d2"].weight == 2.0
@@ -69,6 +70,51 @@ def test_jsonl_roundtrip_and_corrupt_lines(spark):
     assert back.count() == 2
 
 
+def _files(root):
+    return [os.path.join(d, f) for d, _, names in os.walk(root) for f in names if f.endswith(".parquet")]
+
+
+def test_two_writers_of_one_version(spark):
+    st = TurnStore(spark, os.path.join(_scratch(), "store")).init()
+    assert not st._publish(1, ["x"]) and st.batches() == []
+
+
+def test_request_without_vector_keeps_its_recall(spark):
+    from mnemo.operators.memory import memory_query
+    store = spark.createDataFrame([("d1", "conversation", "u", "p", "c1", "user", "tea time", 0, 0, 1.0, 5, [0.5, 0.5]),
+                                   ("d2", "conversation", "u", "p", "c2", "user", "rain", 0, 0, 1.0, 5, [1.0, 0.0])],
+                                  "doc_id string, document_type string, user_id string, persona_id string, conversation_id string, role string, "
+                                  "content string, branch int, sequence_no int, weight double, timestamp long, index array<float>")
+    req = spark.createDataFrame([("r", None, 5, 0.7, 0.7, True, 10, None)], "request_id string, document_type string, top_n int, turn_decay double, "
+                                "temporal_decay double, filter_metadocs boolean, as_of long, exclude_conversation_id string")
+    none = spark.createDataFrame([], "request_id string, n int, text string")
+    got = memory_query(store, req, none, spark.createDataFrame([], "request_id string, qvec array<double>")).collect()
+    assert {r.doc_id for r in got} == {"d1", "d2"} and all(r.score > 0 for r in got)
+
+
+def test_checkpoint_folder_is_named_on_a_cluster(spark, monkeypatch):
+    import pytest
+
+    from mnemo import session
+
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Cluster:
+        conf = Conf()
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+            @staticmethod
+            def getConf():
+                return Conf()
+
+    with pytest.raises(ValueError):
+        session.ensure_checkpoint_dir(Cluster())
+
+
 def test_store_init_append_clear(spark):
     st = TurnStore(spark, os.path.join(_scratch(), "store")).init()
     assert st.size() == 0
@@ -76,8 +122,19 @@ def test_store_init_append_clear(spark):
                                               "doc_id string, conversation_id string, sequence_no int, role string, content string"),
                         as_of=5)
     st.append(rows)
+    first = {p: os.stat(p).st_mtime_ns for p in _files(st.root)}
     st.append(rows.withColumn("doc_id", F.lit("d2")))
     assert st.size() == 2
+    assert all(os.stat(p).st_mtime_ns == t for p, t in first.items()) and set(first) < set(_files(st.root))
+    st.append(rows.unionByName(rows).unionByName(rows.withColumn("doc_id", F.lit(None).cast("string"))))
+    ids = [r.doc_id for r in st.scan(["doc_id"]).collect()]
+    assert len(ids) == 5 == len(set(ids)) and None not in ids
+    vectors = st.scan(["index"]).collect()
+    assert all(len(v["index"]) == 64 for v in vectors)
+    st.append(rows.withColumn("doc_id", F.lit("d9")), batch="b-1").append(rows.withColumn("doc_id", F.lit("d9")), batch="b-1")
+    assert st.size() == 6
+    st.write(st.scan())
+    assert st.size() == 6 and len(st.batches()) == 1
     assert st.scan(["document_type"]).distinct().collect()[0].document_type == "conversation"
     st.clear()
     assert st.size() == 0
