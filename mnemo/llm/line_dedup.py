@@ -56,7 +56,7 @@ def line_dedup(docs: DataFrame, keep: list[str] | None = None, id_col: str = "do
     place = F.struct("id", "no")
 
     # hashes seen at two places, from the hashes alone; their chunks' bytes are then compared
-    repeated = chunks.groupBy("hash").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b OR a.id IS NULL").select("hash")
+    repeated = stage(chunks.groupBy("hash").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b OR a.id IS NULL").select("hash"), "repeated-hashes")
     again = stage(chunks.join(repeated, "hash").select("id", "no", "hash", "body"), "repeated-chunks")
     first = stage(again.groupBy("body").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.min("hash").alias("hash"))
                   .where(~F.col("first").eqNullSafe(F.col("last"))), "first-chunks")
