@@ -23,9 +23,9 @@ from mnemo.llm.common import stage
 SAMPLE_ROWS = 20_000
 SAMPLE_BYTES = 64 << 20
 BRANCHES = 8
-LEAF_SAMPLE = 48
+LEAF_SAMPLE = 400
 CALIBRATION_QUERIES = 200
-RECALL = 0.97
+RECALL = 0.95
 #: Vectors and queries that meet in one task.
 LEAF_ROWS = 20_000
 LEAF_QUERIES = 2_000
