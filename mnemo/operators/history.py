@@ -79,15 +79,15 @@ def conversation_history_for_query(store: DataFrame, queries: DataFrame, limit:
     qvec)`` the ``limit`` rows of that conversation nearest to the query vector,
     then the newest branch per sequence number and the history order.
 
-    The conversation restriction is a prefilter of the vector kernel (so the
-    limit counts only that conversation's rows)."""
-    from .dense import dense_candidates, top_k_per_request
-    req = queries.select("request_id", "qvec", F.lit(None).cast("string").alias("document_type"),
-                         F.lit(False).alias("filter_metadocs"),
-                         F.lit(None).cast("string").alias("exclude_conversation_id"),
-                         F.col("conversation_id").alias("only_conversation_id"))
-    near = top_k_per_request(dense_candidates(store, req, k=limit), k=limit).select("request_id", "doc_id")
-    rows = store.drop("index").join(near, "doc_id")
+    A request meets the rows of its own conversation only: an equi-join, a native
+    distance, and a top-``limit`` per request (trimmed before the shuffle)."""
+    from .dense import squared_l2
+    asked = queries.select("request_id", "conversation_id", "qvec")
+    met = (store.where(F.col("index").isNotNull()).join(asked, "conversation_id")
+           .withColumn("_distance", squared_l2(F.col("index"), F.col("qvec"))))
+    nearest = Window.partitionBy("request_id").orderBy("_distance", "doc_id")
+    rows = (met.withColumn("_rank", F.row_number().over(nearest)).where(F.col("_rank") <= limit)
+            .drop("_rank", "_distance", "index", "qvec"))
     kept = latest_branch_history(rows, ["request_id"])
     w = Window.partitionBy("request_id").orderBy(*[F.col(c) for c in HISTORY_ORDER], F.col("doc_id"))
     # at most ``limit`` rows per request: a bounded window
