@@ -270,67 +270,69 @@ def summed(parts: list[np.ndarray]) -> pd.DataFrame:
     return rows.groupby(["a", "b"], as_index=False).agg({"uses": "sum", "need": "max"})
 
 
-def cross_pairs(small: DataFrame, large: DataFrame, percent: int) -> DataFrame:
+def large_list_pairs(rows: pd.DataFrame, percent: int) -> list[np.ndarray]:
+    """The same for one long list, or two of its blocks: only pairs that the parity bitmaps let pass."""
+    own, doc, comp, n, need, uses = (rows[c].to_numpy() for c in ("own", "doc", "component", "n", "need", "uses"))
+    size = min(map(len, rows["bits"]))
+    bits, across, out = np.stack([fold(b, size) for b in rows["bits"]]), rows["x"].iloc[0] != rows["y"].iloc[0], []
+    for i in range(len(doc) - 1):
+        fine = (comp[i + 1:] != comp[i]) & (100 * np.minimum(n[i], n[i + 1:]) >= percent * np.maximum(n[i], n[i + 1:]))
+        if across:
+            fine &= own[i + 1:] != own[i]
+        j = np.flatnonzero(fine) + i + 1
+        if len(j):
+            apart = np.bitwise_count(bits[j] ^ bits[i]).sum(1, dtype=np.int64)
+            j = j[apart <= (n[i] + n[j]) * (100 - percent) // (100 + percent)]
+            out.append(np.stack([np.full(len(j), doc[i]), doc[j], uses[j], np.maximum(need[i], need[j])], 1))
+    return out
+
+
+def cross_pairs(lists: DataFrame, percent: int) -> DataFrame:
     """Pairs that share signatures but no component yet, and as many of them as a linked pair must.
 
-    ``small`` and ``large``: list, doc, component, n, need, uses, of the lists up to SMALL_LIST sets and
-    beyond; the latter also m (its sets) and bits.  A large list is dealt into blocks, every two blocks of it meet in
-    one task, and only pairs go on that the parity bitmaps let pass.
+    ``lists``: list, m (its sets), doc, component, n, need, uses, bits.  A list of more than BLOCK_SETS
+    sets is dealt into blocks, and every two blocks of it meet in one task.
     """
-    parts = shuffle_partitions(small.sparkSession)
-    schema = "a long, b long, uses long, need long"
+    blocks = F.ceil(F.col("m") / BLOCK_SETS)
+    columns = ["list", "x", "y", "own", "doc", "component", "n", "need", "uses", "bits"]
+    zero = F.lit(0).cast("long")
+    whole = lists.where(F.col("m") <= BLOCK_SETS).select("*", zero.alias("x"), zero.alias("y"), zero.alias("own")).select(*columns)
+    dealt = (lists.where(F.col("m") > BLOCK_SETS).withColumn("own", F.pmod(F.xxhash64("doc"), blocks))
+             .withColumn("other", F.explode(F.sequence(zero, blocks - 1)))
+             .select("*", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y")).select(*columns))
 
-    def short(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
         for b in batches:
-            b = b if rest is None else pd.concat([rest, b])
-            whole = np.searchsorted(b["list"].to_numpy(), b["list"].iloc[-1]) if len(b) else 0
-            rest = b.iloc[whole:]
-            if whole:
-                yield small_list_pairs(b.iloc[:whole], percent)
+            b = b if rest is None else pd.concat([rest, b], ignore_index=True)
+            starts = group_starts(b)
+            rest = b.iloc[starts[-1]:] if len(starts) else None
+            if len(starts) > 1:
+                yield list_pairs(b.iloc[:starts[-1]], starts[:-1], percent)
         if rest is not None and len(rest):
-            yield small_list_pairs(rest, percent)
+            yield list_pairs(rest.reset_index(drop=True), np.zeros(1, np.int64), percent)
 
-    blocks = F.ceil(F.col("m") / BLOCK_SETS)
-    rows = (large.withColumn("own", F.pmod(F.xxhash64("doc"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-            .select("list", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "doc", "component", "n", "need", "uses", "bits"))
-
-    def candidates(group: list[tuple]) -> list[np.ndarray]:
-        _, x, y = group[0][:3]
-        own, doc, comp, n, need, uses = (np.array([r[i] for r in group]) for i in range(3, 9))
-        size = min(len(r[9]) for r in group)
-        bits, out = np.stack([fold(r[9], size) for r in group]), []
-        for i in range(len(doc) - 1):
-            fine = (comp[i + 1:] != comp[i]) & (100 * np.minimum(n[i], n[i + 1:]) >= percent * np.maximum(n[i], n[i + 1:]))
-            if x != y:
-                fine &= own[i + 1:] != own[i]
-            j = np.flatnonzero(fine) + i + 1
-            if len(j):
-                apart = np.bitwise_count(bits[j] ^ bits[i]).sum(1, dtype=np.int64)
-                j = j[apart <= (n[i] + n[j]) * (100 - percent) // (100 + percent)]
-                out.append(np.stack([np.full(len(j), doc[i]), doc[j], uses[j], np.maximum(need[i], need[j])], 1))
-        return out
-
-    def long(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        group: list[tuple] = []
-        out: list[np.ndarray] = []
-        for b in batches:
-            for r in b.itertuples(index=False, name=None):
-                if group and r[:3] != group[0][:3]:
-                    out += candidates(group)
-                    group = []
-                    if sum(map(len, out)) > 500_000:
-                        yield summed(out)
-                        out = []
-                group.append(r)
-        yield summed(out + (candidates(group) if group else []))
-
-    found = (small.select("list", "doc", "component", "n", "need", "uses").repartition(parts, "list").sortWithinPartitions("list", "doc")
-             .mapInPandas(short, schema)
-             .unionByName(rows.repartition(parts, "list", "x", "y").sortWithinPartitions("list", "x", "y", "doc").mapInPandas(long, schema)))
+    rows = whole.unionByName(dealt).repartition(shuffle_partitions(lists.sparkSession), "list", "x", "y").sortWithinPartitions("list", "x", "y", "doc")
+    found = rows.mapInPandas(compare, "a long, b long, uses long, need long")
     return found.groupBy("a", "b").agg(F.sum("uses").alias("uses"), F.max("need").alias("need")).where("uses >= need").select("a", "b")
 
 
+def group_starts(rows: pd.DataFrame) -> np.ndarray:
+    key = rows[["list", "x", "y"]].to_numpy()
+    return np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]).any(1)))) if len(key) else np.zeros(0, np.int64)
+
+
+def list_pairs(rows: pd.DataFrame, starts: np.ndarray, percent: int) -> pd.DataFrame:
+    size = np.diff(np.append(starts, len(rows)))
+    short = np.repeat(size <= SMALL_LIST, size)
+    short &= (rows["x"] == rows["y"]).to_numpy()
+    found = [small_list_pairs(rows[short], percent).to_numpy()]
+    for a, k in zip(starts, size):
+        if not short[a]:
+            found += large_list_pairs(rows.iloc[a:a + k], percent)
+    return summed(found)
+
+
 def lowest(rows: DataFrame, same: DataFrame, name: str) -> DataFrame:
     """``name`` replaced by the smallest id with an equal set."""
     least = same.select(F.col("a").alias("_least"), F.col("b").alias("_own"))
@@ -384,9 +386,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = PERCENT, id_c
     labelled = stage(labelled, "labelled-lists")
     mixed = stage(labelled.groupBy("list").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("m"))
                   .where("low <> high").select("list", "m"), "mixed-lists")
-    plain = labelled.join(mixed.where(F.col("m") <= SMALL_LIST).select("list"), "list").join(sets.select("doc", "n", "need"), "doc")
-    large = labelled.join(mixed.where(F.col("m") > SMALL_LIST), "list").join(sets.select("doc", "n", "need", "bits"), "doc")
-    more = stage(cross_pairs(plain, large, percent).join(star, ["a", "b"], "left_anti"), "cross-pairs")
+    more = stage(cross_pairs(labelled.join(mixed, "list").join(sets, "doc"), percent).join(star, ["a", "b"], "left_anti"), "cross-pairs")
     links = links.unionByName(verified(more, texts_of(more), n, percent))
     comp = components(stage(links, "links"))
 
