@@ -132,11 +132,13 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, window: int =
                 words = words_of(text, lower=False)
                 at, h = anchors(words, least, window, gram)
                 twice = np.isin(h & low48, np.frombuffer(b"".join(known), np.uint64))
-                plain = [w.decode("utf-8", "replace") for w in words]
-                out = []
+                plain, out = [w.decode("utf-8", "replace") for w in words], []
+                n, size = len(plain), np.array([len(w) + 1 for w in plain], np.int64)
+                ahead, back = " ".join(plain) + " ", " ".join(reversed(plain)) + " "
+                at_ahead, at_back = ([0, *np.cumsum(x).tolist()] for x in (size, size[::-1]))  # where the words begin
                 for i, x in zip(at[twice].tolist(), h[twice].tolist()):
-                    out.append(("R" + " ".join(plain[i:i + least + window]) + " ", doc, i))
-                    out.append((f"L{x:016x} " + "".join(w + " " for w in reversed(plain[max(0, i - window):i])), doc, i))
+                    out.append(("R" + ahead[at_ahead[i]:at_ahead[min(i + least + window, n)]], doc, i))
+                    out.append((f"L{x:016x} " + back[at_back[n - i]:at_back[min(n - i + window, n)]], doc, i))
                 for k in range(0, len(out), 20_000):
                     yield pd.DataFrame(out[k:k + 20_000], columns=["key", "doc", "at"])
 
