@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +23,34 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_RESIDENT: dict = {}
+
+
+def resident(key, make):
+    """The object that a worker process keeps between tasks, made when it is first asked for.
+
+    There is one at a time: tables and memos of another operator or run are let go,
+    so that a worker that serves several stages doesn't hold them all.
+    """
+    if key not in _RESIDENT:
+        _RESIDENT.clear()
+        _RESIDENT[key] = make()
+    return _RESIDENT[key]
+
+
+def slices(texts: list[str | None], most: int = 1_000_000) -> Iterator[tuple[int, int]]:
+    """(first, end) of runs of texts of about ``most`` characters; a longer text is a run of its own."""
+    first = held = 0
+    for i, t in enumerate(texts):
+        size = len(t) if t else 0
+        if held and held + size > most:
+            yield first, i
+            first, held = i, 0
+        held += size
+    if texts:
+        yield first, len(texts)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mnemo.llm.common import stage
+from mnemo.llm.common import resident, stage
 
 #: Bytes of benchmark text that are searched for in one pass over the documents.
 BLOCK_BYTES = 8 << 20
@@ -105,9 +105,6 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-_SEARCHES: dict[str, WindowSearch] = {}
-
-
 def search_pass(rows: DataFrame, items: list[tuple[str, str]], n: int, with_text: bool) -> DataFrame:
     """Adds the occurrences of one block of items to ``hit_starts``, ``hit_ends`` and ``items``; ``with_text`` keeps text and rest."""
     block, key = rows.sparkSession.sparkContext.broadcast(items), uuid.uuid4().hex
@@ -115,10 +112,7 @@ def search_pass(rows: DataFrame, items: list[tuple[str, str]], n: int, with_text
     passed = ["id", "text", "rest"] if with_text else ["id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _SEARCHES:
-            _SEARCHES.clear()
-            _SEARCHES[key] = WindowSearch(block.value, n)
-        search = _SEARCHES[key]
+        search = resident(("windows", key), lambda: WindowSearch(block.value, n))
         for b in batches:
             out = {k: [] for k in kinds}
             for text, starts, ends, known in zip(*(b.column(c).to_pylist() for c in ("text", "hit_starts", "hit_ends", "items"))):

@@ -17,8 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mnemo.llm.common import held_out
-from mnemo.llm.wordrows import WordRows, gram_ids, word_batches
+from mnemo.llm.common import held_out, resident, slices
+from mnemo.llm.wordrows import WordRows, gram_ids
 
 #: Documents a language that the model is fitted on at most, and the longest text among them (bytes).
 FIT_DOCS = 600
@@ -158,7 +158,18 @@ def fit(texts: list[tuple[str, str]], steps: int = STEPS, seed: int = 5) -> Chai
     return model
 
 
-_ROWS: dict[str, WordRows] = {}
+def label(chain: Chain, memo: WordRows, texts: list[str | None]) -> dict[int, tuple[str, float]]:
+    """Index -> language and mean posterior, of the texts with a letter."""
+    words = {i: w for i, t in enumerate(texts) if t and (w := words_of(t)) and any(map(str.isalpha, t))}
+    if not words:
+        return {}
+    at = memo.rows([w for ws in words.values() for w in ws])
+    size = np.array([len(ws) for ws in words.values()])
+    starts = np.cumsum(size) - size
+    first = np.zeros(len(at), bool)
+    first[starts] = True
+    mean = np.add.reduceat(chain.posteriors(memo.table[at].astype(float), first), starts, axis=0) / size[:, None]
+    return {i: (chain.langs[int(m.argmax())], float(min(1.0, m.max()))) for i, m in zip(words, mean)}
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_docs: int = FIT_DOCS) -> DataFrame:
@@ -183,26 +194,14 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         chain: Chain = model.value
-        if key not in _ROWS:
-            _ROWS.clear()
-            _ROWS[key] = WordRows(chain.emissions, max(1, len(chain.langs)))
-        memo = _ROWS[key]
+        memo = resident(("chain", key), lambda: WordRows(chain.emissions, max(1, len(chain.langs))))
         for b in batches:
-            texts = [words_of(t) if t else [] for t in b["text"]]
-            lang, score = ["und"] * len(texts), [0.0] * len(texts)
-            for group in word_batches(texts) if chain.langs else []:
-                group = [i for i in group if texts[i] and any(map(str.isalpha, b["text"].iloc[i]))]
-                if not group:
-                    continue
-                at = memo.rows([w for i in group for w in texts[i]])
-                starts = np.cumsum([0] + [len(texts[i]) for i in group[:-1]])
-                first = np.zeros(len(at), bool)
-                first[starts] = True
-                post = chain.posteriors(memo.table[at].astype(float), first)
-                mean = np.add.reduceat(post, starts, axis=0) / np.array([len(texts[i]) for i in group])[:, None]
-                for i, m in zip(group, mean):
-                    lang[i], score[i] = chain.langs[int(m.argmax())], float(min(1.0, m.max()))
-            yield pd.DataFrame({"id": b["id"], "lang_pred": lang, "score": score})
+            texts = b["text"].tolist()
+            found = [("und", 0.0)] * len(texts)
+            for a, z in slices(texts) if chain.langs else ():
+                for i, x in label(chain, memo, texts[a:z]).items():
+                    found[a + i] = x
+            yield pd.DataFrame({"id": b["id"], "lang_pred": [x for x, _ in found], "score": [x for _, x in found]})
 
     kind = docs.schema[id_col].dataType
     done = rows.select(F.col("id").cast("string").alias("id"), "text").mapInPandas(run, "id string, lang_pred string, score double")

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mnemo.llm.common import stage
+from mnemo.llm.common import resident, stage
 
 CAPACITY = 4096
 SEPARATOR = 1
@@ -61,19 +61,10 @@ class PieceIds:
         return [b"".join(map(get, x)) for x in parts]
 
 
-_IDS: dict[str, PieceIds] = {}
-
-
-def piece_ids(path: str) -> PieceIds:
-    if path not in _IDS:
-        _IDS[path] = PieceIds(path)
-    return _IDS[path]
-
-
 def pieces(docs: DataFrame, tokenizer: str, capacity: int, id_col: str, text_col: str) -> DataFrame:
     """One row per piece of at most ``capacity`` ids: id, piece, start, length, ids_crc32."""
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = piece_ids(tokenizer)
+        known = resident(("ids", tokenizer), lambda: PieceIds(tokenizer))
         end = np.array([SEPARATOR], "<u4").tobytes()
         for b in batches:
             out = []

@@ -19,6 +19,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mnemo.llm.common import resident
+
 MEMO_ENTRIES = 1_000_000
 #: Up to here (Latin blocks) str.lower and the letter classes agree with the library's; beyond, the library itself is asked.
 LATIN_END = "\u0250"
@@ -126,16 +128,6 @@ class PairMerger:
         return sum(map(memo.__getitem__, parts))
 
 
-_MERGERS: dict[str, PairMerger] = {}
-
-
-def merger(path: str) -> PairMerger:
-    """One merge table per worker process."""
-    if path not in _MERGERS:
-        _MERGERS[path] = PairMerger(path)
-    return _MERGERS[path]
-
-
 def token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048,
                  id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Bytes and tokens of every text.
@@ -148,7 +140,7 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048,
     empty table gives an empty result.  Texts are counted whole, whatever their length.
     """
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = merger(tokenizer)
+        m = resident(("merges", tokenizer), lambda: PairMerger(tokenizer))
         for b in batches:
             texts = b["text"].fillna("")
             yield pd.DataFrame({"id": b["id"], "n_bytes": [len(t.encode()) for t in texts],

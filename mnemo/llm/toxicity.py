@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mnemo.llm.common import held_out
+from mnemo.llm.common import held_out, resident, slices
 from mnemo.llm.langid import words_of
 from mnemo.llm.wordrows import WordRows, gram_ids, word_batches
 
@@ -256,9 +256,6 @@ def calibrate(net: Network, texts: list[list[bytes]], label: np.ndarray, rounds:
     net.scale, net.shift = float(max(a, 0.01) / spread), float(b - max(a, 0.01) * mean / spread)
 
 
-_ROWS: dict[str, WordRows] = {}
-
-
 def toxicity(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None, fit_docs: int = FIT_DOCS, threshold: float = THRESHOLD,
              id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """Score every whole text: id, the text and the columns of ``keep`` if any are named, ``held_out``, ``score`` (0 to 1), ``predicted``.
@@ -283,17 +280,14 @@ def toxicity(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net: Network | None = model.value
-        if key not in _ROWS:
-            _ROWS.clear()
-            if net is not None:
-                _ROWS[key] = WordRows(net.gates, 6 * HIDDEN)
+        memo = None if net is None else resident(("network", key), lambda: WordRows(net.gates, 6 * HIDDEN))
         for b in batches:
-            texts = [words_of(t) if t else [] for t in b.column("text").to_pylist()]
-            score = np.zeros(len(texts))
-            if net is not None:
-                x = text_logits(net, _ROWS[key], texts)
-                score = np.where(np.isfinite(x), sigmoid(net.scale * x + net.shift), 0.0)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score)], names=[*b.schema.names, "score"])
+            texts, parts = b.column("text").to_pylist(), []
+            for a, z in slices(texts):
+                parts.append(text_logits(net, memo, [words_of(t) if t else [] for t in texts[a:z]]) if net else np.full(z - a, -np.inf))
+            x = np.concatenate(parts) if parts else np.zeros(0)
+            score = np.where(np.isfinite(x), sigmoid(net.scale * x + net.shift) if net else 0.0, 0.0)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score, pa.float64())], names=[*b.schema.names, "score"])
 
     done = rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())]))
     kept = [F.col("text").alias(text_col), *[F.col("rest")[c].alias(c) for c in keep]] if keep else []
