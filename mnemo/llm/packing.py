@@ -30,7 +30,7 @@ from mnemo.llm.common import resident, stage
 CAPACITY = 4096
 SEPARATOR = 1
 BANDS = 64
-MEMO_ENTRIES = 1_000_000
+MEMO_ENTRIES = 500_000
 #: Pieces of a numbering block, on average.
 BLOCK_PIECES = 10_000
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from mnemo.llm.common import resident
 
-MEMO_ENTRIES = 1_000_000
+MEMO_ENTRIES = 500_000
 #: Up to here (Latin blocks) str.lower and the letter classes agree with the library's; beyond, the library itself is asked.
 LATIN_END = "\u0250"
 # the pre-tokenizer's pattern, for ASCII and for the Latin blocks (fixed values)
