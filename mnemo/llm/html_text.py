@@ -1,8 +1,9 @@
 """Main-text extraction from web pages by tree scoring.
 
 A page becomes a tree; elements that are never part of an article (menus,
-forms, scripts, adverts, ...) are left out by tag, role or class word.  Every
-paragraph gives points for its length and its commas to its ancestors, less the
+forms, scripts, adverts, ...) are left out by tag, role or class word; a class
+word that stands on a wrapper of the article doesn't count.  Every paragraph
+gives points for its length and its commas to its ancestors, less the
 farther they are; a container's points are discounted by its link density.  The
 best container is kept with its siblings that score well, and their blocks are
 written in page order.
@@ -46,10 +47,13 @@ KEEP_WORDS = frozenset("article content main body post entry story text".split()
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 WORDS = re.compile(r"[a-z]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+#: has-sidebar, no-comments, layout-with-ads: the words behind tell what a page has or lacks, not what the element is.
+COMPOUND = re.compile(r"(?:(?<=^)|(?<=[\s_-]))(?:has|with|no|without)[_-]+\S*")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "kids", "out", "block", "chars", "linked", "links", "own", "commas", "points", "has_blocks")
+    __slots__ = ("tag", "parent", "kids", "out", "block", "chars", "linked", "links", "own", "commas", "points", "has_blocks",
+                 "named", "plain", "titles", "articles")
 
     def __init__(self, tag: str, parent: Node | None):
         self.tag, self.parent, self.kids = tag, parent, []
@@ -57,6 +61,7 @@ class Node:
         self.out, self.has_blocks = False, False
         self.chars = self.linked = self.links = self.own = self.commas = 0
         self.points = 0.0
+        self.named, self.plain, self.titles, self.articles = False, 0, 0, 0
 
 
 class PageTree(HTMLParser):
@@ -96,6 +101,7 @@ class PageTree(HTMLParser):
                 self.pop()
         node = Node(tag, self.top)
         node.out = left_out(node, attrs)
+        node.named = not node.out and named_out(node, attrs)
         self.top.kids.append(node)
         self.nodes.append(node)
         if tag not in VOID:
@@ -136,12 +142,19 @@ def left_out(node: Node, attrs: list[tuple[str, str | None]]) -> bool:
     style = (a.get("style") or "").replace(" ", "").lower()
     if "hidden" in a or (a.get("aria-hidden") or "").lower() == "true" or "display:none" in style or "visibility:hidden" in style:
         return True
-    if (a.get("role") or "").lower() in LEFT_OUT_ROLES:
-        return True
+    return (a.get("role") or "").lower() in LEFT_OUT_ROLES
+
+
+def named_out(node: Node, attrs: list[tuple[str, str | None]]) -> bool:
+    """A word of class or id says that the element is no part of an article."""
+    tag = node.tag
+    if not attrs or tag in ("html", "body"):
+        return False
+    a = dict(attrs)
     names = f"{a.get('class') or ''} {a.get('id') or ''}"
     if len(names) < 2 or tag in ("article", "main") and "comment" not in names.lower():
         return False
-    words = set(WORDS.findall(CAMEL.sub(" ", names).lower()))
+    words = set(WORDS.findall(COMPOUND.sub(" ", CAMEL.sub("-", names).lower())))
     return bool(words & LEFT_OUT_WORDS) and not (words & KEEP_WORDS and not words & {"comment", "comments", "ad", "ads", "sidebar", "related"})
 
 
@@ -152,10 +165,80 @@ def read_tree(html: str) -> PageTree:
     return page
 
 
+def release_wrappers(nodes: list[Node]) -> None:
+    """Take the class words' mark off elements that wrap the article.
+
+    These are the ancestors of the article or main element with most text, unless more stands
+    outside of all marked elements; and, within that element or the page, one that holds most
+    of the text outside of links, if the title is in it, or no title and little text is outside.
+    """
+    if not any(n.named for n in nodes):
+        return
+    for n in nodes[1:]:
+        n.out = n.out or n.parent.out
+    in_link: dict[int, bool] = {}
+    for n in nodes:
+        in_link[id(n)] = n.tag == "a" or n.parent is not None and in_link[id(n.parent)]
+        if not n.out:
+            n.titles, n.articles = int(n.tag == "h1"), int(n.tag in ("article", "main") and not n.named)
+            if not in_link[id(n)]:
+                n.plain = sum(len(" ".join(k.split())) for k in n.kids if isinstance(k, str))
+    hearts = [n for n in nodes if n.articles]
+    for n in reversed(nodes[1:]):
+        if not n.out:
+            n.parent.plain += n.plain
+            n.parent.titles += n.titles
+            n.parent.articles += n.articles
+
+    def outermost(scope: Node) -> tuple[list[Node], dict[int, list[Node]]]:
+        """Marked elements right below ``scope``, and right below each other."""
+        cover, below = {id(scope): scope}, {id(scope): []}
+        for n in nodes:
+            if n.parent is not None and id(n) not in cover and (over := cover.get(id(n.parent))) is not None:
+                cover[id(n)] = over
+                if n.named:
+                    below[id(over)].append(n)
+                    below[id(n)] = []
+                    cover[id(n)] = n
+        return below[id(scope)], below
+
+    def covered(n: Node) -> list[Node]:
+        out, at = [], n.parent
+        while at is not None:
+            out += [at] if at.named else []
+            at = at.parent
+        return out
+
+    page = nodes[0]
+    heart = max(reversed(hearts), key=lambda n: n.plain, default=None)
+    if heart is not None and (over := covered(heart)):
+        if page.plain - sum(n.plain for n in outermost(page)[0]) < heart.plain:
+            for n in over:
+                n.named = False
+        else:
+            inside = {id(n) for n in nodes if n.named}
+            for n in nodes[1:]:
+                if id(n.parent) in inside:
+                    inside.add(id(n))
+            heart = max((n for n in reversed(hearts) if id(n) not in inside), key=lambda n: n.plain, default=None)
+    scope = heart or page
+    todo, below = outermost(scope)
+    loose, titles = scope.plain - sum(n.plain for n in todo), scope.titles - sum(n.titles for n in todo)
+    todo = list(todo)
+    while todo:
+        n = todo.pop()
+        if 2 * n.plain > scope.plain and (n.titles or not titles and (n.articles or 4 * loose < scope.plain)):
+            n.named = False
+            inner = below[id(n)]
+            loose += n.plain - sum(k.plain for k in inner)
+            titles += n.titles - sum(k.titles for k in inner)
+            todo += inner
+
+
 def measure(nodes: list[Node]) -> None:
     """Text, link text and points of every element; nodes stand in document order, so children come after parents."""
     for n in nodes[1:]:
-        n.out = n.out or n.parent.out
+        n.out = n.out or n.named or n.parent.out
     owner: dict[int, Node] = {}
     in_link: dict[int, bool] = {}
     for n in nodes:
@@ -206,6 +289,7 @@ def extract_text(html: str | None) -> str:
     if not html:
         return ""
     page = read_tree(html)
+    release_wrappers(page.nodes)
     measure(page.nodes)
     choice = [n for n in page.nodes if n.block and n.points and not n.out and not link_list(n)]
     if not choice:

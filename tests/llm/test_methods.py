@@ -198,3 +198,26 @@ def test_main_text_of_a_page():
 ])
 def test_main_text_cases(html, text):
     assert extract_text(html) == text
+
+
+STORY = "<h1>Title</h1><p>The story, told in full, is long enough.</p><p>It goes on, and on, to its end.</p>"
+TOLD = "Title\nThe story, told in full, is long enough.\nIt goes on, and on, to its end."
+
+
+@pytest.mark.parametrize("page, text", [
+    (f'<div class="content has-sidebar"><article>{STORY}</article></div>', TOLD),
+    (f'<div id="page" class="with-sidebar"><div>{STORY}</div></div>', TOLD),
+    (f'<div class="post no-comments">{STORY}</div>', TOLD), (f'<div class="postNoComments hasAds">{STORY}</div>', TOLD),
+    (f'<article class="entry has-comments">{STORY}</article>', TOLD), (f'<div class="layout-without-ads">{STORY}</div>', TOLD),
+    (f'<div class="wrapper search"><article>{STORY}</article></div>', TOLD),
+    (f'<div class="sidebar-left"><div class="related"><main>{STORY}</main></div><div class="sidebar"><p>Aside, aside.</p></div></div>', TOLD),
+    (f'<div class="widget"><div class="menu"><ul><li><a>Home</a><li><a>More</a></ul></div>{STORY}<div class="ads"><p>Buy, now.</p></div></div>', TOLD),
+    (f'<main><div class="sidebar-right">{STORY}</div><div class="sidebar"><p>Aside, aside.</p></div></main>', TOLD),
+    # what is marked and doesn't wrap the article stays out, however long
+    (f'<div>{STORY}</div><div class="comments">{"<p>I, a reader, think, well, that this is wrong.</p>" * 9}</div>', TOLD),
+    (f'<article>{STORY}</article><div class="comments">{"<article class=comment><p>I, a reader, think, well, no.</p></article>" * 9}</div>', TOLD),
+    (f'<div>{STORY}</div><div class="related"><article><p>Another one, short.</p></article></div>', TOLD),
+    (f'<div class="cookie-consent">{"<p>We use cookies, a lot, really, for you.</p>" * 9}</div><div>{STORY}</div>', TOLD),
+])
+def test_class_words_on_wrappers(page, text):
+    assert extract_text(f"<html><body>{page}</body></html>") == text
