@@ -5,8 +5,9 @@ forms, scripts, adverts, ...) are left out by tag, role or class word; a class
 word that stands on a wrapper of the article doesn't count.  Every paragraph
 gives points for its length and its commas to its ancestors, less the
 farther they are; a container's points are discounted by its link density.  The
-best container is kept with its siblings that score well, and their blocks are
-written in page order.
+article that the best container stands in is written whole.  Without an article or
+main element, all of the page's blocks are written in page order, but for menus
+outside of the ancestor that holds nearly all text, and before or after its paragraphs.
 """
 
 from __future__ import annotations
@@ -301,27 +302,48 @@ def extract_text(html: str | None) -> str:
             best = at
             break
         at = at.parent
-    chosen = [best]
-    if best.parent is not None and best.tag not in ("article", "main", "body"):
-        least = max(2.0, 0.2 * worth(best))
-        chosen = []
-        for k in best.parent.kids:
-            if k is best:
-                chosen.append(k)
-            elif not isinstance(k, str) and k.block and not k.out and not link_list(k):
-                plain = k.tag in ("p", "pre", "blockquote", "ul", "ol", "table") or k.tag in HEADINGS
-                if worth(k) >= least or plain and k.own + k.chars and density(k) < 0.3:
-                    chosen.append(k)
-    elif best.tag == "article":  # an article in several elements
-        chosen = [k for k in best.parent.kids if k is best or not isinstance(k, str) and k.tag == "article" and not k.out
-                  and worth(k) >= 0.2 * worth(best)] if best.parent else [best]
     lines: list[str] = []
-    for n in chosen:
-        write_blocks(n, lines)
+    if best.tag == "article" and best.parent:  # an article in several elements
+        for k in best.parent.kids:
+            if k is best or not isinstance(k, str) and k.tag == "article" and not k.out and worth(k) >= 0.2 * worth(best):
+                write_blocks(k, lines, set())
+    elif best.tag in ("article", "main"):
+        write_blocks(best, lines, set())
+    else:
+        write_blocks(page.root, lines, menus(page.nodes, best))
     return "\n".join(lines)
 
 
-def write_blocks(start: Node, lines: list[str]) -> None:
+#: Of the text outside of links, the share that the climb from the best container has to reach.
+NEARLY_ALL = 0.95
+
+
+def menus(nodes: list[Node], best: Node) -> set[int]:
+    """Link lists (by ``id``) of a page without an article element: all but those between the first and the
+    last paragraph of the ancestor of ``best`` that holds nearly all text."""
+    core = best
+    while core.parent is not None and core.chars - core.linked < NEARLY_ALL * (nodes[0].chars - nodes[0].linked):
+        core = core.parent
+    lists = {id(n) for n in nodes if not n.out and link_list(n)}
+    inside, listed = {id(core)}, set(lists)
+    where, paragraphs = {}, []
+    for i, n in enumerate(nodes):
+        p = id(n.parent)
+        if p in inside:
+            inside.add(id(n))
+        if p in listed:
+            listed.add(id(n))
+        if id(n) in inside and not n.out:
+            where[id(n)] = i
+            if n.block and n.own and n.tag not in HEADINGS and id(n) not in listed:
+                paragraphs.append(i)
+    if not paragraphs:
+        return lists
+    return {k for k in lists if not paragraphs[0] < where.get(k, -1) < paragraphs[-1]}
+
+
+def write_blocks(start: Node, lines: list[str], skip: set[int]) -> None:
+    """Append the blocks below ``start``, without the elements in ``skip`` (by ``id``)."""
     inline: list[str] = []
 
     def flush() -> None:
@@ -338,7 +360,7 @@ def write_blocks(start: Node, lines: list[str]) -> None:
             inline.append(k)
         elif k.tag == "br":
             inline.append(" ")
-        elif not k.out and not (k is not start and link_list(k)):
+        elif not k.out and id(k) not in skip:
             if k.block:
                 flush()
                 todo.append(None)

@@ -221,3 +221,25 @@ TOLD = "Title\nThe story, told in full, is long enough.\nIt goes on, and on, to
 ])
 def test_class_words_on_wrappers(page, text):
     assert extract_text(f"<html><body>{page}</body></html>") == text
+
+
+LONG_PARTS = "".join(f"<p>Sentence {i}, with a comma, and another, and words to go on with for a while.</p>" for i in range(9))
+LINKS = "<li><a>Reference one</a><li><a>Reference two</a><li><a>Reference three</a>"
+
+
+def test_blocks_beside_and_around_the_best_container_stay():
+    got = extract_text(f"<body><p>Far out.</p><div><div><section>{LONG_PARTS}</section><section><h2>Short</h2><p>One line.</p></section>"
+                       f"</div><div>Further out.</div></div><ul>{LINKS}</ul></body>").split("\n")
+    assert got[0] == "Far out." and got[1].startswith("Sentence 0") and got[9].startswith("Sentence 8") and got[10:] == ["Short", "One line.", "Further out."]
+
+
+@pytest.mark.parametrize("outer", ["article", "main"])
+def test_lists_of_links_in_an_article_stay(outer):
+    got = extract_text(f"<ol>{LINKS}</ol><{outer}><p>First, of all.</p><p><a>One</a> <a>two</a> <a>three</a></p><p>Last, at the end.</p>"
+                       f"<h2>References</h2><ol>{LINKS}</ol></{outer}>").split("\n")
+    assert got == ["First, of all.", "One two three", "Last, at the end.", "References", "Reference one", "Reference two", "Reference three"]
+
+
+def test_lists_of_links_between_paragraphs_stay():
+    got = extract_text(f"<div><ul>{LINKS}</ul>{LONG_PARTS}<ul>{LINKS}</ul><p>The end, at last.</p><ul>{LINKS}</ul></div>").split("\n")
+    assert len(got) == 9 + 3 + 1 and got[9:] == ["Reference one", "Reference two", "Reference three", "The end, at last."]
