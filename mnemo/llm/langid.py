@@ -9,6 +9,8 @@ with the largest mean posterior is the text's.
 
 from __future__ import annotations
 
+import re
+import unicodedata
 import uuid
 from collections.abc import Iterator
 
@@ -30,16 +32,37 @@ BLOCK = 64
 
 # letters lower-cased, bytes from 128 on kept, all else a space
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
+#: White space and punctuation beyond ASCII.
+BREAK_CHARS = frozenset(c for c in map(chr, range(128, 0x20000)) if c.isspace() or unicodedata.category(c)[0] in "PZ")
+BREAKS = re.compile(f"[{''.join(sorted(BREAK_CHARS))}]+")
+#: Words of more bytes (text of a script without spaces, mostly) are read in consecutive pieces of at most so many.
+LONG, PIECE = 64, 32
 
 
 def words_of(text: str) -> list[bytes]:
-    return text.lower().encode("utf-8", "surrogatepass").translate(FOLD).split()
+    """The words of a whole text, lower-cased; long ones in pieces, which end between characters."""
+    if not text.isascii() and not BREAK_CHARS.isdisjoint(set(text)):
+        text = BREAKS.sub(" ", text)
+    words = text.lower().encode("utf-8", "surrogatepass").translate(FOLD).split()
+    if max(map(len, words), default=0) <= LONG:
+        return words
+    return [p for w in words for p in (pieces(w) if len(w) > LONG else (w,))]
+
+
+def pieces(word: bytes) -> Iterator[bytes]:
+    a = 0
+    while a < len(word):
+        z = min(a + PIECE, len(word))
+        while z < len(word) and word[z] & 0xC0 == 0x80:
+            z -= 1
+        yield word[a:z]
+        a = z
 
 
 def features(word: bytes) -> list[int]:
     """The word itself (lexicon), its affixes up to 4 bytes, its 2- and 3-grams."""
     ids = gram_ids(word, (2, 3), BUCKETS)
-    ids += gram_ids(b"=" + word, (min(len(word), 128) + 3,), BUCKETS)
+    ids += gram_ids(b"=" + word, (len(word) + 3,), BUCKETS)
     for n in range(1, 5):
         ids += gram_ids(b"<" + word[:n], (min(n, len(word)) + 3,), BUCKETS) + gram_ids(b">" + word[-n:], (min(n, len(word)) + 3,), BUCKETS)
     return ids

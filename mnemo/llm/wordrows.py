@@ -35,8 +35,8 @@ class WordRows:
 
 
 def gram_ids(word: bytes, sizes: tuple[int, ...], buckets: int) -> list[int]:
-    """Hash buckets of the byte n-grams of a word between boundary marks; of a very long word, of its first and last 64 bytes."""
-    w = b"^" + (word if len(word) <= 128 else word[:64] + word[-64:]) + b"$"
+    """Hash buckets of the byte n-grams of a word between boundary marks."""
+    w = b"^" + word + b"$"
     return [crc32(w[i:i + n]) % buckets for n in sizes for i in range(len(w) - n + 1)]
 
 

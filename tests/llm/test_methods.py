@@ -9,6 +9,7 @@ from mnemo.llm.ann import Tree, nearest
 from mnemo.llm.decontaminate import WindowSearch, joined, merged, words_of
 from mnemo.llm.html_text import extract_text
 from mnemo.llm.jaccard import Bands, bitmap, fold
+from mnemo.llm import langid, toxicity
 from mnemo.llm.langid import Chain
 from mnemo.llm.packing import make_plan, nnls, slot_ranges
 from mnemo.llm.shingles import shingles
@@ -243,3 +244,32 @@ def test_lists_of_links_in_an_article_stay(outer):
 def test_lists_of_links_between_paragraphs_stay():
     got = extract_text(f"<div><ul>{LINKS}</ul>{LONG_PARTS}<ul>{LINKS}</ul><p>The end, at last.</p><ul>{LINKS}</ul></div>").split("\n")
     assert len(got) == 9 + 3 + 1 and got[9:] == ["Reference one", "Reference two", "Reference three", "The end, at last."]
+
+
+def test_words_are_whole_and_bounded():
+    text = "".join(map(chr, range(0x4E00, 0x4E00 + 900))) + "x" * 301 + "é" * 77 + "ก" * 500
+    parts = langid.words_of(text)
+    assert b"".join(parts).decode() == text and max(map(len, parts)) <= 64 and [p.decode() for p in parts]
+    assert langid.words_of("Eins\u00a0zwei\u3000drei。vier、fünf “sechs” sieben—acht") == [w.encode() for w in "eins zwei drei vier fünf sechs sieben acht".split()]
+    assert langid.words_of("a" * 64) == [b"a" * 64] and langid.words_of(" 12 \u2003 。") == []
+
+
+@pytest.mark.parametrize("space", ["", "\u00a0", "\u3000", "。"])
+def test_the_middle_of_a_text_without_ascii_spaces_counts(space):
+    rng = random.Random(21)
+    clean, bad = ([chr(at + rng.randrange(60)) + chr(at + rng.randrange(60)) + chr(at + rng.randrange(60)) for _ in range(40)] for at in (0x4E00, 0x6000))
+
+    def text(n, toxic=0):
+        words = [rng.choice(clean) for _ in range(n)]
+        words[n // 2:n // 2] = [rng.choice(bad) for _ in range(toxic)]
+        return space.join(words)
+
+    net = toxicity.fit([(text(30, 8 * y), y) for y in (0, 1) for _ in range(60)], steps=60)
+    memo = toxicity.WordRows(net.gates, 6 * HIDDEN)
+    low = toxicity.text_logits(net, memo, [langid.words_of(text(400)) for _ in range(20)])
+    high = toxicity.text_logits(net, memo, [langid.words_of(text(400, 12)) for _ in range(20)])
+    assert np.mean(low[:, None] < high[None]) > 0.9
+
+    chain = langid.fit([(text(30, 30 * y), "xy"[y]) for y in (0, 1) for _ in range(40)], steps=60)
+    label = langid.label(chain, langid.WordRows(chain.emissions, 2), [space.join([rng.choice(clean) for _ in range(30)] + [rng.choice(bad) for _ in range(500)] + [rng.choice(clean) for _ in range(30)])])
+    assert label[0][0] == "y"
