@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from mnemo.llm.common import held_out, resident, slices
 from mnemo.llm.wordrows import WordRows, gram_ids
 
-#: Documents a language that the model is fitted on at most, and the longest text among them (bytes).
+#: Documents a language that the model is fitted on at most; of a text of more bytes, it reads a piece of at most so many.
 FIT_DOCS = 600
 FIT_BYTES = 1 << 16
 BUCKETS = 1 << 17
@@ -128,12 +128,17 @@ class Chain:
 
 
 def fit(texts: list[tuple[str, str]], steps: int = STEPS, seed: int = 5) -> Chain:
-    """Maximum likelihood by Adam on sequences put together from pieces of the texts, (text, language)."""
-    langs = sorted({y for _, y in texts})
+    """Maximum likelihood by Adam on sequences put together from pieces of the texts, (text, language).
+    Languages without a word are not among the model's."""
+    found: dict[str, list[list[bytes]]] = {}
+    for t, y in texts:
+        if any(map(str.isalpha, t)) and (w := words_of(t)):
+            found.setdefault(y, []).append(w)
+    langs = sorted(found)
     model, rng = Chain(langs), np.random.default_rng(seed)
-    by = [[w for t, y in texts if y == lang and (w := words_of(t))] for lang in langs]
+    by = [found[lang] for lang in langs]
     k = len(langs)
-    if k < 2 or not all(by):
+    if k < 2:
         return model
     memo: dict[bytes, np.ndarray] = {}
     state = [[np.zeros_like(p, dtype=np.float64) for _ in range(2)] for p in (model.emit, model.trans, model.start)]
@@ -198,20 +203,23 @@ def label(chain: Chain, memo: WordRows, texts: list[str | None]) -> dict[int, tu
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_docs: int = FIT_DOCS) -> DataFrame:
     """The language of every whole text: id, ``held_out``, ``lang_pred``, ``score`` (mean posterior, 0 to 1).
 
-    Learns from rows with a text and a language whose crc32(id as text) mod 3 is not 1:
-    at most ``fit_docs`` a language, the first by a hash of the id, of at most ``FIT_BYTES``
-    bytes.  A null text and one without a letter get ``und`` with score 0; so does every
+    Learns from rows with a letter and a language whose crc32(id as text) mod 3 is not 1:
+    at most ``fit_docs`` a language, the first by a hash of the id; of a text over ``FIT_BYTES``
+    bytes, from the piece that begins with its first letter.  A language without such a row is
+    never predicted.  A null text and one without a letter get ``und`` with score 0; so does every
     text if fewer than two languages can be learned and none is known (with one, that
     one).  Null ids are not held out; repeated rows are predicted each; an empty table
     gives an empty result; other columns are not read.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).withColumn("held_out", held_out("id"))
-    usable = rows.where(~F.col("held_out") & F.col("lang").isNotNull() & (F.octet_length("text") <= FIT_BYTES))
+    usable = rows.where(~F.col("held_out") & F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}"))
     order = Window.partitionBy("lang").orderBy("order", "id")
     few = (usable.select("id", "lang", F.xxhash64("id").alias("order")).withColumn("n", F.row_number().over(order))
            .where(F.col("n") <= fit_docs).select("id", "lang").distinct())
-    sample = sorted((r["lang"], r["text"]) for r in usable.join(F.broadcast(few), ["id", "lang"]).select("text", "lang").collect())
+    piece = (F.when(F.octet_length("text") <= FIT_BYTES, F.col("text"))
+             .otherwise(F.regexp_extract("text", f"(?s)\\p{{L}}.{{0,{FIT_BYTES // 4 - 1}}}", 0)))
+    sample = sorted((r["lang"], r["text"]) for r in usable.join(F.broadcast(few), ["id", "lang"]).select(piece.alias("text"), "lang").collect())
     sample = [(t, y) for y, t in sample]
     model, key = spark.sparkContext.broadcast(fit(sample) if sample else Chain([])), uuid.uuid4().hex
 

@@ -290,3 +290,20 @@ def test_pipeline_stages_against_brute_force(spark):
 
     check_packing(pure.collect(), rows(steps["packing"](spark, pure, sf)), 4096)
     assert corpus_pipeline.run(spark, sf).count() == steps["packing"](spark, pure, sf).count()
+
+
+def test_language_labels_without_words_and_long_texts(spark):
+    rng = np.random.default_rng(31)
+    words = {"xx": [f"ka{c}o" for c in "bdfglmnprst"], "yy": [f"we{c}isch" for c in "bdfglmnprst"], "zz": [f"zu{c}ai" for c in "bdfglmnprst"]}
+
+    def text(lang, n):
+        return " ".join(rng.choice(words[lang], n))
+
+    docs = [(i, text(lang, 30), lang) for i, lang in enumerate(["xx", "yy"] * 60)]
+    docs += [(i, t, "aa") for i, t in zip(range(200, 230), ["", "123 !?", "\u3002 \u2014"] * 10)]  # one label whose rows have no word
+    docs += [(i, "123 " * 20_000 + text("zz", 20_000), "zz") for i in range(300, 312)]  # one whose texts are all long
+    docs += [(i, "?", "xx") for i in range(400, 1200)]  # texts without a word don't take the places of others
+    got = by_id(identify(spark.createDataFrame(docs, "doc_id long, text string, lang string"), fit_docs=12))
+    for i, t, lang in docs:
+        want = lang if any(map(str.isalpha, t)) else "und"
+        assert got[i]["lang_pred"] == want and (got[i]["score"] > 0.9) == (want != "und"), (i, lang, got[i])
