@@ -1,7 +1,8 @@
 """S1 / S2: streaming ingestion of turn files into the turn store.
 
 Every micro-batch is appended to the store as one batch of files named after the
-stream and the batch id, so a repeated batch is stored once.  With ``dedup`` a turn
+stream, its checkpoint and the batch id, so a repeated batch is stored once, and
+a stream with another checkpoint adds its own.  With ``dedup`` a turn
 whose doc_id is stored already, or repeats in the batch, is skipped: the ids are
 compared with the store itself, so nothing depends on when a copy arrives and no
 late turn is lost.
@@ -17,6 +18,7 @@ from ..functions.embed import hashed_embedding
 from ..operators.mutations import insert_turns
 from ..schema import TURN_NO_VECTOR
 from ..sources.store import TurnStore
+from .batches import batch_names
 
 
 def turn_stream(spark: SparkSession, source_dir: str, max_files_per_trigger: int | None = None) -> DataFrame:
@@ -38,14 +40,16 @@ def start_ingest(spark: SparkSession, source_dir: str, store_dir: str, checkpoin
                  dedup: bool = False, embed=hashed_embedding, available_now: bool = True, name: str = "ingest") -> StreamingQuery:
     """Append arriving turns, defaults filled, to the ``TurnStore`` at ``store_dir``.
 
-    ``name`` tells this stream's batches from those of other writers of the store.
+    ``name`` begins the names of this stream's batches; the checkpoint's query id in them
+    tells them from those of other streams into the store.
     Without ``dedup`` a repeated doc_id is stored again under a new id.
     """
     store = TurnStore(spark, store_dir).init()
+    named = batch_names(spark, checkpoint)
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         rows = insert_turns(batch, as_of)
-        store.append(unseen(rows, store) if dedup else rows, embed, batch=f"{name}-{batch_id}")
+        store.append(unseen(rows, store) if dedup else rows, embed, batch=f"{name}-{named(batch_id)}")
 
     q = turn_stream(spark, source_dir).writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
     q = q.trigger(availableNow=True) if available_now else q.trigger(processingTime="10 seconds")

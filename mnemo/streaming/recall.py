@@ -2,7 +2,8 @@
 
 Each micro-batch of new user turns becomes a request table; the batch memory
 query runs inside ``foreachBatch`` and its ranked rows replace the folder of
-their batch id, so a repeated batch leaves them once.
+their checkpoint and batch id, so a repeated batch leaves them once and results
+of other checkpoints stay.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.embed import hashed_embedding
 from ..operators.memory import memory_query
+from .batches import batch_names
 
 
 def start_recall(user_turns: DataFrame, store: DataFrame, out_dir: str, checkpoint: str, as_of: int,
@@ -21,6 +23,8 @@ def start_recall(user_turns: DataFrame, store: DataFrame, out_dir: str, checkpoi
     stored already is asked for with its stored vector, a new one with ``embed(content)``
     (which must give vectors as the store's)."""
 
+    named = batch_names(user_turns.sparkSession, checkpoint)
+
     def run(batch: DataFrame, batch_id: int) -> None:
         req = batch.select(
             F.col("doc_id").alias("request_id"), F.lit(None).cast("string").alias("document_type"),
@@ -32,7 +36,7 @@ def start_recall(user_turns: DataFrame, store: DataFrame, out_dir: str, checkpoi
         vecs = batch.join(stored, "doc_id", "left").select(
             F.col("doc_id").alias("request_id"), F.coalesce("_stored", embed(F.col("content"))).alias("qvec"))
         res = memory_query(store, req, texts, vecs)
-        res.write.mode("overwrite").parquet(f"{out_dir}/batch_id={batch_id}")
+        res.write.mode("overwrite").parquet(f"{out_dir}/batch_id={named(batch_id)}")
 
     q = user_turns.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     q = q.trigger(availableNow=True) if available_now else q.trigger(processingTime="10 seconds")
