@@ -12,10 +12,12 @@ from mnemo.llm.html_text import extract
 from mnemo.llm.jaccard import JACCARD_SQL, jaccard_components
 from mnemo.llm.langid import identify
 from mnemo.llm.line_dedup import LINE_DEDUP_SQL, line_dedup
+from mnemo.llm.minhash import NEAR_DUPLICATES_SQL, near_duplicates
 from mnemo.llm.packing import pack
 from mnemo.llm.suffix_dedup import repeated_passages
 from mnemo.llm.tokens import token_counts
 from mnemo.llm.toxicity import toxicity
+from mnemo.llm.variants import VARIANTS_SQL, document_variants
 from mnemo.llm.vector_codes import codes_sql, label_errors, vector_codes
 from mnemo.sources.tables import table_path
 
@@ -67,17 +69,27 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
 
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op12_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_variants(table(spark, sf_dir, "documents"))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded, books = vector_codes(table(spark, sf_dir, "embeddings"))
     return label_errors(coded).select("vec_id", "code", "error", "label_error", F.lit(books.digest() if books else "").alias("codebooks_sha256"))
 
 
 QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_packing, op3_decontaminate, op4_suffix_dedup, op5_html_text, op6_jaccard_join,
-                                   op7_language_id, op8_toxicity, op9_nearest, op10_token_counts, op13_vector_codes)}
+                                   op7_language_id, op8_toxicity, op9_nearest, op10_token_counts, op11_minhash, op12_variants, op13_vector_codes)}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_line_dedup": LINE_DEDUP_SQL,
     "op3_decontaminate": DECONTAMINATE_SQL,
     "op6_jaccard_join": JACCARD_SQL,
+    "op11_minhash": NEAR_DUPLICATES_SQL,
+    "op12_variants": VARIANTS_SQL,
     "op13_vector_codes": codes_sql(),
 }
