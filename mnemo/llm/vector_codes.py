@@ -162,10 +162,12 @@ def final_codes(resident: DataFrame, books: Codebooks) -> DataFrame:
     """(key, code, error) of every vector."""
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
+            out = []
             for p, wide, keys, parts in zip(b["position"], b["wide"], b["keys"], b["parts"]):
                 k, x = members(p, wide, keys, parts, books)
-                at, far = books.nearest(p, x)
-                yield pd.DataFrame({"key": k, "position": np.int32(p), "entry": at, "far": far})
+                out.append((k, np.full(len(k), p, np.int32), *books.nearest(p, x)))
+            if out:
+                yield pd.DataFrame(dict(zip(("key", "position", "entry", "far"), map(np.concatenate, zip(*out)))))
 
     def half(first: int) -> str:
         return (f"lower(lpad(hex(bit_or(CASE WHEN position BETWEEN {first} AND {first + 7} "
