@@ -42,6 +42,14 @@ def squared_l2(a, b):
                        F.lit(0.0), lambda acc, v: acc + v)
 
 
+def mean_vectors(store: DataFrame, docs: DataFrame) -> DataFrame:
+    """``(request_id, qvec)``: the mean of the stored vectors of a request's ``docs(request_id, doc_id)``."""
+    parts = (docs.join(store.select("doc_id", "index"), "doc_id").select("request_id", F.posexplode("index").alias("i", "x"))
+             .groupBy("request_id", "i").agg(F.avg(F.col("x").cast("double")).alias("x")))
+    # one entry per dimension
+    return parts.groupBy("request_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("qvec"))
+
+
 def _request_block(rows: list) -> dict:
     none_str = lambda v: "" if v is None else v
     return {

@@ -375,20 +375,27 @@ CONSCIOUS = f"""cons AS (
 
 CONSCIOUS_SAMPLE = with_(TURNS, CONSCIOUS) + f"SELECT {MEMORY_OUT} FROM cons"
 
-RECALL_BUNDLE = with_(
-    TURNS, TURN_VECTORS, CONSCIOUS, role_texts_sql("assistant", "a_texts"), role_texts_sql("user", "u_texts"),
-    """ks AS (SELECT c.request_id, greatest(8 - coalesce(n.n_cons, 0), 0) AS k
-       FROM (SELECT DISTINCT conversation_id AS request_id FROM turns) c
+def recall_bundle_sql(chats: str, texts: list[str]) -> str:
+    """The three stages for requests ``chats(request_id, persona_id, conversation_id)``; ``texts``: CTEs a_texts and u_texts."""
+    return with_(
+        TURNS, TURN_VECTORS, f"bchats AS ({chats})", f"""cons AS (
+  SELECT * FROM (
+    SELECT c.request_id, t.*, {UNIFORM.format(key='t.doc_id')} * t.weight AS score,
+           CAST(row_number() OVER (PARTITION BY c.request_id ORDER BY {UNIFORM.format(key='t.doc_id')} * t.weight DESC, t.doc_id)
+                AS INTEGER) AS rank
+    FROM bchats c JOIN turns t ON t.persona_id = c.persona_id AND t.document_type = 'journal')
+  WHERE rank <= 3)""", *texts,
+        """ks AS (SELECT c.request_id, c.conversation_id, greatest(8 - coalesce(n.n_cons, 0), 0) AS k FROM bchats c
        LEFT JOIN (SELECT request_id, count(*) AS n_cons FROM cons GROUP BY 1) n USING (request_id))""",
-    mean_vector_sql("a_texts", "a_mean"), mean_vector_sql("u_texts", "u_mean"),
-    """ra AS (SELECT request_id, coalesce(qvec, list_transform(range(64), lambda i: 0.0)) AS qvec, request_id AS exclude_conversation_id, k // 2 AS top_n
+        mean_vector_sql("a_texts", "a_mean"), mean_vector_sql("u_texts", "u_mean"),
+        """ra AS (SELECT request_id, coalesce(qvec, list_transform(range(64), lambda i: 0.0)) AS qvec, conversation_id AS exclude_conversation_id, k // 2 AS top_n
        FROM ks LEFT JOIN a_mean USING (request_id))""",
-    """ru AS (SELECT request_id, coalesce(qvec, list_transform(range(64), lambda i: 0.0)) AS qvec, request_id AS exclude_conversation_id, k - k // 2 AS top_n
+        """ru AS (SELECT request_id, coalesce(qvec, list_transform(range(64), lambda i: 0.0)) AS qvec, conversation_id AS exclude_conversation_id, k - k // 2 AS top_n
        FROM ks LEFT JOIN u_mean USING (request_id))""",
-    "seen1 AS (SELECT request_id, doc_id FROM cons)",
-    *memory_ctes("a", "ra", "a_texts", "seen1"),
-    "seen2 AS (SELECT request_id, doc_id FROM seen1 UNION SELECT request_id, doc_id FROM a_out)",
-    *memory_ctes("u", "ru", "u_texts", "seen2")) + f"""
+        "seen1 AS (SELECT request_id, doc_id FROM cons)",
+        *memory_ctes("a", "ra", "a_texts", "seen1"),
+        "seen2 AS (SELECT request_id, doc_id FROM seen1 UNION SELECT request_id, doc_id FROM a_out)",
+        *memory_ctes("u", "ru", "u_texts", "seen2")) + f"""
 SELECT request_id, 'conscious' AS source, rank, doc_id, conversation_id, {DATE.format(ts='timestamp')} AS date,
        {SPEAKER.format(p='')} AS speaker, content, printf('%.8e', score)::DOUBLE AS score FROM cons
 UNION ALL
@@ -398,6 +405,20 @@ UNION ALL
 SELECT request_id, 'user', rank, doc_id, conversation_id, {DATE.format(ts='timestamp')},
        {SPEAKER.format(p='')}, content, printf('%.8e', score)::DOUBLE FROM u_out"""
 
+
+def turn_texts_sql(role: str, name: str) -> str:
+    """Texts of ``role`` up to every user turn of the conversation, newest first."""
+    return f"""{name} AS (
+  SELECT u.doc_id AS request_id, CAST(row_number() OVER (PARTITION BY u.doc_id ORDER BY t.timestamp DESC, t.doc_id DESC) - 1 AS INTEGER) AS n,
+         t.content AS text, t.doc_id AS source_doc_id
+  FROM turns u JOIN turns t ON t.conversation_id = u.conversation_id AND t.turn <= u.turn WHERE u.role = 'user' AND t.role = '{role}')"""
+
+
+RECALL_BUNDLE = recall_bundle_sql("SELECT DISTINCT conversation_id AS request_id, persona_id, conversation_id FROM turns",
+                                  [role_texts_sql("assistant", "a_texts"), role_texts_sql("user", "u_texts")])
+STREAM_CHAT_RECALL = recall_bundle_sql("SELECT doc_id AS request_id, persona_id, conversation_id FROM turns WHERE role = 'user'",
+                                       [turn_texts_sql("assistant", "a_texts"), turn_texts_sql("user", "u_texts")])
+
 DENSE_CANDIDATES = with_(TURNS, TURN_VECTORS, CHAT_TEXTS, mean_vector_sql("qt", "qm"), """req AS (
   SELECT request_id, qvec, request_id AS exclude_conversation_id, NULL AS top_n FROM qm)""", *memory_ctes("d", "req", "qt")[:2]) + \
     "SELECT request_id, doc_id, round(distance, 6) AS distance FROM d_cand"

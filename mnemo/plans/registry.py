@@ -405,7 +405,7 @@ from ..sources.jsonl import append_jsonl  # noqa: E402
 from ..streaming.ingest import start_ingest  # noqa: E402
 from ..streaming.report import current_report, start_report  # noqa: E402
 from ..streaming.ingest import turn_stream  # noqa: E402
-from ..streaming.turns import number_turns_stream  # noqa: E402
+from ..streaming.turns import numbered_pairs, start_numbering  # noqa: E402
 from ..schema import DOCUMENT_TYPES  # noqa: E402
 
 STREAM_SLICES = 3
@@ -449,22 +449,20 @@ def q_stream_report(spark, sf_dir):
 
 @register("stream_number_turns", oracle.NUMBER_TURNS)
 def q_stream_number_turns(spark, sf_dir):
-    """Stateful numbering over event-time slices of the event log."""
+    """Stateful numbering over event-time slices of the event log; sessions idle for an hour are
+    evicted between them and go on from their stored state."""
     src, out, ckpt = scratch(spark, "turns-src"), scratch(spark, "turns-out"), scratch(spark, "turns-ckpt")
     ev = session_events(spark, sf_dir)
     schema = ev.schema
     for part in _time_slices(ev, "ts", STREAM_SLICES):
         part.write.mode("append").parquet(src)
-        stream = spark.readStream.schema(schema).parquet(src)
-        (number_turns_stream(stream).writeStream.format("parquet").option("path", out)
-         .option("checkpointLocation", ckpt).outputMode("append").trigger(availableNow=True)
-         .start().awaitTermination())
-    return spark.read.parquet(out).select("session", "event_id", "sequence_no", "branch")
+        start_numbering(spark.readStream.schema(schema).parquet(src), out, ckpt, idle_seconds=3600, delay="0 seconds").awaitTermination()
+    return numbered_pairs(spark, out)
 
 
-@register("stream_recall", oracle.STREAM_RECALL)
-def q_stream_recall(spark, sf_dir):
-    """Every user turn, arriving in event-time slices, triggers a recall against
+@register("stream_text_recall", oracle.STREAM_RECALL)
+def q_stream_text_recall(spark, sf_dir):
+    """Every user turn, arriving in event-time slices, triggers a recall with its text alone against
     the store snapshot (foreachBatch -> batch memory query)."""
     from ..streaming.recall import start_recall
     src, out, ckpt = scratch(spark, "recall-src"), scratch(spark, "recall-out"), scratch(spark, "recall-ckpt")
@@ -479,6 +477,23 @@ def q_stream_recall(spark, sf_dir):
     return _sig(res, "score")
 
 
+@register("stream_recall", oracle.STREAM_CHAT_RECALL)
+def q_stream_recall(spark, sf_dir):
+    """The three-stage recall of every user turn.  All conversations go on side by side (a turn's event time is
+    a day per turn number), so each is evicted after a slice and taken up in the next."""
+    from ..streaming.chat import start_chat_recall
+    src, out, ckpt = scratch(spark, "chat-src"), scratch(spark, "chat-out"), scratch(spark, "chat-ckpt")
+    store = turns(spark, sf_dir, with_vectors=True)
+    turn = F.split("doc_id", "-")[1].cast("long")
+    rows = turns(spark, sf_dir).select("doc_id", "conversation_id", "persona_id", "role", "content",
+                                       F.timestamp_seconds(F.col("timestamp") + turn * 10_000_000).alias("ts"))
+    for first, last in ((0, 1), (2, 3), (4, 1 << 30)):
+        rows.where(turn.between(first, last)).write.mode("append").parquet(src)
+        start_chat_recall(spark.readStream.schema(rows.schema).parquet(src), store, out, ckpt, AS_OF, delay="0 seconds",
+                          time_zone=_tz(spark)).awaitTermination()
+    return _sig(spark.read.parquet(f"{out}/memories").drop("batch_id"), "score")
+
+
 # ---- context assembly and pipelines (pending-analysis conversations) --------------
 from ..operators import context as CX  # noqa: E402
 from ..operators import prompts as PL  # noqa: E402
@@ -702,3 +717,6 @@ def q_system_prompts(spark, sf_dir):
         F.create_map(F.lit("Voice"), F.lower("c_mktsegment")).alias("features"),
         F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("user"), F.col("c_nationkey").cast("string"))).alias("user_id"))
     return system_prompts(personas, AS_OF, mood="calm")
+
+
+from . import registry_runs  # noqa: E402, F401  (adds its queries)

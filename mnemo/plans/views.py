@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.dense import mean_vectors
 from ..schema import TURN_COLUMNS
 from ..sources.tables import read_table
 
@@ -108,13 +109,29 @@ def chats(turn_df: DataFrame, as_of: int = AS_OF) -> DataFrame:
 
 def request_vectors(turn_df_with_vectors: DataFrame, query_texts: DataFrame) -> DataFrame:
     """Query vector of a request = the mean of the stored vectors of all its query texts."""
-    texts = query_texts.select("request_id", F.col("source_doc_id").alias("doc_id"))
-    parts = (texts.join(turn_df_with_vectors.select("doc_id", "index"), "doc_id")
-             .select("request_id", F.posexplode("index").alias("i", "x"))
-             .groupBy("request_id", "i").agg(F.avg(F.col("x").cast("double")).alias("x")))
-    # one entry per dimension
-    return parts.groupBy("request_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("qvec"))
+    return mean_vectors(turn_df_with_vectors, query_texts.select("request_id", F.col("source_doc_id").alias("doc_id")))
+
+
+def personas(turn_df: DataFrame) -> DataFrame:
+    """A profile per persona of the store: ``(name, default_location, attributes, features)``."""
+    number = F.substring("name", len("persona") + 1, 20)
+    return turn_df.select(F.col("persona_id").alias("name")).distinct().select(
+        "name", F.concat(F.lit("Room "), number).alias("default_location"), F.create_map(F.lit("age"), F.concat(F.lit("4"), number)).alias("attributes"),
+        F.create_map(F.lit("Voice"), F.lit("plain")).alias("features"))
+
+
+def step_answers(turn_df: DataFrame, steps: int) -> DataFrame:
+    """``(request_id, step, text)``: a conversation's assistant turns in a circle serve as the answers to ``steps`` steps;
+    every fifteenth conversation (by its number) stops answering at a step of its own."""
+    said = turn_df.filter(F.col("role") == "assistant")
+    w = Window.partitionBy("conversation_id").orderBy("timestamp", "doc_id")
+    n = said.groupBy("conversation_id").agg(F.count(F.lit(1)).alias("n"))
+    told = said.select("conversation_id", "content", (F.row_number().over(w) - 1).alias("i"))
+    number = F.substring("conversation_id", len("conv-") + 1, 20).cast("long")
+    asked = n.select("conversation_id", "n", F.explode(F.sequence(F.lit(1), F.lit(steps))).alias("step")).where(
+        ~((number % 15 == 1) & (F.col("step") >= 2 + F.floor(number / 15) % 5)))
+    return (asked.withColumn("i", (F.col("step") - 1) % F.col("n")).join(told, ["conversation_id", "i"])
+            .select(F.col("conversation_id").alias("request_id"), "step", F.concat(F.lit("Answer "), F.col("step").cast("string"), F.lit(": "), F.col("content")).alias("text")))
 
 
 # --- fixed values: events -> chat actions -----------------------------------

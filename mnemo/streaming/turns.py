@@ -1,11 +1,18 @@
-"""S4: turn / branch numbering of a live chat event stream.
-
-A custom stateful operator (``applyInPandasWithState``) keyed by session.  The
-state per session is three integers (next sequence number, branch, accepted
-pairs left to undo); events of a micro-batch are applied in event order.  Input
-micro-batches must arrive in event-time order per session (files written in
-time order, read one per trigger); the result equals the batch
-``operators.turns.number_turns``.
+"""S4: turn / branch numbering of a live chat event stream, idle sessions evicted.
+
+A custom stateful operator (``applyInPandasWithState``) keyed by session.  It holds a
+session's state only while the session is live: when the watermark passes ``idle``
+after its last event, the state is given out as a row and removed.  A session that
+returns later begins a new stretch without knowing what came before, so a
+stretch is numbered relative to its unknown beginning: pairs and branches since then,
+how far below the beginning the pairs left to undo have sunk (``low``), and which of
+those sinkings were retries, as these made a branch only if a pair was left.  After a
+``new`` everything is known.  The sink, which sees each micro-batch as a table, looks
+up the stored final states of the sessions concerned, completes the numbers, and
+stores the final states of evicted sessions completed likewise.
+
+Input micro-batches must arrive in event-time order per session (files written in time
+order, read one per trigger); the result equals the batch ``operators.turns.number_turns``.
 """
 
 from __future__ import annotations
@@ -13,40 +20,142 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-OUTPUT_SCHEMA = "session long, event_id long, sequence_no long, branch long"
-STATE_SCHEMA = "seq long, branch long, pairs long"
+from .batches import batch_names, written
+
+STATE_SCHEMA = "known boolean, seq long, branch long, pairs long, low long, weak_from array<long>, weak_to array<long>, last_us long"
+#: A stretch's numbers at an accepted pair (``event_id``), or its state when it is evicted.
+ROW_SCHEMA = f"session long, evicted boolean, event_id long, {STATE_SCHEMA}"
+ROW_COLUMNS = [c.split()[0] for c in ROW_SCHEMA.split(", ")]
+FINAL_SCHEMA = "session long, seq long, branch long, pairs long, last_us long"
+PAIR_COLUMNS = ["session", "event_id", "sequence_no", "branch"]
+
 
+class Stretch:
+    """State of a session since it was last taken up.  ``known``: since its last ``new``, so nothing depends on
+    what came before.  Else ``pairs`` is the sum of steps since the beginning, ``low`` how far it has been below 0,
+    and retries that sank to a new low are kept as runs of those lows (weak: from, to)."""
 
-def _advance(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    seq, branch, pairs = state.get if state.exists else (0, 0, 0)
-    events = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-    out_ids, out_seq, out_branch = [], [], []
-    for eid, action in zip(events["event_id"].to_numpy(), events["action"].to_numpy()):
+    def __init__(self, known=False, seq=0, branch=0, pairs=0, low=0, weak_from=(), weak_to=(), last_us=0):
+        self.known, self.seq, self.branch, self.pairs, self.low = known, seq, branch, pairs, low
+        self.weak_from, self.weak_to, self.last_us = list(weak_from), list(weak_to), last_us
+
+    def row(self) -> tuple:
+        return (self.known, self.seq, self.branch, self.pairs, self.low, list(self.weak_from), list(self.weak_to), self.last_us)
+
+    def apply(self, action: str) -> bool:
+        """One action; True if it accepts a pair, which takes the numbers before they advance."""
         if action == "new":
-            seq, branch, pairs = 0, 0, 0
-        elif action == "back":
-            branch += 1
-            pairs = max(pairs - 1, 0)
-        elif action == "retry":
-            if pairs >= 1:
-                branch += 1
-                pairs -= 1
+            self.__init__(known=True, last_us=self.last_us)
         elif action == "assistant":
-            out_ids.append(int(eid))
-            out_seq.append(seq)
-            out_branch.append(branch)
-            seq += 2
-            pairs += 1
-    state.update((seq, branch, pairs))
-    if out_ids:
-        yield pd.DataFrame({"session": [int(key[0])] * len(out_ids), "event_id": out_ids,
-                            "sequence_no": out_seq, "branch": out_branch})
-
-
-def number_turns_stream(events: DataFrame, session: str = "session") -> DataFrame:
-    """``events(session, ts, event_id, action)`` stream -> accepted pairs (append)."""
-    return events.groupBy(session).applyInPandasWithState(
-        _advance, OUTPUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
+            return True
+        elif action in ("back", "retry"):
+            left = self.pairs > (0 if self.known else -self.low)
+            if left or action == "back":
+                self.branch += 1
+            elif not self.known:
+                if self.weak_to and self.weak_to[-1] == self.low:
+                    self.weak_to[-1] += 1
+                else:
+                    self.weak_from.append(self.low + 1)
+                    self.weak_to.append(self.low + 1)
+            if left or not self.known:
+                self.pairs -= 1
+            if not left and not self.known:
+                self.low += 1
+        return False
+
+    def accept(self) -> None:
+        self.seq += 2
+        self.pairs += 1
+
+
+def _advance(idle_ms: int):
+    def advance(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            last = tuple(state.get)
+            state.remove()
+            yield pd.DataFrame([(int(key[0]), True, 0, *last)], columns=ROW_COLUMNS)
+            return
+        s = Stretch(*state.get) if state.exists else Stretch()
+        events = pd.concat(list(batches)).sort_values(["us", "event_id"])
+        out = []
+        for event, us, action in zip(events["event_id"].tolist(), events["us"].tolist(), events["action"].tolist()):
+            s.last_us = max(s.last_us, us)
+            if s.apply(action):
+                out.append((int(key[0]), False, event, *s.row()))
+                s.accept()
+        state.update(s.row())
+        state.setTimeoutTimestamp(max(s.last_us // 1000 + idle_ms, state.getCurrentWatermarkMs() + 1))
+        if out:
+            yield pd.DataFrame(out, columns=ROW_COLUMNS)
+
+    return advance
+
+
+def numbered_stretches(events: DataFrame, idle_seconds: int, delay: str, session: str = "session") -> DataFrame:
+    """``events(session, ts, event_id, action)`` stream -> rows of ``ROW_SCHEMA`` (append)."""
+    timed = events.select(F.col(session).cast("long").alias("session"), F.col("ts").cast("timestamp").alias("ts"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "event_id", "action")
+    return timed.withWatermark("ts", delay).groupBy("session").applyInPandasWithState(
+        _advance(idle_seconds * 1000), ROW_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def _effective(left: Column) -> Column:
+    """How many weak retries made a branch when ``left`` pairs were left at the stretch's beginning."""
+    runs = F.zip_with("weak_from", "weak_to", lambda a, b: F.greatest(F.lit(0).cast("long"), F.least(b, left) - a + 1))
+    return F.aggregate(runs, F.lit(0).cast("long"), lambda total, n: total + n)
+
+
+def completed(rows: DataFrame, before: DataFrame) -> DataFrame:
+    """``rows`` of stretches with their final numbers, given the states ``before(session, seq, branch, pairs)`` them."""
+    entry = before.select(F.col("session").alias("_s"), *[F.col(c).alias(f"_{c}") for c in ("seq", "branch", "pairs")])
+    joined = rows.join(entry, F.col("session") == F.col("_s"), "left")
+    own = {c: F.coalesce(F.col(f"_{c}"), F.lit(0).cast("long")) for c in ("seq", "branch", "pairs")}
+    known = F.col("known")
+    return joined.select(
+        "session", "evicted", "event_id", F.when(known, F.col("seq")).otherwise(own["seq"] + F.col("seq")).alias("seq"),
+        F.when(known, F.col("branch")).otherwise(own["branch"] + F.col("branch") + _effective(own["pairs"])).alias("branch"),
+        F.when(known, F.col("pairs")).otherwise(F.greatest(own["pairs"] + F.col("pairs"), F.col("pairs") + F.col("low"))).alias("pairs"), "last_us")
+
+
+def stored_states(spark: SparkSession, out_dir: str, but: str | None = None) -> DataFrame:
+    """Final state of every evicted session as it was last stored; ``but``: not by that batch."""
+    rows = written(spark, f"{out_dir.rstrip('/')}/sessions", f"{FINAL_SCHEMA}, batch_id string")
+    if but is not None:
+        rows = rows.where(F.col("batch_id") != but)
+    return rows.groupBy("session").agg(F.max_by(F.struct("seq", "branch", "pairs"), "last_us").alias("s")).select("session", "s.*")
+
+
+def start_numbering(events: DataFrame, out_dir: str, checkpoint: str, idle_seconds: int = 1800, delay: str = "10 minutes",
+                    available_now: bool = True) -> StreamingQuery:
+    """Accepted pairs of the ``events`` stream into ``<out_dir>/pairs``, final states of sessions idle for
+    ``idle_seconds`` of event time into ``<out_dir>/sessions``.
+
+    Both are written by batch, so a repeated batch leaves its rows once.  Events later than
+    ``delay`` behind the newest one are dropped by the watermark.
+    """
+    spark, named, out = events.sparkSession, batch_names(events.sparkSession, checkpoint), out_dir.rstrip("/")
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        name = named(batch_id)
+        batch = batch.persist()
+        asked = batch.where("NOT known").select("session").distinct()
+        rows = completed(batch, stored_states(spark, out, but=name).join(asked, "session", "left_semi")).persist()
+        pairs = rows.where("NOT evicted").select("session", "event_id", F.col("seq").alias("sequence_no"), "branch")
+        pairs.write.mode("overwrite").parquet(f"{out}/pairs/batch_id={name}")
+        rows.where("evicted").drop("evicted", "event_id").write.mode("overwrite").parquet(f"{out}/sessions/batch_id={name}")
+        rows.unpersist()
+        batch.unpersist()
+
+    q = numbered_stretches(events, idle_seconds, delay).writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).outputMode("append")
+    q = q.trigger(availableNow=True) if available_now else q.trigger(processingTime="10 seconds")
+    return q.start()
+
+
+def numbered_pairs(spark: SparkSession, out_dir: str) -> DataFrame:
+    """``(session, event_id, sequence_no, branch)`` of all pairs written so far."""
+    return written(spark, f"{out_dir.rstrip('/')}/pairs", "session long, event_id long, sequence_no long, branch long").select(*PAIR_COLUMNS)
