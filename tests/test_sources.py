@@ -74,11 +74,6 @@ def _files(root):
     return [os.path.join(d, f) for d, _, names in os.walk(root) for f in names if f.endswith(".parquet")]
 
 
-def test_two_writers_of_one_version(spark):
-    st = TurnStore(spark, os.path.join(_scratch(), "store")).init()
-    assert not st._publish(1, ["x"]) and st.batches() == []
-
-
 def test_request_without_vector_keeps_its_recall(spark):
     from mnemo.operators.memory import memory_query
     store = spark.createDataFrame([("d1", "conversation", "u", "p", "c1", "user", "tea time", 0, 0, 1.0, 5, [0.5, 0.5]),
