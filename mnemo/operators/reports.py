@@ -66,13 +66,16 @@ def next_branch(store: DataFrame, keys: DataFrame) -> DataFrame:
         *k, F.coalesce(F.col("max_branch") + 1, F.lit(0)).cast("int").alias("next_branch"))
 
 
-def resume_position(history: DataFrame) -> DataFrame:
+def resume_position(history: DataFrame, chats: DataFrame | None = None) -> DataFrame:
     """Per conversation, where a resumed chat continues: the last row by
-    (date, sequence_no, branch) gives next sequence_no = last + 1 and its branch."""
+    (date, sequence_no, branch) gives next sequence_no = last + 1 and its branch.
+    With ``chats(conversation_id)`` there is a row for each of these, 0 and 0 for one without history."""
     last = history.groupBy("conversation_id").agg(
         F.max_by(F.struct("sequence_no", "branch"), F.struct("date", "sequence_no", "branch")).alias("last"))
-    return last.select("conversation_id", (F.col("last.sequence_no") + 1).cast("int").alias("next_sequence_no"),
-                       F.col("last.branch").cast("int").alias("branch"))
+    if chats is not None:
+        last = chats.select("conversation_id").distinct().join(last, "conversation_id", "left")
+    return last.select("conversation_id", F.coalesce(F.col("last.sequence_no") + 1, F.lit(0)).cast("int").alias("next_sequence_no"),
+                       F.coalesce(F.col("last.branch"), F.lit(0)).cast("int").alias("branch"))
 
 
 def get_where(store: DataFrame, predicate, sort_columns: list[str] | None = None,

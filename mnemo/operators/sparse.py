@@ -51,53 +51,16 @@ class BM25Model:
 
 def bm25_fit(docs: DataFrame, keys: list[str], doc_col: str, text_col: str,
              k1: float = BM25_K1, b: float = BM25_B, tokenizer=tokenize) -> BM25Model:
-    """Fit per-corpus BM25 statistics on ``docs(keys..., doc_col, text_col)``."""
+    """Fit BM25 statistics on ``docs(doc_col, text_col)``, one global corpus (``keys`` empty)."""
     if keys:
-        return _fit_keyed(docs, keys, doc_col, text_col, k1, b, tokenizer)
-    return _fit_global(docs, doc_col, text_col, k1, b, tokenizer)
+        raise ValueError("a corpus per key is fitted and queried in one pass: keyed_bm25_scores")
+    return bm25_from_counts(term_counts(docs, [doc_col], text_col, tokenizer), docs.select(doc_col), doc_col, k1, b)
 
 
 def _doc_weight(x: Column, idf: Column, length: Column, avgdl: Column, k1: float, b: float) -> Column:
     return x * idf * (k1 + 1.0) / (x * (k1 * (1.0 - b + b * length / avgdl)) + 1.0)
 
 
-def _fit_keyed(docs, keys, doc_col, text_col, k1, b, tokenizer) -> BM25Model:
-    # a document in several corpora is tokenized once
-    texts = docs.select(doc_col, text_col).dropDuplicates([doc_col])
-    terms = term_counts(texts, [doc_col], text_col, tokenizer)
-    return bm25_fit_terms(docs.select(*keys, doc_col), terms, keys, doc_col, k1, b)
-
-
-def bm25_fit_terms(members: DataFrame, terms: DataFrame, keys: list[str], doc_col: str,
-                   k1: float = BM25_K1, b: float = BM25_B, num_partitions: int | None = None) -> BM25Model:
-    """Keyed fit from corpus membership ``(keys..., doc)`` and per-document term
-    counts ``(doc, term, tf)`` computed once per document.
-
-    The membership x terms rows are hash-partitioned on the keys once; the
-    (keys, term), (keys, doc) and (keys) windows below all reuse it.  Each corpus
-    is bounded by its caller (the memory query caps it at the candidate limit).
-    ``num_partitions`` sizes that one shuffle (callers derive it from the
-    membership count so each sort fits in memory).
-    """
-    by_corpus = Window.partitionBy(*keys)
-    counted = members.withColumn("n_docs", F.count(F.lit(1)).over(by_corpus))
-    joined = counted.join(terms, doc_col)
-    tf = joined.repartition(num_partitions, *keys) if num_partitions else joined.repartition(*keys)
-    by_term = Window.partitionBy(*keys, "term")
-    by_doc = Window.partitionBy(*keys, doc_col)
-    x = (tf.withColumn("idf", F.log(F.col("n_docs") / F.count(F.lit(1)).over(by_term)) + 1.0)
-           .withColumn("x", F.col("tf") * F.col("idf")))
-    x = (x.withColumn("len", F.sum("x").over(by_doc))
-          .withColumn("avgdl", F.sum("x").over(by_corpus) / F.col("n_docs")))
-    weights = x.select(*keys, doc_col, "term", "idf",
-                       _doc_weight(F.col("x"), F.col("idf"), F.col("len"), F.col("avgdl"), k1, b).alias("w"))
-    # the document norm rides along as a column (same (keys, doc) window, no join)
-    weights = weights.withColumn("dn", F.sqrt(F.sum(F.col("w") * F.col("w")).over(by_doc)))
-    idf = weights.groupBy(*keys, "term").agg(F.first("idf").alias("idf"))
-    norms = weights.groupBy(*keys, doc_col).agg(F.first("dn").alias("dn"))
-    return BM25Model(keys, doc_col, idf, weights, norms, members, k1, b)
-
-
 def corpus_stats(docs: DataFrame, doc_col: str, text_col: str, tokenizer=tokenize) -> DataFrame:
     """``(term, df, idf)`` of one global corpus, ``idf = ln(N / df) + 1``."""
     n_docs = docs.agg(F.count(F.lit(1)).cast("double")).scalar()
@@ -105,10 +68,12 @@ def corpus_stats(docs: DataFrame, doc_col: str, text_col: str, tokenizer=tokeniz
             .select("term", "df", (F.log(n_docs / F.col("df")) + 1.0).alias("idf")))
 
 
-def _fit_global(docs, doc_col, text_col, k1, b, tokenizer) -> BM25Model:
+def bm25_from_counts(tf: DataFrame, docs: DataFrame, doc_col: str, k1: float = BM25_K1, b: float = BM25_B) -> BM25Model:
+    """The global model from term counts ``tf(doc, term, tf)`` of all ``docs(doc)``.  The counts are written once; all
+    statistics are aggregates of them."""
+    tf = materialize(tf)
     n_docs = docs.agg(F.count(F.lit(1)).cast("double")).scalar()
-    tf = term_counts(docs, [doc_col], text_col, tokenizer)
-    idf = corpus_stats(docs, doc_col, text_col, tokenizer).select("term", "idf")
+    idf = tf.groupBy("term").agg((F.log(n_docs / F.count(F.lit(1))) + 1.0).alias("idf"))
     x = tf.join(idf, "term").withColumn("x", F.col("tf") * F.col("idf"))
     lengths = x.groupBy(doc_col).agg(F.sum("x").alias("len"))
     avgdl = x.agg(F.sum("x")).scalar() / n_docs
@@ -118,6 +83,13 @@ def _fit_global(docs, doc_col, text_col, k1, b, tokenizer) -> BM25Model:
     return BM25Model([], doc_col, idf, weights, norms, docs.select(doc_col), k1, b)
 
 
+def from_documents(docs: DataFrame, doc_col: str, text_col: str, tokenizer=tokenize) -> DataFrame:
+    """``(doc, term, v)``: a model fitted on the documents, and the documents as its query vectors."""
+    counts = materialize(term_counts(docs, [doc_col], text_col, tokenizer))
+    model = bm25_from_counts(counts, docs, doc_col)
+    return counts.join(model.idf, "term").select(doc_col, "term", _query_weight(F.col("tf"), F.col("idf"), model.k1).alias("v"))
+
+
 def _query_weight(tf: Column, idf: Column, k1: float) -> Column:
     u = tf * idf * idf
     return u * (k1 + 1.0) / (u + k1)
@@ -140,37 +112,12 @@ def bm25_query(model: BM25Model, texts: DataFrame, qid_cols: list[str], text_col
     (pass it only after checking the size of ``texts``).
     """
     keys, doc = model.keys, model.doc_col
-    if keys and "dn" in model.weights.columns:
-        qt = term_counts(texts, keys + qid_cols, text_col, tokenizer).withColumnRenamed("tf", "qtf")
-        return bm25_query_terms(model, qt, qid_cols, broadcast_query)
     dot = sparse_dot(model, texts, qid_cols, text_col, tokenizer, broadcast_query, with_norm=True)
     return (dot.join(model.norms, keys + [doc])
             .select(*keys, *qid_cols, doc,
                     F.coalesce(F.try_divide(F.col("dot"), F.col("qn") * F.col("dn")), F.lit(0.0)).alias("sim")))
 
 
-def bm25_query_terms(model: BM25Model, qt: DataFrame, qid_cols: list[str], broadcast_query: bool = False,
-                     term_col: str = "term") -> DataFrame:
-    """Keyed-corpus similarity from counted query terms ``(keys..., qid..., term, qtf)``.
-
-    The raw query terms are joined straight onto the document weights, which
-    carry the corpus idf and the document norm and stay hash-partitioned on the
-    keys; the query norm is a window over the joined rows, so the weight table is
-    read by a single chain with no further shuffle.
-    """
-    keys, doc = model.keys, model.doc_col
-    qside = F.broadcast(qt) if broadcast_query else qt
-    j = (model.weights.join(qside, keys + [term_col])
-         .withColumn("v", _query_weight(F.col("qtf"), F.col("idf"), model.k1)))
-    first = F.row_number().over(Window.partitionBy(*keys, *qid_cols, term_col).orderBy(doc)) == 1
-    j = j.withColumn("v2", F.when(first, F.col("v") * F.col("v")).otherwise(0.0))
-    j = j.withColumn("qn", F.sqrt(F.sum("v2").over(Window.partitionBy(*keys, *qid_cols))))
-    agg = j.groupBy(*keys, *qid_cols, doc).agg(
-        F.sum(F.col("v") * F.col("w")).alias("dot"), F.first("qn").alias("qn"), F.first("dn").alias("dn"))
-    return agg.select(*keys, *qid_cols, doc, F.coalesce(
-        F.try_divide(F.col("dot"), F.col("qn") * F.col("dn")), F.lit(0.0)).alias("sim"))
-
-
 def keyed_bm25_scores(members: DataFrame, terms: DataFrame, qterms: DataFrame, key: str, doc_col: str, num_partitions: int,
                       broadcast_query: bool = False, k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
     """``(key, n, doc, sim)``: fit and query of one corpus per ``key`` without keeping the model.
@@ -210,7 +157,7 @@ def sparse_dot(model: BM25Model, texts: DataFrame, qid_cols: list[str], text_col
     keys, doc = model.keys, model.doc_col
     qt = term_counts(texts, keys + qid_cols, text_col, tokenizer).withColumnRenamed("tf", "qtf")
     qside = F.broadcast(qt) if broadcast_query else qt
-    joined = (model.weights.drop("dn").join(qside, keys + ["term"])
+    joined = (model.weights.join(qside, keys + ["term"])
               .withColumn("v", _query_weight(F.col("qtf"), F.col("idf"), model.k1)))
     dot = joined.groupBy(*keys, *qid_cols, doc).agg(F.sum(F.col("v") * F.col("w")).alias("dot"))
     if not with_norm:

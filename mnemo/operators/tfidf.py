@@ -19,7 +19,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import PY_WS
+from ..session import materialize
 from .documents import capitalized_ngrams
+from .sparse_top import top_similar
 
 # --- fixed values ----------------------------------------------------------
 NER_BOOST = 4
@@ -81,8 +83,8 @@ def ngram_counts(stream: DataFrame, id_col: str, max_n: int = NGRAM_MAX) -> Data
 
 
 def tfidf_score_documents(queries: DataFrame, qid: str, qtext: str,
-                          docs: DataFrame, did: str, dtext: str) -> DataFrame:
-    """``(qid, did, sim)`` for query/document pairs sharing a term."""
+                          docs: DataFrame, did: str, dtext: str, top_n: int | None = None) -> DataFrame:
+    """``(qid, did, sim)`` for query/document pairs sharing a term; with ``top_n`` (and ``rank``) each query's best only."""
     ner = capitalized_ngrams(queries, qid, qtext).select("phrase").distinct()
     small = ner.count() <= MAX_BROADCAST_PHRASES  # size check before broadcasting the boost set
     # idf is a grouped aggregate joined back (AQE can split a hot term), not a
@@ -100,6 +102,9 @@ def tfidf_score_documents(queries: DataFrame, qid: str, qtext: str,
         norm = F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy(key)))
         return x.select(key, "term", (F.col("x") / norm).alias("u"))
 
+    if top_n is not None:
+        docs_u = materialize(normalised(d_terms, did))
+        return top_similar(docs_u, normalised(q_terms, qid).withColumnRenamed("u", "v"), qid, did, top_n)
     dv = normalised(d_terms, did).withColumnRenamed("u", "du")
     qv = normalised(q_terms, qid).withColumnRenamed("u", "qu")
     return (qv.join(dv, "term").groupBy(qid, did)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 FOLD_DEPTH = 4
 
 
@@ -38,12 +40,24 @@ def insert_at_fold(turns: DataFrame, key: str, pos: str, content: Column | str,
             .drop("_fold", "_last"))
 
 
-def split_by_role(history: DataFrame, key: str, pos: str) -> DataFrame:
-    """``(key, role, n, content)``: contents per role, newest first (n = 0 newest)."""
+def split_by_role(history: DataFrame, key: str, pos: str, new_input: DataFrame | None = None, legacy_order: bool = False) -> DataFrame:
+    """``(key, role, n, content)``: contents per role, newest first (n = 0 newest).
+
+    ``new_input(key, content)`` is the user's input that the chat is about to answer: the newest user text, so
+    n = 0 and those before move up by one; with ``legacy_order`` it comes after all of them.  A chat
+    without history has its input only.
+    """
     ranked = _role_positions(history, key, pos)
     counts = history.groupBy(key, "role").agg(F.count(F.lit(1)).alias("_cnt"))
-    return ranked.join(counts, [key, "role"]).select(
-        key, "role", (F.col("_cnt") - F.col("_rpos")).cast("int").alias("n"), "content")
+    n = (F.col("_cnt") - F.col("_rpos")).cast("int")
+    if new_input is None:
+        return ranked.join(counts, [key, "role"]).select(key, "role", n.alias("n"), "content")
+    asked = new_input.select(F.col(key), F.lit("user").alias("role"), F.col("content").alias("_input"))
+    old = ranked.join(counts, [key, "role"]).join(asked, [key, "role"], "left")
+    shift = F.when(F.col("_input").isNotNull() & F.lit(not legacy_order), 1).otherwise(0)
+    last = F.coalesce("_cnt", F.lit(0)).cast("int") if legacy_order else F.lit(0)
+    new = asked.join(counts, [key, "role"], "left").select(key, "role", last.alias("n"), F.col("_input").alias("content"))
+    return old.select(key, "role", (n + shift).alias("n"), "content").unionByName(new)
 
 
 def undo_last_pair(history: DataFrame, key: str, pos: str) -> DataFrame:
@@ -89,40 +103,30 @@ def number_turns(events: DataFrame, session: str = "session", order: list[str] |
 BLOCK_ROWS = 200_000
 
 
-def number_turns_blocked(events: DataFrame, session: str = "session", block_rows: int = BLOCK_ROWS,
-                         ts: str = "ts", block_seconds: int | None = None) -> DataFrame:
-    """``number_turns`` for sessions of any size: a segmented parallel scan.
+def _session_blocks(events: DataFrame, session: str, block_rows: int, ts: str, block_seconds: int | None) -> DataFrame | None:
+    """``(session, event_id, action, _ts, block)``, a hot session cut into blocks of event time; None if no session is hot.
 
-    A grouped count per session (partial aggregation, so a hot session costs
-    nothing special) decides the plan: when no session holds more than
-    ``block_rows`` events the plain per-session windows run (each session fits a
-    task); otherwise a session with at most ``block_rows`` events is one block and
-    a larger one is cut into equal-width event-time blocks of about ``block_rows``
-    events (``block_seconds`` forces fixed-width blocks for every session).
-    Every window runs per (session, block), so one session holding a third of all
-    events is spread over many tasks.  A block summary table (one row per block)
-    carries the running state (S, running min of S, accepted pairs, branches)
-    from block to block with windows over blocks, restarting after the last
-    ``new`` of a block.  Same result as ``number_turns``.
+    A session of at most ``block_rows`` events is one block, a larger one is cut into equal-width blocks of about
+    so many events; ``block_seconds`` forces fixed-width blocks for every session.
     """
-    a = F.col("action")
     us = F.unix_micros(F.col(ts).cast("timestamp"))
     if block_seconds is not None:
-        block = F.floor(us / (block_seconds * 1_000_000))
-        base = events
+        block, base = F.floor(us / (block_seconds * 1_000_000)), events
     else:
-        stats = events.groupBy(session).agg(F.count(F.lit(1)).alias("_cnt"), F.min(us).alias("_lo"),
-                                             F.max(us).alias("_hi"))
-        # no session above the budget: every session fits a task, per-session windows are safe
+        stats = events.groupBy(session).agg(F.count(F.lit(1)).alias("_cnt"), F.min(us).alias("_lo"), F.max(us).alias("_hi"))
         if (stats.agg(F.max("_cnt")).first()[0] or 0) <= block_rows:
-            return number_turns(events.withColumnRenamed(ts, "ts") if ts != "ts" else events, session)
+            return None
         base = events.join(stats, session)
         n_blocks = F.ceil(F.col("_cnt") / block_rows)
         width = F.greatest((F.col("_hi") - F.col("_lo") + 1) / n_blocks, F.lit(1.0))
         block = F.when(F.col("_cnt") <= block_rows, F.lit(0)).otherwise(F.floor((us - F.col("_lo")) / width))
-    ev = base.select(session, "event_id", a.alias("action"), F.col(ts).alias("_ts"), block.cast("long").alias("block"))
-    blk = [session, "block"]
-    order = [F.col("_ts"), F.col("event_id")]
+    return base.select(session, "event_id", "action", F.col(ts).alias("_ts"), block.cast("long").alias("block"))
+
+
+def _blocked_heights(ev: DataFrame, session: str) -> DataFrame:
+    """``ev`` of ``_session_blocks`` with the pairs left before every event (``hb``), the accepted pairs and
+    new branches (``acc_run``, ``branch``) up to it since the last ``new``, and the number of that (``seg``)."""
+    a, blk, order = F.col("action"), [session, "block"], [F.col("_ts"), F.col("event_id")]
     run_b = Window.partitionBy(*blk).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     ev = ev.withColumn("lseg", F.sum(F.when(a == "new", 1).otherwise(0)).over(run_b)).withColumn(
         "step", F.when(a == "assistant", 1).when(a.isin("back", "retry"), -1).otherwise(0)).withColumn(
@@ -141,9 +145,10 @@ def number_turns_blocked(events: DataFrame, session: str = "session", block_rows
         F.sum("acc").alias("tot_acc"), F.min(F.when(F.col("lseg") == 0, F.col("s_loc"))).alias("relmin"),
         F.max_by("s_loc", last).alias("tail_s"), F.max_by("acc_loc", last).alias("tail_acc"),
         F.min(F.struct((-F.col("lseg")).alias("k"), F.col("s_loc").alias("v")))["v"].alias("tail_min"))
-    entry = _block_entry(bs, session)
+    before = Window.partitionBy(session).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    segs = bs.select(*blk, F.coalesce(F.sum("n_new").over(before), F.lit(0)).alias("seg_in"))
 
-    ev = ev.join(entry, blk)
+    ev = ev.join(_block_entry(bs, session), blk).join(segs, blk)
     first = F.col("lseg") == 0
     s = F.when(first & F.col("has_in"), F.col("s_in") + F.col("s_loc")).otherwise(F.col("s_loc"))
     mn = F.when(first & F.col("has_in"), F.least(F.col("min_in"), F.col("s_in") + F.col("min_loc"))) \
@@ -161,12 +166,59 @@ def number_turns_blocked(events: DataFrame, session: str = "session", block_rows
         F.sum(F.when(F.col("lseg") == 0, F.col("inc")).otherwise(0)).alias("tot_inc"),
         F.sum(F.when(a == "new", 1).otherwise(0)).alias("n_new"),
         F.max_by("br_loc", F.struct(*order)).alias("tail_inc"))
-    br = _branch_entry(inc_sum, session)
-    ev = ev.join(br, blk)
-    branch = F.when(first, F.col("br_in")).otherwise(0) + F.col("br_loc")
-    out = ev.filter(a == "assistant").select(session, "event_id", (2 * F.col("acc_run") - 2).alias("sequence_no"),
-                                             branch.alias("branch"))
-    return out
+    ev = ev.join(_branch_entry(inc_sum, session), blk)
+    return ev.select(session, "event_id", "action", "_ts", "block", (F.col("seg_in") + F.col("lseg")).alias("seg"), "hb", "acc_run",
+                     (F.when(first, F.col("br_in")).otherwise(0) + F.col("br_loc")).alias("branch"))
+
+
+def number_turns_blocked(events: DataFrame, session: str = "session", block_rows: int = BLOCK_ROWS,
+                         ts: str = "ts", block_seconds: int | None = None) -> DataFrame:
+    """``number_turns`` for sessions of any size: a segmented parallel scan.
+
+    A grouped count per session (partial aggregation, so a hot session costs
+    nothing special) decides the plan: when no session holds more than
+    ``block_rows`` events the plain per-session windows run (each session fits a
+    task); otherwise hot sessions are cut into blocks.
+    Every window runs per (session, block), so one session holding a third of all
+    events is spread over many tasks.  A block summary table (one row per block)
+    carries the running state (S, running min of S, accepted pairs, branches)
+    from block to block with windows over blocks, restarting after the last
+    ``new`` of a block.  Same result as ``number_turns``.
+    """
+    ev = _session_blocks(events, session, block_rows, ts, block_seconds)
+    if ev is None:
+        return number_turns(events.withColumnRenamed(ts, "ts") if ts != "ts" else events, session)
+    return _blocked_heights(ev, session).filter(F.col("action") == "assistant").select(
+        session, "event_id", (2 * F.col("acc_run") - 2).alias("sequence_no"), "branch")
+
+
+def rewound_turns(events: DataFrame, session: str = "session", block_rows: int = BLOCK_ROWS, ts: str = "ts",
+                  block_seconds: int | None = None) -> DataFrame:
+    """``number_turns`` where going back lowers the sequence number too, so that an answer replaces the one that was taken back.
+
+    A pair gets the number of those left before it (``sequence_no`` = 2 * height); ``undone_by`` is the back or retry that
+    takes it back (null: it is in the final history), its matching bracket: at one height of a segment
+    pairs and pops alternate, so the k-th pair there goes with the k-th pop.  Both are numbered per block and shifted by the
+    counts of the blocks before (one row per height and block), then joined, so no hot session lands in one task.
+    """
+    ev = _session_blocks(events, session, block_rows, ts, block_seconds)
+    if ev is None:  # every session fits a task: one block each
+        ev = events.select(session, "event_id", "action", F.col(ts).alias("_ts"), F.lit(0).cast("long").alias("block"))
+    a, hb = F.col("action"), F.col("hb")
+    marks = materialize(_blocked_heights(ev, session).select(
+        session, "event_id", "_ts", "block", "seg", "branch", (a == "assistant").alias("push"),
+        F.when(a == "assistant", hb + 1).when(a.isin("back", "retry"), hb).alias("height")).where("height >= 1"))
+    level = [session, "seg", "height", "push"]
+    before = Window.partitionBy(*level).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    shift = marks.groupBy(*level, "block").agg(F.count(F.lit(1)).alias("n")).select(
+        *level, "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
+    local = Window.partitionBy(*level, "block").orderBy("_ts", "event_id")
+    placed = marks.withColumn("i", F.row_number().over(local)).join(shift, [*level, "block"]).withColumn("k", F.col("shift") + F.col("i"))
+    key = [session, "seg", "height", "k"]
+    pairs = placed.where("push").select(*key, "event_id", "branch")
+    pops = placed.where("NOT push").select(*key, F.col("event_id").alias("undone_by"))
+    return pairs.join(pops, key, "left").select(session, "event_id", (2 * F.col("height") - 2).cast("long").alias("sequence_no"),
+                                                F.col("branch").cast("long").alias("branch"), "undone_by")
 
 
 def _block_entry(bs: DataFrame, session: str) -> DataFrame:

@@ -6,8 +6,8 @@ from ..operators.prompts import CONSCIOUS_PREFIX, ORDINALS, TASK_SENTENCES
 from ..operators.step_tables import (ADDIN_DOCUMENT, ADDIN_NONE, ANALYSIS_PROMPTS, CHORE_PROMPTS, GUIDANCE_THOUGHT, JOURNAL_PROMPTS, LOCATIONS,
                                      NER_FORMAT, REPORT_PROMPTS, TASK_THOUGHTS)
 from ..sources.personas import DATE_THOUGHT, PROMPT_HEAD, PROMPT_PERSONA, PROMPT_TAIL, THOUGHTS
-from .oracle import (CHAT_TEXTS, DATE, LAST_ASSISTANT, PENDING, SEED, SPEAKER, TURN_VECTORS, TURNS, UNIFORM_KEY, mean_vector_sql, memory_ctes,
-                     strip_sql, typed_memory_sql, with_)
+from .oracle import (BM25_CORE, BM25_QUERY_SIDE, CHAT_TEXTS, DATE, HISTORY, LAST_ASSISTANT, NUMBER_TURNS, PENDING, SEED,
+                     SPEAKER, TURN_VECTORS, TURNS, UNIFORM_KEY, mean_vector_sql, memory_ctes, strip_sql, tfidf_sql, typed_memory_sql, with_)
 
 STAMP = "2024-03-01 00:00:00"
 GUIDANCE = "Keep to the point."
@@ -142,3 +142,27 @@ def chore_context_sql() -> str:
         *memory_ctes("c", "r1", "t1", "seen1", store="tvc", turn_decay=0.0, temporal_decay=0.8)]) + f"""
 SELECT {CONTEXT} FROM cseed
 UNION ALL SELECT request_id, 1, -2, rank, doc_id, document_type, conversation_id, {DATE.format(ts='timestamp')}, {SPEAKER.format(p='')}, role, content FROM c_out"""
+
+
+# ---- sparse top n, kept term counts, ordered turns ----------------------------
+def _cut(scores: str, n: int) -> str:
+    return f"""SELECT item_id, doc_id, round(sim, 6) AS sim, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(sim, 9) DESC, doc_id) AS rank FROM ({scores})) WHERE rank <= {n}"""
+
+
+BM25_TOP = with_(*BM25_CORE, *BM25_QUERY_SIDE) + _cut("SELECT item_id, doc_id, dot / (qn * dn) AS sim FROM dot JOIN qn USING (item_id) JOIN dn USING (doc_id)", 10)
+TFIDF_TOP = _cut(tfidf_sql().replace("round(sum(q.u * d.u), 6) AS sim", "sum(q.u * d.u) AS sim"), 10)
+FROM_DOCUMENTS = with_(*BM25_CORE) + "SELECT doc_id, term, round((tf * idf * idf) * 2.5 / (tf * idf * idf + 1.5), 6) AS v FROM dt JOIN df USING (term)"
+REWOUND_TURNS = NUMBER_TURNS[:NUMBER_TURNS.index("select session, event_id, sequence_no, branch from (")] + """, br as (
+  select *, sum(case when action='back' or (action='retry' and hb>=1) then 1 else 0 end) over (partition by session,seg order by ts,event_id rows unbounded preceding) branch from b),
+m as (select *, case when action='assistant' then hb+1 when action in ('back','retry') then hb end height from br),
+l as (select *, lead(event_id) over (partition by session,seg,height order by ts,event_id) undone_by from m where height >= 1)
+select session, event_id, 2*height-2 sequence_no, branch, undone_by from l where action='assistant'"""
+SPLIT_INPUT = HISTORY + """, asked AS (SELECT DISTINCT conversation_id FROM turns)
+SELECT conversation_id, role, CAST(row_number() OVER (PARTITION BY conversation_id, role ORDER BY pos DESC) - 1
+  + CASE WHEN role = 'user' THEN 1 ELSE 0 END AS INTEGER) AS n, content FROM hist
+UNION ALL SELECT conversation_id, 'user', 0, 'What is next?' FROM asked"""
+RESUME_ALL = with_(TURNS).rstrip() + """, j AS (SELECT *, max(branch) OVER (PARTITION BY conversation_id, sequence_no) AS mb FROM turns WHERE document_type = 'journal'),
+l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY timestamp DESC, sequence_no DESC, branch DESC) AS rk FROM j WHERE branch = mb) WHERE rk = 1)
+SELECT c.conversation_id, CAST(coalesce(l.sequence_no + 1, 0) AS INTEGER) AS next_sequence_no, CAST(coalesce(l.branch, 0) AS INTEGER) AS branch
+FROM (SELECT DISTINCT conversation_id FROM turns) c LEFT JOIN l USING (conversation_id)"""

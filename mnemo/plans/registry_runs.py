@@ -6,13 +6,18 @@ from pyspark.sql import functions as F
 
 from ..operators import history as H
 from ..operators import reports as R
+from ..operators import sparse as S
+from ..operators import turns as TO
 from ..operators.rounds import REQUEST_SCHEMA, PipelineRun, run_prefix
 from ..operators.step_tables import LOCATIONS, planned_steps, render_prompts, step_rows
-from ..schema import CONTEXT_COLUMNS, DOC_ANALYSIS, DOC_NER
+from ..operators.sparse_top import bm25_top, fit_transform_query
+from ..operators.tfidf import tfidf_score_documents
+from ..schema import CONTEXT_COLUMNS, DOC_ANALYSIS, DOC_JOURNAL, DOC_NER
 from ..sources.personas import DATE_THOUGHT, THOUGHTS, system_prompts
+from ..sources.term_table import TermTable
 from . import oracle_runs as SQL
-from .registry import _last_reply, _next_branches, _tz, register, scratch
-from .views import AS_OF, chat_requests, chats, personas, request_vectors, step_answers, turns
+from .registry import _benchmark, _last_reply, _next_branches, _r6, _tz, register, scratch
+from .views import AS_OF, chat_requests, chats, personas, request_vectors, session_events, step_answers, turns
 
 ROUND_COLUMNS = ["request_id", "step", "grp", "seq", *CONTEXT_COLUMNS]
 
@@ -100,3 +105,54 @@ def q_chore_context(spark, sf_dir):
     run.start(requests.select(*[c.split()[0] for c in REQUEST_SCHEMA.split(", ")]), found.withColumnRenamed("rank", "seq"))
     run.prepare(1)
     return run.context().select(*ROUND_COLUMNS)
+
+
+# ---- sparse top n, kept term counts, ordered turns ----------------------------
+
+
+@register("bm25_query_top", SQL.BM25_TOP)
+def q_bm25_query_top(spark, sf_dir):
+    """The ten most similar turns of every benchmark item: the model is fitted and asked in one go."""
+    return _r6(fit_transform_query(turns(spark, sf_dir), "doc_id", "content", _benchmark(spark, sf_dir), "item_id", "text", 10), "sim")
+
+
+@register("tfidf_top", SQL.TFIDF_TOP)
+def q_tfidf_top(spark, sf_dir):
+    docs = turns(spark, sf_dir).select("doc_id", "content")
+    return _r6(tfidf_score_documents(_benchmark(spark, sf_dir), "item_id", "text", docs, "doc_id", "content", top_n=10), "sim")
+
+
+@register("term_table_query", SQL.BM25_TOP)
+def q_term_table_query(spark, sf_dir):
+    """The same from the counts that two appends have left in the term table; no text is read again."""
+    rows, table = turns(spark, sf_dir), TermTable(spark, scratch(spark, "terms"))
+    table.append(rows.where("branch = 0")).append(rows.where("branch <> 0"))
+    return _r6(bm25_top(table.fit(), _benchmark(spark, sf_dir), "item_id", "text", 10), "sim")
+
+
+@register("from_documents", SQL.FROM_DOCUMENTS)
+def q_from_documents(spark, sf_dir):
+    """A model fitted on the turns, and the turns as its vectors."""
+    return _r6(S.from_documents(turns(spark, sf_dir).select("doc_id", "content"), "doc_id", "content"), "v")
+
+
+@register("rewound_turns", SQL.REWOUND_TURNS)
+def q_rewound_turns(spark, sf_dir):
+    """Sequence numbers that go back with back and retry, and what takes a pair back."""
+    return TO.rewound_turns(session_events(spark, sf_dir))
+
+
+@register("split_by_role_input", SQL.SPLIT_INPUT)
+def q_split_by_role_input(spark, sf_dir):
+    """The texts that a chat turn asks with: the history's by role, and the new input as the newest one."""
+    store = turns(spark, sf_dir)
+    asked = store.select("conversation_id").distinct().withColumn("content", F.lit("What is next?"))
+    return TO.split_by_role(H.conversation_history(store, time_zone=_tz(spark)), "conversation_id", "pos", asked)
+
+
+@register("resume_position_all", SQL.RESUME_ALL)
+def q_resume_position_all(spark, sf_dir):
+    """Where each conversation's journal goes on; 0 and 0 where it has none yet."""
+    store = turns(spark, sf_dir)
+    journal = H.conversation_history(store, filter_text=F.col("document_type") == DOC_JOURNAL, time_zone=_tz(spark))
+    return R.resume_position(journal, store.select("conversation_id"))
