@@ -19,6 +19,9 @@ from mnemo.llm.common import stage
 PRIME = 2147483647
 BASE = 1000003
 BASE2 = BASE * BASE % PRIME
+#: Repeated hashes, removed chunks, and bytes of repeated chunks that are broadcast at most; beyond, joins shuffle.
+BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 16 << 20
 
 
 def let(value: str, name: str, body: str) -> str:
@@ -49,28 +52,34 @@ def line_dedup(docs: DataFrame, keep: list[str] | None = None, id_col: str = "do
     Chunks of one line or of white space alone always stay.  An empty table gives an
     empty result; columns not named are not read.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.struct(*[F.col(c) for c in keep or []]).alias("rest")
-                       if keep else F.lit(None).alias("rest"))
-    chunks = (rows.select("id", F.inline(F.expr(chunks_sql("text"))))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("version"),
+                       F.struct(*[F.col(c) for c in keep]).alias("rest") if keep else F.lit(None).alias("rest"))
+    chunks = (rows.select("id", "version", F.inline(F.expr(chunks_sql("text"))))
               .where("n_lines > 1 AND trim(body) <> ''").withColumn("hash", F.xxhash64("body")))
     place = F.struct("id", "no")
 
     # hashes seen at two places, from the hashes alone; their chunks' bytes are then compared
     repeated = stage(chunks.groupBy("hash").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b OR a.id IS NULL").select("hash"), "repeated-hashes")
-    again = stage(chunks.join(repeated, "hash").select("id", "no", "hash", "body"), "repeated-chunks")
+    few = repeated.count() <= BROADCAST_ROWS
+    again = stage(chunks.join(F.broadcast(repeated) if few else repeated, "hash").select("id", "version", "no", "hash", "body"), "repeated-chunks")
     first = stage(again.groupBy("body").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.min("hash").alias("hash"))
                   .where(~F.col("first").eqNullSafe(F.col("last"))), "first-chunks")
-    same = [again["hash"] == first["hash"], again["body"] == first["body"]]
-    gone = (again.join(first, same).where(~F.struct(again["id"], again["no"]).eqNullSafe(F.col("first")))
-            .groupBy(again["id"]).agg(F.collect_set(F.struct(again["no"], again["hash"])).alias("gone")))
-
-    done = rows.join(gone.withColumnRenamed("id", "gone_id"), rows["id"].eqNullSafe(F.col("gone_id")), "left")
-    left = let(chunks_sql("text"), "cs", "filter(cs, c -> NOT array_contains(gone, named_struct('no', c.no, 'hash', xxhash64(c.body))))")
-    kept_text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(
-        F.expr(f"array_join(transform({left}, c -> c.body), '\\n')"))
+    n, size = first.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("body")), F.lit(0))).first()
+    kept = F.broadcast(first) if n <= BROADCAST_ROWS and size <= BROADCAST_BYTES else first
+    same = [again["hash"] == kept["hash"], again["body"] == kept["body"]]
+    # rows that repeat an id are told apart by their texts
+    gone = stage(again.join(kept, same).where(~F.struct(again["id"], again["no"]).eqNullSafe(F.col("first")))
+                 .groupBy(again["id"].alias("gone_id"), again["version"].alias("gone_version")).agg(F.collect_set(again["no"]).alias("gone")), "removed-chunks")
+    removed = gone.agg(F.coalesce(F.sum(F.size("gone")), F.lit(0))).first()[0]
+
+    of_row = [rows["id"].eqNullSafe(F.col("gone_id")), rows["version"] == F.col("gone_version")]
+    done = rows.join(F.broadcast(gone) if removed <= BROADCAST_ROWS else gone, of_row, "left")
+    left = let(chunks_sql("text"), "cs", "transform(array_except(sequence(0, size(cs) - 1), gone), k -> get(cs, k))")
+    done = done.withColumn("left", F.when(F.col("gone").isNotNull(), F.expr(left)))
+    kept_text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.expr("array_join(transform(left, c -> c.body), '\\n')"))
     lines = F.coalesce(F.size(F.split("text", "\n")), F.lit(0))
     lines = F.when(F.col("text").isNull(), F.lit(0)).otherwise(lines)
-    kept_lines = F.when(F.col("gone").isNull(), lines).otherwise(F.expr(f"aggregate({left}, 0, (n, c) -> n + c.n_lines)"))
+    kept_lines = F.when(F.col("gone").isNull(), lines).otherwise(F.expr("aggregate(left, 0, (n, c) -> n + c.n_lines)"))
     return done.select(F.col("id").alias(id_col), kept_text.alias(text_col), *[F.col("rest")[c].alias(c) for c in keep or []],
                        lines.cast("long").alias("n_lines"), (lines - kept_lines).cast("long").alias("n_removed"))
 
