@@ -18,13 +18,13 @@ from ..functions.scoring import derive_date, derive_speaker, memory_score
 from ..session import materialize
 from ..schema import CANDIDATE_LIMIT, COLUMNS, DOC_JOURNAL, MEMORY_WINDOW, RECALL_SIZE
 from .dense import dense_candidates, top_k_per_request
-from .sparse import keyed_bm25_scores, term_counts
+from .sparse import best_corpus_scores, hashed_tokens
 
 # broadcast bound for the candidate keys joined back onto the store scan
 MAX_BROADCAST_CANDIDATES = 2_000_000
-# broadcast bound for query texts (rows) joined onto the candidate term table
+# broadcast bound for the requests' parameters
 MAX_BROADCAST_QUERY_TEXTS = 200_000
-# candidates per partition of the per-request BM25 shuffle (x ~100 terms each)
+# candidates per partition of the per-request BM25 shuffle (x ~100 tokens each)
 CANDIDATES_PER_PARTITION = 10_000
 
 RESULT_COLUMNS = COLUMNS + ["date", "speaker", "score"]
@@ -37,19 +37,6 @@ def spark_conf_int(df: DataFrame, key: str, default: int) -> int:
         return default
 
 
-def _hash_is_exact(*pairs) -> bool:
-    """True when xxhash64 is injective on the distinct values of every (df, column).
-
-    One aggregate job over the tagged union of the value sets."""
-    vals = None
-    for i, (df, col) in enumerate(pairs):
-        v = df.select(F.lit(i).alias("_set"), F.col(col).cast("string").alias("_v"))
-        vals = v if vals is None else vals.unionByName(v)
-    rows = vals.groupBy("_set").agg(F.count_distinct("_v").alias("a"),
-                                    F.count_distinct(F.xxhash64("_v")).alias("b")).collect()
-    return all(r["a"] == r["b"] for r in rows)
-
-
 def _checked_broadcast(df: DataFrame, bound_rows: int, max_rows: int) -> DataFrame:
     """Broadcast ``df`` only when a proven row bound is under ``max_rows``."""
     return F.broadcast(df) if bound_rows <= max_rows else df
@@ -89,39 +76,15 @@ def memory_query(store: DataFrame, requests: DataFrame, query_texts: DataFrame,
     docs = store.select("doc_id", "content", "weight", "timestamp").join(cand_ids, "doc_id")
 
     # BM25 is fitted on each request's own candidate set; each document is tokenized once
-    terms = materialize(term_counts(docs, ["doc_id"], "content"))
-    n_texts = query_texts.count()
+    tokens = docs.select("doc_id", hashed_tokens(F.col("content")).alias("tokens"))
     texts = query_texts.select("request_id", "n", "text")
-    qterms = term_counts(texts, ["request_id", "n"], "text").withColumnRenamed("tf", "qtf")
-    # the (request, doc, term) table is the big one: size its shuffle from the
-    # candidate count (a cheap count of the checkpointed table)
-    n_cands = cands.count()
-    parts = max(int(spark_conf_int(store, "spark.sql.shuffle.partitions", 8)),
-                -(-n_cands // CANDIDATES_PER_PARTITION))
-    members = cands.select("request_id", "doc_id")
-    long_keys = _hash_is_exact((members.select("request_id").unionByName(qterms.select("request_id")), "request_id"), (members, "doc_id"),
-                               (terms.select("term").unionByName(qterms.select("term")), "term"))
-    if long_keys:
-        # 64-bit surrogate keys make the per-request sorts and windows much cheaper;
-        # used only after checking the hash is injective on the actual values
-        h = F.xxhash64
-        members = members.select(h("request_id").alias("rk"), h("doc_id").alias("dk"))
-        terms = terms.select(h("doc_id").alias("dk"), h("term").alias("tk"), "tf")
-        qterms = qterms.select(h("request_id").alias("rk"), "n", h("term").alias("tk"), "qtf")
-        rk, dk, tk = "rk", "dk", "tk"
-    else:
-        rk, dk, tk = "request_id", "doc_id", "term"
-    sims = keyed_bm25_scores(members, terms.withColumnRenamed(tk, "term"), qterms.withColumnRenamed(tk, "term"), rk, dk, parts,
-                             broadcast_query=n_texts <= MAX_BROADCAST_QUERY_TEXTS)
-    if long_keys:
-        ids = cands.select("request_id", "doc_id", F.xxhash64("request_id").alias("rk"),
-                           F.xxhash64("doc_id").alias("dk"))
-        sims = sims.join(ids, ["rk", "dk"]).drop("rk", "dk")
     params = requests.select("request_id", "turn_decay", "temporal_decay", "as_of", "top_n")
     params = _checked_broadcast(params, n_req, MAX_BROADCAST_QUERY_TEXTS)
-    best = (sims.join(params.select("request_id", "turn_decay"), "request_id")
-            .groupBy("request_id", "doc_id")
-            .agg(F.max(F.col("sim") * F.pow(F.col("turn_decay"), F.col("n").cast("double"))).alias("best_sim")))
+    asked = texts.join(params.select("request_id", "turn_decay"), "request_id").select(
+        "request_id", F.pow(F.col("turn_decay"), F.col("n").cast("double")).alias("weight"), hashed_tokens(F.col("text")).alias("tokens"))
+    # the candidates with their tokens are the big table: its shuffle is sized by a count of the checkpointed one
+    parts = max(spark_conf_int(store, "spark.sql.shuffle.partitions", 8), -(-cands.count() // CANDIDATES_PER_PARTITION))
+    best = best_corpus_scores(cands.select("request_id", "doc_id").join(tokens, "doc_id"), asked, "request_id", "doc_id", parts)
     has_texts = texts.select("request_id").distinct().withColumn("has_texts", F.lit(True))
 
     doc_attr = docs.select("doc_id", "weight", "timestamp", F.char_length("content").alias("clen"))

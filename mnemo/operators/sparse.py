@@ -12,17 +12,18 @@ Weights (fitted per corpus, k1 = 1.5, b = 0.75):
 * query: ``u = tf * idf**2``, ``v = u * (k1 + 1) / (u + k1)`` (unknown terms vanish)
 * similarity: cosine of v and w, 0 when either side is empty.
 
-Keyed corpora tokenize each document once, then hash-partition the membership x
-term rows on the keys; every later window is on
-(keys, ...) and reuses that partitioning, so the per-corpus statistics cost one
-shuffle.  The global corpus uses grouped aggregates and scalar subqueries instead
-of a key-less window (which would pull everything into one task).
+Many small corpora (one per request, bounded by the candidate limit) are fitted and asked
+one by one inside tasks, on arrays of token hashes: the membership rows are shuffled once, and no
+row per corpus and term is ever made.  The global corpus uses grouped aggregates and scalar
+subqueries instead of a key-less window (which would pull everything into one task).
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -118,37 +119,58 @@ def bm25_query(model: BM25Model, texts: DataFrame, qid_cols: list[str], text_col
                     F.coalesce(F.try_divide(F.col("dot"), F.col("qn") * F.col("dn")), F.lit(0.0)).alias("sim")))
 
 
-def keyed_bm25_scores(members: DataFrame, terms: DataFrame, qterms: DataFrame, key: str, doc_col: str, num_partitions: int,
-                      broadcast_query: bool = False, k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
-    """``(key, n, doc, sim)``: fit and query of one corpus per ``key`` without keeping the model.
+def hashed_tokens(text: Column, tokenizer=tokenize) -> Column:
+    """The tokens of a text as 64-bit hashes, repetitions included (null text: none)."""
+    return F.transform(F.coalesce(tokenizer(text), F.array().cast("array<string>")), lambda t: F.xxhash64(t))
 
-    ``members(key, doc)``, ``terms(doc, term, tf)``, ``qterms(key, n, term, qtf)``.  The
-    membership x terms rows are sorted once, for the document frequencies; a document's
-    terms then become one row, so its length, the corpus mean (a window over one row
-    per document) and its norm need no further sort of the long table; the matches with
-    the query terms are summed by one hash aggregate, which carries the query norm.
+
+def corpus_scores(docs: list[np.ndarray], texts: list[np.ndarray], weights: list[float], k1: float = BM25_K1, b: float = BM25_B) -> np.ndarray:
+    """Per document of one small corpus the best of ``weight * similarity`` over the query texts (0 at least).
+
+    Documents and texts are arrays of token hashes.  The model is fitted on these documents alone.
+    """
+    n, best = len(docs), np.zeros(len(docs))
+    tokens = np.concatenate(docs) if n else np.zeros(0, np.int64)
+    if not len(tokens):
+        return best
+    terms, at = np.unique(tokens, return_inverse=True)
+    owner = np.repeat(np.arange(n), [len(d) for d in docs])
+    pairs, tf = np.unique(at * n + owner, return_counts=True)  # a term's documents lie side by side
+    t, d = pairs // n, pairs % n
+    idf = np.log(n / np.bincount(t)) + 1.0
+    x = tf * idf[t]
+    length = np.bincount(d, x, n)
+    w = x * idf[t] * (k1 + 1.0) / (x * (k1 * (1.0 - b + b * length[d] / (x.sum() / n))) + 1.0)
+    norm = np.sqrt(np.bincount(d, w * w, n))
+    for text, weight in zip(texts, weights):
+        asked, qtf = np.unique(text, return_counts=True)
+        place = np.minimum(np.searchsorted(terms, asked), len(terms) - 1)
+        known = terms[place] == asked
+        u = qtf[known] * idf[place[known]] ** 2
+        v = np.zeros(len(terms))
+        v[place[known]] = u * (k1 + 1.0) / (u + k1)
+        scale = norm * np.sqrt((v * v).sum())
+        dot = np.bincount(d, w * v[t], n)
+        best = np.maximum(best, weight * np.divide(dot, scale, out=np.zeros(n), where=scale > 0))
+    return best
+
+
+def best_corpus_scores(members: DataFrame, texts: DataFrame, key: str, doc_col: str, num_partitions: int) -> DataFrame:
+    """``(key, doc, best_sim)``: a corpus per ``key``, asked with the texts of that key.
+
+    ``members(key, doc, tokens)`` and ``texts(key, weight, tokens)`` with ``hashed_tokens``.  A document in several corpora
+    is tokenized once; a corpus, which its caller bounds (the memory query by its candidate limit), is
+    scored as a whole in one task.  Two terms of a corpus of 100,000 terms share a hash with a probability of
+    3e-10; they would count as one.
     """
-    counted = members.withColumn("n_docs", F.count(F.lit(1)).over(Window.partitionBy(key)))
-    rows = counted.join(terms, doc_col).repartition(num_partitions, key)
-    by_term = Window.partitionBy(key, "term").orderBy(doc_col)
-    whole_term = Window.partitionBy(key, "term").orderBy(doc_col).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = (rows.withColumn("idf", F.log(F.col("n_docs") / F.count(F.lit(1)).over(whole_term)) + 1.0)
-            .withColumn("head", F.row_number().over(by_term) == 1))
-    docs = rows.groupBy(key, doc_col, "n_docs").agg(
-        F.sum(F.col("tf") * F.col("idf")).alias("len"),
-        F.collect_list(F.struct("term", (F.col("tf") * F.col("idf")).alias("x"), "idf", "head")).alias("ts"))
-    docs = docs.withColumn("avgdl", F.sum("len").over(Window.partitionBy(key)) / F.col("n_docs"))
-    weigh = lambda t: _doc_weight(t["x"], t["idf"], F.col("len"), F.col("avgdl"), k1, b)
-    docs = docs.withColumn("dn", F.sqrt(F.aggregate("ts", F.lit(0.0), lambda acc, t: acc + weigh(t) * weigh(t))))
-    matched = (docs.select(key, doc_col, "len", "avgdl", "dn", F.inline("ts"))
-               .join(F.broadcast(qterms) if broadcast_query else qterms, [key, "term"])
-               .withColumn("w", _doc_weight(F.col("x"), F.col("idf"), F.col("len"), F.col("avgdl"), k1, b))
-               .withColumn("v", _query_weight(F.col("qtf"), F.col("idf"), k1)))
-    sums = matched.groupBy(key, "n", doc_col).agg(
-        F.sum(F.col("v") * F.col("w")).alias("dot"), F.first("dn").alias("dn"),
-        F.sum(F.when(F.col("head"), F.col("v") * F.col("v")).otherwise(0.0)).alias("q2"))
-    qn = F.sqrt(F.sum("q2").over(Window.partitionBy(key, "n")))
-    return sums.select(key, "n", doc_col, F.coalesce(F.try_divide(F.col("dot"), qn * F.col("dn")), F.lit(0.0)).alias("sim"))
+    def score(docs: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        sims = corpus_scores(docs["tokens"].tolist(), asked["tokens"].tolist(), asked["weight"].tolist())
+        # the same types for an empty side as for any other
+        return pd.DataFrame({key: docs[key].astype(object), doc_col: docs[doc_col].astype(object), "best_sim": sims.astype(float)})
+
+    left = members.select(key, doc_col, "tokens").repartition(num_partitions, key).groupBy(key)
+    right = texts.select(key, "weight", "tokens").repartition(num_partitions, key).groupBy(key)
+    return left.cogroup(right).applyInPandas(score, f"{key} string, {doc_col} string, best_sim double")
 
 
 def sparse_dot(model: BM25Model, texts: DataFrame, qid_cols: list[str], text_col: str,
