@@ -15,50 +15,133 @@ blocks before) and looks every number up in the plan's slot ranges.
 from __future__ import annotations
 
 import bisect
+import copy
+import json
+import math
+import re
+import unicodedata
 import zlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mnemo.llm.common import resident, stage
+from mnemo.llm.common import resident, slices, stage
+from mnemo.llm.tokens import ASCII_WORDS, LATIN_END, LATIN_WORDS
 
 CAPACITY = 4096
 SEPARATOR = 1
+#: Beyond the Latin blocks the library's own lower-casing and letter classes are asked.
+BEYOND_LATIN = re.compile(f"[{LATIN_END}-\U0010ffff]")
 BANDS = 64
 MEMO_ENTRIES = 500_000
+#: Characters of the texts that are tokenised together.
+SLICE_CHARS = 2_000_000
 #: Pieces of a numbering block, on average.
 BLOCK_PIECES = 10_000
+#: Lengths whose patterns are fitted exactly: the most frequent ones, of so many pieces at least; tokens that such a pattern may waste.
+EXACT_LENGTHS = 24
+EXACT_COUNT = 32
+EXACT_WASTE = 16
 
 
 # ---- tokenising --------------------------------------------------------------
 
 class PieceIds:
-    """Ids of the library for each space-free piece of text, remembered as little-endian bytes."""
+    """Ids of the library for words and space-free pieces of text, remembered as little-endian bytes.
+
+    The memo has two generations: what is met again moves to the younger one, and when that is full, the older
+    one, with what was not met since, is let go.  A new piece is cut into the words that the pre-tokenizer's pattern
+    finds, and new words are encoded many at a time, joined by spaces: the last symbol of every word
+    carries the vocabulary's end-of-word suffix.  Pieces with control or unusual characters, or
+    that may hold a special string, are encoded by themselves.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
-        self.tok = Tokenizer.from_file(path)
-        self.memo: dict[str, bytes] = {"": b""}
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        self.tok, suffix = Tokenizer.from_file(path), model.get("end_of_word_suffix") or ""
+        self.ends = np.zeros(max(model["vocab"].values()) + 1, bool)
+        self.ends[[i for t, i in model["vocab"].items() if suffix and t.endswith(suffix)]] = True
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    @staticmethod
+    def spaced(text: str) -> str:
+        """The text with spaces for line ends and tabs, lower-cased where that is what the library does."""
+        text = text.replace("\n", " ").replace("\t", " ").replace("\r", " ")
+        if "<" not in text and (text.isascii() or (not BEYOND_LATIN.search(text) and unicodedata.is_normalized("NFC", text))):
+            text = text.lower()
+        return text
+
+    @staticmethod
+    def words_of(piece: str) -> list[str] | None:
+        """Pre-tokens of a piece, lower-cased; None for one that is to be encoded by itself."""
+        if piece.isascii():
+            if piece.isalpha():
+                return [piece.lower()]
+            return ASCII_WORDS.findall(piece.lower()) if piece.isprintable() and "<" not in piece else None
+        if not piece.isprintable() or "<" in piece or BEYOND_LATIN.search(piece) or not unicodedata.is_normalized("NFC", piece):
+            return None
+        return [piece.lower()] if piece.isalpha() else LATIN_WORDS.findall(piece.lower())
 
-    def encode(self, pieces: list[str]) -> list[bytes]:
+    def encode_each(self, pieces: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(pieces, add_special_tokens=False)]
 
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        ids = np.array(self.tok.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        ends = 4 * (np.flatnonzero(self.ends[ids]) + 1)
+        if len(ends) != len(words) or ends[-1] != 4 * len(ids):
+            return self.encode_each(words)
+        data, cuts = ids.tobytes(), [0, *ends.tolist()]
+        return [data[i:j] for i, j in zip(cuts, cuts[1:])]
+
+    def missing(self, keys: Iterable[str]) -> list[str]:
+        """Those of the keys that aren't remembered; what the older generation knows moves to the younger one."""
+        young, old, out = self.young, self.old, []
+        for k in keys:
+            if k not in young:
+                if k in old:
+                    young[k] = old[k]
+                else:
+                    out.append(k)
+        return out
+
+    def known(self, keys: list[str]) -> dict[str, bytes]:
+        """A dict that holds the ids of all (distinct) ``keys``; valid until the next call."""
+        if len(self.young) + len(keys) > MEMO_ENTRIES // 2:
+            self.old, self.young = self.young, {}
+        young, new = self.young, self.missing(keys)
+        parts = list(map(self.words_of, new))
+        words = self.missing({w for x in parts if x for w in x})
+        for i in range(0, len(words), 4096):
+            young.update(zip(words[i:i + 4096], self.encode_words(words[i:i + 4096])))
+        alone = [p for p, x in zip(new, parts) if x is None]
+        young.update(zip(alone, self.encode_each(alone)))
+        get = young.__getitem__
+        for p, x in zip(new, parts):
+            if x is not None and p not in young:
+                young[p] = b"".join(map(get, x))
+        return young
+
     def ids(self, texts: list[str]) -> list[bytes]:
-        """Pre-tokens never cross spaces or line ends, so the ids of the pieces in a row are the text's."""
-        parts = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        new = list({p for x in parts for p in x}.difference(self.memo))
-        if len(self.memo) + len(new) > MEMO_ENTRIES:
-            self.memo = {"": b""}
-            new = list({p for x in parts for p in x if p})
-        for i in range(0, len(new), 4096):
-            self.memo.update(zip(new[i:i + 4096], self.encode(new[i:i + 4096])))
-        get = self.memo.__getitem__
-        return [b"".join(map(get, x)) for x in parts]
+        """Pre-tokens never cross spaces or line ends, so the ids of the pieces in a row are the text's.
+
+        Splitting, finding the distinct pieces and putting their ids in a row is done by Arrow for all texts at once.
+        """
+        parts = pc.split_pattern(pa.array([self.spaced(t) for t in texts], pa.string()), " ")
+        coded = parts.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        known = self.known(distinct)
+        ids = pa.array([known[p] for p in distinct], pa.binary())
+        return pc.binary_join(pa.ListArray.from_arrays(parts.offsets, ids.take(coded.indices)), b"").to_pylist()
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int, id_col: str, text_col: str) -> DataFrame:
@@ -68,9 +151,9 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, id_col: str, text_col
         end = np.array([SEPARATOR], "<u4").tobytes()
         for b in batches:
             out = []
-            for i in range(0, len(b), 64):
-                part = b.iloc[i:i + 64]
-                for doc, ids in zip(part["id"], known.ids(part["text"].fillna("").tolist())):
+            texts = b["text"].fillna("").tolist()
+            for i, j in slices(texts, SLICE_CHARS):
+                for doc, ids in zip(b["id"].iloc[i:j], known.ids(texts[i:j])):
                     ids += end
                     for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                         x = ids[at:at + 4 * capacity]
@@ -176,31 +259,73 @@ class Plan:
                 self.add(old, rest)
 
 
+def exact_patterns(lengths: list[int], capacity: int, waste: int = EXACT_WASTE, depth: int = 4) -> list[tuple[int, ...]]:
+    """Falling multisets of up to ``depth`` of the ``lengths`` that fill a sequence but for ``waste`` tokens."""
+    out: list[tuple[int, ...]] = []
+
+    def grow(parts: tuple[int, ...], at: int, left: int) -> None:
+        if parts and left <= waste:
+            out.append(parts)
+        if len(parts) < depth:
+            for i in range(at, len(lengths)):
+                if lengths[i] <= left and lengths[i] * (depth - len(parts)) >= left - waste:
+                    grow((*parts, lengths[i]), i, left - lengths[i])
+
+    lengths = sorted(lengths, reverse=True)
+    grow((), 0, capacity)
+    return out
+
+
+def uses_of(patterns: list[tuple[int, ...]], counts: dict[int, float], weight: dict[int, float]) -> list[tuple[tuple[int, ...], int]]:
+    """How often each pattern is to be used, rounded down: the fit to the counts of its parts, long parts weighing more."""
+    place = {x: i for i, x in enumerate(counts)}
+    a = np.zeros((len(counts), len(patterns)))
+    for j, p in enumerate(patterns):
+        for x in p:
+            a[place[x], j] += 1
+    w = np.array([weight[x] for x in counts])
+    uses = nnls(a * w[:, None], np.array(list(counts.values()), float) * w)
+    return [(patterns[j], int(uses[j] + 1e-6)) for j in sorted(np.flatnonzero(uses >= 1 - 1e-6), key=lambda j: patterns[j], reverse=True)]
+
+
 def make_plan(histogram: dict[int, int], capacity: int = CAPACITY, bands: int = BANDS) -> Plan:
-    """Pack ``histogram[length]`` pieces of every length; of a few bounds on the space that a pattern may waste, the best is taken."""
+    """Pack ``histogram[length]`` pieces of every length.
+
+    Patterns are fitted to the most frequent lengths as they are, or to bands of lengths alone; of these, and of a
+    few bounds on the space that a pattern may waste, the best is taken.
+    """
+    frequent = sorted((x for x, n in histogram.items() if x < capacity and n >= EXACT_COUNT), key=lambda x: (-histogram[x], x))[:EXACT_LENGTHS]
+    patterns = exact_patterns(frequent, capacity)
+    exact = uses_of(patterns, {x: histogram[x] for x in frequent}, {x: math.sqrt(x / capacity) for x in frequent}) if patterns else []
+    starts = [[], exact] if exact else [[]]
+    return min((plan for start in starts for plan in banded_plans(histogram, capacity, bands, start)), key=lambda plan: sum(plan.copies))
+
+
+def banded_plans(histogram: dict[int, int], capacity: int, bands: int, start: list[tuple[tuple[int, ...], int]]) -> Iterator[Plan]:
+    """Plans that begin with the exact patterns ``start``, as far as there are pieces for them, and fit bands to the rest."""
+    begun, left = Plan(capacity), dict(histogram)
+    for pattern, times in start:
+        run = min([times, *(left.get(x, 0) // pattern.count(x) for x in set(pattern))])
+        if run:
+            begun.add(pattern, run)
+            for x in set(pattern):
+                left[x] -= run * pattern.count(x)
+    left = {x: n for x, n in left.items() if n}
     unit = max(1, capacity // bands)
     counts = np.zeros(bands + 2)
-    for length, n in histogram.items():
+    for length, n in left.items():
         if length < capacity:
             counts[-(-length // unit)] += n
     # the lowest band stays out: its pieces fill what the patterns leave
     patterns = [p for p in band_patterns(bands) if p[-1] > 1 and all(counts[q] for q in p)]
-    uses = np.zeros(len(patterns))
-    if patterns:
-        a = np.zeros((bands + 2, len(patterns)))
-        for j, p in enumerate(patterns):
-            for q in p:
-                a[q, j] += 1
-        weight = np.sqrt(np.arange(bands + 2) / bands)  # long pieces are harder to place later
-        uses = nnls(a * weight[:, None], counts * weight)
-    order = sorted(np.flatnonzero(uses >= 1), key=lambda j: patterns[j], reverse=True)
-    fitted = [(patterns[j], int(uses[j])) for j in order]
-    return min((fill(histogram, capacity, unit, fitted, waste) for waste in (0, 1, 4)), key=lambda plan: sum(plan.copies))
-
-
-def fill(histogram: dict[int, int], capacity: int, unit: int, fitted: list[tuple[tuple[int, ...], int]], waste: int) -> Plan:
+    fitted = uses_of(patterns, dict(enumerate(counts)), {q: math.sqrt(q / bands) for q in range(bands + 2)}) if patterns else []
+    for waste in (0, 1, 4):
+        yield fill(copy.deepcopy(begun), left, capacity, unit, fitted, waste)
+
+
+def fill(plan: Plan, histogram: dict[int, int], capacity: int, unit: int, fitted: list[tuple[tuple[int, ...], int]], waste: int) -> Plan:
     """Draw the patterns' counts from the exact lengths, then place what is left, longest first."""
-    plan, left = Plan(capacity), dict(histogram)
+    left = dict(histogram)
     if left.get(capacity):
         plan.add((capacity,), left.pop(capacity))
     lengths = sorted(left)
@@ -264,19 +389,20 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: str
     at most a small multiple of ``capacity``.
     """
     spark = docs.sparkSession
-    cut = stage(pieces(docs, tokenizer, capacity, id_col, text_col), "pieces")
+    cut = stage(pieces(docs, tokenizer, capacity, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "pieces")
     histogram = {r[0]: r[1] for r in cut.groupBy("length").count().collect()}
     ranges = slot_ranges(make_plan(histogram, capacity))
     plan = spark.sparkContext.broadcast((ranges["length"].to_numpy(), ranges["first"].to_numpy(), ranges["sequence"].to_numpy(), ranges["offset"].to_numpy()))
 
-    # number the pieces of a length: within hash blocks, after those of the blocks before
-    blocks = max(1, sum(histogram.values()) // BLOCK_PIECES)
-    key = F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.lit(blocks))
-    sizes = cut.groupBy("length", key.alias("block")).count()
+    # number the pieces of a length: within blocks of about equal size, after those of the blocks before; which block
+    # a piece is in follows from its row, so equal pieces are spread too
+    blocks = spark.createDataFrame([(x, -(-n // BLOCK_PIECES)) for x, n in histogram.items()], "length long, blocks long")
+    dealt = cut.join(F.broadcast(blocks), "length").withColumn("block", F.pmod(F.xxhash64("row"), "blocks")).drop("blocks")
+    sizes = dealt.groupBy("length", "block").count()
     before = Window.partitionBy("length").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     sizes = stage(sizes.withColumn("before", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count"), "block-sizes")
-    order = Window.partitionBy("length", "block").orderBy("id", "piece", "start", "ids_crc32")
-    numbered = (cut.withColumn("block", key).withColumn("place", F.row_number().over(order) - 1)
+    order = Window.partitionBy("length", "block").orderBy("row")
+    numbered = (dealt.withColumn("place", F.row_number().over(order) - 1)
                 .join(sizes, ["length", "block"]).withColumn("place", F.col("place") + F.col("before")).drop("block", "before"))
 
     def seat(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
