@@ -21,6 +21,8 @@ from .sparse import BM25Model, bm25_fit, bm25_transform
 
 #: Postings in a term's head, at least n of them.
 HEAD_POSTINGS = 64
+#: Query terms broadcast at most (a term of a query each).
+MAX_BROADCAST_TERMS = 1_000_000
 #: Scores are compared at this many places, so that sums taken in another order tie alike.
 SCORE_PLACES = 9
 #: Relative slack of the bounds against rounding.
@@ -55,7 +57,9 @@ def top_similar(docs: DataFrame, queries: DataFrame, qid: str, doc: str, n: int
     if n is None:
         return ranked(queries.join(docs, "term").groupBy(qid, doc).agg(F.sum(F.col("u") * F.col("v")).alias("sim")), qid, doc, None)
     queries = materialize(queries)
-    asked = docs.join(queries.select("term").distinct(), "term", "left_semi")
+    # the queries' terms go to the postings where they are few
+    few = F.broadcast if queries.count() <= MAX_BROADCAST_TERMS else (lambda df: df)
+    asked = docs.join(few(queries.select("term").distinct()), "term", "left_semi")
     size = max(n, HEAD_POSTINGS)
 
     # each term's head; the weight of its last posting bounds those behind it
@@ -79,7 +83,7 @@ def top_similar(docs: DataFrame, queries: DataFrame, qid: str, doc: str, n: int
     # a document's known part, and what its unknown terms can add at most
     whole = terms.where("essential AND most > 0")
     rest = terms.where("NOT essential").groupBy(qid).agg(F.sum("most").alias("rest"))
-    from_whole = asked.join(whole.select(qid, "term", "v"), "term").select(qid, doc, (F.col("u") * F.col("v")).alias("part"), F.lit(0.0).alias("covered"))
+    from_whole = asked.join(few(whole.select(qid, "term", "v")), "term").select(qid, doc, (F.col("u") * F.col("v")).alias("part"), F.lit(0.0).alias("covered"))
     from_head = (head.join(terms.where("NOT essential OR most = 0").select(qid, "term", "v", "most"), "term")
                  .select(qid, doc, (F.col("u") * F.col("v")).alias("part"), F.col("most").alias("covered")))
     known = from_whole.unionByName(from_head).groupBy(qid, doc).agg(F.sum("part").alias("part"), F.sum("covered").alias("covered"))
@@ -87,7 +91,8 @@ def top_similar(docs: DataFrame, queries: DataFrame, qid: str, doc: str, n: int
                   .where(F.col("part") + F.coalesce("rest", F.lit(0.0)) - F.col("covered") >= F.col("bound") * (1 - SLACK)).select(qid, doc))
     candidates = materialize(candidates)
 
-    scores = (candidates.join(terms.select(qid, "term", "v"), qid).join(asked, ["term", doc])
+    # postings meet the candidates by document, and no row per candidate and query term is shuffled
+    scores = (candidates.join(asked, doc).join(few(terms.select(qid, "term", "v")), [qid, "term"])
               .groupBy(qid, doc).agg(F.sum(F.col("u") * F.col("v")).alias("sim")))
     return ranked(scores, qid, doc, n)
 

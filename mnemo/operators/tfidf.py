@@ -90,7 +90,10 @@ def tfidf_score_documents(queries: DataFrame, qid: str, qtext: str,
     # idf is a grouped aggregate joined back (AQE can split a hot term), not a
     # window keyed by the term
     d_terms = ngram_counts(token_stream(docs, did, dtext, ner, small), did)
-    q_terms = ngram_counts(token_stream(queries, qid, qtext, ner, small), qid)
+    q_terms = materialize(ngram_counts(token_stream(queries, qid, qtext, ner, small), qid))
+    # a document's norm takes all its terms; behind it only terms of some query matter
+    asked = q_terms.select("term").distinct()
+    asked = F.broadcast(asked) if q_terms.count() <= MAX_BROADCAST_PHRASES else asked
     n_docs = docs.agg(F.count(F.lit(1)).cast("double")).scalar()
     idf = d_terms.groupBy("term").agg(
         (F.log((n_docs + 1.0) / (F.count(F.lit(1)) + 1.0)) + 1.0).alias("idf"))
@@ -103,9 +106,9 @@ def tfidf_score_documents(queries: DataFrame, qid: str, qtext: str,
         return x.select(key, "term", (F.col("x") / norm).alias("u"))
 
     if top_n is not None:
-        docs_u = materialize(normalised(d_terms, did))
+        docs_u = materialize(normalised(d_terms, did).join(asked, "term", "left_semi"))
         return top_similar(docs_u, normalised(q_terms, qid).withColumnRenamed("u", "v"), qid, did, top_n)
-    dv = normalised(d_terms, did).withColumnRenamed("u", "du")
+    dv = normalised(d_terms, did).join(asked, "term", "left_semi").withColumnRenamed("u", "du")
     qv = normalised(q_terms, qid).withColumnRenamed("u", "qu")
     return (qv.join(dv, "term").groupBy(qid, did)
             .agg(F.sum(F.col("qu") * F.col("du")).alias("sim")))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import tokenize
-from ..operators.sparse import BM25Model, bm25_from_counts, term_counts
+from ..operators.sparse import BM25Model, bm25_from_counts
 from ..schema import BM25_B, BM25_K1
 
 BUCKETS = 64
@@ -28,9 +28,11 @@ class TermTable:
     def append(self, rows: DataFrame, text_col: str = "content", batch: str | None = None) -> TermTable:
         """Count the terms of new ``rows(doc_id, text_col)``; a batch of a known name is replaced."""
         name = batch or uuid.uuid4().hex
-        counts = term_counts(rows, ["doc_id"], text_col, self.tokenizer)
         bucket = F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int")
-        for table, df, parts in (("terms", counts.withColumn("batch", F.lit(name)).withColumn("bucket", bucket).repartition("bucket"), ["batch", "bucket"]),
+        tokens = rows.select("doc_id", F.explode(self.tokenizer(F.col(text_col))).alias("term")).withColumn("bucket", bucket)
+        # dealt into their buckets once: there they are counted and written
+        counts = tokens.repartition("bucket").groupBy("bucket", "doc_id", "term").agg(F.count(F.lit(1)).cast("double").alias("tf"))
+        for table, df, parts in (("terms", counts.select("doc_id", "term", "tf", F.lit(name).alias("batch"), "bucket"), ["batch", "bucket"]),
                                  ("docs", rows.select("doc_id", F.lit(name).alias("batch")), ["batch"])):
             df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(f"{self.root}/{table}")
         return self
@@ -50,4 +52,4 @@ class TermTable:
 
     def fit(self, k1: float = BM25_K1, b: float = BM25_B) -> BM25Model:
         """The model over all documents appended so far, from their counts."""
-        return bm25_from_counts(self.terms().select("doc_id", "term", "tf"), self.docs(), "doc_id", k1, b)
+        return bm25_from_counts(self.terms().select("doc_id", "term", "tf"), self.docs(), "doc_id", k1, b, written=True)
