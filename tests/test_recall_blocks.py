@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mnemo.operators.dense import _make_nearest, _request_block, dense_candidates, top_k_per_request
-from mnemo.operators.sparse import candidate_scores, corpus_scores, hashed_tokens
+from mnemo.operators.sparse import Block, candidate_scores, corpus_scores, hashed_tokens
 
 TYPES = ["conversation", "analysis", "step", None]
 
@@ -87,3 +87,29 @@ def test_blocks_score_like_single_corpora_and_join_like_tables(spark):
     of_d = sorted((r["clen"], round(r["best_sim"], 9)) for r in got if (r["request_id"], r["doc_id"]) == ("s", "d"))
     assert of_d == sorted((n, round(s, 9)) for n in (8, 3) for s in want_s[1:])  # both rows with both scores, as joins by doc_id give them
     assert {r["request_id"] for r in got} == {"r", "s"}
+
+
+def test_a_task_of_many_documents_holds_only_their_counts(spark):
+    """Documents come in batches, and no batch's tokens are kept; an attribute may be called as a column of the texts."""
+    rng = np.random.default_rng(1)
+    tokens = [rng.integers(0, 50, 200) for _ in range(300)]
+    docs = pa.table({"doc_id": [f"d{i}" for i in range(300)], "tokens": pa.array([t.tolist() for t in tokens], pa.list_(pa.int64())), "weight": [float(i) for i in range(300)]})
+    block = Block(["weight"])
+    for a in range(0, 300, 100):
+        block.add(docs.slice(a, 100))
+    block.close()
+    assert block.table.terms.nbytes + block.table.tf.nbytes <= 5 * 50 * 300 < 8 * 200 * 300
+    asked = pa.table({"_request": ["r", "r"], "_docs": [None, [f"d{i}" for i in range(0, 300, 7)]], "_distances": [None, [float(i) for i in range(0, 300, 7)]],
+                      "_weight": [1.0, None], "tokens": pa.array([[1, 2, 2, 99], None], pa.list_(pa.int64()))})
+    got = pa.concat_tables(block.scores(asked)).to_pydict()
+    assert got["weight"] == got["distance"] == [float(i) for i in range(0, 300, 7)]
+    assert got["best_sim"] == pytest.approx(corpus_scores(tokens[::7], [np.array([1, 2, 2, 99])], [1.0]).tolist())
+
+
+def test_each_block_of_requests_is_a_task_of_its_own(spark):
+    rows = spark.range(64).select(F.concat(F.lit("r"), "id").alias("request_id"), F.concat(F.lit("d"), "id").alias("doc_id"), F.lit(1.0).alias("distance"))
+    docs = rows.select("doc_id", F.array(F.xxhash64("doc_id")).alias("tokens"), F.lit(2.0).alias("weight"))
+    texts = rows.select("request_id", F.lit(1.0).alias("weight"), F.array(F.xxhash64("doc_id")).alias("tokens"))
+    got = candidate_scores(rows, docs, texts, 8).withColumn("task", F.spark_partition_id()).withColumn("block", F.pmod(F.xxhash64("request_id"), F.lit(8))).collect()
+    assert len(got) == 64 and {r["best_sim"] for r in got} == {1.0} and {r["weight"] for r in got} == {2.0}
+    assert all(r["task"] == r["block"] for r in got)
