@@ -11,6 +11,7 @@ words united per document.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +31,10 @@ WINDOW = 25
 #: ... at its least n-gram of so many words.
 GRAM = 4
 GROUP_BYTES = 32 << 20
+#: So many contexts a group are looked at to choose the ranges, of one in so many documents at the least.
+SAMPLED, SAMPLED_DOCS = 40, 32
+#: Of documents that hold more than one part in so many of a group's contexts, some are looked at in each.
+LARGE = 16
 
 
 def anchors(words: list[bytes], least: int, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
@@ -120,13 +125,15 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, window: int =
         order = np.lexsort((h[many], ids[many]))
         ids, h = ids[many][order], h[many][order]
         cut = np.flatnonzero(np.diff(ids, prepend=ids[0] - 1)) if len(ids) else np.zeros(0, np.int64)
-        return pd.DataFrame({"doc": ids[cut], "known": [np.unique(x).tobytes() for x in np.split(h, cut[1:])] if len(ids) else []})
+        return pd.DataFrame({"doc": ids[cut], "known": [np.unique(x).tobytes() for x in np.split(h, cut[1:])] if len(ids) else [],
+                             "places": np.diff(np.append(cut, len(ids)))})
 
-    known = (rows.mapInPandas(sign, SCHEMA).repartition(groups, "p").groupBy("p").applyInPandas(repeated, "doc long, known binary")
-             .groupBy("doc").agg(F.collect_list("known").alias("known")))
+    known = (rows.mapInPandas(sign, SCHEMA).repartition(groups, "p").groupBy("p").applyInPandas(repeated, "doc long, known binary, places long")
+             .groupBy("doc").agg(F.collect_list("known").alias("known"), F.sum("places").alias("places")))
+    known = stage(known, "repeated-anchors")
     low48 = np.uint64((1 << 48) - 1)
 
-    def contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def contexts(batches: Iterator[pd.DataFrame], bounds: list[tuple]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for text, doc, known in zip(b["text"], b["doc"], b["known"]):
                 words = words_of(text, lower=False)
@@ -140,10 +147,25 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, window: int =
                     out.append(("R" + ahead[at_ahead[i]:at_ahead[min(i + least + window, n)]], doc, i))
                     out.append((f"L{x:016x} " + back[at_back[n - i]:at_back[min(n - i + window, n)]], doc, i))
                 for k in range(0, len(out), 20_000):
-                    yield pd.DataFrame(out[k:k + 20_000], columns=["key", "doc", "at"])
-
-    suffixes = rows.join(known, "doc").mapInPandas(contexts, "key string, doc long, at int")
-    order = suffixes.repartitionByRange(groups, "key", "doc", "at").sortWithinPartitions("key", "doc", "at")
+                    part = out[k:k + 20_000]
+                    yield pd.DataFrame([(*x, bisect_right(bounds, x)) for x in part], columns=["key", "doc", "at", "range"])
+
+    # the ranges are chosen by some contexts of a share of the documents, and of those that hold much of a range: those of all are made once
+    schema = "key string, doc long, at int, range int"
+    n_contexts = 2 * (known.agg(F.sum("places")).first()[0] or 0)
+    docs_in = max(1, min(SAMPLED_DOCS, int(n_contexts // (SAMPLED * groups))))
+    rows_in = max(1, int(n_contexts // docs_in // (SAMPLED * groups)))
+    large = F.broadcast(known.where(2 * F.col("places") > n_contexts / (LARGE * groups)).select("doc", F.lit(docs_in).alias("of")))
+
+    def some(df: DataFrame) -> DataFrame:
+        return df.join(large, "doc", "left").where(F.col("of").isNotNull() | (F.pmod(F.xxhash64("doc"), F.lit(docs_in)) == 0))
+
+    sample = some(rows).drop("of").join(some(known).drop("of"), "doc").mapInPandas(lambda b: contexts(b, []), schema).join(large, "doc", "left")
+    sample = sample.where(F.pmod(F.xxhash64("key", "doc", "at"), F.lit(rows_in) * F.coalesce("of", F.lit(1))) == 0)
+    seen = sorted(tuple(r) for r in sample.select("key", "doc", "at").collect())
+    ranges = spark.sparkContext.broadcast([seen[len(seen) * i // groups] for i in range(1, groups)] if seen else [])
+    suffixes = rows.join(known, "doc").mapInPandas(lambda b: contexts(b, ranges.value), schema)
+    order = suffixes.repartitionById(groups, "range").drop("range").sortWithinPartitions("key", "doc", "at")
 
     def neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part, before, last = TaskContext.get().partitionId(), None, None

@@ -1,5 +1,6 @@
 """The operators on Spark: edge cases of every input, and brute force where SQL can't tell."""
 
+import random
 import zlib
 from collections import Counter
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from mnemo.llm import jaccard, queries
+from mnemo.llm import jaccard, queries, suffix_dedup
 from mnemo.llm.ann import search
 from mnemo.llm.common import stage
 from mnemo.llm.decontaminate import decontaminate
@@ -307,3 +308,22 @@ def test_language_labels_without_words_and_long_texts(spark):
     for i, t, lang in docs:
         want = lang if any(map(str.isalpha, t)) else "und"
         assert got[i]["lang_pred"] == want and (got[i]["score"] > 0.9) == (want != "und"), (i, lang, got[i])
+
+
+def test_contexts_are_made_once_and_equal_ones_are_dealt_out(spark, monkeypatch):
+    """A range exchange runs all that stands below it twice; ranges chosen beforehand cut a group of equal contexts by document."""
+    staged = {}
+
+    def kept(df, name):
+        staged[name] = df
+        return stage(df, name)
+
+    monkeypatch.setattr(suffix_dedup, "stage", kept)
+    rng = random.Random(5)
+    text = " ".join(rng.choice("abcdefgh") + str(rng.randrange(90)) for _ in range(120))
+    docs = spark.createDataFrame([(i, text) for i in range(200)], "doc_id long, text string")
+    got = suffix_dedup.repeated_passages(docs).collect()
+    assert len(got) == 200 and {(r["starts"][0], r["ends"][0], r["n_words"]) for r in got} == {(0, 120, 120)}
+    assert "rangepartitioning" not in staged["neighbours"]._jdf.queryExecution().toString().lower()
+    borders = staged["neighbours"].where("key IS NOT NULL").collect()
+    assert len({r["part"] for r in borders}) == int(spark.conf.get("spark.sql.shuffle.partitions"))
