@@ -1,6 +1,8 @@
 """S4: turn / branch numbering of a live chat event stream, idle sessions evicted.
 
-A custom stateful operator (``applyInPandasWithState``) keyed by session.  It holds a
+A custom stateful operator (``applyInPandasWithState``).  Sessions are dealt to buckets by
+a hash, and a call takes the events and states of a bucket: a call costs some milliseconds,
+however few its events are, so there is one for each bucket and batch, not for each session.  It holds a
 session's state only while the session is live: when the watermark passes ``idle``
 after its last event, the state is given out as a row and removed.  A session that
 returns later begins a new stretch without knowing what came before, so a
@@ -31,6 +33,11 @@ STATE_SCHEMA = "known boolean, seq long, branch long, pairs long, low long, weak
 #: A stretch's numbers at an accepted pair (``event_id``), or its state when it is evicted.
 ROW_SCHEMA = f"session long, evicted boolean, event_id long, {STATE_SCHEMA}"
 ROW_COLUMNS = [c.split()[0] for c in ROW_SCHEMA.split(", ")]
+#: What is kept of a bucket: its live sessions and their states, column by column.
+BUCKET_SCHEMA = "session array<long>, " + ", ".join(f"{name} array<{kind}>" for name, kind in (c.split() for c in STATE_SCHEMA.split(", ")))
+BUCKETS = 1024
+#: Rows that a call gives out at once.
+OUT_ROWS = 10_000
 FINAL_SCHEMA = "session long, seq long, branch long, pairs long, last_us long"
 PAIR_COLUMNS = ["session", "event_id", "sequence_no", "branch"]
 
@@ -74,34 +81,57 @@ class Stretch:
         self.pairs += 1
 
 
+def _rows(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=ROW_COLUMNS, dtype=object)  # else a null among ids makes them floats
+
+
 def _advance(idle_ms: int):
     def advance(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            last = tuple(state.get)
+        held = {session: Stretch(*s) for session, *s in zip(*state.get)} if state.exists else {}
+        met, out = set(), []
+        if not state.hasTimedOut:
+            events = pd.concat(list(batches)).sort_values(["us", "no_event", "event_id"])
+            columns = [events[c].tolist() for c in ("session", "no_session", "event_id", "no_event", "us", "action")]
+            for session, no_session, event, no_event, us, action in zip(*columns):
+                session = None if no_session else session
+                s = held.get(session)
+                if s is None:
+                    s = held[session] = Stretch()
+                met.add(session)
+                if us > s.last_us:  # not if there is none
+                    s.last_us = int(us)
+                if s.apply(action):
+                    out.append((session, False, None if no_event else event, *s.row()))
+                    s.accept()
+                    if len(out) == OUT_ROWS:
+                        yield _rows(out)
+                        out = []
+        now = state.getCurrentWatermarkMs()
+        for session in [x for x, s in held.items() if x not in met and s.last_us // 1000 + idle_ms < now]:
+            out.append((session, True, 0, *held.pop(session).row()))
+        if held:
+            state.update(tuple(map(list, zip(*((session, *s.row()) for session, s in held.items())))))
+            state.setTimeoutTimestamp(max(min(s.last_us for s in held.values()) // 1000 + idle_ms, now + 1))
+        else:
             state.remove()
-            yield pd.DataFrame([(int(key[0]), True, 0, *last)], columns=ROW_COLUMNS)
-            return
-        s = Stretch(*state.get) if state.exists else Stretch()
-        events = pd.concat(list(batches)).sort_values(["us", "event_id"])
-        out = []
-        for event, us, action in zip(events["event_id"].tolist(), events["us"].tolist(), events["action"].tolist()):
-            s.last_us = max(s.last_us, us)
-            if s.apply(action):
-                out.append((int(key[0]), False, event, *s.row()))
-                s.accept()
-        state.update(s.row())
-        state.setTimeoutTimestamp(max(s.last_us // 1000 + idle_ms, state.getCurrentWatermarkMs() + 1))
         if out:
-            yield pd.DataFrame(out, columns=ROW_COLUMNS)
+            yield _rows(out)
 
     return advance
 
 
-def numbered_stretches(events: DataFrame, idle_seconds: int, delay: str, session: str = "session") -> DataFrame:
-    """``events(session, ts, event_id, action)`` stream -> rows of ``ROW_SCHEMA`` (append)."""
-    timed = events.select(F.col(session).cast("long").alias("session"), F.col("ts").cast("timestamp").alias("ts"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "event_id", "action")
-    return timed.withWatermark("ts", delay).groupBy("session").applyInPandasWithState(
-        _advance(idle_seconds * 1000), ROW_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
+def numbered_stretches(events: DataFrame, idle_seconds: int, delay: str, session: str = "session", buckets: int = BUCKETS) -> DataFrame:
+    """``events(session, ts, event_id, action)`` stream -> rows of ``ROW_SCHEMA`` (append).
+
+    ``buckets`` is fixed for a checkpoint, as its state is kept by bucket.
+    """
+    own, event = F.col(session).cast("long"), F.col("event_id").cast("long")
+    timed = events.select(
+        F.pmod(F.xxhash64(own), F.lit(buckets)).alias("bucket"), F.coalesce(own, F.lit(0)).alias("session"), own.isNull().alias("no_session"),
+        F.col("ts").cast("timestamp").alias("ts"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"),
+        F.coalesce(event, F.lit(0)).alias("event_id"), event.isNull().alias("no_event"), "action")
+    return timed.withWatermark("ts", delay).groupBy("bucket").applyInPandasWithState(
+        _advance(idle_seconds * 1000), ROW_SCHEMA, BUCKET_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def _effective(left: Column) -> Column:
@@ -113,7 +143,7 @@ def _effective(left: Column) -> Column:
 def completed(rows: DataFrame, before: DataFrame) -> DataFrame:
     """``rows`` of stretches with their final numbers, given the states ``before(session, seq, branch, pairs)`` them."""
     entry = before.select(F.col("session").alias("_s"), *[F.col(c).alias(f"_{c}") for c in ("seq", "branch", "pairs")])
-    joined = rows.join(entry, F.col("session") == F.col("_s"), "left")
+    joined = rows.join(entry, F.col("session").eqNullSafe(F.col("_s")), "left")
     own = {c: F.coalesce(F.col(f"_{c}"), F.lit(0).cast("long")) for c in ("seq", "branch", "pairs")}
     known = F.col("known")
     return joined.select(
@@ -131,7 +161,7 @@ def stored_states(spark: SparkSession, out_dir: str, but: str | None = None) ->
 
 
 def start_numbering(events: DataFrame, out_dir: str, checkpoint: str, idle_seconds: int = 1800, delay: str = "10 minutes",
-                    available_now: bool = True) -> StreamingQuery:
+                    available_now: bool = True, buckets: int = BUCKETS) -> StreamingQuery:
     """Accepted pairs of the ``events`` stream into ``<out_dir>/pairs``, final states of sessions idle for
     ``idle_seconds`` of event time into ``<out_dir>/sessions``.
 
@@ -143,15 +173,16 @@ def start_numbering(events: DataFrame, out_dir: str, checkpoint: str, idle_secon
     def sink(batch: DataFrame, batch_id: int) -> None:
         name = named(batch_id)
         batch = batch.persist()
-        asked = batch.where("NOT known").select("session").distinct()
-        rows = completed(batch, stored_states(spark, out, but=name).join(asked, "session", "left_semi")).persist()
+        asked = batch.where("NOT known").select(F.col("session").alias("_asked")).distinct()
+        stored = stored_states(spark, out, but=name)
+        rows = completed(batch, stored.join(asked, F.col("session").eqNullSafe(F.col("_asked")), "left_semi")).persist()
         pairs = rows.where("NOT evicted").select("session", "event_id", F.col("seq").alias("sequence_no"), "branch")
         pairs.write.mode("overwrite").parquet(f"{out}/pairs/batch_id={name}")
         rows.where("evicted").drop("evicted", "event_id").write.mode("overwrite").parquet(f"{out}/sessions/batch_id={name}")
         rows.unpersist()
         batch.unpersist()
 
-    q = numbered_stretches(events, idle_seconds, delay).writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).outputMode("append")
+    q = numbered_stretches(events, idle_seconds, delay, buckets=buckets).writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).outputMode("append")
     q = q.trigger(availableNow=True) if available_now else q.trigger(processingTime="10 seconds")
     return q.start()
 

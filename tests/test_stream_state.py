@@ -154,3 +154,28 @@ def test_ids_older_than_the_window_are_looked_up(spark, root):
     append_jsonl(rows, f"{root}/in")
     start_ingest(spark, f"{root}/in", store.root, f"{root}/checkpoint", 5, dedup=True, embed=None, window="0 seconds").awaitTermination()
     assert sorted(r.doc_id for r in store.scan(["doc_id"]).collect()) == ["a", "b"]
+
+
+def test_numbering_calls_by_bucket_and_takes_null_ids(spark, root):
+    rng = random.Random(21)
+    big = 2 ** 53 + 1  # ids that a float can't hold
+    names, events = [None, 0, *(big + s for s in range(200))], []
+    for k, s in enumerate(names):  # some come once, some in all bursts, some (the null session) miss the second one
+        for burst in ((0, 2), (0,), (0, 1, 2), (0,))[k % 4]:
+            events += [(s, burst * 7200 + t, None if t == 9 else big + 1000 * k + 100 * burst + t, rng.choice(ACTIONS)) for t in range(10)]
+    df = spark.createDataFrame(events, "session long, at long, event_id long, action string").select(
+        "session", F.timestamp_seconds(F.col("at") + 1_700_000_000).alias("ts"), "event_id", "action")
+    out, source, held = f"{root}/out", f"{root}/in", []
+    for burst in range(3):
+        df.where(f"floor((unix_timestamp(ts) - 1700000000) / 7200) = {burst}").coalesce(1).write.mode("append").parquet(source)
+        q = start_numbering(spark.readStream.schema(df.schema).parquet(source), out, f"{root}/checkpoint", idle_seconds=600, delay="0 seconds", buckets=4)
+        q.awaitTermination()
+        held += [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+    assert 0 < max(held) <= 4
+    want = Counter()
+    for s in names:
+        mine = [(at, e, a) for x, at, e, a in events if x == s]
+        want.update((s, mine[i][1], seq, branch) for i, seq, branch in plain([a for _, _, a in mine])[0])
+    assert Counter(map(tuple, numbered_pairs(spark, out).collect())) == want
+    away = {r["session"] for r in stored_states(spark, out).collect()}
+    assert away >= {*names[1::2], None}
