@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mnemo.llm.blocks import SCHEMA, deal, gather
-from mnemo.llm.common import shuffle_partitions, stage
+from mnemo.llm.common import let_go, shuffle_partitions, stage
 from mnemo.llm.shingles import mix, shingles, words_of
 
 #: Similarity in hundredths: sets link when 100 * |intersection| >= PERCENT * |union|.
@@ -143,6 +143,7 @@ def fold(data: bytes, size: int) -> np.ndarray:
 def sign_texts(docs: DataFrame, n: int, percent: int, groups: int) -> DataFrame:
     """Per group p a block of signatures with their ids, and the facts of some documents."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        let_go()
         bands, known = Bands(percent), set()
         sigs, ids, heads, held = [], [], [], 0
 

@@ -25,8 +25,10 @@ class WordRows:
             self.place, new = {}, set(words)
         if new:
             fresh, n = list(new), len(self.place)
-            while len(self.table) < n + len(fresh):
-                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+            if len(self.table) < n + len(fresh):
+                grown = np.zeros((1 << (n + len(fresh) - 1).bit_length(), self.table.shape[1]), np.float32)
+                grown[:n] = self.table[:n]  # rows not yet used take no memory
+                self.table = grown
             for i in range(0, len(fresh), 20_000):
                 part = fresh[i:i + 20_000]
                 self.table[n + i:n + i + len(part)] = self.vectors(part)

@@ -1,6 +1,9 @@
 """Parts of the operators against plain statements of what they compute, without Spark."""
 
+import os
 import random
+import subprocess
+import sys
 
 import numpy as np
 import pytest
@@ -273,3 +276,35 @@ def test_the_middle_of_a_text_without_ascii_spaces_counts(space):
     chain = langid.fit([(text(30, 30 * y), "xy"[y]) for y in (0, 1) for _ in range(40)], steps=60)
     label = langid.label(chain, langid.WordRows(chain.emissions, 2), [space.join([rng.choice(clean) for _ in range(30)] + [rng.choice(bad) for _ in range(500)] + [rng.choice(clean) for _ in range(30)])])
     assert label[0][0] == "y"
+
+
+def test_memory_is_given_back():
+    script = """
+import re
+import numpy as np, pyarrow as pa
+from mnemo.llm.common import resident
+from mnemo.llm.wordrows import WordRows
+
+def held():
+    return int(re.search(r"Pss_Anon: +([0-9]+)", open("/proc/self/smaps_rollup").read())[1]) / 1024
+
+def memo():
+    parts = [pa.array([b"%064d" % i for i in range(j, j + 20_000)]) for j in range(0, 1_000_000, 20_000)]
+    return len(pa.concat_arrays(parts))
+
+rows = WordRows(lambda words: np.ones((len(words), 48), np.float32), 48)
+start = held()
+rows.rows([b"%d" % i for i in range(135_000)])
+table = held() - start
+del rows
+start = held()
+resident("first", memo)
+full = held() - start
+resident("second", dict)
+print(table, full, held() - start)
+"""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    done = subprocess.run([sys.executable, "-c", script], cwd=root, capture_output=True, text=True, check=True)
+    table, full, left = map(float, done.stdout.split())
+    assert table < 90  # 135,000 rows of 192 bytes and the words; not the 262,144 rows that there is room for, twice
+    assert left < full / 2
