@@ -15,11 +15,11 @@ def deal(hashes: list[np.ndarray], ids: list[int], groups: int) -> dict[int, tup
     hashes can only be equal by chance where a group holds far more than 2^24.
     """
     h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-    owner = np.repeat(np.arange(len(ids)), [len(x) for x in hashes]) if hashes else np.zeros(0, np.int64)
-    to = ((h >> np.uint64(40)) % np.uint64(groups)).astype(np.int64)
+    owner = np.repeat(np.arange(len(ids), dtype=np.int32), [len(x) for x in hashes]) if hashes else np.zeros(0, np.int32)
+    to = ((h >> np.uint64(40)).astype(np.int32) % np.int32(groups))  # 24 bits
     order = np.argsort(to, kind="stable")
     h, owner = h[order], owner[order]
-    cuts = np.searchsorted(to[order], np.arange(groups + 1))
+    cuts = np.searchsorted(to[order], np.arange(groups + 1, dtype=np.int32))
     id_array, out = np.array(ids, np.int64), {}
     for p in np.flatnonzero(np.diff(cuts)):
         a, b = cuts[p], cuts[p + 1]

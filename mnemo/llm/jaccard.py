@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mnemo.llm.blocks import SCHEMA, deal, gather
-from mnemo.llm.common import let_go, shuffle_partitions, stage
+from mnemo.llm.common import give_back, giving_back, let_go, shuffle_partitions, small_batches, stage
 from mnemo.llm.shingles import mix, shingles, words_of
 
 #: Similarity in hundredths: sets link when 100 * |intersection| >= PERCENT * |union|.
@@ -142,6 +142,7 @@ def fold(data: bytes, size: int) -> np.ndarray:
 
 def sign_texts(docs: DataFrame, n: int, percent: int, groups: int) -> DataFrame:
     """Per group p a block of signatures with their ids, and the facts of some documents."""
+    @giving_back
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         let_go()
         bands, known = Bands(percent), set()
@@ -180,6 +181,7 @@ def sign_texts(docs: DataFrame, n: int, percent: int, groups: int) -> DataFrame:
 def meet(pdf: pd.DataFrame) -> pd.DataFrame:
     """Of one group: the documents' facts, and the distinct lists of ids that share a signature."""
     _, ids, first, last = gather(pdf)
+    give_back()  # of the group before, and what ordering this one took
     p = int(pdf["p"].iloc[0])
     facts = pd.DataFrame({c: [x for row in pdf[c] for x in row] for c in ("doc", "n", "need", "key", "bits")})
     lists: dict[bytes, int] = {}
@@ -211,6 +213,7 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFr
     rows = (texts.join(stage(routes, "routes"), "doc").select("a", "turn", "b", "text")
             .repartition(shuffle_partitions(pairs.sparkSession), "a", "turn").sortWithinPartitions("a", "turn", F.col("b").asc_nulls_first()))
 
+    @giving_back
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, sets = None, []
         for b in batches:
@@ -302,6 +305,7 @@ def cross_pairs(lists: DataFrame, percent: int) -> DataFrame:
              .withColumn("other", F.explode(F.sequence(zero, blocks - 1)))
              .select("*", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y")).select(*columns))
 
+    @giving_back
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
         for b in batches:
@@ -355,6 +359,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = PERCENT, id_c
     result; other columns are not read.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     known = rows.where("doc IS NOT NULL")
     size = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0

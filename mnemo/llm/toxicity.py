@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mnemo.llm.common import held_out, resident, slices
+from mnemo.llm.common import giving_back, held_out, resident, slices, small_batches
 from mnemo.llm.langid import words_of
 from mnemo.llm.wordrows import WordRows, gram_ids, word_batches
 
@@ -267,6 +267,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None,
     rows are scored each; an empty table gives an empty result; columns not named are not read.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"),
                        (F.struct(*[F.col(c) for c in keep]) if keep else F.lit(None).cast("string")).alias("rest"))
     marked = (labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id IS NOT NULL AND y IN (0, 1)")
@@ -278,6 +279,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None,
     sample = sorted((r["text"], r["y"]) for r in sample.collect())
     model, key = spark.sparkContext.broadcast(fit(sample)), uuid.uuid4().hex
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net: Network | None = model.value
         memo = None if net is None else resident(("network", key), lambda: WordRows(net.gates, 6 * HIDDEN))

@@ -6,13 +6,14 @@ import subprocess
 import sys
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from mnemo.llm.ann import Tree, nearest
 from mnemo.llm.decontaminate import WindowSearch, joined, merged, words_of
 from mnemo.llm.html_text import extract_text
 from mnemo.llm.jaccard import Bands, bitmap, fold
-from mnemo.llm import langid, toxicity
+from mnemo.llm import jaccard, langid, toxicity
 from mnemo.llm.langid import Chain
 from mnemo.llm.packing import make_plan, nnls, slot_ranges
 from mnemo.llm.shingles import shingles
@@ -308,3 +309,56 @@ print(table, full, held() - start)
     table, full, left = map(float, done.stdout.split())
     assert table < 90  # 135,000 rows of 192 bytes and the words; not the 262,144 rows that there is room for, twice
     assert left < full / 2
+
+
+def test_texts_go_to_workers_in_small_batches(spark):
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.range(3_000).selectExpr("id AS doc_id", "repeat(concat('word', id, ' '), 500) AS text").coalesce(1)
+
+    def sizes(batches):
+        for b in batches:
+            yield pd.DataFrame({"size": [int(b["text"].str.len().sum())]})
+
+    def largest():
+        return docs.mapInPandas(sizes, "size long").groupBy().max("size").first()[0]
+
+    before = spark.conf.get(setting, None)
+    try:
+        spark.conf.unset(setting)
+        assert largest() > 12_000_000
+        jaccard.jaccard_components(docs.limit(5)).collect()
+        assert largest() < 4_500_000
+        spark.conf.set(setting, "1000000")  # what the session says stays
+        jaccard.jaccard_components(docs.limit(5)).collect()
+        assert spark.conf.get(setting) == "1000000"
+    finally:
+        spark.conf.unset(setting) if before is None else spark.conf.set(setting, before)
+
+
+def test_a_task_gives_back_what_it_held():
+    script = """
+import re
+import numpy as np, pandas as pd, pyarrow as pa
+from mnemo.llm import jaccard
+
+def held():
+    return int(re.search(r"Pss_Anon: +([0-9]+)", open("/proc/self/smaps_rollup").read())[1]) / 1024
+
+class Rows:
+    def mapInPandas(self, run, schema):
+        return run
+
+def batches():
+    for i in range(0, 6_000, 500):
+        texts = [" ".join(f"{d * 7919 % 6007}w{k}" for k in range(400)) for d in range(i, i + 500)]
+        yield pa.RecordBatch.from_pydict({"doc": range(i, i + 500), "text": texts}).to_pandas()
+
+run, start = jaccard.sign_texts(Rows(), 5, 80, 64), held()
+for b in run(batches()):
+    pa.RecordBatch.from_pandas(b)
+del b
+print(held() - start)
+"""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    done = subprocess.run([sys.executable, "-c", script], cwd=root, capture_output=True, text=True, check=True)
+    assert float(done.stdout) < 40
