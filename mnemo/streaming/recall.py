@@ -8,12 +8,14 @@ of other checkpoints stay.
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.embed import hashed_embedding
-from ..operators.memory import memory_query
+from ..operators.memory import memory_query, open_store
 from .batches import batch_names
 
 
@@ -23,7 +25,7 @@ def start_recall(user_turns: DataFrame, store: DataFrame, out_dir: str, checkpoi
     stored already is asked for with its stored vector, a new one with ``embed(content)``
     (which must give vectors as the store's)."""
 
-    named = batch_names(user_turns.sparkSession, checkpoint)
+    named, packs = batch_names(user_turns.sparkSession, checkpoint), cache(lambda: open_store(store))
 
     def run(batch: DataFrame, batch_id: int) -> None:
         req = batch.select(
@@ -35,7 +37,7 @@ def start_recall(user_turns: DataFrame, store: DataFrame, out_dir: str, checkpoi
         stored = store.select("doc_id", F.col("index").alias("_stored"))
         vecs = batch.join(stored, "doc_id", "left").select(
             F.col("doc_id").alias("request_id"), F.coalesce("_stored", embed(F.col("content"))).alias("qvec"))
-        res = memory_query(store, req, texts, vecs)
+        res = memory_query(packs(), req, texts, vecs)
         res.write.mode("overwrite").parquet(f"{out_dir}/batch_id={named(batch_id)}")
 
     q = user_turns.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
